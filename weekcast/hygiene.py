@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SMALL = frozenset({"temp", "cpi", "is_holiday", "slope", "importance", "acctbal_share"})
-FOUR = frozenset({"smape"})
+FOUR = frozenset({"smape", "mean_score", "score", "1 week", "2 weeks", "3 weeks"})
 
 
 def digits_for(name: str) -> int:

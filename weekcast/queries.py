@@ -220,6 +220,76 @@ def q_lr_single_feature(spark, sf_dir):
     return tidy(linear_fit_coefficients(train, ["diff_sales"], "label"))
 
 
+# -- models (no SQL twin: tree fits are not SQL; checked by row counts and by tests) -----------------
+
+def _horizon(spark, sf_dir, h: int, preset: Preset):
+    from weekcast.plans.report import prepare_horizon
+
+    return prepare_horizon(panel(spark, sf_dir), h, (), preset)
+
+
+# a fixed forest setting for the single-model query (the original tunes the 1-week forest)
+RF_FIXED = {"NumTrees": "15", "MaxBins": "28"}
+
+
+def _predict_query(name: str) -> Query:
+    def q(spark, sf_dir):
+        from weekcast.plans.report import run_model
+        from weekcast.plans.tune import PINNED
+
+        data = _horizon(spark, sf_dir, 1, REFERENCE)
+        params = PINNED.get((name, 1), RF_FIXED)
+        return tidy(run_model(data, name, params, preset=REFERENCE).predictions)
+    return q
+
+
+def q_feature_importance(spark, sf_dir):
+    from weekcast.plans.select import ranked
+
+    return tidy(ranked(_horizon(spark, sf_dir, 1, REFERENCE).importance))
+
+
+def q_feature_selection(spark, sf_dir):
+    from weekcast.plans.select import selected
+
+    return tidy(selected(_horizon(spark, sf_dir, 1, REFERENCE).importance))
+
+
+def _cv(spark, sf_dir):
+    from weekcast.plans.tune import PARAM_GRIDS, rolling_cv
+
+    data = _horizon(spark, sf_dir, 1, REFERENCE)
+    return rolling_cv(data.train, data.features, "dt", PARAM_GRIDS["dt"], 2, purge_gap(1), (), REFERENCE)
+
+
+def q_cv_results(spark, sf_dir):
+    return tidy(_cv(spark, sf_dir))
+
+
+def q_best_params(spark, sf_dir):
+    from weekcast.plans.tune import cv_summary
+
+    return tidy(cv_summary(_cv(spark, sf_dir)).limit(1))
+
+
+def q_model_run_pinned(spark, sf_dir):
+    from weekcast.plans.report import run_model
+    from weekcast.plans.tune import PINNED
+
+    data = _horizon(spark, sf_dir, 1, REFERENCE)
+    run = run_model(data, "gbt", PINNED[("gbt", 1)], preset=REFERENCE)
+    return tidy(run.predictions)
+
+
+def _comparison(preset: Preset) -> Query:
+    def q(spark, sf_dir):
+        from weekcast.plans.report import accuracy_table, compare
+
+        long, _ = compare(panel(spark, sf_dir), preset=preset)
+        return tidy(accuracy_table(long))
+    return q
+
+
 REGISTRY: dict[str, Query] = {
     "table_shapes": q_table_shapes,
     "table_preview": q_table_preview,
@@ -259,4 +329,15 @@ REGISTRY: dict[str, Query] = {
     "sma_smape": _sma_smape(CORRECTED),
     "sma_smape_day_order": _sma_smape(REFERENCE),
     "lr_single_feature": q_lr_single_feature,
+    "predict_rf": _predict_query("rf"),
+    "predict_dt": _predict_query("dt"),
+    "predict_gbt": _predict_query("gbt"),
+    "predict_lr": _predict_query("lr"),
+    "feature_importance": q_feature_importance,
+    "feature_selection": q_feature_selection,
+    "cv_results": q_cv_results,
+    "best_params": q_best_params,
+    "model_run_pinned": q_model_run_pinned,
+    "accuracy_comparison": _comparison(REFERENCE),
+    "accuracy_comparison_corrected": _comparison(CORRECTED),
 }
