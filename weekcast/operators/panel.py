@@ -16,7 +16,7 @@ Plan shape of ``weekly_panel`` for a 100 TB fact table:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,12 +69,32 @@ def calendar_features(df: DataFrame, date: str = "date") -> DataFrame:
     })
 
 
+def covariate_pairs(covariates: Sequence[str] | Mapping[str, str]) -> list[tuple[str, str]]:
+    """``(output name, input column)`` pairs; a mapping renames, a list keeps the names."""
+    if isinstance(covariates, Mapping):
+        return list(covariates.items())
+    return [(c, c) for c in covariates]
+
+
+def rollup_aggs(covariates: Sequence[str], holiday: F.Column, target: str = "total_sales",
+                sales: str = "_sales", rows: str = "_rows") -> list[F.Column]:
+    """Aggregates of the weekly roll-up over rows pre-aggregated to the join grain: the rounded sales
+    total, covariate means weighted by sales rows (nulls excluded, as ``avg`` over the joined rows does),
+    and the share of holiday rows."""
+    n = F.col(rows)
+    aggs = [F.round(F.sum(sales)).cast(T.DoubleType()).alias(target)]
+    for c in covariates:
+        aggs.append(F.try_divide(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))).alias(c))
+    aggs.append((F.sum(holiday * n) / F.sum(n)).cast(T.DoubleType()).alias("is_holiday"))
+    return aggs
+
+
 def weekly_panel(
     sales: DataFrame,
     features: DataFrame | None = None,
     stores: DataFrame | None = None,
     keys: Sequence[str] = (),
-    covariates: Sequence[str] = ("temp", "cpi"),
+    covariates: Sequence[str] | Mapping[str, str] = ("temp", "cpi"),
     holiday_values: Sequence[str] = ("true", "1"),
     normalize_flag: bool = True,
     join_keys: Sequence[str] = JOIN_KEYS,
@@ -87,7 +107,8 @@ def weekly_panel(
     rows, share of holiday rows, month and day.
 
     ``keys`` may name sales columns (e.g. ``store``, ``dept``) or dimension columns (e.g. ``nation``);
-    an empty ``keys`` gives the single series of the original.
+    an empty ``keys`` gives the single series of the original. ``covariates`` is a list of covariate
+    columns or a mapping ``{output name: covariate column}``.
     """
     keys = list(keys)
     join_keys = list(join_keys)
@@ -99,10 +120,11 @@ def weekly_panel(
         F.sum("weekly_sales").alias("_sales"),
         F.count(F.lit(1)).alias("_rows"),
     )
-    covariates = list(covariates) if features is not None else []
+    pairs = covariate_pairs(covariates) if features is not None else []
     joined = pre
     if features is not None:
-        joined = joined.join(features.select(*join_keys, *covariates), join_keys, "left")
+        cov = features.select(*join_keys, *[F.col(src).alias(out) for out, src in pairs])
+        joined = joined.join(cov, join_keys, "left")
     if dim_side:
         if stores is None:
             raise ValueError(f"series keys {dim_side} are not sales columns and no dimension was given")
@@ -110,15 +132,6 @@ def weekly_panel(
         joined = joined.join(bounded_broadcast(dim, broadcast_max_rows), [dim_key], "left")
 
     holiday = holiday_flag("flag", holiday_values, normalize_flag)
-    rows = F.col("_rows")
-    aggs = [F.round(F.sum("_sales")).cast(T.DoubleType()).alias(target)]
-    for c in covariates:
-        aggs.append(
-            F.try_divide(
-                F.sum(F.col(c) * rows),
-                F.sum(F.when(F.col(c).isNotNull(), rows)),
-            ).alias(c)
-        )
-    aggs.append((F.sum(holiday * rows) / F.sum(rows)).cast(T.DoubleType()).alias("is_holiday"))
+    aggs = rollup_aggs([out for out, _ in pairs], holiday, target)
     panel = joined.groupBy(*keys, "date").agg(*aggs)
     return calendar_features(panel) if calendar else panel

@@ -1,0 +1,3 @@
+from weekcast.streaming.panel_stream import run_to_table, weekly_panel_stream
+
+__all__ = ["run_to_table", "weekly_panel_stream"]

@@ -1,0 +1,89 @@
+"""The weekly roll-up (I1) over a stream of sales rows.
+
+New sales files arrive over time; covariates and the store dimension are static tables. The stream is
+left-joined to them (stream-static joins, no state), then aggregated per (series keys, week) with a
+watermark on the week, in append mode: a week is emitted once, when the watermark has passed it, and
+its state is dropped. State is therefore bounded by the number of open weeks x series, whatever the
+volume of the stream. The emitted rows have the columns of ``weekly_panel``, so a sink table of them
+feeds ``build_features`` unchanged.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from weekcast.functions.columns import holiday_flag
+from weekcast.operators.panel import (
+    BROADCAST_MAX_ROWS,
+    DIM_KEY,
+    JOIN_KEYS,
+    bounded_broadcast,
+    calendar_features,
+    covariate_pairs,
+    rollup_aggs,
+)
+from weekcast.session import ensure_checkpoint_dir
+
+EVENT_TIME = "_week_start"
+
+
+def weekly_panel_stream(
+    sales_stream: DataFrame,
+    features: DataFrame | None = None,
+    stores: DataFrame | None = None,
+    keys: Sequence[str] = (),
+    covariates: Sequence[str] | Mapping[str, str] = ("temp", "cpi"),
+    holiday_values: Sequence[str] = ("true", "1"),
+    normalize_flag: bool = True,
+    watermark: str = "14 days",
+    join_keys: Sequence[str] = JOIN_KEYS,
+    dim_key: str = DIM_KEY,
+    target: str = "total_sales",
+    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+) -> DataFrame:
+    """Streaming counterpart of ``weekly_panel``: same columns, one row per (keys, week), emitted when
+    the week is closed by the watermark (sales arriving later than ``watermark`` are dropped)."""
+    keys = list(keys)
+    join_keys = list(join_keys)
+    rows = (
+        sales_stream.where(F.col("date").isNotNull())
+        .withColumn(EVENT_TIME, F.col("date").cast("timestamp"))
+        .withWatermark(EVENT_TIME, watermark)
+    )
+    pairs = covariate_pairs(covariates) if features is not None else []
+    if features is not None:
+        cov = features.select(*join_keys, *[F.col(src).alias(out) for out, src in pairs])
+        rows = rows.join(cov, join_keys, "left")
+    dim_side = [k for k in keys if k not in sales_stream.columns]
+    if dim_side:
+        if stores is None:
+            raise ValueError(f"series keys {dim_side} are not sales columns and no dimension was given")
+        rows = rows.join(bounded_broadcast(stores.select(dim_key, *dim_side), broadcast_max_rows), [dim_key], "left")
+    rows = rows.withColumns({"_sales": F.col("weekly_sales"), "_rows": F.lit(1)})
+    holiday = holiday_flag("flag", holiday_values, normalize_flag)
+    agg = rows.groupBy(*keys, EVENT_TIME).agg(*rollup_aggs([out for out, _ in pairs], holiday, target))
+    out = agg.withColumn("date", F.to_date(EVENT_TIME)).drop(EVENT_TIME)
+    out = calendar_features(out)
+    return out.select(*keys, "date", target, *[o for o, _ in pairs], "is_holiday", "month", "day")
+
+
+def run_to_table(stream: DataFrame, table: str, name: str | None = None,
+                 checkpoint: str | None = None, available_now: bool = True) -> StreamingQuery:
+    """Append the closed weeks to a table. The query's checkpoint lives under the session's checkpoint
+    folder, so a restarted job resumes where it stopped. ``available_now`` processes what has arrived
+    and stops (a scheduled incremental batch); otherwise it runs continuously."""
+    spark: SparkSession = stream.sparkSession
+    if checkpoint is None:
+        base = ensure_checkpoint_dir(spark)
+        if base is None:
+            raise ValueError("no spark.checkpoint.dir set: pass checkpoint=")
+        checkpoint = f"{base.rstrip('/')}/streams/{name or table}"
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    if name:
+        writer = writer.queryName(name)
+    return writer.toTable(table)
