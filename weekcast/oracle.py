@@ -109,10 +109,12 @@ def features_sql(h: int, reference: bool = True, keys: tuple[str, ...] = (), lev
     return _with(*_feature_ctes("fx", h, reference, src, keys)) + f"SELECT {_feature_select(h, keys, level)} FROM fx_f"
 
 
-def _split_ctes(tag: str, src: str, gap: int, exact: bool) -> list[str]:
+def _split_ctes(tag: str, src: str, gap: int, exact: bool, keys: tuple[str, ...] = ()) -> list[str]:
     cut = "CAST(CEIL(n_rows * 0.8) AS BIGINT)" if exact else "CAST(CEIL(CAST(n_rows AS DOUBLE) * 0.8) AS BIGINT)"
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
     return [
-        f"{tag}_a AS (SELECT *, ROW_NUMBER() OVER (ORDER BY date) AS row_ix, COUNT(*) OVER () AS n_rows FROM {src})",
+        f"{tag}_a AS (SELECT *, ROW_NUMBER() OVER ({part}ORDER BY date) AS row_ix, "
+        f"COUNT(*) OVER ({part.strip()}) AS n_rows FROM {src})",
         f"{tag}_b AS (SELECT *, {cut} AS cut FROM {tag}_a)",
         f"{tag} AS (SELECT *, CASE WHEN row_ix <= cut - {gap} THEN 'train' WHEN row_ix <= cut THEN 'gap' "
         f"ELSE 'test' END AS role FROM {tag}_b)",
@@ -231,12 +233,50 @@ def lr_single_feature_sql() -> str:
         "REGR_INTERCEPT(label, diff_sales) AS intercept FROM sp WHERE role = 'train')")
 
 
+def split_keyed_sql() -> str:
+    keys = ("nation",)
+    ctes = _feature_ctes("fx", 1, True, "panel_k", keys) + _split_ctes("sp", "fx_f", 5, False, keys)
+    return _with(*ctes) + (f"SELECT nation, date, row_ix, n_rows, cut, role, {_r('label', 'diff_sales')} FROM sp")
+
+
+def folds_keyed_sql() -> str:
+    keys = ("nation",)
+    gap = 5
+    ctes = _feature_ctes("fx", 1, False, "panel_k", keys) + _split_ctes("sp", "fx_f", gap, True, keys)
+    ctes.append("tr AS (SELECT nation, date FROM sp WHERE role = 'train')")
+    ctes.append("tr_ix AS (SELECT nation, date, ROW_NUMBER() OVER (PARTITION BY nation ORDER BY date) AS row_ix, "
+                "COUNT(*) OVER (PARTITION BY nation) AS n_rows FROM tr)")
+    ctes.append("tr_f AS (SELECT *, 1 AS fold FROM tr_ix UNION ALL SELECT *, 2 AS fold FROM tr_ix)")
+    ctes.append(f"bounds2 AS (SELECT *, CAST(FLOOR(fold * n_rows / 3) AS BIGINT) AS train_end, "
+                f"CAST(FLOOR((fold + 1) * n_rows / 3) AS BIGINT) AS test_end FROM tr_f)")
+    ctes.append(f"roles AS (SELECT *, CASE WHEN row_ix <= train_end - {gap} THEN 'train' "
+                "WHEN row_ix > train_end AND row_ix <= test_end THEN 'test' END AS role FROM bounds2)")
+    return _with(*ctes) + ("SELECT nation, fold, role, COUNT(*) AS n, MIN(date) AS first_date, MAX(date) AS last_date "
+                           "FROM roles WHERE role IS NOT NULL GROUP BY nation, fold, role")
+
+
+def smape_keyed_sql() -> str:
+    keys = ("nation",)
+    ctes = _feature_ctes("fx", 1, False, "panel_k", keys) + _split_ctes("sp", "fx_f", 5, True, keys)
+    ctes.append("rt AS (SELECT nation, date, diff_sales + level AS prediction, label + level AS label "
+                "FROM sp WHERE role = 'test')")
+    ctes.append(f"sc AS (SELECT nation, CASE WHEN prediction IS NOT NULL AND label IS NOT NULL "
+                f"THEN {_smape_term('prediction', 'label')} END AS term FROM rt)")
+    body = ("SELECT nation, ROUND(SUM(term) / COUNT(term) * 100.0, 4) AS smape, COUNT(term) AS n_scored "
+            "FROM sc GROUP BY nation")
+    return _with(*ctes) + f"SELECT nation, {_r('smape')}, n_scored FROM ({body})"
+
+
 ORACLE: dict[str, str] = {
     "table_shapes": _with() + (
         "SELECT 'sales' AS table_name, COUNT(*) AS n_rows, 5 AS n_cols FROM sales UNION ALL "
         "SELECT 'features', COUNT(*), 5 FROM features UNION ALL SELECT 'stores', COUNT(*), 3 FROM stores"),
     "table_preview": _with() + (
         f"SELECT store, dept, flag, date, {_r('weekly_sales')} FROM sales ORDER BY store, dept, flag, date LIMIT 10"),
+    "table_preview_features": _with() + (
+        f"SELECT store, date, flag, {_r('temp', 'cpi')} FROM features ORDER BY store, date, flag LIMIT 10"),
+    "table_preview_stores": _with() + (
+        f"SELECT store, nation, {_r('acctbal')} FROM stores ORDER BY store LIMIT 10"),
     "merge_left_three_keys": _with() + f"SELECT store, dept, flag, date, {_r('weekly_sales', 'temp', 'cpi')} FROM merged",
     "merge_left_dimension": _with() + (
         f"SELECT store, dept, flag, date, nation, {_r('weekly_sales', 'temp', 'cpi', 'acctbal')} FROM merged_dim"),
@@ -277,13 +317,16 @@ ORACLE: dict[str, str] = {
     "purged_train_h1": split_sql(1, "train", True),
     "purged_train_h2": split_sql(2, "train", True),
     "purged_train_h3": split_sql(3, "train", True),
+    "ts_split_keyed": split_keyed_sql(),
     "rolling_folds": folds_sql(False),
+    "rolling_folds_keyed": folds_keyed_sql(),
     "rolling_folds_fixed": folds_sql(True),
     "retrend_naive": retrend_sql(True),
     "retrend_corrected": retrend_sql(False),
     "retrend_by_key_join": retrend_by_key_join_sql(),
     "smape_naive": smape_sql(True),
     "smape_corrected": smape_sql(False),
+    "smape_keyed": smape_keyed_sql(),
     "rmse_naive": rmse_sql(),
     "sma_2": sma_sql(2),
     "sma_3": sma_sql(3),

@@ -76,6 +76,14 @@ def q_table_preview(spark, sf_dir):
     return tidy(preview(tables(spark, sf_dir)["sales"], ["store", "dept", "flag", "date"], 10))
 
 
+def q_table_preview_features(spark, sf_dir):
+    return tidy(preview(tables(spark, sf_dir)["features"], ["store", "date", "flag"], 10))
+
+
+def q_table_preview_stores(spark, sf_dir):
+    return tidy(preview(tables(spark, sf_dir)["stores"], ["store"], 10))
+
+
 def q_merge_left_three_keys(spark, sf_dir):
     t = tables(spark, sf_dir)
     return tidy(merge_tables(t["sales"], t["features"]))
@@ -166,6 +174,17 @@ def _folds_query(preset: Preset) -> Query:
     return q
 
 
+def q_ts_split_keyed(spark, sf_dir):
+    s = split_frame(features(spark, sf_dir, 1, REFERENCE, KEYED), SPLIT_PCT, purge_gap(1), KEYED, REFERENCE)
+    return tidy(s.select("nation", "date", "row_ix", "n_rows", "cut", "role", "label", "diff_sales"))
+
+
+def q_rolling_folds_keyed(spark, sf_dir):
+    s = split_frame(features(spark, sf_dir, 1, CORRECTED, KEYED), SPLIT_PCT, purge_gap(1), KEYED, CORRECTED)
+    train = s.where(F.col("role") == TRAIN).drop("row_ix", "n_rows", "cut", "role")
+    return fold_summary(rolling_folds(train, 2, purge_gap(1), KEYED, CORRECTED), KEYED)
+
+
 # -- retrend and scores --------------------------------------------------------------------------------
 
 def q_retrend_naive(spark, sf_dir):
@@ -191,6 +210,13 @@ def q_smape_corrected(spark, sf_dir):
     return tidy(smape(retrend(naive_predictions(spark, sf_dir, 1, CORRECTED)), 0, (), CORRECTED))
 
 
+def q_smape_keyed(spark, sf_dir):
+    """Per-series score of the naive forecast: one row per nation."""
+    s = split_frame(features(spark, sf_dir, 1, CORRECTED, KEYED), SPLIT_PCT, purge_gap(1), KEYED, CORRECTED)
+    pred = s.where(F.col("role") == TEST).select("nation", "date", F.col("diff_sales").alias("prediction"), "label", "level")
+    return tidy(smape(retrend(pred), 0, KEYED, CORRECTED))
+
+
 def q_rmse_naive(spark, sf_dir):
     return tidy(rmse(naive_predictions(spark, sf_dir, 1, REFERENCE)))
 
@@ -293,6 +319,8 @@ def _comparison(preset: Preset) -> Query:
 REGISTRY: dict[str, Query] = {
     "table_shapes": q_table_shapes,
     "table_preview": q_table_preview,
+    "table_preview_features": q_table_preview_features,
+    "table_preview_stores": q_table_preview_stores,
     "merge_left_three_keys": q_merge_left_three_keys,
     "merge_left_dimension": q_merge_left_dimension,
     "flag_encode": q_flag_encode,
@@ -316,13 +344,16 @@ REGISTRY: dict[str, Query] = {
     "purged_train_h1": _split_query(1, TRAIN, True),
     "purged_train_h2": _split_query(2, TRAIN, True),
     "purged_train_h3": _split_query(3, TRAIN, True),
+    "ts_split_keyed": q_ts_split_keyed,
     "rolling_folds": _folds_query(CORRECTED),
+    "rolling_folds_keyed": q_rolling_folds_keyed,
     "rolling_folds_fixed": _folds_query(REFERENCE),
     "retrend_naive": q_retrend_naive,
     "retrend_corrected": q_retrend_corrected,
     "retrend_by_key_join": q_retrend_by_key_join,
     "smape_naive": q_smape_naive,
     "smape_corrected": q_smape_corrected,
+    "smape_keyed": q_smape_keyed,
     "rmse_naive": q_rmse_naive,
     "sma_2": _sma_query(2),
     "sma_3": _sma_query(3),
