@@ -9,6 +9,7 @@ moving-average baseline is scored alongside. Results stay DataFrames; the final
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -129,21 +130,26 @@ def compare(
     parallelism: int = 8,
 ) -> tuple[DataFrame, list[ModelRun]]:
     """Long frame ``(model, horizon, smape)`` over models x horizons, plus the runs themselves.
-    Keyless: the single weekly series of the original."""
+    Keyless: the single weekly series of the original. Horizons are independent and run concurrently
+    (each submits its own Spark jobs); results are assembled in horizon and model order."""
     pinned = PINNED if pinned is None else pinned
     grids = PARAM_GRIDS if grids is None else grids
     sma_windows = SMA_WINDOWS if sma_windows is None else sma_windows
     panel = materialize(panel)
-    parts: list[DataFrame] = []
-    runs: list[ModelRun] = []
-    for h in horizons:
+
+    def one_horizon(h: int) -> tuple[list[DataFrame], list[ModelRun]]:
         data = prepare_horizon(panel, h, (), preset)
+        parts_h = []
         if h in sma_windows:
-            parts.append(_tag(baseline_score(panel, data, sma_windows[h], (), preset), "sma", h))
-        for m in models:
-            run = run_model(data, m, pinned.get((m, h)), grids.get(m), (), preset, parallelism)
-            runs.append(run)
-            parts.append(_tag(run.score, m, h))
+            parts_h.append(_tag(baseline_score(panel, data, sma_windows[h], (), preset), "sma", h))
+        runs_h = [run_model(data, m, pinned.get((m, h)), grids.get(m), (), preset, parallelism) for m in models]
+        parts_h += [_tag(r.score, r.model, h) for r in runs_h]
+        return parts_h, runs_h
+
+    with ThreadPoolExecutor(max_workers=max(1, len(horizons))) as pool:
+        done = list(pool.map(one_horizon, horizons))
+    parts = [p for ps, _ in done for p in ps]
+    runs = [r for _, rs in done for r in rs]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
