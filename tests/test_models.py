@@ -103,3 +103,15 @@ def test_run_model_and_table(spark):
     assert rf1.cv is not None and rf1.params == {"NumTrees": "5", "MaxBins": "28"}
     n_test = prepare_horizon(p, 1, (), CORRECTED).test.count()
     assert rf1.predictions.count() == n_test
+
+
+def test_keyed_global_model(spark):
+    keys = ("nation",)
+    p = panel(spark, SF_SMALL, keys)
+    data = prepare_horizon(p, 1, keys, CORRECTED)
+    assert "nation" not in data.features
+    run = run_model(data, "lr", {"RegParam": "0.1", "ElasticNetParam": "0"}, keys=keys, preset=CORRECTED)
+    per_key = run.score.collect()
+    assert len(per_key) == p.select("nation").distinct().count()
+    assert all(r["smape"] is None or 0 <= r["smape"] <= 200 for r in per_key)
+    assert run.predictions.count() == data.test.count()

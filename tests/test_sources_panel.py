@@ -113,3 +113,39 @@ def test_keyed_panel_is_union_of_single_series(spark):
                keyed.where(F.col("nation") == nation).collect())
     b = sorted((r["date"], r["total_sales"], round(r["temp"] or 0, 9)) for r in single.collect())
     assert a == b
+
+
+def test_catalog_tables_scan(spark):
+    from weekcast.sources.tables import catalog_tables
+
+    t = fixture_tables(spark, SF_SMALL)
+    for name, df in t.items():
+        df.createOrReplaceTempView(name)
+    cat = catalog_tables(spark)
+    assert cat["sales"].count() == t["sales"].count()
+    assert set(cat) == {"sales", "features", "stores"}
+
+
+def test_half_cent_week_rounds_half_up_and_missing_week_slides(spark):
+    """A week summing to x.50 rounds up (exact decimal sum); a missing week is simply absent, so
+    row lags slide over it (the default row semantics)."""
+    from decimal import Decimal
+
+    from weekcast.config import CORRECTED
+    from weekcast.operators.features import build_features
+
+    d0 = dt.date(2010, 1, 4)
+    rows = []
+    for i in range(60):
+        if i == 55:
+            continue                                  # missing week
+        rows.append((1, 1, d0 + dt.timedelta(weeks=i), "false", Decimal("1000.25") + i))
+        rows.append((1, 2, d0 + dt.timedelta(weeks=i), "false", Decimal("0.25")))
+    sales = spark.createDataFrame(rows, "store int, dept int, date date, flag string, weekly_sales decimal(18,2)")
+    p = weekly_panel(sales, covariates=())
+    got = {r["date"]: r["total_sales"] for r in p.collect()}
+    assert got[d0] == 1001.0                          # 1000.50 -> 1001 (half up)
+    assert d0 + dt.timedelta(weeks=55) not in got
+    f = build_features(p, 1, (), CORRECTED).orderBy("date").collect()
+    after_gap = [r for r in f if r["date"] == d0 + dt.timedelta(weeks=56)][0]
+    assert after_gap["lag_1week"] == got[d0 + dt.timedelta(weeks=54)] - got[d0 + dt.timedelta(weeks=54 - 48)]

@@ -36,7 +36,7 @@ def split_size(n: Column, pct: float, exact: bool = True) -> Column:
 
 def row_index(df: DataFrame, keys: Sequence[str] = (), date: str = "date", name: str = "row_ix") -> DataFrame:
     """1-based position in time order within each series."""
-    return df.withColumn(name, F.row_number().over(series_window(keys, date)))
+    return df.withColumn(name, F.row_number().over(series_window(keys, date)).cast(T.LongType()))
 
 
 def split_frame(
@@ -51,7 +51,7 @@ def split_frame(
     ``gap`` for the purged rows up to ``cut``, ``test`` for the rest. ``cut = ceil(n_rows * pct)``."""
     w = series_window(keys, date)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumns({"row_ix": F.row_number().over(w), "n_rows": F.count(F.lit(1)).over(whole)})
+    df = df.withColumns({"row_ix": F.row_number().over(w).cast(T.LongType()), "n_rows": F.count(F.lit(1)).over(whole)})
     df = df.withColumn("cut", split_size(F.col("n_rows"), pct, preset.exact_split))
     role = (
         F.when(F.col("row_ix") <= F.col("cut") - F.lit(gap), F.lit(TRAIN))
@@ -123,7 +123,8 @@ def rolling_folds(
     """
     w = series_window(keys, date)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    base = df.withColumns({"row_ix": F.row_number().over(w), "n_rows": F.count(F.lit(1)).over(whole)})
+    base = df.withColumns({"row_ix": F.row_number().over(w).cast(T.LongType()),
+                           "n_rows": F.count(F.lit(1)).over(whole)})
     base = base.withColumn("fold", F.explode(F.array(*[F.lit(i) for i in range(1, folds + 1)])))
     train_end, test_end = _fold_bounds(F.col("n_rows"), F.col("fold"), folds, preset.cv_origin)
     fold_gap = gap if preset.cv_origin == "expanding" else 0

@@ -307,6 +307,15 @@ def q_model_run_pinned(spark, sf_dir):
     return tidy(run.predictions)
 
 
+def q_predict_keyed(spark, sf_dir):
+    """One global model over every nation's series (keys enter through the rows, not the inputs)."""
+    from weekcast.plans.report import prepare_horizon, run_model
+    from weekcast.plans.tune import PINNED
+
+    data = prepare_horizon(panel(spark, sf_dir, KEYED), 1, KEYED, CORRECTED)
+    return tidy(run_model(data, "gbt", PINNED[("gbt", 1)], keys=KEYED, preset=CORRECTED).predictions)
+
+
 def _comparison(preset: Preset) -> Query:
     def q(spark, sf_dir):
         from weekcast.plans.report import accuracy_table, compare
@@ -369,6 +378,7 @@ REGISTRY: dict[str, Query] = {
     "cv_results": q_cv_results,
     "best_params": q_best_params,
     "model_run_pinned": q_model_run_pinned,
+    "predict_keyed": q_predict_keyed,
     "accuracy_comparison": _comparison(REFERENCE),
     "accuracy_comparison_corrected": _comparison(CORRECTED),
 }
