@@ -76,15 +76,19 @@ def _flag_text(c: str) -> F.Column:
     return F.lower(F.trim(F.col(c).cast(T.StringType())))
 
 
+MONEY = T.DecimalType(18, 2)
+
+
 def retail_sales(df: DataFrame, date_format: str = "dd/MM/yyyy") -> DataFrame:
     """``Store, Dept, Date, Weekly_Sales, IsHoliday`` -> canonical sales. The date is parsed before any
-    join (S17), the flag normalised so boolean and text spellings join alike (S15)."""
+    join (S17), the flag normalised so boolean and text spellings join alike (S15), and money is a
+    decimal so that weekly sums are exact and their rounding cannot depend on summation order (S24)."""
     return df.select(
         F.col("Store").alias("store"),
         F.col("Dept").alias("dept"),
         parse_date("Date", date_format).alias("date"),
         _flag_text("IsHoliday").alias("flag"),
-        to_number("Weekly_Sales").alias("weekly_sales"),
+        F.col("Weekly_Sales").try_cast(MONEY).alias("weekly_sales"),
     )
 
 
