@@ -115,3 +115,15 @@ def test_keyed_global_model(spark):
     assert len(per_key) == p.select("nation").distinct().count()
     assert all(r["smape"] is None or 0 <= r["smape"] <= 200 for r in per_key)
     assert run.predictions.count() == data.test.count()
+
+
+def test_keyed_comparison(spark):
+    keys = ("nation",)
+    p = panel(spark, SF_SMALL, keys)
+    one = {"lr": {"RegParam": ["0.1"], "ElasticNetParam": ["0"]}}
+    long, runs = compare(p, horizons=(2,), models=("lr",), preset=CORRECTED, pinned={}, grids=one, keys=keys)
+    table = accuracy_table(long, (2,), keys).collect()
+    n_series = p.select("nation").distinct().count()
+    assert len(table) == 2 * n_series
+    assert {r["model"] for r in table} == {"SMA", "Linear Regression"}
+    assert runs[0].params == {"RegParam": "0.1", "ElasticNetParam": "0"}

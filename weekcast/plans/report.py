@@ -114,8 +114,8 @@ def baseline_score(panel: DataFrame, data: HorizonData, window: int, keys: Seque
     return smape(sma_on_test(panel, data, window, keys, preset), 0, keys, preset)
 
 
-def _tag(score: DataFrame, model: str, h: int) -> DataFrame:
-    return score.select(F.lit(MODEL_NAMES[model]).alias("model"), F.lit(h).alias("horizon"),
+def _tag(score: DataFrame, model: str, h: int, keys: Sequence[str] = ()) -> DataFrame:
+    return score.select(*keys, F.lit(MODEL_NAMES[model]).alias("model"), F.lit(h).alias("horizon"),
                         F.col("smape").cast(T.DoubleType()).alias("smape"))
 
 
@@ -128,22 +128,25 @@ def compare(
     grids: Mapping[str, Mapping[str, Sequence[object]]] | None = None,
     sma_windows: Mapping[int, int] | None = None,
     parallelism: int = 8,
+    keys: Sequence[str] = (),
 ) -> tuple[DataFrame, list[ModelRun]]:
-    """Long frame ``(model, horizon, smape)`` over models x horizons, plus the runs themselves.
-    Keyless: the single weekly series of the original. Horizons are independent and run concurrently
+    """Long frame ``(keys..., model, horizon, smape)`` over models x horizons, plus the runs themselves.
+    Without keys: the single weekly series of the original. With keys: one global model per
+    horizon over every series, scored per series. Horizons are independent and run concurrently
     (each submits its own Spark jobs); results are assembled in horizon and model order."""
+    keys = list(keys)
     pinned = PINNED if pinned is None else pinned
     grids = PARAM_GRIDS if grids is None else grids
     sma_windows = SMA_WINDOWS if sma_windows is None else sma_windows
     panel = materialize(panel)
 
     def one_horizon(h: int) -> tuple[list[DataFrame], list[ModelRun]]:
-        data = prepare_horizon(panel, h, (), preset)
+        data = prepare_horizon(panel, h, keys, preset)
         parts_h = []
         if h in sma_windows:
-            parts_h.append(_tag(baseline_score(panel, data, sma_windows[h], (), preset), "sma", h))
-        runs_h = [run_model(data, m, pinned.get((m, h)), grids.get(m), (), preset, parallelism) for m in models]
-        parts_h += [_tag(r.score, r.model, h) for r in runs_h]
+            parts_h.append(_tag(baseline_score(panel, data, sma_windows[h], keys, preset), "sma", h, keys))
+        runs_h = [run_model(data, m, pinned.get((m, h)), grids.get(m), keys, preset, parallelism) for m in models]
+        parts_h += [_tag(r.score, r.model, h, keys) for r in runs_h]
         return parts_h, runs_h
 
     with ThreadPoolExecutor(max_workers=max(1, len(horizons))) as pool:
@@ -156,9 +159,12 @@ def compare(
     return long, runs
 
 
-def accuracy_table(long: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """``(model, 1 week, 2 weeks, 3 weeks)``; a missing cell (no baseline at 1 week) is null."""
+def accuracy_table(long: DataFrame, horizons: Sequence[int] = (1, 2, 3), keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys..., model, 1 week, 2 weeks, 3 weeks)``; a missing cell (no baseline at 1 week) is null.
+    The pivot values are listed, so Spark needs no extra job to find them."""
+    keys = list(keys)
     names = {h: f"{h} week" if h == 1 else f"{h} weeks" for h in horizons}
-    wide = long.groupBy("model").pivot("horizon", list(horizons)).agg(F.first("smape"))
+    wide = long.groupBy(*keys, "model").pivot("horizon", list(horizons)).agg(F.first("smape"))
     order = F.create_map(*[x for i, m in enumerate(MODEL_NAMES.values()) for x in (F.lit(m), F.lit(i))])
-    return wide.select("model", *[F.col(str(h)).alias(names[h]) for h in horizons]).orderBy(order[F.col("model")])
+    return wide.select(*keys, "model", *[F.col(str(h)).alias(names[h]) for h in horizons]).orderBy(
+        *keys, order[F.col("model")])
