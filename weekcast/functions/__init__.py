@@ -1,11 +1,3 @@
-from weekcast.functions.columns import (
-    col_,
-    holiday_flag,
-    parse_date,
-    period_suffix,
-    round_doubles,
-    smape_term,
-    to_number,
-)
+from weekcast.functions.columns import col_, holiday_flag, parse_date, period_suffix, smape_term, to_number
 
-__all__ = ["col_", "holiday_flag", "parse_date", "period_suffix", "round_doubles", "smape_term", "to_number"]
+__all__ = ["col_", "holiday_flag", "parse_date", "period_suffix", "smape_term", "to_number"]

@@ -3,9 +3,9 @@ whole-stage codegen, and none of them raises under ANSI mode on dirty input."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,15 +45,3 @@ def smape_term(prediction: str | Column, actual: str | Column) -> Column:
     """``|p - a| / ((|p| + |a|) / 2)``; null when both are 0 (no division error under ANSI)."""
     p, a = col_(prediction), col_(actual)
     return F.try_divide(F.abs(p - a), (F.abs(p) + F.abs(a)) / F.lit(2.0))
-
-
-def round_doubles(df: DataFrame, digits: int = 4, skip: Iterable[str] = ()) -> DataFrame:
-    """Round every double / float column (output hygiene for comparisons across engines)."""
-    skip = set(skip)
-    exprs = []
-    for field in df.schema.fields:
-        if field.name not in skip and isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            exprs.append(F.round(F.col(field.name), digits).cast(T.DoubleType()).alias(field.name))
-        else:
-            exprs.append(F.col(field.name))
-    return df.select(*exprs)

@@ -106,5 +106,3 @@ def retail_features(df: DataFrame, date_format: str = "dd/MM/yyyy",
 def retail_stores(df: DataFrame) -> DataFrame:
     return df.select(F.col("Store").alias("store"), *[F.col(c).alias(c.lower()) for c in df.columns if c != "Store"])
 
-
-RETAIL_HOLIDAY_VALUES = ("true", "1")
