@@ -11,7 +11,10 @@ Plan shape of ``weekly_panel`` for a 100 TB fact table:
 3. the dimension joins only when a dimension column is asked for, broadcast only behind a row bound
    proven by a bounded count; otherwise Catalyst / AQE choose (sort-merge, skew splitting).
 4. final roll-up to (series keys, date): partial + final aggregate; the output has one row per series
-   and week, so the window steps that follow never see raw rows.
+   and week, so the window steps that follow never see raw rows. When every series is one store (or
+   finer), a store's pre-aggregated rows are bounded by weeks x flags, so the roll-up is fed by one
+   exchange on the series keys, which the per-series windows downstream reuse (one shuffle, not two).
+   Coarser keys (e.g. nation) keep the partial aggregate before their exchange instead.
 """
 
 from __future__ import annotations
@@ -131,6 +134,10 @@ def weekly_panel(
         dim = stores.select(dim_key, *dim_side)
         joined = joined.join(bounded_broadcast(dim, broadcast_max_rows), [dim_key], "left")
 
+    if keys and dim_key in keys and not dim_side:
+        # bounded rows per series (weeks x flags): hash them by series once; the roll-up and the
+        # windows partitioned by the same keys then need no exchange of their own
+        joined = joined.repartition(*keys)
     holiday = holiday_flag("flag", holiday_values, normalize_flag)
     aggs = rollup_aggs([out for out, _ in pairs], holiday, target)
     panel = joined.groupBy(*keys, "date").agg(*aggs)

@@ -43,6 +43,12 @@ panel AS (
          AVG(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) AS is_holiday,
          CAST(month(date) AS INTEGER) AS month, CAST(dayofmonth(date) AS INTEGER) AS day
   FROM merged GROUP BY date),
+panel_s AS (
+  SELECT store, date, CAST(ROUND(SUM(weekly_sales)) AS DOUBLE) AS total_sales,
+         AVG(temp) AS temp, AVG(cpi) AS cpi,
+         AVG(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) AS is_holiday,
+         CAST(month(date) AS INTEGER) AS month, CAST(dayofmonth(date) AS INTEGER) AS day
+  FROM merged GROUP BY store, date),
 panel_k AS (
   SELECT nation, date, CAST(ROUND(SUM(weekly_sales)) AS DOUBLE) AS total_sales,
          AVG(temp) AS temp, AVG(cpi) AS cpi,
@@ -105,7 +111,7 @@ def _feature_select(h: int, keys: tuple[str, ...] = (), level: bool = False) ->
 
 
 def features_sql(h: int, reference: bool = True, keys: tuple[str, ...] = (), level: bool = False) -> str:
-    src = "panel_k" if keys else "panel"
+    src = {(): "panel", ("nation",): "panel_k", ("store",): "panel_s"}[tuple(keys)]
     return _with(*_feature_ctes("fx", h, reference, src, keys)) + f"SELECT {_feature_select(h, keys, level)} FROM fx_f"
 
 
@@ -290,6 +296,8 @@ ORACLE: dict[str, str] = {
         f"SELECT date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM panel"),
     "weekly_panel_keyed": _with() + (
         f"SELECT nation, date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM panel_k"),
+    "weekly_panel_by_store": _with() + (
+        f"SELECT store, date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM panel_s"),
     "calendar_features": _with() + "SELECT date, month, day FROM panel",
     "seasonal_diff": _with(*_feature_ctes("fx", 1, True)[:2]) + (
         f"SELECT date, {_r('total_sales', 'lag_1year', 'diff_sales')} FROM fx_2"),
@@ -312,6 +320,7 @@ ORACLE: dict[str, str] = {
     "features_h3": features_sql(3),
     "features_keyed": features_sql(1, True, ("nation",)),
     "features_h1_corrected": features_sql(1, False, level=True),
+    "features_by_store": features_sql(1, False, ("store",), level=True),
     "ts_split_train": split_sql(1, "train", False),
     "ts_split_test": split_sql(1, "test", False),
     "purged_train_h1": split_sql(1, "train", True),

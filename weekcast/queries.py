@@ -114,6 +114,15 @@ def q_weekly_panel_keyed(spark, sf_dir):
     return tidy(panel(spark, sf_dir, KEYED))
 
 
+def q_weekly_panel_by_store(spark, sf_dir):
+    return tidy(panel(spark, sf_dir, ("store",)))
+
+
+def q_features_by_store(spark, sf_dir):
+    keys = ("store",)
+    return tidy(features(spark, sf_dir, 1, CORRECTED, keys).select(*feature_columns(1, keys), "level"))
+
+
 def q_calendar_features(spark, sf_dir):
     return panel(spark, sf_dir).select("date", "month", "day")
 
@@ -336,6 +345,7 @@ REGISTRY: dict[str, Query] = {
     "date_parse": q_date_parse,
     "weekly_panel": q_weekly_panel,
     "weekly_panel_keyed": q_weekly_panel_keyed,
+    "weekly_panel_by_store": q_weekly_panel_by_store,
     "calendar_features": q_calendar_features,
     "seasonal_diff": q_seasonal_diff,
     "seasonal_diff_signed": q_seasonal_diff_signed,
@@ -348,6 +358,7 @@ REGISTRY: dict[str, Query] = {
     "features_h3": _features_query(3, REFERENCE),
     "features_keyed": _features_query(1, REFERENCE, KEYED),
     "features_h1_corrected": _features_query(1, CORRECTED, level=True),
+    "features_by_store": q_features_by_store,
     "ts_split_train": _split_query(1, TRAIN, False),
     "ts_split_test": _split_query(1, TEST, False),
     "purged_train_h1": _split_query(1, TRAIN, True),

@@ -38,8 +38,13 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local session gets a scratch folder of its own."""
-    sc = spark.sparkContext
+    """Use the cluster's ``spark.checkpoint.dir``; only a local session gets a scratch folder of its own.
+
+    Returns None when no folder is known (e.g. a remote session whose server sets none)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session has no SparkContext; the server owns the setting
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -58,7 +63,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that many jobs reuse (feature frames in tuning).
 
     A reliable checkpoint in the shared checkpoint folder survives lost executors; without a folder the
-    frame is cached, which Spark recomputes from lineage on loss.
+    frame is cached, which Spark recomputes from lineage on loss. Never a local checkpoint.
     """
     if ensure_checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)
