@@ -146,3 +146,23 @@ def test_fixed_origin_folds_reproduce_float_rounding(make_series):
 def test_seasonal_diff_rejects_long_horizon(make_series):
     with pytest.raises(ValueError):
         seasonal_diff(make_series(_series(60, 11)), (), CORRECTED, h=48)
+
+
+def test_fill_weeks_gives_calendar_lags(spark, make_series):
+    from weekcast.operators.panel import fill_weeks
+
+    vals = _series(80, seed=12)
+    dates = weekly_dates(80)
+    panel = make_series(vals).where(F.col("date") != F.lit(dates[60]))      # week 60 missing
+    filled = fill_weeks(panel)
+    assert filled.count() == 80 and filled.where(F.col("total_sales").isNull()).count() == 1
+    f = {r["date"]: r for r in build_features(filled, 1, (), CORRECTED).collect()}
+    # rows whose lags reach the missing week are dropped; the others use calendar lags
+    for k in range(1, 5):
+        assert dates[60 + k] not in f
+    assert dates[60] not in f
+    r = f[dates[70]]
+    assert r["lag_1week"] == vals[69] - vals[69 - 48]
+    # without filling, the row after the gap lags over it (row semantics, the default)
+    rows = {r["date"]: r for r in build_features(panel, 1, (), CORRECTED).collect()}
+    assert rows[dates[61]]["lag_1week"] == vals[59] - vals[59 - 48]

@@ -142,3 +142,21 @@ def weekly_panel(
     aggs = rollup_aggs([out for out, _ in pairs], holiday, target)
     panel = joined.groupBy(*keys, "date").agg(*aggs)
     return calendar_features(panel) if calendar else panel
+
+
+def fill_weeks(panel: DataFrame, keys: Sequence[str] = (), date: str = "date", step_days: int = 7) -> DataFrame:
+    """Insert the missing periods of every series as rows with null measures, so that row lags become
+    calendar lags (off by default: the original's lags are row lags, and rows simply slide over a gap).
+
+    Each series gets the dates from its own first to its last period in steps of ``step_days``; the
+    generated rows per series are bounded by the calendar, and the left join back to the panel is an
+    equi-join on (keys, date), one row per side. Calendar columns are filled for the new rows.
+    """
+    keys = list(keys)
+    span = panel.groupBy(*keys).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
+    grid = span.select(*keys, F.explode(F.sequence("_first", "_last", F.expr(f"INTERVAL {int(step_days)} DAYS")))
+                       .alias(date))
+    filled = grid.join(panel, [*keys, date], "left")
+    if "month" in panel.columns or "day" in panel.columns:
+        filled = calendar_features(filled.drop("month", "day"))
+    return filled.select(*panel.columns)

@@ -298,6 +298,12 @@ ORACLE: dict[str, str] = {
         f"SELECT nation, date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM panel_k"),
     "weekly_panel_by_store": _with() + (
         f"SELECT store, date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM panel_s"),
+    "weekly_panel_by_store_filled": _with(
+        "span AS (SELECT store, MIN(date) AS lo, MAX(date) AS hi FROM panel_s GROUP BY store)",
+        "grid AS (SELECT store, CAST(UNNEST(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS date FROM span)") + (
+        f"SELECT g.store, g.date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, "
+        "CAST(month(g.date) AS INTEGER) AS month, CAST(dayofmonth(g.date) AS INTEGER) AS day "
+        "FROM grid g LEFT JOIN panel_s p ON g.store = p.store AND g.date = p.date"),
     "calendar_features": _with() + "SELECT date, month, day FROM panel",
     "seasonal_diff": _with(*_feature_ctes("fx", 1, True)[:2]) + (
         f"SELECT date, {_r('total_sales', 'lag_1year', 'diff_sales')} FROM fx_2"),

@@ -25,7 +25,7 @@ from weekcast.operators.features import (
     seasonal_diff,
     std_name,
 )
-from weekcast.operators.panel import merge_tables, weekly_panel
+from weekcast.operators.panel import fill_weeks, merge_tables, weekly_panel
 from weekcast.operators.split import TEST, TRAIN, fold_summary, purge_gap, rolling_folds, split_frame
 from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, fixture_tables
 from weekcast.sources.tables import preview, shape
@@ -118,6 +118,11 @@ def q_weekly_panel_by_store(spark, sf_dir):
     return tidy(panel(spark, sf_dir, ("store",)))
 
 
+def q_weekly_panel_by_store_filled(spark, sf_dir):
+    keys = ("store",)
+    return tidy(fill_weeks(panel(spark, sf_dir, keys), keys))
+
+
 def q_features_by_store(spark, sf_dir):
     keys = ("store",)
     return tidy(features(spark, sf_dir, 1, CORRECTED, keys).select(*feature_columns(1, keys), "level"))
@@ -346,6 +351,7 @@ REGISTRY: dict[str, Query] = {
     "weekly_panel": q_weekly_panel,
     "weekly_panel_keyed": q_weekly_panel_keyed,
     "weekly_panel_by_store": q_weekly_panel_by_store,
+    "weekly_panel_by_store_filled": q_weekly_panel_by_store_filled,
     "calendar_features": q_calendar_features,
     "seasonal_diff": q_seasonal_diff,
     "seasonal_diff_signed": q_seasonal_diff_signed,
