@@ -38,14 +38,15 @@ KEYED = ("nation",)
 
 # -- shared building blocks ---------------------------------------------------------------------------
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return fixture_tables(spark, sf_dir)
+def tables(spark: SparkSession, sf_dir: str, roles=("sales", "features", "stores")) -> dict[str, DataFrame]:
+    return fixture_tables(spark, sf_dir, roles)
 
 
 def panel(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    t = tables(spark, sf_dir)
+    needs_dim = any(k not in ("store", "dept", "date", "flag") for k in keys)
+    t = tables(spark, sf_dir, ("sales", "features", "stores") if needs_dim else ("sales", "features"))
     return weekly_panel(
-        t["sales"], t["features"], t["stores"], keys=keys, covariates=COVARIATES,
+        t["sales"], t["features"], t.get("stores"), keys=keys, covariates=COVARIATES,
         holiday_values=HOLIDAY_FLAGS, normalize_flag=False,
     )
 
@@ -73,19 +74,19 @@ def q_table_shapes(spark, sf_dir):
 
 
 def q_table_preview(spark, sf_dir):
-    return tidy(preview(tables(spark, sf_dir)["sales"], ["store", "dept", "flag", "date"], 10))
+    return tidy(preview(tables(spark, sf_dir, ("sales",))["sales"], ["store", "dept", "flag", "date"], 10))
 
 
 def q_table_preview_features(spark, sf_dir):
-    return tidy(preview(tables(spark, sf_dir)["features"], ["store", "date", "flag"], 10))
+    return tidy(preview(tables(spark, sf_dir, ("features",))["features"], ["store", "date", "flag"], 10))
 
 
 def q_table_preview_stores(spark, sf_dir):
-    return tidy(preview(tables(spark, sf_dir)["stores"], ["store"], 10))
+    return tidy(preview(tables(spark, sf_dir, ("stores",))["stores"], ["store"], 10))
 
 
 def q_merge_left_three_keys(spark, sf_dir):
-    t = tables(spark, sf_dir)
+    t = tables(spark, sf_dir, ("sales", "features"))
     return tidy(merge_tables(t["sales"], t["features"]))
 
 
@@ -95,12 +96,13 @@ def q_merge_left_dimension(spark, sf_dir):
 
 
 def q_flag_encode(spark, sf_dir):
-    s = tables(spark, sf_dir)["sales"]
+    s = tables(spark, sf_dir, ("sales",))["sales"]
     return s.select("store", "dept", "date", "flag", holiday_flag("flag", HOLIDAY_FLAGS, False).alias("is_holiday"))
 
 
 def q_date_parse(spark, sf_dir):
-    s = tables(spark, sf_dir)["sales"].select("store", "dept", "flag", F.date_format("date", "dd/MM/yyyy").alias("date_text"))
+    s = tables(spark, sf_dir, ("sales",))["sales"].select(
+        "store", "dept", "flag", F.date_format("date", "dd/MM/yyyy").alias("date_text"))
     return s.withColumn("date", parse_date("date_text", "dd/MM/yyyy"))
 
 

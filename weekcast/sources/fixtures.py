@@ -16,14 +16,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.sources.tables import load_tables
-
 # Fixed values of the mapping.
 HOLIDAY_FLAGS = ("R",)
 COVARIATE_MIN_QUANTITY = 25
 COVARIATES = ("temp", "cpi")
 MONEY = T.DecimalType(18, 2)
 
+# Columns of the driver's tables that the mapping reads (FIXTURES.md §4). Declaring them skips schema
+# inference and lets the scan read only these columns.
+LINEITEM_SCHEMA = T.StructType([
+    T.StructField("l_partkey", T.LongType()),
+    T.StructField("l_suppkey", T.LongType()),
+    T.StructField("l_quantity", T.DoubleType()),
+    T.StructField("l_extendedprice", T.DoubleType()),
+    T.StructField("l_discount", T.DoubleType()),
+    T.StructField("l_tax", T.DoubleType()),
+    T.StructField("l_returnflag", T.StringType()),
+    T.StructField("l_shipdate", T.TimestampNTZType()),
+])
+SUPPLIER_SCHEMA = T.StructType([
+    T.StructField("s_suppkey", T.LongType()),
+    T.StructField("s_nationkey", T.IntegerType()),
+    T.StructField("s_acctbal", T.DoubleType()),
+])
+
 
 def week_start(c: str | F.Column) -> F.Column:
     """Monday of the week, as a DATE."""
@@ -68,11 +84,17 @@ def stores_from_supplier(supplier: DataFrame) -> DataFrame:
     )
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """``{"sales", "features", "stores"}`` built lazily from the parquet files in ``sf_dir``."""
-    t = load_tables(spark, sf_dir, ("lineitem", "supplier"))
-    return {
-        "sales": sales_from_lineitem(t["lineitem"]),
-        "features": features_from_lineitem(t["lineitem"]),
-        "stores": stores_from_supplier(t["supplier"]),
+ROLES = ("sales", "features", "stores")
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str, roles=ROLES) -> dict[str, DataFrame]:
+    """The requested roles (default all three) as lazy plans over the parquet files in ``sf_dir``; a
+    query that needs no dimension asks for no ``stores`` and never scans the supplier table."""
+    base = sf_dir.rstrip("/")
+    build = {
+        "sales": lambda: sales_from_lineitem(spark.read.schema(LINEITEM_SCHEMA).parquet(f"{base}/lineitem.parquet")),
+        "features": lambda: features_from_lineitem(
+            spark.read.schema(LINEITEM_SCHEMA).parquet(f"{base}/lineitem.parquet")),
+        "stores": lambda: stores_from_supplier(spark.read.schema(SUPPLIER_SCHEMA).parquet(f"{base}/supplier.parquet")),
     }
+    return {r: build[r]() for r in roles}
