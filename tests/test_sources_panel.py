@@ -149,3 +149,13 @@ def test_half_cent_week_rounds_half_up_and_missing_week_slides(spark):
     f = build_features(p, 1, (), CORRECTED).orderBy("date").collect()
     after_gap = [r for r in f if r["date"] == d0 + dt.timedelta(weeks=56)][0]
     assert after_gap["lag_1week"] == got[d0 + dt.timedelta(weeks=54)] - got[d0 + dt.timedelta(weeks=54 - 48)]
+
+
+def test_validate_rejects_duplicate_covariate_keys(spark):
+    sales = spark.createDataFrame([(1, 1, dt.date(2010, 2, 5), "false", 10.0)],
+                                  "store int, dept int, date date, flag string, weekly_sales double")
+    feats = spark.createDataFrame([(1, dt.date(2010, 2, 5), "false", 1.0), (1, dt.date(2010, 2, 5), "false", 3.0)],
+                                  "store int, date date, flag string, temp double")
+    with pytest.raises(ValueError, match="covariates"):
+        weekly_panel(sales, feats, covariates=("temp",), validate=True)
+    assert weekly_panel(sales, feats.limit(1), covariates=("temp",), validate=True).count() == 1

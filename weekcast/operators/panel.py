@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.functions.columns import holiday_flag
+from weekcast.sources.tables import assert_unique
 
 JOIN_KEYS = ("store", "date", "flag")
 DIM_KEY = "store"
@@ -105,10 +106,15 @@ def weekly_panel(
     target: str = "total_sales",
     calendar: bool = True,
     broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+    validate: bool = False,
 ) -> DataFrame:
     """One row per (series keys, date): rounded sales total, covariate means over the joined sales
     rows, share of holiday rows, month and day.
 
+    ``validate=True`` first checks that the covariates are unique on the join keys and the dimension on
+    its key (duplicates would multiply sales through the left joins, S18); each check is one aggregate
+    job over that table, so it is off by default.
+
     ``keys`` may name sales columns (e.g. ``store``, ``dept``) or dimension columns (e.g. ``nation``);
     an empty ``keys`` gives the single series of the original. ``covariates`` is a list of covariate
     columns or a mapping ``{output name: covariate column}``.
@@ -123,6 +129,11 @@ def weekly_panel(
         F.sum("weekly_sales").alias("_sales"),
         F.count(F.lit(1)).alias("_rows"),
     )
+    if validate:
+        if features is not None:
+            assert_unique(features, join_keys, "covariates")
+        if dim_side:
+            assert_unique(stores, [dim_key], "dimension")
     pairs = covariate_pairs(covariates) if features is not None else []
     joined = pre
     if features is not None:
