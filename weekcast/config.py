@@ -27,6 +27,12 @@ class Preset:
     denominator: str = "scored"
     #: SMA window order: "date", or "day" (day of month, date as tie-break)
     sma_order: str = "date"
+    #: the SMA window may reach back before the scored rows (the past is known); False keeps it inside
+    #: them, so the first scored row has no forecast
+    sma_history: bool = True
+    #: baseline scored on the models' test target dates ("model_test") or on the last rows of the
+    #: weekly series ("series_tail")
+    baseline_dates: str = "model_test"
     #: rolling CV origin: "expanding" blocks, or "fixed" (first n % 10 rows always train)
     cv_origin: str = "expanding"
     #: chronological split size: exact decimal ``ceil(n * pct)``; False uses double arithmetic
@@ -47,6 +53,8 @@ REFERENCE = Preset(
     level_at="origin",
     denominator="all",
     sma_order="day",
+    sma_history=False,
+    baseline_dates="series_tail",
     cv_origin="fixed",
     exact_split=False,
 )

@@ -111,12 +111,12 @@ def sma_test_frame(
 ) -> DataFrame:
     """Baseline forecasts on the last ``1 - pct`` of the weekly series, as ``prediction`` / ``label``.
 
-    Original (``denominator="all"``): the window sees only test rows, so the first has no forecast.
-    Corrected: the window runs over the whole series (the past is known at forecast time) and only
-    test rows are kept.
+    ``sma_history=False`` (the original): the window sees only test rows, so the first has no forecast.
+    Default: the window runs over the whole series (the past is known at forecast time) and only test
+    rows are kept.
     """
     s = split_frame(weekly, pct, 0, keys, preset, date)
-    if preset.denominator == "all":
+    if not preset.sma_history:
         test = s.where(F.col("role") == TEST)
         out = sma_forecast(test, window, keys, preset, target, date, "prediction")
     else:

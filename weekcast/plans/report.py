@@ -35,7 +35,7 @@ class HorizonData:
     h: int
     frame: DataFrame            # feature frame with row_ix / n_rows / cut / role, lineage cut
     features: list[str]         # selected model inputs
-    importance: DataFrame
+    importance: DataFrame | None   # None when the inputs were given
 
     @property
     def train(self) -> DataFrame:
@@ -64,14 +64,15 @@ def prepare_horizon(
     pct: float = SPLIT_PCT,
     feature_cols: Sequence[str] | None = None,
 ) -> HorizonData:
-    """Feature frame for ``h``, split with the purge gap, inputs chosen by importance on train."""
+    """Feature frame for ``h``, split with the purge gap; inputs are ``feature_cols`` when given, else
+    chosen by forest importance on the training rows."""
     frame = split_frame(build_features(panel, h, keys, preset), pct, purge_gap(h), keys, preset)
     frame = materialize(frame)
+    if feature_cols is not None:
+        return HorizonData(h, frame, list(feature_cols), None)
     train = frame.where(F.col("role") == TRAIN)
-    candidates = list(feature_cols) if feature_cols else candidate_columns(frame, keys)
-    importance = feature_importance(train, candidates, preset)
-    chosen = select_features(importance) if feature_cols is None else list(feature_cols)
-    return HorizonData(h, frame, chosen, importance)
+    importance = feature_importance(train, candidate_columns(frame, keys), preset)
+    return HorizonData(h, frame, select_features(importance), importance)
 
 
 def run_model(
@@ -91,7 +92,8 @@ def run_model(
         params = best_params(cv)
     pred = fit_predict(data.train, data.test, data.features, name, params, preset, keep=(*keys, "date", "label", "level"))
     pred = retrend(pred)
-    trim = data.h if preset.denominator == "all" else 0
+    # rows past the series end carry a filled, not a real, label when ``label_fill`` is set: trim them
+    trim = data.h if preset.label_fill is not None else 0
     return ModelRun(name, data.h, dict(params), pred, smape(pred, trim, keys, preset), cv)
 
 
@@ -107,11 +109,13 @@ def sma_on_test(panel: DataFrame, data: HorizonData, window: int, keys: Sequence
 
 def baseline_score(panel: DataFrame, data: HorizonData, window: int, keys: Sequence[str] = (),
                    preset: Preset = CORRECTED, pct: float = SPLIT_PCT) -> DataFrame:
-    """The original scores the baseline on the last ``1 - pct`` of the weekly series (S22); the default
-    scores it on the same target dates as the models."""
-    if preset.denominator == "all":
+    """``baseline_dates="series_tail"`` (the original) scores the baseline on the last ``1 - pct`` of the
+    weekly series (S22); the default scores it on the same target dates as the models."""
+    if preset.baseline_dates == "series_tail":
         return sma_smape(panel, window, pct, keys, preset)
-    return smape(sma_on_test(panel, data, window, keys, preset), 0, keys, preset)
+    if preset.baseline_dates == "model_test":
+        return smape(sma_on_test(panel, data, window, keys, preset), 0, keys, preset)
+    raise ValueError(f"baseline_dates must be 'series_tail' or 'model_test', not {preset.baseline_dates!r}")
 
 
 def _tag(score: DataFrame, model: str, h: int, keys: Sequence[str] = ()) -> DataFrame:
