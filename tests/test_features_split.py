@@ -166,3 +166,10 @@ def test_fill_weeks_gives_calendar_lags(spark, make_series):
     # without filling, the row after the gap lags over it (row semantics, the default)
     rows = {r["date"]: r for r in build_features(panel, 1, (), CORRECTED).collect()}
     assert rows[dates[61]]["lag_1week"] == vals[59] - vals[59 - 48]
+
+
+def test_index_warmup_on_a_bare_difference_series(make_series):
+    from weekcast.operators.features import lag_features
+
+    df = lag_features(make_series(list(range(1, 11)), column="diff_sales"), 2, (), CORRECTED)
+    assert df.count() == 10 - (2 + 3)

@@ -62,7 +62,8 @@ def seasonal_diff(
     target: str = "total_sales",
     date: str = "date",
 ) -> DataFrame:
-    """Adds ``lag_1year`` (the value one season back), drops warm-up rows, adds ``diff_sales``.
+    """Adds ``lag_1year`` (the value one season back), drops warm-up rows, adds ``diff_sales``. In
+    ``index`` mode the row position ``_ix`` is kept for the warm-up steps that follow.
 
     With ``h`` given, also adds ``level``: the seasonal level to add back to a forecast made h rows
     ahead. ``level_at="origin"`` takes this row's level (the original); ``"target"`` takes the level of
@@ -106,7 +107,9 @@ def lag_features(
     oldest = lag_name(h + n_lags - 1)
     if positive:
         return df.where(F.col(oldest) > 0)
-    return df.where(F.col("_ix") > preset.season + h + n_lags - 1)
+    if "_ix" in df.columns:      # positions of the series before the seasonal cut
+        return df.where(F.col("_ix") > preset.season + h + n_lags - 1)
+    return df.where(F.col(oldest).isNotNull())
 
 
 def rolling_stats(
