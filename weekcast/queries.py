@@ -27,6 +27,10 @@ from weekcast.operators.features import (
 )
 from weekcast.operators.panel import fill_weeks, merge_tables, weekly_panel
 from weekcast.operators.split import TEST, TRAIN, fold_summary, purge_gap, rolling_folds, split_frame
+from weekcast.plans.models import linear_fit_coefficients
+from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
+from weekcast.plans.select import ranked, selected
+from weekcast.plans.tune import PARAM_GRIDS, PINNED, cv_summary, rolling_cv
 from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, fixture_tables
 from weekcast.sources.tables import preview, shape
 
@@ -255,8 +259,6 @@ def _sma_smape(preset: Preset) -> Query:
 
 
 def q_lr_single_feature(spark, sf_dir):
-    from weekcast.plans.models import linear_fit_coefficients
-
     s = split_frame(features(spark, sf_dir, 1, CORRECTED), SPLIT_PCT, purge_gap(1), (), CORRECTED)
     train = s.where(F.col("role") == TRAIN)
     return tidy(linear_fit_coefficients(train, ["diff_sales"], "label"))
@@ -265,8 +267,6 @@ def q_lr_single_feature(spark, sf_dir):
 # -- models (no SQL twin: tree fits are not SQL; checked by row counts and by tests) -----------------
 
 def _horizon(spark, sf_dir, h: int, preset: Preset):
-    from weekcast.plans.report import prepare_horizon
-
     return prepare_horizon(panel(spark, sf_dir), h, (), preset)
 
 
@@ -276,9 +276,6 @@ RF_FIXED = {"NumTrees": "15", "MaxBins": "28"}
 
 def _predict_query(name: str) -> Query:
     def q(spark, sf_dir):
-        from weekcast.plans.report import run_model
-        from weekcast.plans.tune import PINNED
-
         data = _horizon(spark, sf_dir, 1, REFERENCE)
         params = PINNED.get((name, 1), RF_FIXED)
         return tidy(run_model(data, name, params, preset=REFERENCE).predictions)
@@ -286,20 +283,14 @@ def _predict_query(name: str) -> Query:
 
 
 def q_feature_importance(spark, sf_dir):
-    from weekcast.plans.select import ranked
-
     return tidy(ranked(_horizon(spark, sf_dir, 1, REFERENCE).importance))
 
 
 def q_feature_selection(spark, sf_dir):
-    from weekcast.plans.select import selected
-
     return tidy(selected(_horizon(spark, sf_dir, 1, REFERENCE).importance))
 
 
 def _cv(spark, sf_dir):
-    from weekcast.plans.tune import PARAM_GRIDS, rolling_cv
-
     data = _horizon(spark, sf_dir, 1, REFERENCE)
     return rolling_cv(data.train, data.features, "dt", PARAM_GRIDS["dt"], 2, purge_gap(1), (), REFERENCE)
 
@@ -309,15 +300,10 @@ def q_cv_results(spark, sf_dir):
 
 
 def q_best_params(spark, sf_dir):
-    from weekcast.plans.tune import cv_summary
-
     return tidy(cv_summary(_cv(spark, sf_dir)).limit(1))
 
 
 def q_model_run_pinned(spark, sf_dir):
-    from weekcast.plans.report import run_model
-    from weekcast.plans.tune import PINNED
-
     data = _horizon(spark, sf_dir, 1, REFERENCE)
     run = run_model(data, "gbt", PINNED[("gbt", 1)], preset=REFERENCE)
     return tidy(run.predictions)
@@ -325,17 +311,12 @@ def q_model_run_pinned(spark, sf_dir):
 
 def q_predict_keyed(spark, sf_dir):
     """One global model over every nation's series (keys enter through the rows, not the inputs)."""
-    from weekcast.plans.report import prepare_horizon, run_model
-    from weekcast.plans.tune import PINNED
-
     data = prepare_horizon(panel(spark, sf_dir, KEYED), 1, KEYED, CORRECTED)
     return tidy(run_model(data, "gbt", PINNED[("gbt", 1)], keys=KEYED, preset=CORRECTED).predictions)
 
 
 def _comparison(preset: Preset) -> Query:
     def q(spark, sf_dir):
-        from weekcast.plans.report import accuracy_table, compare
-
         long, _ = compare(panel(spark, sf_dir), preset=preset)
         return tidy(accuracy_table(long))
     return q
