@@ -46,7 +46,11 @@ def weekly_panel_stream(
     broadcast_max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Streaming counterpart of ``weekly_panel``: same columns, one row per (keys, week), emitted when
-    the week is closed by the watermark (sales arriving later than ``watermark`` are dropped)."""
+    the week is closed by the watermark (sales arriving later than ``watermark`` are dropped).
+
+    The static sides are evaluated again for every micro-batch, as in any stream-static join: pass
+    stored tables, or frames whose lineage was cut (``weekcast.session.materialize``), rather than
+    expensive derived plans."""
     keys = list(keys)
     join_keys = list(join_keys)
     rows = (
