@@ -61,7 +61,8 @@ def weekly_panel_stream(
     pairs = covariate_pairs(covariates) if features is not None else []
     if features is not None:
         cov = features.select(*join_keys, *[F.col(src).alias(out) for out, src in pairs])
-        rows = rows.join(cov, join_keys, "left")
+        # joined again in every micro-batch: broadcast it when its size is proven small
+        rows = rows.join(bounded_broadcast(cov, broadcast_max_rows), join_keys, "left")
     dim_side = [k for k in keys if k not in sales_stream.columns]
     if dim_side:
         if stores is None:
