@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from weekcast.config import CORRECTED, REFERENCE
 from weekcast.operators.evaluate import retrend, retrend_by_join, rmse, sma_forecast, sma_test_frame, smape

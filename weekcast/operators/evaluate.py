@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
 from weekcast.functions.columns import smape_term
-from weekcast.operators.features import series_window
 from weekcast.operators.split import TEST, split_frame
 
 
