@@ -91,10 +91,13 @@ def fixture_tables(spark: SparkSession, sf_dir: str, roles=ROLES) -> dict[str, D
     """The requested roles (default all three) as lazy plans over the parquet files in ``sf_dir``; a
     query that needs no dimension asks for no ``stores`` and never scans the supplier table."""
     base = sf_dir.rstrip("/")
-    build = {
-        "sales": lambda: sales_from_lineitem(spark.read.schema(LINEITEM_SCHEMA).parquet(f"{base}/lineitem.parquet")),
-        "features": lambda: features_from_lineitem(
-            spark.read.schema(LINEITEM_SCHEMA).parquet(f"{base}/lineitem.parquet")),
-        "stores": lambda: stores_from_supplier(spark.read.schema(SUPPLIER_SCHEMA).parquet(f"{base}/supplier.parquet")),
-    }
-    return {r: build[r]() for r in roles}
+    out: dict[str, DataFrame] = {}
+    if "sales" in roles or "features" in roles:
+        lineitem = spark.read.schema(LINEITEM_SCHEMA).parquet(f"{base}/lineitem.parquet")
+        if "sales" in roles:
+            out["sales"] = sales_from_lineitem(lineitem)
+        if "features" in roles:
+            out["features"] = features_from_lineitem(lineitem)
+    if "stores" in roles:
+        out["stores"] = stores_from_supplier(spark.read.schema(SUPPLIER_SCHEMA).parquet(f"{base}/supplier.parquet"))
+    return out
