@@ -84,3 +84,32 @@ def test_smape_bounded_and_symmetric(spark, series):
         assert a[k] == pytest.approx(100 * sum(terms) / len(terms), rel=1e-9, abs=1e-9)
         assert a[k] == pytest.approx(b[k], rel=1e-12, abs=1e-12)
         assert 0 <= a[k] <= 200 + 1e-9
+
+
+sales_rows = st.lists(st.tuples(st.integers(1, 3), st.integers(1, 3), st.integers(0, 3), st.sampled_from(["a", "b"]),
+                                st.integers(-10_000, 10_000)), min_size=1, max_size=40)
+feature_rows = st.lists(st.tuples(st.integers(1, 3), st.integers(0, 3), st.sampled_from(["a", "b"]),
+                                  st.one_of(st.none(), st.integers(0, 100))), max_size=30)
+
+
+@settings(max_examples=6, deadline=None)
+@given(sales_rows, feature_rows, st.sampled_from([(), ("store",)]))
+def test_pre_aggregated_rollup_equals_row_level(spark, sales, feats, keys):
+    """Duplicate covariate keys, null covariates and unmatched sales rows included."""
+    from weekcast.operators.panel import merge_tables, weekly_panel
+
+    s = spark.createDataFrame([(st_, dp, D0 + dt.timedelta(weeks=w), f, Decimal(c) / 100) for st_, dp, w, f, c in sales],
+                              "store int, dept int, date date, flag string, weekly_sales decimal(18,2)")
+    f = spark.createDataFrame([(st_, D0 + dt.timedelta(weeks=w), fl, None if t is None else t / 7.0)
+                               for st_, w, fl, t in feats], "store int, date date, flag string, temp double")
+    got = {tuple(r[k] for k in (*keys, "date")): r for r in
+           weekly_panel(s, f, keys=keys, covariates=("temp",), holiday_values=("a",), normalize_flag=False).collect()}
+    direct = merge_tables(s, f).groupBy(*keys, "date").agg(
+        F.round(F.sum("weekly_sales")).cast("double").alias("total"), F.avg("temp").alias("temp"),
+        F.avg(F.when(F.col("flag") == "a", 1).otherwise(0)).alias("hol")).collect()
+    assert len(got) == len(direct)
+    for r in direct:
+        g = got[tuple(r[k] for k in (*keys, "date"))]
+        assert g["total_sales"] == r["total"]
+        assert g["is_holiday"] == pytest.approx(r["hol"], abs=1e-12)
+        assert (g["temp"] is None and r["temp"] is None) or g["temp"] == pytest.approx(r["temp"], rel=1e-12)
