@@ -37,6 +37,8 @@ def main() -> None:
         "features h=1, one series (REFERENCE)": build_features(panel(spark, sf_dir), 1, (), REFERENCE),
         "features h=1, one series per supplier (CORRECTED)":
             build_features(panel(spark, sf_dir, ("store",)), 1, ("store",), CORRECTED),
+        "weekly_panel keyed by nation (store dimension broadcast after a bounded count)":
+            panel(spark, sf_dir, ("nation",)),
     }
     out = ["# Physical plans", "",
            "Generated by `tools/plans.py` with broadcast joins disabled (the 100 TB case: no side is small).",
