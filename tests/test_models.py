@@ -127,3 +127,19 @@ def test_keyed_comparison(spark):
     assert len(table) == 2 * n_series
     assert {r["model"] for r in table} == {"SMA", "Linear Regression"}
     assert runs[0].params == {"RegParam": "0.1", "ElasticNetParam": "0"}
+
+
+def test_unpenalised_linear_model_equals_numpy_least_squares(h1):
+    import numpy as np
+
+    cols = ["diff_sales", "lag_1week", "temp", "month"]
+    params = {"RegParam": "0", "ElasticNetParam": "0"}
+    pred = fit_predict(h1.train, h1.test, cols, "lr", params, REFERENCE).orderBy("date").collect()
+    train = h1.train.select(*cols, "label").collect()
+    X = np.array([[r[c] for c in cols] + [1.0] for r in train])
+    y = np.array([r["label"] for r in train])
+    coef, *_ = np.linalg.lstsq(X, y, rcond=None)
+    test = h1.test.orderBy("date").select(*cols).collect()
+    expected = np.array([[r[c] for c in cols] + [1.0] for r in test]) @ coef
+    got = np.array([r["prediction"] for r in pred])
+    assert np.allclose(got, expected, rtol=1e-6, atol=1e-3 * np.abs(y).mean())
