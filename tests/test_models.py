@@ -143,3 +143,35 @@ def test_unpenalised_linear_model_equals_numpy_least_squares(h1):
     expected = np.array([[r[c] for c in cols] + [1.0] for r in test]) @ coef
     got = np.array([r["prediction"] for r in pred])
     assert np.allclose(got, expected, rtol=1e-6, atol=1e-3 * np.abs(y).mean())
+
+
+def _best_stump(x, y):
+    """Exhaustive least-squares split x <= t over every gap between distinct values."""
+    import numpy as np
+
+    order = np.argsort(x)
+    xs, ys = x[order], y[order]
+    best = None
+    for i in range(1, len(xs)):
+        if xs[i] == xs[i - 1]:
+            continue
+        left, right = ys[:i], ys[i:]
+        sse = ((left - left.mean()) ** 2).sum() + ((right - right.mean()) ** 2).sum()
+        if best is None or sse < best[0]:
+            best = (sse, xs[i - 1], left.mean(), right.mean())
+    _, t, lo, hi = best
+    return np.where(x <= t, lo, hi)
+
+
+@pytest.mark.parametrize("name,params", [("dt", {"MaxDepth": "1", "MaxBins": "1000"}),
+                                         ("gbt", {"MaxIter": "1", "MaxDepth": "1", "MaxBins": "1000"})])
+def test_depth_one_trees_equal_the_exhaustive_stump(h1, name, params):
+    import numpy as np
+
+    train = h1.train.orderBy("date")
+    rows = train.select("diff_sales", "label").collect()
+    x = np.array([r["diff_sales"] for r in rows])
+    y = np.array([r["label"] for r in rows])
+    got = np.array([r["prediction"] for r in
+                    fit_predict(train, train, ["diff_sales"], name, params, REFERENCE).orderBy("date").collect()])
+    assert np.allclose(got, _best_stump(x, y), rtol=1e-9)
