@@ -175,3 +175,22 @@ def test_depth_one_trees_equal_the_exhaustive_stump(h1, name, params):
     got = np.array([r["prediction"] for r in
                     fit_predict(train, train, ["diff_sales"], name, params, REFERENCE).orderBy("date").collect()])
     assert np.allclose(got, _best_stump(x, y), rtol=1e-9)
+
+
+def test_rolling_cv_equals_brute_force_per_fold(spark):
+    import numpy as np
+
+    data = prepare_horizon(panel(spark, SF_SMALL), 1, (), CORRECTED, feature_cols=["diff_sales", "lag_1week"])
+    gap = 5
+    cv = rolling_cv(data.train, data.features, "lr", [{"RegParam": "0", "ElasticNetParam": "0"}], 2, gap, (), CORRECTED)
+    got = {r["fold"]: (r["n_train"], r["n_test"], r["score"]) for r in cv.collect()}
+    rows = data.train.orderBy("date").select("diff_sales", "lag_1week", "label").collect()
+    X = np.array([[r["diff_sales"], r["lag_1week"], 1.0] for r in rows])
+    y = np.array([r["label"] for r in rows])
+    n = len(rows)
+    for fold in (1, 2):
+        b, e = fold * n // 3, (fold + 1) * n // 3
+        coef, *_ = np.linalg.lstsq(X[: b - gap], y[: b - gap], rcond=None)
+        rmse = float(np.sqrt(np.mean((X[b:e] @ coef - y[b:e]) ** 2)))
+        assert got[fold][:2] == (b - gap, e - b)
+        assert got[fold][2] == pytest.approx(rmse, rel=1e-6)
