@@ -194,3 +194,18 @@ def test_rolling_cv_equals_brute_force_per_fold(spark):
         rmse = float(np.sqrt(np.mean((X[b:e] @ coef - y[b:e]) ** 2)))
         assert got[fold][:2] == (b - gap, e - b)
         assert got[fold][2] == pytest.approx(rmse, rel=1e-6)
+
+
+def test_forest_predictions_do_not_depend_on_shuffle_settings(spark):
+    """Single-series frames end in one partition and fits are seeded, so bagging sees the same rows."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    out = []
+    try:
+        for parts in ("3", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            data = prepare_horizon(panel(spark, SF_SMALL), 1, (), REFERENCE)
+            run = run_model(data, "rf", {"NumTrees": "5", "MaxBins": "28"}, preset=REFERENCE)
+            out.append([(r["date"], r["prediction"]) for r in run.predictions.orderBy("date").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1]
