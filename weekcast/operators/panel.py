@@ -32,6 +32,9 @@ JOIN_KEYS = ("store", "date", "flag")
 DIM_KEY = "store"
 #: rows a dimension may have and still be broadcast (a 3-column dimension this size is ~50 MB)
 BROADCAST_MAX_ROWS = 2_000_000
+#: exact accumulator for covariate sums: each row's value is rounded once to 18 decimals, and decimal
+#: addition is associative, so a mean no longer depends on how rows fall into partitions
+EXACT = T.DecimalType(38, 18)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -84,11 +87,17 @@ def rollup_aggs(covariates: Sequence[str], holiday: F.Column, target: str = "tot
                 sales: str = "_sales", rows: str = "_rows") -> list[F.Column]:
     """Aggregates of the weekly roll-up over rows pre-aggregated to the join grain: the rounded sales
     total, covariate means weighted by sales rows (nulls excluded, as ``avg`` over the joined rows does),
-    and the share of holiday rows."""
+    and the share of holiday rows.
+
+    Covariate sums are exact (``EXACT``), so the means are the same bits whatever the partitioning or
+    the order partial sums are merged in; model fits downstream are then reproducible. A weighted value
+    beyond 1e20 in magnitude counts as missing."""
     n = F.col(rows)
     aggs = [F.round(F.sum(sales)).cast(T.DoubleType()).alias(target)]
     for c in covariates:
-        aggs.append(F.try_divide(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n))).alias(c))
+        x = (F.col(c) * n).try_cast(EXACT)
+        aggs.append(F.try_divide(F.sum(x).cast(T.DoubleType()),
+                                 F.sum(F.when(x.isNotNull(), n)).cast(T.DoubleType())).alias(c))
     aggs.append((F.sum(holiday * n) / F.sum(n)).cast(T.DoubleType()).alias("is_holiday"))
     return aggs
 

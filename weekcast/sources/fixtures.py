@@ -21,6 +21,8 @@ HOLIDAY_FLAGS = ("R",)
 COVARIATE_MIN_QUANTITY = 25
 COVARIATES = ("temp", "cpi")
 MONEY = T.DecimalType(18, 2)
+#: exact accumulator for the covariate means (order-independent sums, reproducible downstream fits)
+EXACT = T.DecimalType(38, 18)
 
 # Columns of the driver's tables that the mapping reads (FIXTURES.md §4). Declaring them skips schema
 # inference and lets the scan read only these columns.
@@ -72,7 +74,8 @@ def features_from_lineitem(lineitem: DataFrame, min_quantity: float = COVARIATE_
             F.col("l_tax"),
         )
         .groupBy("store", "date", "flag")
-        .agg(F.avg("l_discount").alias("temp"), F.avg("l_tax").alias("cpi"))
+        .agg(*[F.avg(F.col(src).cast(EXACT)).cast(T.DoubleType()).alias(out)
+               for out, src in (("temp", "l_discount"), ("cpi", "l_tax"))])
     )
 
 
