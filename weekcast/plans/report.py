@@ -149,7 +149,9 @@ def compare(
         parts_h = []
         if h in sma_windows:
             parts_h.append(_tag(baseline_score(panel, data, sma_windows[h], keys, preset), "sma", h, keys))
-        runs_h = [run_model(data, m, pinned.get((m, h)), grids.get(m), keys, preset, parallelism) for m in models]
+        with ThreadPoolExecutor(max_workers=max(1, len(models))) as models_pool:
+            runs_h = list(models_pool.map(
+                lambda m: run_model(data, m, pinned.get((m, h)), grids.get(m), keys, preset, parallelism), models))
         parts_h += [_tag(r.score, r.model, h, keys) for r in runs_h]
         return parts_h, runs_h
 
