@@ -2,7 +2,8 @@
 
 sales    = lineitem rolled up to (supplier, part, return flag, week), money summed as decimal(18,2)
 features = lineitem rows with quantity > 25 rolled up to (supplier, return flag, week):
-           temp = avg(discount), cpi = avg(tax); so some sales rows have no covariates
+           temp = avg(discount), cpi = avg(tax), averaged through exact decimal sums so the values
+           do not depend on partitioning; some sales rows have no covariates
 stores   = supplier: store, nation, acctbal
 holiday  = return flag 'R'
 
