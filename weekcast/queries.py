@@ -322,6 +322,17 @@ def _comparison(preset: Preset) -> Query:
     return q
 
 
+# every cell pinned (the 1-week forest and 3-week boosted model to the settings pinned elsewhere), so
+# the keyed table needs no tuning run
+PINNED_ALL = {**PINNED, ("rf", 1): RF_FIXED, ("gbt", 3): PINNED[("gbt", 2)]}
+
+
+def q_accuracy_comparison_keyed(spark, sf_dir):
+    """Per-nation accuracy table: one global model per horizon over every nation's series."""
+    long, _ = compare(panel(spark, sf_dir, KEYED), preset=CORRECTED, pinned=PINNED_ALL, keys=KEYED)
+    return tidy(accuracy_table(long, keys=KEYED))
+
+
 REGISTRY: dict[str, Query] = {
     "table_shapes": q_table_shapes,
     "table_preview": q_table_preview,
@@ -381,4 +392,5 @@ REGISTRY: dict[str, Query] = {
     "predict_keyed": q_predict_keyed,
     "accuracy_comparison": _comparison(REFERENCE),
     "accuracy_comparison_corrected": _comparison(CORRECTED),
+    "accuracy_comparison_keyed": q_accuracy_comparison_keyed,
 }
