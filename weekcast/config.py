@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from weekcast.constants import SEASON
+
 
 @dataclass(frozen=True)
 class Preset:
-    #: rows per seasonal cycle; the original uses 48 weekly rows as "one year"
-    season: int = 48
+    #: rows per seasonal cycle ("one year")
+    season: int = SEASON
     #: signed difference ``total - level``; False keeps ``abs(total - level)``
     signed: bool = True
     #: "positive": warm-up rows are those whose defaulted-to-0 lag is not > 0 (a true 0 also drops);

@@ -3,6 +3,8 @@ whole-stage codegen, and none of them raises under ANSI mode on dirty input."""
 
 from __future__ import annotations
 
+from weekcast.constants import DATE_FORMAT
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -19,7 +21,7 @@ def to_number(c: str | Column) -> Column:
     return col_(c).try_cast(T.DoubleType())
 
 
-def parse_date(c: str | Column, fmt: str = "dd/MM/yyyy") -> Column:
+def parse_date(c: str | Column, fmt: str = DATE_FORMAT) -> Column:
     """Text date to DATE; unparseable text becomes null instead of failing the job under ANSI."""
     return F.try_to_date(col_(c), fmt)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
+from weekcast.constants import SPLIT_PCT
 from weekcast.functions.columns import smape_term
 from weekcast.operators.split import TEST, split_frame
 
@@ -102,7 +103,7 @@ def sma_forecast(
 def sma_test_frame(
     weekly: DataFrame,
     window: int,
-    pct: float = 0.8,
+    pct: float = SPLIT_PCT,
     keys: Sequence[str] = (),
     preset: Preset = CORRECTED,
     target: str = "total_sales",
@@ -126,7 +127,7 @@ def sma_test_frame(
 def sma_smape(
     weekly: DataFrame,
     window: int,
-    pct: float = 0.8,
+    pct: float = SPLIT_PCT,
     keys: Sequence[str] = (),
     preset: Preset = CORRECTED,
     target: str = "total_sales",

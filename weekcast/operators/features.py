@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from weekcast.config import CORRECTED, Preset
+from weekcast.constants import N_LAGS
 from weekcast.functions.columns import period_suffix
 
-N_LAGS = 4
 
 
 def series_window(keys: Sequence[str] = (), date: str = "date") -> WindowSpec:

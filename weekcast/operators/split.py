@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
-from weekcast.operators.features import N_LAGS, series_window
+from weekcast.constants import CV_FIXED_MODULUS, N_LAGS, SPLIT_PCT
+from weekcast.operators.features import series_window
 
 TRAIN, GAP, TEST = "train", "gap", "test"
 
@@ -41,7 +42,7 @@ def row_index(df: DataFrame, keys: Sequence[str] = (), date: str = "date", name:
 
 def split_frame(
     df: DataFrame,
-    pct: float = 0.8,
+    pct: float = SPLIT_PCT,
     gap: int = 0,
     keys: Sequence[str] = (),
     preset: Preset = CORRECTED,
@@ -62,7 +63,7 @@ def split_frame(
 
 
 def ts_split(
-    df: DataFrame, pct: float = 0.8, keys: Sequence[str] = (), preset: Preset = CORRECTED, date: str = "date"
+    df: DataFrame, pct: float = SPLIT_PCT, keys: Sequence[str] = (), preset: Preset = CORRECTED, date: str = "date"
 ) -> tuple[DataFrame, DataFrame]:
     """``(first ceil(n * pct) rows, the rest)`` per series, in time order."""
     s = split_frame(df, pct, 0, keys, preset, date)
@@ -73,7 +74,7 @@ def ts_split(
 def purged_split(
     df: DataFrame,
     h: int,
-    pct: float = 0.8,
+    pct: float = SPLIT_PCT,
     keys: Sequence[str] = (),
     preset: Preset = CORRECTED,
     n_lags: int = N_LAGS,
@@ -94,7 +95,7 @@ def _fold_bounds(n: Column, fold: Column, folds: int, origin: str) -> tuple[Colu
     if origin == "fixed":
         # the original: the first n % 10 rows always train, the test part grows by equal shifts, and the
         # train share initial / total is a 32-bit float (the rounding decides the cut, S10, S11)
-        initial = n % F.lit(10)
+        initial = n % F.lit(CV_FIXED_MODULUS)
         shift = F.floor((n - initial) / F.lit(folds)).cast(T.LongType())
         total = initial + shift * fold
         share = (initial.cast(T.DoubleType()) / total.cast(T.DoubleType())).cast(T.FloatType())

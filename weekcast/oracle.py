@@ -6,9 +6,13 @@ arithmetic), so a disagreement points at one side's bug.
 
 from __future__ import annotations
 
+from weekcast.constants import CV_FIXED_MODULUS, CV_FOLDS, N_LAGS, SEASON, SPLIT_PCT
 from weekcast.hygiene import sql_round
 
-SEASON = 48
+
+def _gap(h: int) -> int:
+    """Purge gap: the oldest lag plus the lead."""
+    return (h + N_LAGS - 1) + h
 
 
 def _suffix(k: int) -> str:
@@ -65,9 +69,9 @@ def _feature_ctes(tag: str, h: int, reference: bool, src: str = "panel", keys: t
     """The five window steps with their filters in between; final CTE ``{tag}_f``."""
     part = f"PARTITION BY {', '.join(keys)} " if keys else ""
     w = f"({part}ORDER BY date)"
-    ks = list(range(h, h + 4))
+    ks = list(range(h, h + N_LAGS))
     base = f"lag_{_suffix(h)}"
-    oldest, widest = f"lag_{_suffix(h + 3)}", f"std_{_suffix(h + 3)}"
+    oldest, widest = f"lag_{_suffix(h + N_LAGS - 1)}", f"std_{_suffix(h + N_LAGS - 1)}"
     frame = lambda k: f"({part}ORDER BY date ROWS BETWEEN {k} PRECEDING AND CURRENT ROW)"
     stats = [f"AVG({base}) OVER {frame(k)} AS ma_{_suffix(k)}" for k in ks] + [
         f"STDDEV_SAMP({base}) OVER {frame(k)} AS std_{_suffix(k)}" for k in ks]
@@ -84,7 +88,7 @@ def _feature_ctes(tag: str, h: int, reference: bool, src: str = "panel", keys: t
               f"LAG(total_sales, {SEASON - h}) OVER {w} AS level FROM {src}")
         s2 = f"SELECT *, total_sales - lag_1year AS diff_sales FROM {tag}_1 WHERE _ix > {SEASON}"
         lags = ", ".join(f"LAG(diff_sales, {k}) OVER {w} AS lag_{_suffix(k)}" for k in ks)
-        s4_where = f"_ix > {SEASON + h + 3}"
+        s4_where = f"_ix > {SEASON + h + N_LAGS - 1}"
         s5_where = f"{widest} IS NOT NULL"
         label = f"LEAD(diff_sales, {h}) OVER {w} AS label"
     cols = [*keys, "date", "temp", "cpi", "is_holiday", "month", "day", "label", "diff_sales",
@@ -103,7 +107,7 @@ def _feature_ctes(tag: str, h: int, reference: bool, src: str = "panel", keys: t
 
 
 def _feature_select(h: int, keys: tuple[str, ...] = (), level: bool = False) -> str:
-    ks = list(range(h, h + 4))
+    ks = list(range(h, h + N_LAGS))
     names = ["label", "diff_sales", *[f"lag_{_suffix(k)}" for k in ks], *[f"ma_{_suffix(k)}" for k in ks],
              *[f"std_{_suffix(k)}" for k in ks]] + (["level"] if level else [])
     return ", ".join([*keys, "date", sql_round("temp"), sql_round("cpi"), sql_round("is_holiday"), "month", "day",
@@ -116,7 +120,8 @@ def features_sql(h: int, reference: bool = True, keys: tuple[str, ...] = (), lev
 
 
 def _split_ctes(tag: str, src: str, gap: int, exact: bool, keys: tuple[str, ...] = ()) -> list[str]:
-    cut = "CAST(CEIL(n_rows * 0.8) AS BIGINT)" if exact else "CAST(CEIL(CAST(n_rows AS DOUBLE) * 0.8) AS BIGINT)"
+    cut = (f"CAST(CEIL(n_rows * {SPLIT_PCT}) AS BIGINT)" if exact
+           else f"CAST(CEIL(CAST(n_rows AS DOUBLE) * {SPLIT_PCT}) AS BIGINT)")
     part = f"PARTITION BY {', '.join(keys)} " if keys else ""
     return [
         f"{tag}_a AS (SELECT *, ROW_NUMBER() OVER ({part}ORDER BY date) AS row_ix, "
@@ -128,30 +133,30 @@ def _split_ctes(tag: str, src: str, gap: int, exact: bool, keys: tuple[str, ...]
 
 
 def split_sql(h: int, role: str, gap: bool) -> str:
-    g = (h + 3) + h if gap else 0
+    g = _gap(h) if gap else 0
     ctes = _feature_ctes("fx", h, True) + _split_ctes("sp", "fx_f", g, exact=False)
     return _with(*ctes) + (f"SELECT date, row_ix, n_rows, cut, {_r('label', 'diff_sales')} FROM sp "
                            f"WHERE role = '{role}'")
 
 
 def folds_sql(reference: bool) -> str:
-    h, gap = 1, 5
+    h, gap = 1, _gap(1)
     ctes = _feature_ctes("fx", h, reference) + _split_ctes("sp", "fx_f", gap, exact=not reference)
     ctes.append("tr AS (SELECT date FROM sp WHERE role = 'train')")
     ctes.append("tr_ix AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS row_ix, COUNT(*) OVER () AS n_rows FROM tr)")
     ctes.append("tr_f AS (SELECT *, 1 AS fold FROM tr_ix UNION ALL SELECT *, 2 AS fold FROM tr_ix)")
     if reference:
         ctes.append(
-            "bounds AS (SELECT *, n_rows % 10 AS initial, CAST(FLOOR((n_rows - n_rows % 10) / 2) AS BIGINT) AS shift "
-            "FROM tr_f)")
+            f"bounds AS (SELECT *, n_rows % {CV_FIXED_MODULUS} AS initial, "
+            f"CAST(FLOOR((n_rows - n_rows % {CV_FIXED_MODULUS}) / {CV_FOLDS}) AS BIGINT) AS shift FROM tr_f)")
         ctes.append(
             "bounds2 AS (SELECT *, initial + shift * fold AS test_end, "
             "CAST(CEIL(CAST(CAST(initial AS FLOAT) / CAST(initial + shift * fold AS FLOAT) AS DOUBLE) "
             "* (initial + shift * fold)) AS BIGINT) AS train_end, 0 AS g FROM bounds)")
     else:
         ctes.append(
-            f"bounds2 AS (SELECT *, CAST(FLOOR(fold * n_rows / 3) AS BIGINT) AS train_end, "
-            f"CAST(FLOOR((fold + 1) * n_rows / 3) AS BIGINT) AS test_end, {gap} AS g FROM tr_f)")
+            f"bounds2 AS (SELECT *, CAST(FLOOR(fold * n_rows / {CV_FOLDS + 1}) AS BIGINT) AS train_end, "
+            f"CAST(FLOOR((fold + 1) * n_rows / {CV_FOLDS + 1}) AS BIGINT) AS test_end, {gap} AS g FROM tr_f)")
     ctes.append(
         "roles AS (SELECT *, CASE WHEN row_ix <= train_end - g THEN 'train' "
         "WHEN row_ix > train_end AND row_ix <= test_end THEN 'test' END AS role FROM bounds2)")
@@ -160,7 +165,7 @@ def folds_sql(reference: bool) -> str:
 
 
 def _naive_ctes(h: int, reference: bool) -> list[str]:
-    ctes = _feature_ctes("fx", h, reference) + _split_ctes("sp", "fx_f", (h + 3) + h, exact=not reference)
+    ctes = _feature_ctes("fx", h, reference) + _split_ctes("sp", "fx_f", _gap(h), exact=not reference)
     ctes.append("nv AS (SELECT date, diff_sales AS prediction, label, level FROM sp WHERE role = 'test')")
     ctes.append("rt AS (SELECT date, prediction + level AS prediction, label + level AS label FROM nv)")
     return ctes
@@ -171,7 +176,7 @@ def retrend_sql(reference: bool) -> str:
 
 
 def retrend_by_key_join_sql() -> str:
-    ctes = _feature_ctes("fx", 2, True) + _split_ctes("sp", "fx_f", 7, exact=False)
+    ctes = _feature_ctes("fx", 2, True) + _split_ctes("sp", "fx_f", _gap(2), exact=False)
     ctes.append("nv AS (SELECT date, diff_sales AS prediction, label FROM sp WHERE role = 'test')")
     ctes.append("lv AS (SELECT date, level FROM fx_f)")
     ctes.append("rt AS (SELECT nv.date, prediction + level AS prediction, label + level AS label, level "
@@ -233,7 +238,7 @@ def sma_smape_sql(reference: bool) -> str:
 
 
 def lr_single_feature_sql() -> str:
-    ctes = _feature_ctes("fx", 1, False) + _split_ctes("sp", "fx_f", 5, exact=True)
+    ctes = _feature_ctes("fx", 1, False) + _split_ctes("sp", "fx_f", _gap(1), exact=True)
     return _with(*ctes) + (
         f"SELECT {_r('slope', 'intercept')} FROM (SELECT REGR_SLOPE(label, diff_sales) AS slope, "
         "REGR_INTERCEPT(label, diff_sales) AS intercept FROM sp WHERE role = 'train')")
@@ -241,20 +246,20 @@ def lr_single_feature_sql() -> str:
 
 def split_keyed_sql() -> str:
     keys = ("nation",)
-    ctes = _feature_ctes("fx", 1, True, "panel_k", keys) + _split_ctes("sp", "fx_f", 5, False, keys)
+    ctes = _feature_ctes("fx", 1, True, "panel_k", keys) + _split_ctes("sp", "fx_f", _gap(1), False, keys)
     return _with(*ctes) + (f"SELECT nation, date, row_ix, n_rows, cut, role, {_r('label', 'diff_sales')} FROM sp")
 
 
 def folds_keyed_sql() -> str:
     keys = ("nation",)
-    gap = 5
+    gap = _gap(1)
     ctes = _feature_ctes("fx", 1, False, "panel_k", keys) + _split_ctes("sp", "fx_f", gap, True, keys)
     ctes.append("tr AS (SELECT nation, date FROM sp WHERE role = 'train')")
     ctes.append("tr_ix AS (SELECT nation, date, ROW_NUMBER() OVER (PARTITION BY nation ORDER BY date) AS row_ix, "
                 "COUNT(*) OVER (PARTITION BY nation) AS n_rows FROM tr)")
     ctes.append("tr_f AS (SELECT *, 1 AS fold FROM tr_ix UNION ALL SELECT *, 2 AS fold FROM tr_ix)")
-    ctes.append(f"bounds2 AS (SELECT *, CAST(FLOOR(fold * n_rows / 3) AS BIGINT) AS train_end, "
-                f"CAST(FLOOR((fold + 1) * n_rows / 3) AS BIGINT) AS test_end FROM tr_f)")
+    ctes.append(f"bounds2 AS (SELECT *, CAST(FLOOR(fold * n_rows / {CV_FOLDS + 1}) AS BIGINT) AS train_end, "
+                f"CAST(FLOOR((fold + 1) * n_rows / {CV_FOLDS + 1}) AS BIGINT) AS test_end FROM tr_f)")
     ctes.append(f"roles AS (SELECT *, CASE WHEN row_ix <= train_end - {gap} THEN 'train' "
                 "WHEN row_ix > train_end AND row_ix <= test_end THEN 'test' END AS role FROM bounds2)")
     return _with(*ctes) + ("SELECT nation, fold, role, COUNT(*) AS n, MIN(date) AS first_date, MAX(date) AS last_date "
@@ -263,7 +268,7 @@ def folds_keyed_sql() -> str:
 
 def smape_keyed_sql() -> str:
     keys = ("nation",)
-    ctes = _feature_ctes("fx", 1, False, "panel_k", keys) + _split_ctes("sp", "fx_f", 5, True, keys)
+    ctes = _feature_ctes("fx", 1, False, "panel_k", keys) + _split_ctes("sp", "fx_f", _gap(1), True, keys)
     ctes.append("rt AS (SELECT nation, date, diff_sales + level AS prediction, label + level AS label "
                 "FROM sp WHERE role = 'test')")
     ctes.append(f"sc AS (SELECT nation, CASE WHEN prediction IS NOT NULL AND label IS NOT NULL "

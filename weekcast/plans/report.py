@@ -22,12 +22,10 @@ from weekcast.operators.features import build_features, series_window
 from weekcast.operators.split import TEST, TRAIN, purge_gap, split_frame
 from weekcast.plans.models import MODEL_NAMES, fit_predict
 from weekcast.plans.select import candidate_columns, feature_importance, select_features
-from weekcast.plans.tune import CV_FOLDS, PARAM_GRIDS, PINNED, best_params, rolling_cv
+from weekcast.constants import CV_FOLDS, PARAM_GRIDS, PINNED, SMA_WINDOWS, SPLIT_PCT
+from weekcast.plans.tune import best_params, rolling_cv
 from weekcast.session import materialize
 
-SPLIT_PCT = 0.8
-#: moving-average window per horizon in the original's table (no baseline at 1 week)
-SMA_WINDOWS = {2: 2, 3: 3}
 
 
 @dataclass

@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
+from weekcast.constants import IMPORTANCE_THRESHOLD
 from weekcast.plans.models import assemble
 
 #: columns that are never model inputs: time, target, seasonal level and split / fold bookkeeping
 NOT_FEATURES = frozenset({"date", "label", "level", "lag_1year", "total_sales", "row_ix", "n_rows", "cut", "role",
                           "fold", "features", "prediction"})
-#: the original keeps features whose importance is above this
-IMPORTANCE_THRESHOLD = 0.03
 
 _NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.DecimalType)
 

@@ -23,30 +23,7 @@ from weekcast.operators.split import TEST, TRAIN, rolling_folds
 from weekcast.plans.models import assemble, estimator, evaluate
 from weekcast.session import materialize
 
-# The search grids of the original, in its order (the first key varies slowest).
-PARAM_GRIDS: dict[str, dict[str, list[str]]] = {
-    "lr": {"RegParam": ["0", "0.1", "0.5"], "ElasticNetParam": ["0", "0.1", "0.5"]},
-    "rf": {"NumTrees": ["5", "10", "15"], "MaxBins": ["28", "30", "32"]},
-    "dt": {"MaxDepth": ["5", "7", "10"], "MaxBins": ["20", "25", "30"]},
-    "gbt": {"MaxIter": ["5", "7", "10"], "MaxBins": ["23", "25", "27"], "MaxDepth": ["6", "8", "10"]},
-}
-
-# Parameters the original pins after tuning, by (model, horizon in weeks). Cells not
-# listed use the cross-validation winner.
-PINNED: dict[tuple[str, int], dict[str, str]] = {
-    ("rf", 2): {"NumTrees": "15", "MaxBins": "28"},
-    ("rf", 3): {"NumTrees": "15", "MaxBins": "28"},
-    ("lr", 1): {"RegParam": "0.5", "ElasticNetParam": "0"},
-    ("lr", 2): {"RegParam": "0.5", "ElasticNetParam": "0"},
-    ("lr", 3): {"RegParam": "0.1", "ElasticNetParam": "0"},
-    ("dt", 1): {"MaxDepth": "5", "MaxBins": "20"},
-    ("dt", 2): {"MaxDepth": "5", "MaxBins": "20"},
-    ("dt", 3): {"MaxDepth": "5", "MaxBins": "20"},
-    ("gbt", 1): {"MaxIter": "5", "MaxDepth": "6", "MaxBins": "23"},
-    ("gbt", 2): {"MaxIter": "5", "MaxDepth": "6", "MaxBins": "23"},
-}
-
-CV_FOLDS = 2
+from weekcast.constants import CV_FOLDS, PARAM_GRIDS, PINNED  # noqa: F401  (re-exported)
 
 CV_SCHEMA = T.StructType([
     T.StructField("model", T.StringType(), False),

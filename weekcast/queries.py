@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.config import CORRECTED, REFERENCE, Preset
+from weekcast.constants import DATE_FORMAT, PARAM_GRIDS, PINNED, SPLIT_PCT
 from weekcast.functions.columns import holiday_flag, parse_date
 from weekcast.hygiene import tidy
 from weekcast.operators.evaluate import retrend, retrend_by_join, rmse, sma_test_frame, smape
@@ -30,13 +31,12 @@ from weekcast.operators.split import TEST, TRAIN, fold_summary, purge_gap, rolli
 from weekcast.plans.models import linear_fit_coefficients
 from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
 from weekcast.plans.select import ranked, selected
-from weekcast.plans.tune import PARAM_GRIDS, PINNED, cv_summary, rolling_cv
+from weekcast.plans.tune import cv_summary, rolling_cv
 from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, fixture_tables
 from weekcast.sources.tables import preview, shape
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SPLIT_PCT = 0.8
 KEYED = ("nation",)
 
 
@@ -106,8 +106,8 @@ def q_flag_encode(spark, sf_dir):
 
 def q_date_parse(spark, sf_dir):
     s = tables(spark, sf_dir, ("sales",))["sales"].select(
-        "store", "dept", "flag", F.date_format("date", "dd/MM/yyyy").alias("date_text"))
-    return s.withColumn("date", parse_date("date_text", "dd/MM/yyyy"))
+        "store", "dept", "flag", F.date_format("date", DATE_FORMAT).alias("date_text"))
+    return s.withColumn("date", parse_date("date_text", DATE_FORMAT))
 
 
 # -- roll-up and features ------------------------------------------------------------------------------

@@ -11,6 +11,8 @@ Canonical column names used by every operator:
 
 from __future__ import annotations
 
+from weekcast.constants import DATE_FORMAT
+
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +81,7 @@ def _flag_text(c: str) -> F.Column:
 MONEY = T.DecimalType(18, 2)
 
 
-def retail_sales(df: DataFrame, date_format: str = "dd/MM/yyyy") -> DataFrame:
+def retail_sales(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
     """``Store, Dept, Date, Weekly_Sales, IsHoliday`` -> canonical sales. The date is parsed before any
     join (S17), the flag normalised so boolean and text spellings join alike (S15), and money is a
     decimal so that weekly sums are exact and their rounding cannot depend on summation order (S24)."""
@@ -92,7 +94,7 @@ def retail_sales(df: DataFrame, date_format: str = "dd/MM/yyyy") -> DataFrame:
     )
 
 
-def retail_features(df: DataFrame, date_format: str = "dd/MM/yyyy",
+def retail_features(df: DataFrame, date_format: str = DATE_FORMAT,
                     covariates: Sequence[str] = RETAIL_COVARIATES) -> DataFrame:
     """Covariate table; text ``NA`` becomes null through ``try_cast``."""
     return df.select(
