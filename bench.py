@@ -20,10 +20,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from weekcast.config import CORRECTED, REFERENCE  # noqa: E402
 from weekcast.operators.features import build_features  # noqa: E402
+from weekcast.operators.panel import merge_tables  # noqa: E402
 from weekcast.plans.models import evaluate, fit_predict  # noqa: E402
 from weekcast.plans.report import prepare_horizon  # noqa: E402
 from weekcast.plans.tune import PINNED  # noqa: E402
-from weekcast.queries import RF_FIXED, panel  # noqa: E402
+from weekcast.queries import RF_FIXED, panel, tables  # noqa: E402
 from weekcast.session import get_session  # noqa: E402
 
 
@@ -46,7 +47,12 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="weekcast-bench")
 
+    def merged():
+        t = tables(spark, sf_dir)
+        return merge_tables(t["sales"], t["features"], t["stores"])
+
     q = {
+        "merge_left_dimension": run_noop(merged),
         "weekly_panel": run_noop(lambda: panel(spark, sf_dir)),
         "weekly_panel_by_supplier": run_noop(lambda: panel(spark, sf_dir, ("store",))),
         "features_h1": run_noop(lambda: build_features(panel(spark, sf_dir), 1, (), REFERENCE)),
