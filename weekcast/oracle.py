@@ -237,6 +237,20 @@ def sma_smape_sql(reference: bool) -> str:
     return _with(*ctes) + " UNION ALL ".join(parts)
 
 
+def sma_smape_keyed_sql() -> str:
+    keys = ("nation",)
+    ctes = _split_ctes("sk", "panel_k", 0, True, keys)
+    parts = []
+    for w in (2, 3):
+        ctes.append(f"sk{w} AS (SELECT nation, role, total_sales AS label, AVG(total_sales) OVER (PARTITION BY nation "
+                    f"ORDER BY date ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS prediction FROM sk)")
+        ctes.append(f"sk{w}_t AS (SELECT nation, CASE WHEN prediction IS NOT NULL AND label IS NOT NULL "
+                    f"THEN {_smape_term('prediction', 'label')} END AS term FROM sk{w} WHERE role = 'test')")
+        parts.append(f"SELECT nation, {w} AS sma_window, ROUND(ROUND(SUM(term) / COUNT(term) * 100.0, 4), 4) AS smape, "
+                     f"COUNT(term) AS n_scored FROM sk{w}_t GROUP BY nation")
+    return _with(*ctes) + " UNION ALL ".join(parts)
+
+
 def lr_single_feature_sql() -> str:
     ctes = _feature_ctes("fx", 1, False) + _split_ctes("sp", "fx_f", _gap(1), exact=True)
     return _with(*ctes) + (
@@ -352,5 +366,6 @@ ORACLE: dict[str, str] = {
     "sma_3": sma_sql(3),
     "sma_smape": sma_smape_sql(False),
     "sma_smape_day_order": sma_smape_sql(True),
+    "sma_smape_keyed": sma_smape_keyed_sql(),
     "lr_single_feature": lr_single_feature_sql(),
 }

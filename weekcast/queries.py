@@ -258,6 +258,17 @@ def _sma_smape(preset: Preset) -> Query:
     return q
 
 
+def q_sma_smape_keyed(spark, sf_dir):
+    """Per-nation baseline scores: each nation's series split and averaged on its own."""
+    p = panel(spark, sf_dir, KEYED)
+    parts = [
+        smape(sma_test_frame(p, w, SPLIT_PCT, KEYED, CORRECTED), 0, KEYED, CORRECTED).select(
+            "nation", F.lit(w).alias("sma_window"), "smape", "n_scored")
+        for w in (2, 3)
+    ]
+    return tidy(parts[0].unionByName(parts[1]))
+
+
 def q_lr_single_feature(spark, sf_dir):
     s = split_frame(features(spark, sf_dir, 1, CORRECTED), SPLIT_PCT, purge_gap(1), (), CORRECTED)
     train = s.where(F.col("role") == TRAIN)
@@ -379,6 +390,7 @@ REGISTRY: dict[str, Query] = {
     "sma_3": _sma_query(3),
     "sma_smape": _sma_smape(CORRECTED),
     "sma_smape_day_order": _sma_smape(REFERENCE),
+    "sma_smape_keyed": q_sma_smape_keyed,
     "lr_single_feature": q_lr_single_feature,
     "predict_rf": _predict_query("rf"),
     "predict_dt": _predict_query("dt"),
