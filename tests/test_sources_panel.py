@@ -36,10 +36,20 @@ def test_assert_unique(spark):
         assert_unique(df, ["store"])
 
 
+def _plan_text(df) -> str:
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(True)
+    return buf.getvalue().lower()
+
+
 def test_bounded_broadcast(spark):
     df = spark.range(10)
-    assert "broadcast" in bounded_broadcast(df, 10)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in bounded_broadcast(df, 9)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in _plan_text(bounded_broadcast(df, 10))
+    assert "broadcast" not in _plan_text(bounded_broadcast(df, 9))
 
 
 def test_shapes_match_fixture_sizes(spark):
