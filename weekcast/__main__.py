@@ -31,21 +31,24 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--preset", choices=sorted(PRESETS), default="corrected")
     ap.add_argument("--horizons", default="1,2,3")
     ap.add_argument("--models", default="rf,dt,lr,gbt")
+    ap.add_argument("--keys", default="", help="series keys, e.g. store or type (fixture: store or nation)")
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
     spark = get_session(master=args.master)
+    keys = tuple(k for k in args.keys.split(",") if k)
     if args.source == "catalog":
         t = catalog_tables(spark)
         panel = weekly_panel(retail_sales(t["sales"]), retail_features(t["features"]), retail_stores(t["stores"]),
-                             covariates=RETAIL_PANEL_COVARIATES)
+                             keys=keys, covariates=RETAIL_PANEL_COVARIATES)
     else:
-        t = fixture_tables(spark, args.sf_dir, ("sales", "features"))
-        panel = weekly_panel(t["sales"], t["features"], covariates=COVARIATES, holiday_values=HOLIDAY_FLAGS,
-                             normalize_flag=False)
+        t = fixture_tables(spark, args.sf_dir)
+        panel = weekly_panel(t["sales"], t["features"], t["stores"], keys=keys, covariates=COVARIATES,
+                             holiday_values=HOLIDAY_FLAGS, normalize_flag=False)
     horizons = tuple(int(h) for h in args.horizons.split(","))
-    long, _ = compare(panel, horizons=horizons, models=tuple(args.models.split(",")), preset=PRESETS[args.preset])
-    accuracy_table(long, horizons).show(truncate=False)
+    long, _ = compare(panel, horizons=horizons, models=tuple(args.models.split(",")), preset=PRESETS[args.preset],
+                      keys=keys)
+    accuracy_table(long, horizons, keys).show(n=1000, truncate=False)
 
 
 if __name__ == "__main__":
