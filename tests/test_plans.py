@@ -70,3 +70,21 @@ def test_scan_prunes_columns_and_pushes_the_filter(no_broadcast):
     text = buf.getvalue()
     assert "GreaterThan(l_quantity,25.0)" in text
     assert "l_comment" not in text and "l_orderkey" not in text
+
+
+def test_registered_queries_read_the_given_tables(spark):
+    """Every SQL-checked query is a plan over the driver's parquet files, with no local relation."""
+    from __spark_entry__ import oracle_sql, queries
+
+    q = queries()
+    # coefficients of an MLlib fit over the tables, returned as a one-row frame (checked against SQL's
+    # closed form); the fit itself reads the tables
+    model_outputs = {"lr_single_feature"}
+    for name in sorted(set(oracle_sql()) - model_outputs):
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            q[name](spark, SF_SMALL).explain("simple")
+        text = buf.getvalue()
+        assert "FileScan parquet" in text, name
+        assert "lineitem.parquet" in text or "supplier.parquet" in text, name
+        assert "LocalTableScan" not in text, name
