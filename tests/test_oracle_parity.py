@@ -1,9 +1,12 @@
-"""Every registered query against its SQL twin in DuckDB, at sf 0.001 (the driver checks sf 0.01)."""
+"""Every registered query against its SQL twin in DuckDB, at sf 0.001 by default; set
+``WEEKCAST_ORACLE_SF`` (e.g. /root/testdata/sf0.01, the driver's scale) to check another scale."""
 
 import datetime as dt
 import decimal
 import math
 
+import os
+
 import duckdb
 import pytest
 
@@ -12,6 +15,7 @@ from conftest import SF_SMALL
 from weekcast.sources.tables import DRIVER_TABLES
 
 SQL = oracle_sql()
+SF_DIR = os.environ.get("WEEKCAST_ORACLE_SF", SF_SMALL)
 
 
 def _norm(v):
@@ -34,7 +38,7 @@ def _rows(cols, records):
 def duck():
     con = duckdb.connect()
     for t in DRIVER_TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
     return con
 
 
@@ -44,7 +48,7 @@ def test_every_sql_twin_is_registered():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_parity(spark, duck, name):
-    df = queries()[name](spark, SF_SMALL)
+    df = queries()[name](spark, SF_DIR)
     res = duck.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
