@@ -152,6 +152,7 @@ def q_lag_features(spark, sf_dir):
 
 
 def q_lead_label(spark, sf_dir):
+    """The 3-week label (lead with the 0 default) on the seasonally differenced series."""
     d = horizon_label(seasonal_diff(panel(spark, sf_dir), (), REFERENCE), 3, (), REFERENCE)
     return tidy(d.select("date", "diff_sales", "label"))
 
@@ -179,6 +180,7 @@ def _features_query(h: int, preset: Preset, keys: tuple[str, ...] = (), level: b
 # -- split, gap, folds ---------------------------------------------------------------------------------
 
 def _split_query(h: int, role: str, gap: bool) -> Query:
+    """Rows of one role of the 80/20 split of the h-week frame, with or without the purge gap."""
     def q(spark, sf_dir):
         s = split_frame(features(spark, sf_dir, h, REFERENCE), SPLIT_PCT, purge_gap(h) if gap else 0, (), REFERENCE)
         return tidy(s.where(F.col("role") == role).select("date", "row_ix", "n_rows", "cut", "label", "diff_sales"))
@@ -186,6 +188,7 @@ def _split_query(h: int, role: str, gap: bool) -> Query:
 
 
 def _folds_query(preset: Preset) -> Query:
+    """Fold summary of the rolling CV over the purged 1-week training rows."""
     def q(spark, sf_dir):
         h = 1
         s = split_frame(features(spark, sf_dir, h, preset), SPLIT_PCT, purge_gap(h), (), preset)
@@ -208,10 +211,12 @@ def q_rolling_folds_keyed(spark, sf_dir):
 # -- retrend and scores --------------------------------------------------------------------------------
 
 def q_retrend_naive(spark, sf_dir):
+    """Naive forecast (difference unchanged) with the origin level added back."""
     return tidy(retrend(naive_predictions(spark, sf_dir, 1, REFERENCE)).select("date", "prediction", "label"))
 
 
 def q_retrend_corrected(spark, sf_dir):
+    """Naive forecast with the level of the target row added back."""
     return tidy(retrend(naive_predictions(spark, sf_dir, 1, CORRECTED)).select("date", "prediction", "label"))
 
 
@@ -223,10 +228,12 @@ def q_retrend_by_key_join(spark, sf_dir):
 
 
 def q_smape_naive(spark, sf_dir):
+    """sMAPE of the retrended naive forecast, last row trimmed, all rows in the denominator."""
     return tidy(smape(retrend(naive_predictions(spark, sf_dir, 1, REFERENCE)), 1, (), REFERENCE))
 
 
 def q_smape_corrected(spark, sf_dir):
+    """sMAPE of the retrended naive forecast over the rows scored."""
     return tidy(smape(retrend(naive_predictions(spark, sf_dir, 1, CORRECTED)), 0, (), CORRECTED))
 
 
@@ -238,6 +245,7 @@ def q_smape_keyed(spark, sf_dir):
 
 
 def q_rmse_naive(spark, sf_dir):
+    """RMSE of the naive forecast of the difference."""
     return tidy(rmse(naive_predictions(spark, sf_dir, 1, REFERENCE)))
 
 
@@ -270,6 +278,7 @@ def q_sma_smape_keyed(spark, sf_dir):
 
 
 def q_lr_single_feature(spark, sf_dir):
+    """Unpenalised one-feature linear fit (MLlib), checked against the closed form in SQL."""
     s = split_frame(features(spark, sf_dir, 1, CORRECTED), SPLIT_PCT, purge_gap(1), (), CORRECTED)
     train = s.where(F.col("role") == TRAIN)
     return tidy(linear_fit_coefficients(train, ["diff_sales"], "label"))
@@ -327,6 +336,7 @@ def q_predict_keyed(spark, sf_dir):
 
 
 def _comparison(preset: Preset) -> Query:
+    """The accuracy table: models x horizons, CV winners where the original tunes."""
     def q(spark, sf_dir):
         long, _ = compare(panel(spark, sf_dir), preset=preset)
         return tidy(accuracy_table(long))
