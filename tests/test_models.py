@@ -209,3 +209,14 @@ def test_forest_predictions_do_not_depend_on_shuffle_settings(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1]
+
+
+def test_reference_comparison_path(spark):
+    """Series-tail baseline, fixed-origin CV and trimmed scoring, on a one-set grid."""
+    p = panel(spark, SF_SMALL)
+    one = {"dt": {"MaxDepth": ["5"], "MaxBins": ["20"]}}
+    long, runs = compare(p, horizons=(2,), models=("dt",), preset=REFERENCE, pinned={}, grids=one)
+    rows = {r["model"]: r["2 weeks"] for r in accuracy_table(long, (2,)).collect()}
+    assert set(rows) == {"SMA", "Decision Tree"} and all(0 <= v <= 200 for v in rows.values())
+    cv = runs[0].cv.collect()
+    assert len(cv) == 2 and all(r["n_train"] < r["n_test"] for r in cv)   # the fixed origin trains on n % 10 rows
