@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm.common import read_table
+from weekcast.llm.packing import pack
 from weekcast.llm.quality_rules import quality_rules
+from weekcast.llm.simhash import simhash_groups
+from weekcast.llm.topk import top_k
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +18,25 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"), labels.where(F.col("quality") == 1))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-word shingles, fingerprints linked at two bits or fewer."""
+    return simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 4096 ids of the public word vocabulary, end id 2."""
+    return pack(read_table(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best inner products of every hundredth vector against all others."""
+    return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
+    "op6_topk": op6_topk,
+    "op5_packing": op5_packing,
+    "op8_simhash": op8_simhash,
     "op3_quality_rules": op3_quality_rules,
 }
 SQL: dict[str, str] = {}
