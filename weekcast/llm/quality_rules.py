@@ -143,7 +143,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id"
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     ids = trusted.select(F.col(id_column).alias("doc_id")).distinct()
     raw = gram_counts(own, buckets=buckets)
-    target = gram_counts(own.join(ids, "doc_id", "left_semi"), buckets=buckets)
+    # the label table grows with the documents: a shuffle join at every size, never a broadcast of its ids
+    target = gram_counts(own.join(ids.hint("merge"), "doc_id", "left_semi"), buckets=buckets)
     weights = log_ratio(raw, target, buckets)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
