@@ -24,7 +24,9 @@ SYMBOLS = b"#*$%&|<>"
 GRAM = 4
 BUCKETS = 1 << 16
 #: A document with a lower mean log ratio (natural logarithm, per n-gram) is rejected.
-THRESHOLD = -0.12
+THRESHOLD = -0.22
+#: Share of the raw corpus in the smoothed target: an n-gram that the target never shows costs log(0.2) at most.
+RAW_SHARE = 0.2
 
 BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 
@@ -112,14 +114,14 @@ def gram_counts(docs: DataFrame, column: str = "text", buckets: int = BUCKETS) -
 
 
 def log_ratio(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """log(p_target / p_raw) per bucket with add-one smoothing; the driver gets at most 2 * `buckets` rows."""
+    """log(p_target / p_raw) per bucket, the target smoothed by the raw corpus; the driver gets at most 2 * `buckets` rows."""
     counted = raw.withColumn("side", F.lit(0)).unionByName(target.withColumn("side", F.lit(1))).collect()
-    n = np.ones((2, buckets))
+    n = np.ones((2, buckets))  # add one: no bucket is without mass
     for row in counted:
         n[row.side, row.bucket] += row.n
     p = n / n.sum(axis=1, keepdims=True)
     # with no trusted text at all there is nothing to compare with: every ratio is 0
-    return np.log(p[1] / p[0]) if any(row.side for row in counted) else np.zeros(buckets)
+    return np.log((1 - RAW_SHARE) * p[1] / p[0] + RAW_SHARE) if any(row.side for row in counted) else np.zeros(buckets)
 
 
 def mean_ratio(part: pa.RecordBatch, column: str, weights: np.ndarray) -> np.ndarray:
