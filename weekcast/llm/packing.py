@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.llm.common import slices, stored
-from weekcast.llm.tokens import LowerWordEncoder
+from weekcast.llm.tokens import lower_word_encoder
 
 WINDOW = 4096
 END_ID = 2
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, en
     """(doc_id, start, length, ids_crc32, doc_tokens): each document cut into full windows and a rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = LowerWordEncoder(tokenizer)
+        encoder = lower_word_encoder(tokenizer)
         for part in slices(batches, "text"):
             rows: list[tuple] = []
             for row, ids in enumerate(encoder.encode(part.column("text").fill_null("").to_pylist())):

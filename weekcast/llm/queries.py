@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekcast.llm.bpe import encode_decode
 from weekcast.llm.common import read_table
 from weekcast.llm.packing import pack
 from weekcast.llm.quality_rules import quality_rules
 from weekcast.llm.simhash import simhash_groups
+from weekcast.llm.suffix_dedup import remove_repeats
 from weekcast.llm.topk import top_k
 
 
@@ -33,7 +35,23 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every text and the text that they decode to, as digests."""
+    both = encode_decode(read_table(spark, sf_dir, "documents"))
+    count = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that start in a document with a smaller id are removed."""
+    rows = remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return rows.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op7_bpe": op7_bpe,
     "op6_topk": op6_topk,
     "op5_packing": op5_packing,
     "op8_simhash": op8_simhash,
