@@ -40,13 +40,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crc_mod(column: Column | str, modulus: int) -> Column:
+def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; a null id counts as empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary")), F.lit(modulus))
-
-
-def held_out(ids: np.ndarray, modulus: int, remainder: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(str(i).encode()) % modulus == remainder for i in ids), bool, len(ids))
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

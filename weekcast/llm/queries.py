@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm.bpe import encode_decode
-from weekcast.llm.common import read_table
+from weekcast.llm.common import crc_mod, read_table
+from weekcast.llm.cotraining import classify
 from weekcast.llm.packing import pack
 from weekcast.llm.quality_rules import quality_rules
 from weekcast.llm.simhash import simhash_groups
 from weekcast.llm.suffix_dedup import remove_repeats
 from weekcast.llm.topk import top_k
+from weekcast.llm.toxicity import toxicity
+from weekcast.llm.warc import round_trip
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,27 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a WARC archive and read back."""
+    return round_trip(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clause grammar fitted on the rows whose id hash is not held out."""
+    held_out = crc_mod("doc_id", 4) == 2
+    rows = toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), is_training=~held_out)
+    return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by two co-trained views."""
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op4_cotraining": op4_cotraining,
+    "op2_toxicity": op2_toxicity,
+    "op9_warc": op9_warc,
     "op1_suffix_dedup": op1_suffix_dedup,
     "op7_bpe": op7_bpe,
     "op6_topk": op6_topk,

@@ -25,52 +25,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import slices, stored, text_buffer
+from weekcast.llm.chunks import ROW, by_key, dealt, pack, parts_of, row_of, rows_of, stored_chunks, text_of, unpack
 from weekcast.llm.suffix_array import lanes, permuted_lcp, suffix_array
 from weekcast.llm.tokens import spread
 
 LENGTH = 50
 GRAM = 20
-#: Bytes of text in a chunk, and windows that are hashed at a time.
-CHUNK_BYTES = 16 << 20
+#: Windows that are hashed at a time.
 BLOCK = 1 << 19
 #: Occurrences of a gram beyond which its windows are sent one by one.
 HOT = 1024
 #: Bytes of contexts in one suffix array, about.
 ARRAY_BYTES = 1 << 20
-#: Gram buckets and context shards for each shuffle partition.
-PARTS_PER_PARTITION = 4
 NO_ID = np.iinfo(np.int64).max
 
-ROW = "chunk long, step long, ids array<long>, a binary, b binary, c binary, d binary"
-NAMES = ["chunk", "step", "ids", "a", "b", "c", "d"]
-
-
-def _pack(numbers: np.ndarray) -> bytes:
-    """Numbers as zstd-compressed byte planes: high bytes that hardly change cost next to nothing."""
-    return zstandard.compress(np.ascontiguousarray(numbers).view(np.uint8).reshape(len(numbers), numbers.dtype.itemsize).T.tobytes(), 1)
-
-
-def _unpack(blob: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def _row(chunk: int, step: int, ids: list | None, *blobs: bytes) -> pa.RecordBatch:
-    blobs = [*blobs, *[None] * (4 - len(blobs))]
-    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([step], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([b], pa.binary()) for b in blobs]], NAMES)
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
 def owned_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, end, gram position, gram key) of each run of windows with one owner, never across rows."""
     parts = []
@@ -112,38 +83,6 @@ def _gram_keys(data: np.ndarray) -> np.ndarray:
     return key
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """Documents in chunks: step rows with ids, sizes (a) and compressed text (b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, step, held = TaskContext.get().partitionId() << 20, 0, 0
-        for part in slices(batches, "text"):
-            data, offsets = text_buffer(part.column("text"))
-            if step and held + len(data) > CHUNK_BYTES:
-                chunk, step, held = chunk + 1, 0, 0
-            yield _row(chunk, step, part.column("doc_id").to_pylist(), _pack(np.diff(offsets)), zstandard.compress(data.tobytes(), 3))
-            step, held = step + 1, held + len(data)
-
-    return docs.mapInArrow(run, ROW)
-
-
-def _text(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(zstandard.decompress(row["b"]), np.uint8), np.concatenate([[0], np.cumsum(_unpack(row["a"], np.int64))])
-
-
-def _by_key(rows: Iterator[dict], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Neighbouring rows with one key, together."""
-    now, held = None, []
-    for row in rows:
-        if held and row[key] != now:
-            yield now, held
-            held = []
-        now = row[key]
-        held.append(row)
-    if held:
-        yield now, held
-
-
 def _ask_grams(buckets: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(chunk: int, found: list) -> Iterator[pa.RecordBatch]:
@@ -159,15 +98,15 @@ def _ask_grams(buckets: int, length: int):
             bucket = ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
             for a, b in zip(edges[:-1], edges[1:]):
-                yield _row(int(bucket[a]), chunk, None, _pack(np.diff(key[a:b], prepend=np.uint64(0))), _pack(mine[a:b]))
+                yield row_of(int(bucket[a]), chunk, None, pack(np.diff(key[a:b], prepend=np.uint64(0))), pack(mine[a:b]))
 
         chunk, found, docs = None, [], 0
-        for row in _rows(batches):
+        for row in rows_of(batches):
             if found and row["chunk"] != chunk:
                 yield from flush(chunk, found)
                 found, docs = [], 0
             chunk = row["chunk"]
-            data, offsets = _text(row)
+            data, offsets = text_of(row)
             first, _, _, key = owned_runs(data, offsets, length)
             found.append((key, docs + np.searchsorted(offsets, first, "right")))
             docs += len(offsets)
@@ -179,9 +118,9 @@ def _ask_grams(buckets: int, length: int):
 
 def _answer_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a bucket (its number in `chunk`, the asking chunk in `step`) to the shared grams of each chunk."""
-    for _, rows in _by_key(_rows(batches), "chunk"):
-        keys = [np.cumsum(_unpack(r["a"], np.uint64), dtype=np.uint64) for r in rows]
-        key, mine = np.concatenate(keys), np.concatenate([_unpack(r["b"], np.uint32) for r in rows]).astype(np.int64)
+    for _, rows in by_key(rows_of(batches), "chunk"):
+        keys = [np.cumsum(unpack(r["a"], np.uint64), dtype=np.uint64) for r in rows]
+        key, mine = np.concatenate(keys), np.concatenate([unpack(r["b"], np.uint32) for r in rows]).astype(np.int64)
         order = np.argsort(key, kind="stable")
         head = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
         size = np.diff(np.r_[head, len(key)])
@@ -194,7 +133,7 @@ def _answer_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             answer = state[at : at + len(own)]
             at += len(own)
             if answer.any():
-                yield _row(row["step"], -1, None, _pack(np.diff(own[answer > 0], prepend=np.uint64(0))), _pack(answer[answer > 0]))
+                yield row_of(row["step"], -1, None, pack(np.diff(own[answer > 0], prepend=np.uint64(0))), pack(answer[answer > 0]))
 
 
 class _Contexts:
@@ -202,8 +141,8 @@ class _Contexts:
 
     def __init__(self, answers: list[dict], length: int):
         self.length, self.number = length, {}
-        self.key = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(_unpack(r["a"], np.uint64), dtype=np.uint64) for r in answers]])
-        self.state = np.concatenate([np.empty(0, np.uint8), *[_unpack(r["b"], np.uint8) for r in answers]])
+        self.key = np.concatenate([np.empty(0, np.uint64), *[np.cumsum(unpack(r["a"], np.uint64), dtype=np.uint64) for r in answers]])
+        self.state = np.concatenate([np.empty(0, np.uint8), *[unpack(r["b"], np.uint8) for r in answers]])
         order = np.argsort(self.key)
         self.key, self.state = self.key[order], self.state[order]
 
@@ -229,7 +168,7 @@ def _steps(rows: list[dict], length: int) -> Iterator[tuple[dict, tuple, tuple,
     contexts = _Contexts([r for r in rows if r["step"] < 0], length)
     for row in rows:
         if row["step"] >= 0:
-            data, offsets = _text(row)
+            data, offsets = text_of(row)
             yield row, (data, offsets), contexts.find(data, offsets), contexts
 
 
@@ -239,7 +178,7 @@ def _ids(row: dict) -> np.ndarray:
 
 def _ask_contexts(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in _by_key(_rows(batches), "chunk"):
+        for chunk, rows in by_key(rows_of(batches), "chunk"):
             parts, contexts = [], None
             for row, (_, offsets), (number, start, _, gram, key), contexts in _steps(rows, length):
                 parts.append((number, _ids(row)[np.searchsorted(offsets, start, "right") - 1], gram, key))
@@ -260,7 +199,7 @@ def _ask_contexts(shards: int, length: int):
                 mine = order[a:b]
                 some = [raws[i] for i in mine]
                 sizes = np.fromiter(map(len, some), np.uint8, len(some))
-                yield _row(int(shard[mine[0]]), chunk, None, _pack(mine.astype(np.uint32)), _pack(np.stack([sizes, gram[mine]], 1).reshape(-1).view(np.uint16)), zstandard.compress(b"".join(some), 3), _pack(least[mine]))
+                yield row_of(int(shard[mine[0]]), chunk, None, pack(mine.astype(np.uint32)), pack(np.stack([sizes, gram[mine]], 1).reshape(-1).view(np.uint16)), zstandard.compress(b"".join(some), 3), pack(least[mine]))
 
     return run
 
@@ -288,13 +227,13 @@ def equal_window_minima(contexts: list[bytes], least: np.ndarray, length: int =
 
 def _answer_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_key(_rows(batches), "chunk"):
+        for _, rows in by_key(rows_of(batches), "chunk"):
             number, asked, groups = {}, [], {}
             least = []
             for row in rows:
-                sizes, gram = _unpack(row["b"], np.uint16).view(np.uint8).reshape(-1, 2).T
+                sizes, gram = unpack(row["b"], np.uint16).view(np.uint8).reshape(-1, 2).T
                 raw, ends, mine = zstandard.decompress(row["c"]), np.cumsum(sizes, dtype=np.int64), []
-                for end, size, offset, low in zip(ends.tolist(), sizes.tolist(), gram.tolist(), _unpack(row["d"], np.int64).tolist()):
+                for end, size, offset, low in zip(ends.tolist(), sizes.tolist(), gram.tolist(), unpack(row["d"], np.int64).tolist()):
                     one = raw[end - size : end]
                     i = number.setdefault(one, len(number))
                     mine.append(i)
@@ -318,7 +257,7 @@ def _answer_contexts(length: int):
             for row, mine in zip(rows, asked):
                 # a context that shares its gram with no other has one least id, which stands for all its windows
                 values = [minima[i] if i in minima else least[i : i + 1] for i in mine]
-                yield _row(row["step"], -1, None, row["a"], _pack(np.fromiter(map(len, values), np.uint8, len(values))), _pack(np.concatenate(values)))
+                yield row_of(row["step"], -1, None, row["a"], pack(np.fromiter(map(len, values), np.uint8, len(values))), pack(np.concatenate(values)))
 
     return run
 
@@ -326,17 +265,17 @@ def _answer_contexts(length: int):
 def _mark(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Step rows with the shared contexts of each step: (number, first window, windows) in c."""
-        for chunk, rows in _by_key(_rows(batches), "chunk"):
+        for chunk, rows in by_key(rows_of(batches), "chunk"):
             for row, _, (number, start, windows, _, _), _ in _steps(rows, length):
-                yield _row(chunk, row["step"], row["ids"], row["a"], row["b"], _pack(np.stack([number, start, windows], 1).reshape(-1)))
+                yield row_of(chunk, row["step"], row["ids"], row["a"], row["b"], pack(np.stack([number, start, windows], 1).reshape(-1)))
 
     return run
 
 
 def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_key(_rows(batches), "chunk"):
-            answers = [(_unpack(r["a"], np.uint32), _unpack(r["b"], np.uint8).astype(np.int64), _unpack(r["c"], np.int64)) for r in rows if r["step"] < 0]
+        for _, rows in by_key(rows_of(batches), "chunk"):
+            answers = [(unpack(r["a"], np.uint32), unpack(r["b"], np.uint8).astype(np.int64), unpack(r["c"], np.int64)) for r in rows if r["step"] < 0]
             if answers:
                 number, many, flat = (np.concatenate(x) for x in zip(*answers))
                 at, held = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
@@ -344,8 +283,8 @@ def _remove(length: int):
             for row in rows:
                 if row["step"] < 0:
                     continue
-                data, offsets = _text(row)
-                number, start, windows = _unpack(row["c"], np.int64).reshape(-1, 3).T
+                data, offsets = text_of(row)
+                number, start, windows = unpack(row["c"], np.int64).reshape(-1, 3).T
                 cover = np.zeros(len(data) + 1, np.int64)
                 if len(number):
                     window = spread(start, windows)
@@ -382,12 +321,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     if not GRAM <= length <= 140:
         raise ValueError("length must lie between 20 and 140")
-    parts = PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = stored(_chunks(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))), "chunks")
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return rows.repartition("chunk").sortWithinPartitions("chunk", "step")
-
+    parts = parts_of(docs)
+    chunks = stored_chunks(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
     shared = dealt(chunks.mapInArrow(_ask_grams(parts, length), ROW)).mapInArrow(_answer_grams, ROW)
     whole = dealt(chunks.unionByName(shared))
     minima = dealt(whole.mapInArrow(_ask_contexts(parts, length), ROW)).mapInArrow(_answer_contexts(length), ROW)
