@@ -23,6 +23,9 @@ CHUNK_BYTES = 16 << 20
 #: Buckets for each shuffle partition.
 PARTS_PER_PARTITION = 4
 
+#: zstd level of texts: they are written once and shuffled several times.
+TEXT_LEVEL = 6
+
 ROW = "chunk long, step long, ids array<long>, a binary, b binary, c binary, d binary"
 NAMES = ["chunk", "step", "ids", "a", "b", "c", "d"]
 
@@ -79,7 +82,7 @@ def stored_chunks(docs: DataFrame) -> DataFrame:
             data, offsets = text_buffer(part.column("text"))
             if step and held + len(data) > CHUNK_BYTES:
                 chunk, step, held = chunk + 1, 0, 0
-            yield row_of(chunk, step, part.column("doc_id").to_pylist(), pack(np.diff(offsets)), zstandard.compress(data.tobytes(), 3))
+            yield row_of(chunk, step, part.column("doc_id").to_pylist(), pack(np.diff(offsets)), zstandard.compress(data.tobytes(), TEXT_LEVEL))
             step, held = step + 1, held + len(data)
 
     return stored(docs.mapInArrow(run, ROW), "chunks")

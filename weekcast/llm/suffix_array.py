@@ -155,4 +155,6 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
         common[at] = done + equal
         at, other = at[x == 0], other[x == 0]
         done += 8
+    # the padding behind the last byte is no text
+    common = np.minimum(common, np.where(before >= 0, len(data) - np.maximum(np.arange(len(data)), before), 0))
     return np.minimum(common, limit)

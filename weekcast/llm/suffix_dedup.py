@@ -10,6 +10,7 @@ and a run of neighbouring windows with one owner forms a short context.
    gram. The shard builds suffix arrays of its contexts by induced sorting; windows next to each other in
    suffix order whose permuted common prefix covers a whole window are equal, and the least id of each such
    group goes back to the chunks that asked.
+   Documents that copy a whole text with a smaller id are told by a digest and ask nothing.
 3. A chunk marks the bytes of the windows whose least id is smaller than the document's own.
 
 A chunk sends a gram or a context once however often it has it, so a passage in a third of all documents
@@ -19,6 +20,7 @@ by the whole window, so that no shard gathers the many different surroundings of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from weekcast.llm.tokens import spread
 LENGTH = 50
 GRAM = 20
 #: Windows that are hashed at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 16
 #: Occurrences of a gram beyond which its windows are sent one by one.
 HOT = 1024
 #: Bytes of contexts in one suffix array, about.
@@ -49,15 +51,13 @@ def owned_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> t
         some = data[at : at + BLOCK + length - 1]
         windows = len(some) - length + 1
         key = _gram_keys(some)
-        # sliding minimum over the grams of a window, by doubling; "less" keeps the leftmost of equals
-        low, owner, have, width = (key >> np.uint64(32)).astype(np.uint32), np.arange(len(key), dtype=np.int32), 1, length - GRAM + 1
+        # sliding minimum over the grams of a window, by doubling; the position makes the leftmost of equals least
+        low, have, width = key & np.uint64(0xFFFFFFFF00000000) | np.arange(len(key), dtype=np.uint64), 1, length - GRAM + 1
         while have < width:
             step = min(have, width - have)
-            n = len(low) - step
-            later = low[step:] < low[:n]
-            owner = np.where(later, owner[step:], owner[:n])
-            low = np.where(later, low[step:], low[:n])
+            low = np.minimum(low[step:], low[: len(low) - step])
             have += step
+        owner = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         inside = np.ones(windows, bool)
         for end in offsets[np.searchsorted(offsets, at, "right") : np.searchsorted(offsets, at + len(some), "left")]:
             inside[max(0, end - at - length + 1) : max(0, min(windows, end - at))] = False
@@ -146,12 +146,14 @@ class _Contexts:
         order = np.argsort(self.key)
         self.key, self.state = self.key[order], self.state[order]
 
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(number, first window, windows, gram offset or 255, key) of each shared context, in text order."""
+    def find(self, data: np.ndarray, offsets: np.ndarray, left_out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number, first window, windows, gram offset or 255, key) of each shared context, in text order;
+        rows in `left_out` have none."""
         first, end, gram, key = owned_runs(data, offsets, self.length)
         at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
         state = np.where(self.key[at] == key, self.state[at], 0) if len(self.key) else np.zeros(len(key), np.uint8)
         keep = state > 0
+        keep &= ~left_out[np.searchsorted(offsets, first, "right") - 1]
         first, end, gram, key, hot = first[keep], end[keep], gram[keep], key[keep], state[keep] == 2
         # the windows of a hot gram are contexts of their own
         many = np.where(hot, end - first, 1)
@@ -164,12 +166,37 @@ class _Contexts:
         return found, start, windows, np.where(hot, 255, gram - start), key
 
 
-def _steps(rows: list[dict], length: int) -> Iterator[tuple[dict, tuple, tuple, _Contexts]]:
-    contexts = _Contexts([r for r in rows if r["step"] < 0], length)
+def _steps(rows: list[dict], length: int) -> Iterator[tuple[dict, np.ndarray, np.ndarray, tuple, _Contexts]]:
+    """(row, offsets, which documents are copies, shared contexts of the others, all contexts) of each step."""
+    contexts = _Contexts([r for r in rows if r["step"] == -1], length)
+    places = np.array([p for r in rows if r["step"] == -2 for p in r["ids"]], np.int64)
     for row in rows:
         if row["step"] >= 0:
             data, offsets = text_of(row)
-            yield row, (data, offsets), contexts.find(data, offsets), contexts
+            copied = np.zeros(len(offsets) - 1, bool)
+            copied[places[places >> 32 == row["step"]] & 0xFFFFFFFF] = True
+            yield row, offsets, copied, contexts.find(data, offsets, copied), contexts
+
+
+def _copies(chunks: DataFrame, length: int) -> DataFrame:
+    """Where documents stand whose whole text a document with a smaller id has: rows of step -2, the place
+    (step << 32 | row) in `ids`. All their windows go, and none of their contexts needs to be sent."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            data, offsets = text_of(row)
+            whole = np.flatnonzero(np.diff(offsets) >= length)
+            digests = [hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest() for i in whole]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(whole), row["chunk"])), pa.array(whole + (row["step"] << 32)), pa.array(_ids(row)[whole]), pa.array(digests, pa.binary())], ["chunk", "place", "id", "digest"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, place in zip(*(batch.column(c).to_pylist() for c in ("chunk", "place"))):
+                yield row_of(chunk, -2, [place])
+
+    known = chunks.mapInArrow(spell, "chunk long, place long, id long, digest binary")
+    least = known.groupBy("digest").agg(F.min("id").alias("least"))
+    return known.join(least.hint("merge"), "digest").where(F.col("id") > F.col("least")).select("chunk", "place").mapInArrow(tell, ROW)
 
 
 def _ids(row: dict) -> np.ndarray:
@@ -180,7 +207,7 @@ def _ask_contexts(shards: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, rows in by_key(rows_of(batches), "chunk"):
             parts, contexts = [], None
-            for row, (_, offsets), (number, start, _, gram, key), contexts in _steps(rows, length):
+            for row, offsets, _, (number, start, _, gram, key), contexts in _steps(rows, length):
                 parts.append((number, _ids(row)[np.searchsorted(offsets, start, "right") - 1], gram, key))
             if contexts is None or not contexts.number:
                 continue
@@ -264,10 +291,10 @@ def _answer_contexts(length: int):
 
 def _mark(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Step rows with the shared contexts of each step: (number, first window, windows) in c."""
+        """Step rows with the shared contexts of each step: (number, first window, windows) in c, copies in d."""
         for chunk, rows in by_key(rows_of(batches), "chunk"):
-            for row, _, (number, start, windows, _, _), _ in _steps(rows, length):
-                yield row_of(chunk, row["step"], row["ids"], row["a"], row["b"], pack(np.stack([number, start, windows], 1).reshape(-1)))
+            for row, _, copied, (number, start, windows, _, _), _ in _steps(rows, length):
+                yield row_of(chunk, row["step"], row["ids"], row["a"], row["b"], pack(np.stack([number, start, windows], 1).reshape(-1)), pack(copied.view(np.uint8)))
 
     return run
 
@@ -294,6 +321,7 @@ def _remove(length: int):
                     np.add.at(cover, window, 1)
                     np.add.at(cover, window + length, -1)
                 gone = np.cumsum(cover)[: len(data)] > 0
+                gone |= np.repeat(unpack(row["d"], np.uint8) > 0, np.diff(offsets))
                 yield _kept(row["ids"], data, offsets, gone)
 
     return run
@@ -324,7 +352,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     parts = parts_of(docs)
     chunks = stored_chunks(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
     shared = dealt(chunks.mapInArrow(_ask_grams(parts, length), ROW)).mapInArrow(_answer_grams, ROW)
-    whole = dealt(chunks.unionByName(shared))
+    whole = dealt(chunks.unionByName(shared).unionByName(_copies(chunks, length)))
     minima = dealt(whole.mapInArrow(_ask_contexts(parts, length), ROW)).mapInArrow(_answer_contexts(length), ROW)
     marked = dealt(whole.mapInArrow(_mark(length), ROW).unionByName(minima))
     return marked.mapInArrow(_remove(length), "doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary")
