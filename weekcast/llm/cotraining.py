@@ -25,19 +25,21 @@ TEXT_DIMENSIONS = 128
 LANG_SLOTS, SOURCE_SLOTS = 8, 16
 LAYOUT = 12
 META_DIMENSIONS = LANG_SLOTS + SOURCE_SLOTS + LAYOUT
+#: Trigrams at which a text's own shares weigh half.
+SHORT = 64
 #: Newton steps of the first fit and of each round, and rounds of exchange.
 FIRST_STEPS, ROUND_STEPS, ROUNDS = 6, 2, 3
 #: A view is sure from this probability on, and a pseudo-label counts this much of a label.
 SURE, PSEUDO_WEIGHT = 0.95, 0.2
 #: Ridge penalty of both views.
 PENALTY = 1.0
-KEEP_AT = 0.5
+KEEP_AT = 0.35
 #: Labelled rows whose id hash modulo 5 is 0 calibrate and are never trained on.
 CALIBRATE = 5
 
 
 def text_features(part: pa.RecordBatch, dimensions: int = TEXT_DIMENSIONS) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams."""
+    """Square roots of the shares of hashed byte trigrams; a short text is drawn towards no evidence."""
     data, offsets = text_buffer(part.column("text"))
     rows = len(offsets) - 1
     out = np.zeros((rows, dimensions))
@@ -48,7 +50,7 @@ def text_features(part: pa.RecordBatch, dimensions: int = TEXT_DIMENSIONS) -> np
         row = np.repeat(np.arange(rows), np.diff(offsets))
         inside = row[:-2] == row[2:]
         out = np.bincount(row[:-2][inside] * dimensions + code[inside], minlength=rows * dimensions).reshape(rows, dimensions).astype(float)
-    return np.sqrt(out / np.maximum(1, out.sum(axis=1, keepdims=True)))
+    return np.sqrt(out / (SHORT + out.sum(axis=1, keepdims=True)))
 
 
 #: Kind of each byte: 1 upper case, 2 digit, 3 symbol, 4 sentence mark, 5 line feed, 6 other white space, 7 not ASCII.
@@ -175,12 +177,12 @@ def _calibrated(rows: DataFrame, views: Views, steps: int = 8) -> Views:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, score, text_score, meta_score, kept) of every row of `docs`; kept from a score of 0.5 on.
+    """(doc_id, score, text_score, meta_score, kept) of every row of `docs`; kept from a score of KEEP_AT on.
 
     Reads the columns text, lang, source and n_chars of `docs` and (id, quality) of `labels`; a document
     labelled twice counts as good if either says so; null labels and ids are left out. Null text counts as
     empty, null metadata takes a slot of its own. Without labelled rows of both kinds nothing can be learnt:
-    every document scores above 0.5 and is kept. Rows that repeat an id are scored each for itself. Empty
+    every document scores alike and is kept. Rows that repeat an id are scored each for itself. Empty
     input gives no rows. Other columns are not read.
     """
 

@@ -185,7 +185,7 @@ def cover(found: list[set[str]], weight: dict[str, float], support: int) -> list
         for row in rows_of[best]:
             if not explained[row]:
                 explained[row] = True
-                for x in found[row]:
+                for x in found[row] & gain.keys():
                     gain[x] -= 1
         del gain[best]
         gain = {x: n for x, n in gain.items() if n >= support}
