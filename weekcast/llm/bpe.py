@@ -118,10 +118,10 @@ def encode_decode(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             bucket = np.fromiter((zlib.crc32(r) % buckets for r in raws), np.int64, len(raws))
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
-            blobs = []
+            checksum, blobs = _checksum(found), []
             for a, b in zip(edges[:-1], edges[1:]):
                 mine = order[a:b]
-                blobs.append((int(bucket[mine[0]]), chunk, _packed(mine.astype(np.uint32)), zstandard.compress(b"\x00".join(raws[i].replace(b"\x00", b"\xff") for i in mine), 1), _checksum(found)))
+                blobs.append((int(bucket[mine[0]]), chunk, _packed(mine.astype(np.uint32)), zstandard.compress(b"\x00".join(raws[i].replace(b"\x00", b"\xff") for i in mine), 1), checksum))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blobs), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "chunk", "numbers", "words", "checksum"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
