@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weekcast.llm.bpe import encode_decode
 from weekcast.llm.common import crc_mod, read_table
 from weekcast.llm.cotraining import classify
+from weekcast.llm.lm_scoring import lm_scores
 from weekcast.llm.packing import pack
 from weekcast.llm.quality_rules import quality_rules
 from weekcast.llm.simhash import simhash_groups
@@ -69,7 +70,14 @@ def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-count and attention-model scores of every text; ids with crc32 % 7 = 2 are held out."""
+    rows = lm_scores(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
+    "op10_lm_scoring": op10_lm_scoring,
     "op4_cotraining": op4_cotraining,
     "op2_toxicity": op2_toxicity,
     "op9_warc": op9_warc,
