@@ -1,7 +1,7 @@
 """A small causal self-attention model over subword ids, in numpy: training and scoring.
 
 One attention layer reads the last ids and predicts the class of the next one; p(id) = p(class | context) *
-p(id | class), the second factor from corpus counts. Keys, queries and values depend on an id alone, and
+p(id | class, last id), the second factor from corpus counts. Keys, queries and values depend on an id alone, and
 position enters through a bias by distance, so scoring looks rows up and multiplies small batches.
 """
 
@@ -18,6 +18,8 @@ OWN = 4096
 #: Ids in a training window, windows in a training batch, ids that scoring takes at a time.
 WINDOW, BATCH, BLOCK = 32, 64, 4096
 LEARNING_RATE = 0.01
+#: Weight of a class's own shares against the counted pairs.
+PAIR_PRIOR = 4.0
 
 
 @dataclass
@@ -54,8 +56,17 @@ class Vocabulary:
 
     class_of: np.ndarray  # id to class
     kind_of: np.ndarray  # id to embedding row
-    within: np.ndarray  # id to log p(id | class)
+    within: np.ndarray  # id to p(id | class)
     class_log: np.ndarray  # log p(class)
+    pairs: np.ndarray  # sorted keys last * size + id of the pairs that are counted
+    pair_counts: np.ndarray
+
+    def given_last(self) -> np.ndarray:
+        """Counted pairs of each last id with each class."""
+        size = len(self.class_of)
+        out = np.zeros((size, CLASSES), np.float32)
+        np.add.at(out, (self.pairs // size, self.class_of[self.pairs % size]), self.pair_counts)
+        return out
 
 
 def cluster(sketch: np.ndarray, counts: np.ndarray, groups: np.ndarray, per_group: int, steps: int = 12) -> np.ndarray:
@@ -87,8 +98,8 @@ def cluster(sketch: np.ndarray, counts: np.ndarray, groups: np.ndarray, per_grou
     return out
 
 
-def vocabulary(counts: np.ndarray, sketch: np.ndarray, starts_word: np.ndarray, end: int) -> Vocabulary:
-    """Classes (word starts and continuations apart, the end alone in the last), embeddings rows, id shares."""
+def vocabulary(counts: np.ndarray, sketch: np.ndarray, starts_word: np.ndarray, end: int, pairs: np.ndarray, pair_counts: np.ndarray) -> Vocabulary:
+    """Classes (word starts and continuations apart, the end alone in the last), embedding rows, id shares."""
     groups = np.where(starts_word, 0, 1)
     groups[end] = -1
     per_group = (CLASSES - 1) // 2
@@ -99,7 +110,7 @@ def vocabulary(counts: np.ndarray, sketch: np.ndarray, starts_word: np.ndarray,
     kind_of = OWN + class_of
     heavy = np.lexsort((np.arange(len(counts)), -counts))[:OWN]
     kind_of[heavy] = np.arange(len(heavy))
-    return Vocabulary(class_of, kind_of, np.log(smooth / mass[class_of]), np.log(np.maximum(mass, 0.5) / mass.sum()))
+    return Vocabulary(class_of, kind_of, smooth / mass[class_of], np.log(np.maximum(mass, 0.5) / mass.sum()), pairs, pair_counts)
 
 
 def loss_and_gradient(p: Parameters, kinds: np.ndarray, goals: np.ndarray) -> tuple[float, Parameters]:
@@ -157,12 +168,24 @@ class Scorer:
     def __init__(self, p: Parameters, words: Vocabulary):
         single = lambda x: np.ascontiguousarray(x, dtype=np.float32)
         e = p.embed[words.kind_of]
-        self.words = words
+        self.words, self.given_last = words, words.given_last()
         self.query, self.key, self.value = single(e @ p.query / np.sqrt(WIDTH)), single(e @ p.key), single(e @ p.value)
         self.direct, self.out = single(e @ p.direct + p.bias), single(p.out)
         gap = np.arange(STRIDE)[:, None] + CONTEXT - np.arange(CONTEXT + STRIDE)[None, :]
         self.distance = single(np.where(gap >= 0, p.distance[np.clip(gap, 0, WINDOW - 1)], -1e9))
 
+    def within(self, last: np.ndarray, goals: np.ndarray) -> np.ndarray:
+        """p(goal | its class, last id): pair counts, smoothed by PAIR_PRIOR times the class's own shares."""
+        words = self.words
+        counted = self.given_last[last, words.class_of[goals]].astype(float)
+        pair = np.zeros(len(goals))
+        some = np.flatnonzero(counted > 0)
+        if len(some):
+            key = last[some].astype(np.int64) * len(words.class_of) + goals[some]
+            at = np.minimum(np.searchsorted(words.pairs, key), len(words.pairs) - 1)
+            pair[some] = np.where(words.pairs[at] == key, words.pair_counts[at], 0)
+        return (pair + PAIR_PRIOR * words.within[goals]) / (counted + PAIR_PRIOR)
+
     def score(self, ids: np.ndarray, goals: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log p(goals[i] | ids from starts[i] to i, the last CONTEXT to CONTEXT + STRIDE - 1 of them) for every i.
 
@@ -197,5 +220,5 @@ class Scorer:
             upto = min(n, at + size) - at
             goal = goals[at : at + upto]
             hit = z[np.arange(upto), self.words.class_of[goal]].astype(float)
-            out[at : at + upto] = np.log(hit / z[:upto].sum(axis=1, dtype=float)) + self.words.within[goal]
+            out[at : at + upto] = np.log(hit / z[:upto].sum(axis=1, dtype=float) * self.within(own[:upto], goal))
         return out

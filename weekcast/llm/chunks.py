@@ -8,7 +8,7 @@ sees the same ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ PARTS_PER_PARTITION = 4
 #: zstd level of texts: they are written once and shuffled several times.
 TEXT_LEVEL = 6
 
-ROW = "chunk long, step long, ids array<long>, a binary, b binary, c binary, d binary"
-NAMES = ["chunk", "step", "ids", "a", "b", "c", "d"]
+ROW = "chunk long, step long, ids array<long>, a binary, b binary, c binary, d binary, carried binary"
+NAMES = ["chunk", "step", "ids", "a", "b", "c", "d", "carried"]
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -40,8 +40,8 @@ def unpack(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def row_of(chunk: int, step: int, ids: list | None, *blobs: bytes) -> pa.RecordBatch:
-    blobs = [*blobs, *[None] * (4 - len(blobs))]
+def row_of(chunk: int, step: int, ids: list | None, *blobs: bytes, carried: bytes | None = None) -> pa.RecordBatch:
+    blobs = [*blobs, *[None] * (4 - len(blobs)), carried]
     return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([step], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([b], pa.binary()) for b in blobs]], NAMES)
 
 
@@ -73,8 +73,20 @@ def parts_of(df: DataFrame) -> int:
     return PARTS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stored_chunks(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id long, text) in chunks: step rows with ids, sizes (a) and compressed text (b)."""
+def carry(columns: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, columns.schema) as out:
+        out.write_batch(columns)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 1)
+
+
+def carried_of(row: dict) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.decompress(row["carried"])).read_next_batch()
+
+
+def stored_chunks(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Documents (doc_id long, text) in chunks: step rows with ids, sizes (a), compressed text (b) and the
+    `extra` columns (carried)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, step, held = TaskContext.get().partitionId() << 20, 0, 0
@@ -82,7 +94,7 @@ def stored_chunks(docs: DataFrame) -> DataFrame:
             data, offsets = text_buffer(part.column("text"))
             if step and held + len(data) > CHUNK_BYTES:
                 chunk, step, held = chunk + 1, 0, 0
-            yield row_of(chunk, step, part.column("doc_id").to_pylist(), pack(np.diff(offsets)), zstandard.compress(data.tobytes(), TEXT_LEVEL))
+            yield row_of(chunk, step, part.column("doc_id").to_pylist(), pack(np.diff(offsets)), zstandard.compress(data.tobytes(), TEXT_LEVEL), carried=carry(part.select(list(extra))) if extra else None)
             step, held = step + 1, held + len(data)
 
     return stored(docs.mapInArrow(run, ROW), "chunks")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.llm.chunks import summed
@@ -176,15 +176,19 @@ def _calibrated(rows: DataFrame, views: Views, steps: int = 8) -> Views:
     return Views(views.text, views.meta, tuple(scales[0]), tuple(scales[1]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, score, text_score, meta_score, kept) of every row of `docs`; kept from a score of KEEP_AT on.
+SLOT_RANGE = 1 << 20
+
+
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("\0"))), F.lit(SLOT_RANGE)).alias(f"{column}_slot")
 
-    Reads the columns text, lang, source and n_chars of `docs` and (id, quality) of `labels`; a document
-    labelled twice counts as good if either says so; null labels and ids are left out. Null text counts as
-    empty, null metadata takes a slot of its own. Without labelled rows of both kinds nothing can be learnt:
-    every document scores alike and is kept. Rows that repeat an id are scored each for itself. Empty
-    input gives no rows. Other columns are not read.
-    """
+
+def _inputs(docs: DataFrame, id_column: str) -> DataFrame:
+    return docs.select(F.col(id_column).alias("doc_id"), "text", _slot("lang"), _slot("source"), F.col("n_chars").cast("long").alias("n_chars"))
+
+
+def _vectors(docs: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
+    """Both views of every document with its label, written once."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -192,27 +196,65 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", roun
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(b, pa.binary()) for b in blobs)], ["doc_id", "text_view", "meta_view"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    slot = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(1 << 20)).alias(f"{c}_slot")
-    own = docs.select(F.col(id_column).alias("doc_id"), "text", slot("lang"), slot("source"), F.col("n_chars").cast("long").alias("n_chars"))
     known = labels.select(F.col(id_column).alias("doc_id"), "quality").dropna().groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    vectors = own.mapInArrow(features, f"doc_id {kind}, text_view binary, meta_view binary")
+    vectors = _inputs(docs, id_column).mapInArrow(features, f"doc_id {kind}, text_view binary, meta_view binary")
     # the label table grows with the documents: a shuffle join at every size
-    rows = stored(vectors.join(known.hint("merge"), "doc_id", "left").withColumn("calibrate", crc_mod("doc_id", CALIBRATE) == 0), "vectors")
+    return stored(vectors.join(known.hint("merge"), "doc_id", "left").withColumn("calibrate", crc_mod("doc_id", CALIBRATE) == 0), "vectors")
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> Views:
+    """Both views, co-trained and calibrated on the vectors of all documents."""
     seen = {r.quality: r["count"] for r in rows.where("not calibrate").groupBy("quality").count().collect()}
     views = Views(np.r_[np.zeros(TEXT_DIMENSIONS), 1.0], np.r_[np.zeros(META_DIMENSIONS), 1.0])
-    if seen.get(0) and seen.get(1):
-        for _ in range(FIRST_STEPS):
-            views = _step(rows, views, None)
-        for _ in range(rounds):
-            teachers = views
-            for _ in range(ROUND_STEPS):
-                views = _step(rows, views, teachers)
-        views = _calibrated(rows, views)
+    if not seen.get(0) or not seen.get(1):
+        return views
+    for _ in range(FIRST_STEPS):
+        views = _step(rows, views, None)
+    for _ in range(rounds):
+        teachers = views
+        for _ in range(ROUND_STEPS):
+            views = _step(rows, views, teachers)
+    return _calibrated(rows, views)
+
+
+def _scores(views: Views, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    logits = [s[0] * z + s[1] for z, s in zip(views.logits(text, meta), (views.text_scale, views.meta_scale))]
+    return _sigmoid((logits[0] + logits[1]) / 2), _sigmoid(logits[0]), _sigmoid(logits[1])
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, score, text_score, meta_score, kept) of every row of `docs`; kept from a score of KEEP_AT on.
+
+    Reads the columns text, lang, source and n_chars of `docs` and (id, quality) of `labels`; a document
+    labelled twice counts as good if either says so; null labels and ids are left out. Null text counts as
+    empty, null metadata takes a slot of its own. Without labelled rows of both kinds nothing can be learnt:
+    every document scores alike and is kept. Rows that repeat an id are scored each for itself. Empty input
+    gives no rows. Other columns are not read.
+    """
+    rows = _vectors(docs, labels, id_column)
+    views = fit(rows, rounds)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            logits = [s[0] * z + s[1] for z, s in zip(views.logits(*_arrays(batch)), (views.text_scale, views.meta_scale))]
-            both = _sigmoid((logits[0] + logits[1]) / 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (both, _sigmoid(logits[0]), _sigmoid(logits[1]), both >= KEEP_AT))], ["doc_id", "score", "text_score", "meta_score", "kept"])
+            both, text, meta = _scores(views, *_arrays(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (both, text, meta, both >= KEEP_AT))], ["doc_id", "score", "text_score", "meta_score", "kept"])
 
+    kind = docs.schema[id_column].dataType.simpleString()
     return rows.mapInArrow(score, f"doc_id {kind}, score double, text_score double, meta_score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, source, n_chars) that `classify` keeps, with all their columns.
+
+    The fitted views score each row again where it stands, so no text is shuffled to meet its score."""
+    views = fit(_vectors(docs, labels, "doc_id"), rounds)
+    slots = ["lang_slot", "source_slot"]
+    whole = docs.select(*docs.columns, *map(_slot, ("lang", "source")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            # rounded as the written vectors are
+            both, _, _ = _scores(views, *(v.astype(np.float16).astype(float) for v in (text_features(part), meta_features(part))))
+            yield part.filter(pa.array(both >= KEEP_AT)).drop_columns(slots)
+
+    return whole.mapInArrow(keep, docs.schema)

@@ -36,6 +36,8 @@ ROUNDS = 2
 #: Numbers that describe the company an id keeps, for its class.
 SKETCH = 12
 SLOTS = 4
+#: Pairs of neighbouring ids that the model keeps counts of: its size, whatever the corpus.
+PAIRS = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +124,11 @@ def _answer(path: str):
             if b"" in table:
                 total[_tokenizer(path).token_to_id(END_TOKEN)] = counts[table[b""]]
             hit = np.flatnonzero(total)
-            yield row_of(-1, bucket, [int((counts > 0).sum()), int(counts.sum())], pack(hit), pack(total[hit]))
+            # pairs of neighbouring ids within a word
+            inside = np.flatnonzero(np.repeat(np.arange(len(ids)), lengths)[:-1] == np.repeat(np.arange(len(ids)), lengths)[1:])
+            pair, where = np.unique(flat[inside].astype(np.int64) * size + flat[inside + 1], return_inverse=True)
+            often = np.bincount(where, weights=np.repeat(counts, lengths)[inside], minlength=len(pair)).astype(np.int64)
+            yield row_of(-1, bucket, [int((counts > 0).sum()), int(counts.sum())], pack(hit), pack(total[hit]), pack(pair[often > 0]), pack(often[often > 0]))
 
     return run
 
@@ -182,12 +188,26 @@ def _sketch(size: int):
     return fold
 
 
-def _fit(windows: DataFrame, counts: np.ndarray, starts_word: np.ndarray, end: int) -> tuple[Parameters, Vocabulary]:
+def _pairs(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The PAIRS most frequent pairs of neighbouring ids, by key, and their counts."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(row["c"], np.int64)), pa.array(unpack(row["d"], np.int64))], ["pair", "n"])
+
+    counted = held.mapInArrow(spell, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "pair").limit(PAIRS).toArrow()
+    pair, n = (top.column(c).to_numpy().astype(np.int64) for c in ("pair", "n"))
+    order = np.argsort(pair)
+    return pair[order], n[order]
+
+
+def _fit(windows: DataFrame, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], starts_word: np.ndarray, end: int) -> tuple[Parameters, Vocabulary]:
     size = len(counts)
     sketch = summed(windows, _sketch(size), size * SKETCH, SLOTS).reshape(size, SKETCH)
     share = counts / max(1, counts.sum())
     sketch = sketch - np.abs(sketch).sum(axis=1, keepdims=True) * (share @ sketch) / max(1e-9, np.abs(share @ sketch).sum())  # what all ids have in common tells no class
-    words = vocabulary(counts, sketch, starts_word, end)
+    words = vocabulary(counts, sketch, starts_word, end, *pairs)
     p = Parameters.initial(words.class_log)
     length = len(p.flat()) + 1
     for _ in range(ROUNDS):
@@ -236,7 +256,7 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     space = LETTER_OF[0x20]
     starts_word = np.array([(library.id_to_token(i) or "").startswith(space) for i in range(size)])
     windows = stored(chunks.mapInArrow(_windows(tokenizer, modulus, remainder), ROW), "windows")
-    p, words = _fit(windows, counts, starts_word, end)
+    p, words = _fit(windows, counts, _pairs(held), starts_word, end)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(p, words)

@@ -134,6 +134,21 @@ def mean_ratio(part: pa.RecordBatch, column: str, weights: np.ndarray) -> np.nda
     return sums / np.maximum(1, np.diff(offsets) - GRAM + 1)
 
 
+def fitted_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> np.ndarray:
+    """The log ratios of all documents (doc_id, text) against those whose ids `trusted` holds."""
+    raw = gram_counts(docs, buckets=buckets)
+    # the label table grows with the documents: a shuffle join at every size, never a broadcast of its ids
+    target = gram_counts(docs.join(trusted.distinct().hint("merge"), "doc_id", "left_semi"), buckets=buckets)
+    return log_ratio(raw, target, buckets)
+
+
+def verdicts(part: pa.RecordBatch, weights: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """Rule columns, verdict and ratio of each row of a batch."""
+    columns = base_columns(part)
+    llr = mean_ratio(part, "text", weights)
+    return {**columns, "kept": ~columns["base_failed"] & (llr >= threshold), "llr": llr}
+
+
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Rule columns, mean log ratio and verdict of every row of `docs`.
 
@@ -143,18 +158,23 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_column: str = "doc_id"
     so their names cannot clash. kept = not base_failed and llr >= threshold.
     """
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    ids = trusted.select(F.col(id_column).alias("doc_id")).distinct()
-    raw = gram_counts(own, buckets=buckets)
-    # the label table grows with the documents: a shuffle join at every size, never a broadcast of its ids
-    target = gram_counts(own.join(ids.hint("merge"), "doc_id", "left_semi"), buckets=buckets)
-    weights = log_ratio(raw, target, buckets)
+    weights = fitted_weights(own, trusted.select(F.col(id_column).alias("doc_id")), buckets)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            columns = base_columns(part)
-            llr = mean_ratio(part, "text", weights)
-            kept = ~columns["base_failed"] & (llr >= threshold)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns.values()), pa.array(kept), pa.array(llr)], ["doc_id", *columns, "kept", "llr"])
+            columns = verdicts(part, weights, threshold)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, columns.values())], ["doc_id", *columns])
 
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(score, f"doc_id {kind}, {BASE_SCHEMA}, kept boolean, llr double")
+
+
+def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """The rows of `docs` (with doc_id and text) that `quality_rules` keeps, with all their columns."""
+    weights = fitted_weights(docs.select("doc_id", "text"), trusted.select("doc_id"), buckets)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            yield part.filter(pa.array(verdicts(part, weights, threshold)["kept"]))
+
+    return docs.mapInArrow(keep, docs.schema)

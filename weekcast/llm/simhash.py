@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekcast.llm.common import slices, stored, texts
@@ -189,3 +189,17 @@ def simhash_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     label = member.join(least, "root").select("fp", "component_id")
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of `docs` (with doc_id and text) that stand for their group: the smallest id of each.
+
+    Of rows that repeat an id the one with the smallest text stays. A row without an id cannot be named by a
+    group and stays."""
+    groups = simhash_groups(docs.where(F.col("doc_id").isNotNull()), shingle_words=shingle_words, max_bits=max_bits)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    # both sides grow with the documents: a shuffle join at every size
+    stay = docs.join(first.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    once = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    single = stay.withColumn("__place", F.row_number().over(once)).where("__place = 1").drop("__place")
+    return single.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -21,7 +21,7 @@ by the whole window, so that no shard gathers the many different surroundings of
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.chunks import ROW, by_key, dealt, pack, parts_of, row_of, rows_of, stored_chunks, text_of, unpack
+from weekcast.llm.chunks import ROW, by_key, carried_of, dealt, pack, parts_of, row_of, rows_of, stored_chunks, text_of, unpack
 from weekcast.llm.suffix_array import lanes, permuted_lcp, suffix_array
 from weekcast.llm.tokens import spread
 
@@ -294,12 +294,12 @@ def _mark(length: int):
         """Step rows with the shared contexts of each step: (number, first window, windows) in c, copies in d."""
         for chunk, rows in by_key(rows_of(batches), "chunk"):
             for row, _, copied, (number, start, windows, _, _), _ in _steps(rows, length):
-                yield row_of(chunk, row["step"], row["ids"], row["a"], row["b"], pack(np.stack([number, start, windows], 1).reshape(-1)), pack(copied.view(np.uint8)))
+                yield row_of(chunk, row["step"], row["ids"], row["a"], row["b"], pack(np.stack([number, start, windows], 1).reshape(-1)), pack(copied.view(np.uint8)), carried=row["carried"])
 
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, extra: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(rows_of(batches), "chunk"):
             answers = [(unpack(r["a"], np.uint32), unpack(r["b"], np.uint8).astype(np.int64), unpack(r["c"], np.int64)) for r in rows if r["step"] < 0]
@@ -322,37 +322,44 @@ def _remove(length: int):
                     np.add.at(cover, window + length, -1)
                 gone = np.cumsum(cover)[: len(data)] > 0
                 gone |= np.repeat(unpack(row["d"], np.uint8) > 0, np.diff(offsets))
-                yield _kept(row["ids"], data, offsets, gone)
+                kept = _kept(row["ids"], data, offsets, gone)
+                carried = carried_of(row) if extra else None
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(carried.column(c) for c in extra)], [*kept.schema.names, *extra])
 
     return run
 
 
 def _kept(ids: list, data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
-    starts, ends, kept = [], [], []
+    letter = np.cumsum((data & 0xC0) != 0x80)  # number of the character that each byte belongs to
+    broken = np.bincount(letter, weights=gone)[letter] > 0 if len(data) else gone
+    starts, ends, kept, text = [], [], [], []
     for a, b in zip(offsets[:-1], offsets[1:]):
         edge = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False]))
         starts.append(edge[::2].tolist())
         ends.append(edge[1::2].tolist())
         kept.append(data[a:b][~gone[a:b]].tobytes())
+        text.append(data[a:b][~broken[a:b]].tobytes().decode())
     longs = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets)), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "span_starts", "span_ends", "kept"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets)), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary()), pa.array(text, pa.string())], ["doc_id", "n_bytes", "span_starts", "span_ends", "kept", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, span_starts, span_ends, kept) of each row of `docs`.
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, extra: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_bytes, span_starts, span_ends, kept, kept_text) and the `extra` columns of each row of `docs`.
 
-    The spans are the maximal removed byte runs of the UTF-8 text, [start, end), `kept` the other bytes.
+    The spans are the maximal removed byte runs of the UTF-8 text, [start, end), `kept` the other bytes, and
+    `kept_text` the characters of which every byte is kept.
     Strings are compared on the input, in whole texts, and never across rows. Null text counts as empty; a
     null id counts as larger than all others, so its repeats go and it removes nothing. Rows with one id are
     not smaller than each other: they keep what only they share. Texts under `length` bytes stay whole. Empty
-    input gives no rows; other columns are not read. `length` must lie between 20 and 140.
+    input gives no rows; other columns are not read, and `extra` ones must not have a result's name. `length` must lie between 20 and 140.
     """
     if not GRAM <= length <= 140:
         raise ValueError("length must lie between 20 and 140")
     parts = parts_of(docs)
-    chunks = stored_chunks(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
+    chunks = stored_chunks(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *extra), extra)
     shared = dealt(chunks.mapInArrow(_ask_grams(parts, length), ROW)).mapInArrow(_answer_grams, ROW)
     whole = dealt(chunks.unionByName(shared).unionByName(_copies(chunks, length)))
     minima = dealt(whole.mapInArrow(_ask_contexts(parts, length), ROW)).mapInArrow(_answer_contexts(length), ROW)
     marked = dealt(whole.mapInArrow(_mark(length), ROW).unionByName(minima))
-    return marked.mapInArrow(_remove(length), "doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
+    return marked.mapInArrow(_remove(length, extra), "doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary, kept_text string" + kinds)
