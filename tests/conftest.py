@@ -13,8 +13,10 @@ SF_MID = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return get_session(master="local[*]", shuffle_partitions=8)
+def spark(tmp_path_factory):
+    session = get_session(master="local[*]", shuffle_partitions=8)
+    session.sparkContext.setCheckpointDir(f"file://{tmp_path_factory.mktemp('checkpoints')}")
+    return session
 
 
 def weekly_dates(n: int, start: dt.date = dt.date(2010, 2, 5)) -> list[dt.date]:

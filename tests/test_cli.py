@@ -7,7 +7,7 @@ from weekcast.__main__ import main
 from weekcast.sources.fixtures import fixture_tables
 
 
-def test_catalog_flow(spark, capsys):
+def test_catalog_flow(spark, capsys, tmp_path):
     t = fixture_tables(spark, SF_SMALL)
     holiday = F.when(F.col("flag") == "R", F.lit("TRUE")).otherwise(F.lit("FALSE"))
     text_date = F.date_format("date", "dd/MM/yyyy")
@@ -24,4 +24,9 @@ def test_catalog_flow(spark, capsys):
                        F.lit(100000).alias("Size")).createOrReplaceTempView("stores")
     main(["--source", "catalog", "--horizons", "2", "--models", "lr", "--preset", "reference"])
     out = capsys.readouterr().out
-    assert "SMA" in out and "Linear Regression" in out and "2 weeks" in out
+    assert "SMA" in out and "Linear Regression" in out and "2 weeks" in out and "2 rows" in out and "left out: 0" in out
+    main(["--source", "catalog", "--horizons", "2", "--models", "lr", "--keys", "store", "--fill", "--out", str(tmp_path / "table")])
+    out = capsys.readouterr().out
+    written = spark.read.parquet(str(tmp_path / "table"))
+    assert f"{written.count()} rows, all of them in" in out
+    assert written.count() == 2 * t["stores"].count()

@@ -10,7 +10,8 @@ from weekcast.config import CORRECTED, REFERENCE
 from weekcast.plans.models import assemble, estimator, evaluate, fit_predict, linear_fit_coefficients
 from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
 from weekcast.plans.select import NOT_FEATURES, candidate_columns, selected
-from weekcast.plans.tune import PARAM_GRIDS, best_params, cv_summary, param_grid, rolling_cv
+from weekcast.constants import PARAM_GRIDS
+from weekcast.plans.tune import best_params, cv_summary, param_grid, rolling_cv
 from weekcast.queries import panel
 
 
@@ -117,6 +118,55 @@ def test_keyed_global_model(spark):
     assert run.predictions.count() == data.test.count()
 
 
+def test_series_features_come_from_the_series_own_train_rows(spark):
+    keys = ("nation",)
+    data = prepare_horizon(panel(spark, SF_SMALL, keys), 1, keys, CORRECTED, feature_cols=["series_mean", "series_std"])
+    rows = data.frame.select("nation", "role", "diff_sales", "series_mean").collect()
+    for nation in {r["nation"] for r in rows}:
+        train = [r["diff_sales"] for r in rows if r["nation"] == nation and r["role"] == "train"]
+        means = {r["series_mean"] for r in rows if r["nation"] == nation}
+        assert len(means) == 1 and means.pop() == pytest.approx(sum(train) / len(train) if train else 0.0)
+
+
+def test_parallelism_bounds_the_fits_in_flight(spark, monkeypatch):
+    import threading
+    import time
+
+    from weekcast.plans import report, tune
+
+    flying, most, lock = [0], [0], threading.Lock()
+
+    def counted(real):
+        def fit(*args, **kwargs):
+            with lock:
+                flying[0] += 1
+                most[0] = max(most[0], flying[0])
+            try:
+                time.sleep(0.05)
+                return real(*args, **kwargs)
+            finally:
+                with lock:
+                    flying[0] -= 1
+        return fit
+
+    monkeypatch.setattr(report, "fit_predict", counted(report.fit_predict))
+    monkeypatch.setattr(tune, "evaluate", counted(tune.evaluate))
+    grid = {"lr": {"RegParam": ["0", "0.1", "0.5"], "ElasticNetParam": ["0"]}, "dt": {"MaxDepth": ["2"], "MaxBins": ["20"]}}
+    compare(panel(spark, SF_SMALL), horizons=(1, 2), models=("lr", "dt"), preset=CORRECTED, grids=grid,
+            pinned={("dt", 1): {"MaxDepth": "2", "MaxBins": "20"}, ("dt", 2): {"MaxDepth": "2", "MaxBins": "20"}}, parallelism=2)
+    assert most[0] <= 2
+
+
+def test_materialize_without_a_shared_folder_persists(spark, monkeypatch):
+    from weekcast import session
+
+    monkeypatch.setattr(session, "_shared_folder", lambda s: None)
+    held = session.materialize(spark.range(5))
+    assert held.is_cached and held.count() == 5
+    session.release(held)
+    assert not held.is_cached
+
+
 def test_keyed_comparison(spark):
     keys = ("nation",)
     p = panel(spark, SF_SMALL, keys)

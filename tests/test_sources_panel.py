@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from weekcast.functions.columns import holiday_flag, parse_date, to_number
-from weekcast.operators.panel import bounded_broadcast, merge_tables, weekly_panel
+from weekcast.operators.panel import fill_weeks, merge_tables, undated_sales, weekly_panel
 from weekcast.sources.fixtures import fixture_tables
-from weekcast.sources.tables import assert_unique, retail_features, retail_sales, retail_stores, shape
+from weekcast.sources.tables import retail_features, retail_sales, retail_stores, shape, single_row
 
 
 def test_text_cleaning_never_raises_under_ansi(spark):
@@ -29,27 +29,13 @@ def test_boolean_flags(spark):
     assert [r[0] for r in df.select(holiday_flag("f")).collect()] == [1, 0]
 
 
-def test_assert_unique(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "store int, v string")
-    assert_unique(df, ["store", "v"])
-    with pytest.raises(ValueError, match="not unique"):
-        assert_unique(df, ["store"])
-
-
-def _plan_text(df) -> str:
-    import contextlib
-    import io
-
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain(True)
-    return buf.getvalue().lower()
-
-
-def test_bounded_broadcast(spark):
-    df = spark.range(10)
-    assert "broadcast" in _plan_text(bounded_broadcast(df, 10))
-    assert "broadcast" not in _plan_text(bounded_broadcast(df, 9))
+def test_single_row_fails_in_the_plan(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "store int, v string")
+    assert single_row(df, ["store", "v"]).count() == 5
+    checked = single_row(df, ["store"], "covariates")       # no job runs here
+    with pytest.raises(Exception, match="covariates: a key .store. is not unique: 1"):
+        checked.collect()
+    assert single_row(df.where("store = 2 or store is null"), ["store"]).columns == ["store", "v"]
 
 
 def test_shapes_match_fixture_sizes(spark):
@@ -83,7 +69,9 @@ def _retail(spark):
 def test_retail_panel_matches_row_level_join(spark):
     sales, feats, stores = _retail(spark)
     covs = ("temperature", "fuel_price", "cpi", "unemployment")
-    panel = weekly_panel(sales, feats, stores, covariates=covs).orderBy("date").collect()
+    assert weekly_panel(sales, feats, stores, covariates=covs).count() == 2
+    assert [r["weekly_sales"] for r in undated_sales(sales).collect()] == [1]
+    panel = weekly_panel(sales, feats, stores, covariates=covs, undated="keep").orderBy("date").collect()
     assert [r["date"] for r in panel] == [None, dt.date(2010, 2, 5), dt.date(2010, 2, 12)]
     week1, week2 = panel[1], panel[2]
     assert week1["total_sales"] == round(24924.50 + 50605.27 + 100.00)
@@ -106,7 +94,7 @@ def test_duplicate_right_keys_multiply_like_the_row_level_join(spark):
                                   "store int, dept int, date date, flag string, weekly_sales double")
     feats = spark.createDataFrame([(1, dt.date(2010, 2, 5), "false", 1.0), (1, dt.date(2010, 2, 5), "false", 3.0)],
                                   "store int, date date, flag string, temp double")
-    p = weekly_panel(sales, feats, covariates=("temp",)).first()
+    p = weekly_panel(sales, feats, covariates=("temp",), validate=False).first()
     m = merge_tables(sales, feats).agg(F.sum("weekly_sales").alias("s"), F.avg("temp").alias("t")).first()
     assert p["total_sales"] == m["s"] == 60.0
     assert p["temp"] == pytest.approx(m["t"])
@@ -166,6 +154,73 @@ def test_validate_rejects_duplicate_covariate_keys(spark):
                                   "store int, dept int, date date, flag string, weekly_sales double")
     feats = spark.createDataFrame([(1, dt.date(2010, 2, 5), "false", 1.0), (1, dt.date(2010, 2, 5), "false", 3.0)],
                                   "store int, date date, flag string, temp double")
-    with pytest.raises(ValueError, match="covariates"):
-        weekly_panel(sales, feats, covariates=("temp",), validate=True)
-    assert weekly_panel(sales, feats.limit(1), covariates=("temp",), validate=True).count() == 1
+    with pytest.raises(Exception, match="covariates"):
+        weekly_panel(sales, feats, covariates=("temp",)).collect()
+    assert weekly_panel(sales, feats.limit(1), covariates=("temp",)).count() == 1
+
+
+def _one_week(spark, values, sales=None):
+    """Stores 1..n with one sales row and one covariate value each."""
+    day = dt.date(2010, 2, 5)
+    sales = sales or [1.0] * len(values)
+    s = spark.createDataFrame([(i, 1, day, "false", x) for i, x in enumerate(sales)],
+                              "store int, dept int, date date, flag string, weekly_sales double")
+    f = spark.createDataFrame([(i, day, "false", v) for i, v in enumerate(values)], "store int, date date, flag string, temp double")
+    return weekly_panel(s, f, covariates=("temp",)).first()
+
+
+@pytest.mark.parametrize("values,mean", [([2e20, 1.0], 1e20), ([6e19, 6e19], 6e19), ([1e-19, 1e-19], 1e-19),
+                                         ([1e-310, 1e-310], 1e-310), ([1e305, 1e305], 1e305), ([0.0, 0.0], 0.0), ([None, 3.0], 3.0)])
+def test_covariate_means_of_any_size(spark, values, mean):
+    assert _one_week(spark, values)["temp"] == pytest.approx(mean, rel=1e-11, abs=0)
+
+
+def test_amounts_keep_sub_cent_digits_and_never_vanish(spark):
+    def sales(*values):
+        rows = [(1, i, "05/02/2010", v, "FALSE") for i, v in enumerate(values)]
+        return retail_sales(spark.createDataFrame(rows, "Store int, Dept int, Date string, Weekly_Sales string, IsHoliday string"))
+
+    assert weekly_panel(sales(*["0.004"] * 500)).first()["total_sales"] == 2.0
+    assert weekly_panel(sales("99000000000000000", "1")).first()["total_sales"] == 99000000000000001
+    assert [r["weekly_sales"] for r in sales("NA", " ", None, "na").collect()] == [None] * 4
+    for bad in ("1" * 30, "much"):
+        with pytest.raises(Exception):
+            sales(bad).collect()
+
+
+def test_undated_sales_stay_out_of_every_series(spark):
+    from weekcast.config import CORRECTED
+    from weekcast.operators.features import build_features
+
+    d0 = dt.date(2010, 1, 4)
+    rows = [(1, 1, d0 + dt.timedelta(weeks=i), "false", 1000.0 + i) for i in range(70)] + [(1, 1, None, "false", 5000.0)]
+    sales = spark.createDataFrame(rows, "store int, dept int, date date, flag string, weekly_sales double")
+    first = build_features(weekly_panel(sales), 1, (), CORRECTED).orderBy("date").first()
+    clean = build_features(weekly_panel(sales.where("date is not null")), 1, (), CORRECTED).orderBy("date").first()
+    assert first == clean
+    with pytest.raises(Exception, match="no date"):
+        weekly_panel(sales, undated="raise").collect()
+    with pytest.raises(ValueError):
+        weekly_panel(sales, undated="ignore")
+
+
+def test_fill_weeks_inserts_and_never_deletes(spark):
+    d = lambda day: dt.date(2010, 1, day)
+    rows = [("a", d(3), 1.0), ("a", d(11), 2.0), ("a", d(17), 3.0), ("a", dt.date(2010, 2, 7), 4.0),
+            (None, d(3), 5.0), (None, d(24), 6.0), ("b", None, 7.0), ("b", d(10), 8.0)]
+    panel = spark.createDataFrame(rows, "k string, date date, total_sales double")
+    got = {(r["k"], r["date"], r["total_sales"]) for r in fill_weeks(panel, ["k"]).collect()}
+    assert got == set(rows) | {("a", d(24), None), ("a", d(31), None), (None, d(10), None), (None, d(17), None)}
+    kept = fill_weeks(panel.where("k = 'a'").drop("k")).count()
+    assert kept == 6
+
+
+def test_null_series_keys_meet_their_own_rows(spark):
+    from weekcast.operators.evaluate import left_by_key, retrend_by_join
+
+    day = dt.date(2010, 1, 4)
+    pred = spark.createDataFrame([(None, day, 1.0, 2.0), ("a", day, 3.0, 4.0)], "k string, date date, prediction double, label double")
+    levels = spark.createDataFrame([(None, day, 10.0), ("a", day, 20.0)], "k string, date date, level double")
+    got = {r["k"]: (r["prediction"], r["label"], r["level"]) for r in retrend_by_join(pred, levels, ["k"]).collect()}
+    assert got == {None: (11.0, 12.0, 10.0), "a": (23.0, 24.0, 20.0)}
+    assert left_by_key(pred, levels, ["k", "date"]).columns == ["k", "date", "prediction", "label", "level"]

@@ -14,7 +14,7 @@ from __future__ import annotations
 import argparse
 
 from weekcast.config import PRESETS
-from weekcast.operators.panel import weekly_panel
+from weekcast.operators.panel import undated_sales, weekly_panel
 from weekcast.plans.report import accuracy_table, compare
 from weekcast.session import get_session
 from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, fixture_tables
@@ -24,6 +24,10 @@ RETAIL_PANEL_COVARIATES = {"temp": "temperature", "fuel_price": "fuel_price", "u
                            "cpi": "cpi"}
 
 
+#: rows of the printed preview; the whole table goes to --out
+PREVIEW = 40
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="weekcast")
     ap.add_argument("--source", choices=("catalog", "fixture"), default="catalog")
@@ -32,6 +36,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--horizons", default="1,2,3")
     ap.add_argument("--models", default="rf,dt,lr,gbt")
     ap.add_argument("--keys", default="", help="series keys, e.g. store or type (fixture: store or nation)")
+    ap.add_argument("--fill", action="store_true", help="insert missing weeks, so that row lags are calendar lags")
+    ap.add_argument("--out", default=None, help="write the whole table there as parquet; without it only a preview is printed")
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
@@ -39,16 +45,24 @@ def main(argv: list[str] | None = None) -> None:
     keys = tuple(k for k in args.keys.split(",") if k)
     if args.source == "catalog":
         t = catalog_tables(spark)
-        panel = weekly_panel(retail_sales(t["sales"]), retail_features(t["features"]), retail_stores(t["stores"]),
-                             keys=keys, covariates=RETAIL_PANEL_COVARIATES)
+        sales = retail_sales(t["sales"])
+        print(f"sales rows without a readable date, left out: {undated_sales(sales).count()}")
+        panel = weekly_panel(sales, retail_features(t["features"]), retail_stores(t["stores"]),
+                             keys=keys, covariates=RETAIL_PANEL_COVARIATES, fill=args.fill)
     else:
         t = fixture_tables(spark, args.sf_dir)
         panel = weekly_panel(t["sales"], t["features"], t["stores"], keys=keys, covariates=COVARIATES,
-                             holiday_values=HOLIDAY_FLAGS, normalize_flag=False)
+                             holiday_values=HOLIDAY_FLAGS, normalize_flag=False, fill=args.fill)
     horizons = tuple(int(h) for h in args.horizons.split(","))
     long, _ = compare(panel, horizons=horizons, models=tuple(args.models.split(",")), preset=PRESETS[args.preset],
                       keys=keys)
-    accuracy_table(long, horizons, keys).show(n=1000, truncate=False)
+    table = accuracy_table(long, horizons, keys)
+    if args.out:
+        table.write.mode("errorifexists").parquet(args.out)
+        table = spark.read.parquet(args.out)
+    rows = table.count()
+    print(f"{rows} rows" + (f", all of them in {args.out}" if args.out else "") + (f"; the first {PREVIEW}:" if rows > PREVIEW else ":"))
+    table.show(n=PREVIEW, truncate=False)
 
 
 if __name__ == "__main__":

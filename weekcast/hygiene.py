@@ -1,7 +1,7 @@
 """Output rounding shared by the Spark queries and their SQL twins.
 
 Sums and window statistics are evaluated in a different order by another engine, so doubles are
-compared after rounding: small ratios (covariate means, shares, slopes) to 6 digits, sales-sized
+compared after rounding: small ratios (covariate means, shares, slopes) to 10 digits, sales-sized
 values to 2, scores to 4. The digits are chosen so that the last-bit noise of a ~1e8 value is at least
 four orders of magnitude below the rounding step.
 """

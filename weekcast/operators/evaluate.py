@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,18 @@ def retrend_by_join(
     pred: DataFrame, levels: DataFrame, keys: Sequence[str] = (), date: str = "date", level: str = "level"
 ) -> DataFrame:
     """Retrend when the levels live in their own frame: an equi-join on (series keys, date), which
-    is what the original's row-id join meant. Both sides are one row per (series, date)."""
-    on = [*keys, date]
-    joined = pred.join(levels.select(*on, level), on, "left")
-    return retrend(joined, level)
+    is what the original's row-id join meant. Both sides are one row per (series, date); a null key or date
+    is a value like any other."""
+    return retrend(left_by_key(pred, levels.select(*keys, date, level), [*keys, date]), level)
+
+
+def left_by_key(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join on null-safe equality of the ``on`` columns, which the result has once."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(named, same, "left").drop(*[f"_r_{c}" for c in on])
 
 
 def rmse(
@@ -47,7 +55,7 @@ def rmse(
 
 def smape(
     pred: DataFrame,
-    trim_last: int = 0,
+    trim_last: int | Column = 0,
     keys: Sequence[str] = (),
     preset: Preset = CORRECTED,
     prediction: str = "prediction",
@@ -57,17 +65,18 @@ def smape(
 ) -> DataFrame:
     """sMAPE in percent: ``100 / n * sum(|p - a| / ((|p| + |a|) / 2))``.
 
-    The last ``trim_last`` rows of each series (by date) are not scored. ``denominator="all"`` divides
+    The last ``trim_last`` rows of each series (by date; a number or a column) are not scored; without keys that takes a window over
+    one series, which is bounded by the calendar. ``denominator="all"`` divides
     by every row, trimmed and unforecast ones included, as the original does (S8); ``"scored"``
     divides by the rows that were scored. A 0/0 term counts as 0.
     """
     if preset.denominator not in ("all", "scored"):
         raise ValueError(f"denominator must be 'all' or 'scored', not {preset.denominator!r}")
     df = pred
-    if trim_last:
+    if isinstance(trim_last, Column) or trim_last:
         from_end = Window.partitionBy(*keys).orderBy(F.col(date).desc()) if keys else Window.orderBy(F.col(date).desc())
         df = df.withColumn("_from_end", F.row_number().over(from_end))
-        kept = F.col("_from_end") > F.lit(trim_last)
+        kept = F.col("_from_end") > (trim_last if isinstance(trim_last, Column) else F.lit(trim_last))
     else:
         kept = F.lit(True)
     scored = kept & F.col(prediction).isNotNull() & F.col(label).isNotNull()
@@ -89,7 +98,8 @@ def sma_forecast(
     name: str = "sma",
 ) -> DataFrame:
     """Mean of the previous ``window`` rows (the current row excluded), in date order; the original
-    orders by day of month (S9), kept with ``sma_order="day"`` and date as the tie-break."""
+    orders by day of month (S9), kept with ``sma_order="day"`` and date as the tie-break. Without keys the
+    window holds one weekly series in one task."""
     if preset.sma_order == "day":
         order = [F.dayofmonth(date), F.col(date)]
     elif preset.sma_order == "date":

@@ -27,6 +27,8 @@ from weekcast.functions.columns import period_suffix
 
 
 def series_window(keys: Sequence[str] = (), date: str = "date") -> WindowSpec:
+    """Rows of a series in time order. Without keys all rows are one series in one task: only for frames
+    after the weekly roll-up, which hold one row per period."""
     keys = list(keys)
     return Window.partitionBy(*keys).orderBy(date) if keys else Window.orderBy(date)
 

@@ -4,50 +4,37 @@ Plan shape of ``weekly_panel`` for a 100 TB fact table:
 
 1. sales are pre-aggregated to the join grain (store, date, flag [, sales-side series keys]) with a
    partial aggregate before the shuffle, keeping a row count so that covariate means stay weighted
-   by sales rows exactly as the original row-level join + ``avg`` weights them (S16). This is exact
-   even with duplicate right-side keys: each pre-aggregated row multiplies like the rows it stands for.
+   by sales rows exactly as the original row-level join + ``avg`` weights them (S16). This is the only
+   exchange of fact rows unless a series key lies outside the join keys (``keys=("dept",)``): then the
+   pre-aggregate is nearly fact-sized and is exchanged once more for the join.
 2. left join with the covariates on the same three keys: both sides arrive hash-partitioned on them
    (the pre-aggregate's exchange, and the covariate roll-up's), so the sort-merge join adds no shuffle.
-3. the dimension joins only when a dimension column is asked for, broadcast only behind a row bound
-   proven by a bounded count; otherwise Catalyst / AQE choose (sort-merge, skew splitting).
+3. the dimension joins only when a dimension column is asked for; Spark's byte-based threshold and AQE
+   choose between broadcast and sort-merge, with skew splitting.
 4. final roll-up to (series keys, date): partial + final aggregate; the output has one row per series
    and week, so the window steps that follow never see raw rows. When every series is one store (or
    finer), a store's pre-aggregated rows are bounded by weeks x flags, so the roll-up is fed by one
    exchange on the series keys, which the per-series windows downstream reuse (one shuffle, not two).
    Coarser keys (e.g. nation) keep the partial aggregate before their exchange instead.
+
+``merge_tables`` keeps raw rows by definition: its exchange carries them whole, and AQE splits a hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.functions.columns import holiday_flag
-from weekcast.sources.tables import assert_unique
+from weekcast.sources.tables import single_row
 
 JOIN_KEYS = ("store", "date", "flag")
 DIM_KEY = "store"
-#: rows a dimension may have and still be broadcast (a 3-column dimension this size is ~50 MB)
-BROADCAST_MAX_ROWS = 2_000_000
-#: exact accumulator for covariate sums: each row's value is rounded once to 18 decimals, and decimal
-#: addition is associative, so a mean no longer depends on how rows fall into partitions
-EXACT = T.DecimalType(38, 18)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the frame provably has at most ``max_rows`` rows.
-
-    The proof is ``limit(max_rows + 1).count()``: it stops reading once the bound is passed, so it
-    costs at most ``max_rows`` rows of scan whatever the table size. Above the bound the frame is
-    returned as it is and the join stays a shuffled (sort-merge) join, which AQE may still demote to
-    a broadcast at run time from real shuffle sizes.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+#: significant digits of a covariate mean: the noise of the order in which partial sums meet is far below
+SIGNIFICANT = 12
 
 
 def merge_tables(
@@ -56,7 +43,6 @@ def merge_tables(
     stores: DataFrame | None = None,
     join_keys: Sequence[str] = JOIN_KEYS,
     dim_key: str = DIM_KEY,
-    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
 ) -> DataFrame:
     """Row-level merge: sales LEFT JOIN features on the three keys, LEFT JOIN stores on the store key.
     Key columns are merged (``USING`` semantics), as in the original."""
@@ -64,7 +50,7 @@ def merge_tables(
     if features is not None:
         merged = merged.join(features, list(join_keys), "left")
     if stores is not None:
-        merged = merged.join(bounded_broadcast(stores, broadcast_max_rows), [dim_key], "left")
+        merged = merged.join(stores, [dim_key], "left")
     return merged
 
 
@@ -83,25 +69,39 @@ def covariate_pairs(covariates: Sequence[str] | Mapping[str, str]) -> list[tuple
     return [(c, c) for c in covariates]
 
 
+def significant(c: F.Column, digits: int = SIGNIFICANT) -> F.Column:
+    """A double rounded to so many significant digits; 0, null, NaN, infinities and values next to the
+    limits of doubles stay as they are."""
+    size = F.abs(c)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(size)) - F.lit(digits - 1))
+    usual = (size > F.lit(1e-290)) & (size < F.lit(1e300))
+    return F.when(usual, F.round(c / power) * power).otherwise(c)
+
+
 def rollup_aggs(covariates: Sequence[str], holiday: F.Column, target: str = "total_sales",
                 sales: str = "_sales", rows: str = "_rows") -> list[F.Column]:
     """Aggregates of the weekly roll-up over rows pre-aggregated to the join grain: the rounded sales
     total, covariate means weighted by sales rows (nulls excluded, as ``avg`` over the joined rows does),
     and the share of holiday rows.
 
-    Covariate sums are exact (``EXACT``), so the means are the same bits whatever the partitioning or
-    the order partial sums are merged in; model fits downstream are then reproducible. A weighted value
-    beyond 1e20 in magnitude counts as missing."""
+    Means are taken in double like the original's ``avg``, for values of any size, and rounded to
+    ``SIGNIFICANT`` digits at the end: the same value whatever the partitioning, so that model fits
+    downstream are reproducible."""
     n = F.col(rows)
     aggs = [F.round(F.sum(sales)).cast(T.DoubleType()).alias(target)]
     for c in covariates:
-        x = (F.col(c) * n).try_cast(EXACT)
-        aggs.append(F.try_divide(F.sum(x).cast(T.DoubleType()),
-                                 F.sum(F.when(x.isNotNull(), n)).cast(T.DoubleType())).alias(c))
+        mean = F.try_divide(F.sum(F.col(c) * n), F.sum(F.when(F.col(c).isNotNull(), n)).cast(T.DoubleType()))
+        aggs.append(significant(mean).alias(c))
     aggs.append((F.sum(holiday * n) / F.sum(n)).cast(T.DoubleType()).alias("is_holiday"))
     return aggs
 
 
+def undated_sales(sales: DataFrame, date: str = "date") -> DataFrame:
+    """The sales rows that ``weekly_panel(undated="reject")`` leaves out: rows whose date was missing or
+    could not be read. Counting them is ``undated_sales(sales).count()``."""
+    return sales.where(F.col(date).isNull())
+
+
 def weekly_panel(
     sales: DataFrame,
     features: DataFrame | None = None,
@@ -114,15 +114,19 @@ def weekly_panel(
     dim_key: str = DIM_KEY,
     target: str = "total_sales",
     calendar: bool = True,
-    broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-    validate: bool = False,
+    validate: bool = True,
+    undated: str = "reject",
+    fill: bool = False,
 ) -> DataFrame:
     """One row per (series keys, date): rounded sales total, covariate means over the joined sales
     rows, share of holiday rows, month and day.
 
-    ``validate=True`` first checks that the covariates are unique on the join keys and the dimension on
-    its key (duplicates would multiply sales through the left joins, S18); each check is one aggregate
-    job over that table, so it is off by default.
+    ``validate`` makes the plan fail if the covariates are not unique on the join keys or the dimension on
+    its key (duplicates would multiply sales through the left joins, S18). Without it they multiply.
+
+    ``undated`` says what happens to sales without a date, which belong to no week: "reject" leaves them out
+    of every series (``undated_sales`` returns and counts them), "raise" fails the job, "keep" makes them a
+    week of their own as the original does. ``fill`` inserts the missing weeks of every series.
 
     ``keys`` may name sales columns (e.g. ``store``, ``dept``) or dimension columns (e.g. ``nation``);
     an empty ``keys`` gives the single series of the original. ``covariates`` is a list of covariate
@@ -134,25 +138,27 @@ def weekly_panel(
     dim_side = [k for k in keys if k not in sales.columns]
     grain = join_keys + sales_side
 
+    if undated not in ("reject", "raise", "keep"):
+        raise ValueError(f"undated must be 'reject', 'raise' or 'keep', not {undated!r}")
+    if undated == "raise":
+        missing = F.raise_error(F.lit("a sales row has no date")).cast(sales.schema["date"].dataType)
+        sales = sales.withColumn("date", F.coalesce(F.col("date"), missing))
+    elif undated == "reject":
+        sales = sales.where(F.col("date").isNotNull())
     pre = sales.groupBy(*grain).agg(
         F.sum("weekly_sales").alias("_sales"),
         F.count(F.lit(1)).alias("_rows"),
     )
-    if validate:
-        if features is not None:
-            assert_unique(features, join_keys, "covariates")
-        if dim_side:
-            assert_unique(stores, [dim_key], "dimension")
     pairs = covariate_pairs(covariates) if features is not None else []
     joined = pre
     if features is not None:
         cov = features.select(*join_keys, *[F.col(src).alias(out) for out, src in pairs])
-        joined = joined.join(cov, join_keys, "left")
+        joined = joined.join(single_row(cov, join_keys, "covariates") if validate else cov, join_keys, "left")
     if dim_side:
         if stores is None:
             raise ValueError(f"series keys {dim_side} are not sales columns and no dimension was given")
         dim = stores.select(dim_key, *dim_side)
-        joined = joined.join(bounded_broadcast(dim, broadcast_max_rows), [dim_key], "left")
+        joined = joined.join(single_row(dim, [dim_key], "dimension") if validate else dim, [dim_key], "left")
 
     if keys and dim_key in keys and not dim_side:
         # bounded rows per series (weeks x flags): hash them by series once; the roll-up and the
@@ -161,22 +167,28 @@ def weekly_panel(
     holiday = holiday_flag("flag", holiday_values, normalize_flag)
     aggs = rollup_aggs([out for out, _ in pairs], holiday, target)
     panel = joined.groupBy(*keys, "date").agg(*aggs)
-    return calendar_features(panel) if calendar else panel
+    panel = calendar_features(panel) if calendar else panel
+    return fill_weeks(panel, keys) if fill else panel
 
 
 def fill_weeks(panel: DataFrame, keys: Sequence[str] = (), date: str = "date", step_days: int = 7) -> DataFrame:
     """Insert the missing periods of every series as rows with null measures, so that row lags become
     calendar lags (off by default: the original's lags are row lags, and rows simply slide over a gap).
 
-    Each series gets the dates from its own first to its last period in steps of ``step_days``; the
-    generated rows per series are bounded by the calendar, and the left join back to the panel is an
-    equi-join on (keys, date), one row per side. Calendar columns are filled for the new rows.
+    One pass: every row brings the periods that lie between it and the next row of its series, in steps of
+    ``step_days`` from its own date. No row is dropped: one off the step, one without a date and one whose
+    series key is null come back as they are. Calendar columns are filled for the new rows. Without keys the
+    window holds one series, which the calendar bounds.
     """
     keys = list(keys)
-    span = panel.groupBy(*keys).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
-    grid = span.select(*keys, F.explode(F.sequence("_first", "_last", F.expr(f"INTERVAL {int(step_days)} DAYS")))
-                       .alias(date))
-    filled = grid.join(panel, [*keys, date], "left")
+    order = Window.partitionBy(*keys).orderBy(date) if keys else Window.orderBy(date)
+    step = F.expr(f"INTERVAL {int(step_days)} DAYS")
+    last = F.date_sub("_next", int(step_days))
+    dates = F.when(last > F.col(date), F.sequence(F.col(date), last, step)).otherwise(F.array(F.col(date)))
+    spread = panel.withColumn("_next", F.lead(date).over(order)).withColumn("_date", F.explode(dates))
+    own = F.col("_date").eqNullSafe(F.col(date))
+    measures = [c for c in panel.columns if c not in keys and c != date]
+    filled = spread.select(*keys, F.col("_date").alias(date), *[F.when(own, F.col(c)).alias(c) for c in measures])
     if "month" in panel.columns or "day" in panel.columns:
-        filled = calendar_features(filled.drop("month", "day"))
+        filled = calendar_features(filled.drop("month", "day"), date)
     return filled.select(*panel.columns)

@@ -35,11 +35,6 @@ def split_size(n: Column, pct: float, exact: bool = True) -> Column:
     return F.ceil(n.cast(T.DoubleType()) * F.lit(float(pct))).cast(T.LongType())
 
 
-def row_index(df: DataFrame, keys: Sequence[str] = (), date: str = "date", name: str = "row_ix") -> DataFrame:
-    """1-based position in time order within each series."""
-    return df.withColumn(name, F.row_number().over(series_window(keys, date)).cast(T.LongType()))
-
-
 def split_frame(
     df: DataFrame,
     pct: float = SPLIT_PCT,
@@ -71,19 +66,6 @@ def ts_split(
     return s.where(F.col("role") == TRAIN).drop(*drop), s.where(F.col("role") == TEST).drop(*drop)
 
 
-def purged_split(
-    df: DataFrame,
-    h: int,
-    pct: float = SPLIT_PCT,
-    keys: Sequence[str] = (),
-    preset: Preset = CORRECTED,
-    n_lags: int = N_LAGS,
-    date: str = "date",
-) -> DataFrame:
-    """Split with the purge gap for horizon ``h`` between train and test."""
-    return split_frame(df, pct, purge_gap(h, n_lags), keys, preset, date)
-
-
 def _fold_bounds(n: Column, fold: Column, folds: int, origin: str) -> tuple[Column, Column]:
     """(last train position before any gap, last test position) of ``fold`` (1-based)."""
     if origin == "expanding":

@@ -27,13 +27,13 @@ BASE = """
 li AS (
   SELECT l_suppkey AS store, l_partkey AS dept, l_returnflag AS flag,
          CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
-         CAST(l_extendedprice AS DECIMAL(18,2)) AS price, l_quantity, l_discount, l_tax
+         CAST(l_extendedprice AS DECIMAL(28,6)) AS price, l_discount, l_tax
   FROM lineitem),
 sales AS (
-  SELECT store, dept, flag, date, SUM(price) AS weekly_sales FROM li GROUP BY store, dept, flag, date),
+  SELECT store, dept, flag, date, price AS weekly_sales FROM li),
 features AS (
   SELECT store, date, flag, AVG(l_discount) AS temp, AVG(l_tax) AS cpi
-  FROM li WHERE l_quantity > 25 GROUP BY store, date, flag),
+  FROM li GROUP BY store, date, flag),
 stores AS (
   SELECT s_suppkey AS store, s_nationkey AS nation, s_acctbal AS acctbal FROM supplier),
 merged AS (
@@ -114,8 +114,11 @@ def _feature_select(h: int, keys: tuple[str, ...] = (), level: bool = False) ->
                       _r(*names)])
 
 
+PANEL_OF = {(): "panel", ("nation",): "panel_k", ("store",): "panel_s"}
+
+
 def features_sql(h: int, reference: bool = True, keys: tuple[str, ...] = (), level: bool = False) -> str:
-    src = {(): "panel", ("nation",): "panel_k", ("store",): "panel_s"}[tuple(keys)]
+    src = PANEL_OF[tuple(keys)]
     return _with(*_feature_ctes("fx", h, reference, src, keys)) + f"SELECT {_feature_select(h, keys, level)} FROM fx_f"
 
 
@@ -292,12 +295,159 @@ def smape_keyed_sql() -> str:
     return _with(*ctes) + f"SELECT nation, {_r('smape')}, n_scored FROM ({body})"
 
 
+FILLED = [
+    "span AS (SELECT store, MIN(date) AS lo, MAX(date) AS hi FROM panel_s GROUP BY store)",
+    "grid AS (SELECT store, CAST(UNNEST(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS date FROM span)",
+    "filled AS (SELECT g.store, g.date, total_sales, temp, cpi, is_holiday, CAST(month(g.date) AS INTEGER) AS month, "
+    "CAST(dayofmonth(g.date) AS INTEGER) AS day FROM grid g LEFT JOIN panel_s p ON g.store = p.store AND g.date = p.date)",
+]
+
+# the retail layout keeps only holiday or not; every tenth store has no covariates
+RETAIL = [
+    "rfeat AS (SELECT store, date, flag = 'R' AS holiday, CASE WHEN store % 10 = 0 THEN NULL ELSE AVG(l_discount) END AS temp, "
+    "CASE WHEN store % 10 = 0 THEN NULL ELSE AVG(l_tax) END AS cpi FROM li GROUP BY store, date, flag = 'R')",
+    "rmerged AS (SELECT s.date, s.price, s.flag, f.temp, f.cpi FROM li s LEFT JOIN rfeat f "
+    "ON s.store = f.store AND s.date = f.date AND (s.flag = 'R') = f.holiday)",
+    "rpanel AS (SELECT date, CAST(ROUND(SUM(price)) AS DOUBLE) AS total_sales, AVG(temp) AS temp, AVG(cpi) AS cpi, "
+    "AVG(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) AS is_holiday, CAST(month(date) AS INTEGER) AS month, "
+    "CAST(dayofmonth(date) AS INTEGER) AS day FROM rmerged GROUP BY date)",
+]
+
+
+# -- models with a closed form -------------------------------------------------------------------------
+
+def _ridge_ctes(tag: str, h: int, reference: bool, src: str, keys: tuple[str, ...], reg: str = "0.5") -> list[str]:
+    """Ridge of the label on the newest lag over the training rows; forecasts of the test rows in ``{tag}_p``."""
+    x = f"lag_{_suffix(h)}"
+    return [
+        *_feature_ctes(f"{tag}fx", h, reference, src, keys),
+        *_split_ctes(f"{tag}sp", f"{tag}fx_f", _gap(h), not reference, keys),
+        f"{tag}_c AS (SELECT slope, my - slope * mx AS intercept FROM (SELECT COVAR_POP(label, {x}) / VAR_POP({x}) "
+        f"/ (1 + {reg} / STDDEV_POP(label)) AS slope, AVG(label) AS my, AVG({x}) AS mx FROM {tag}sp "
+        "WHERE role = 'train' AND label IS NOT NULL))",
+        f"{tag}_p AS (SELECT sp.*, intercept + slope * {x} AS prediction FROM {tag}sp sp, {tag}_c WHERE role = 'test')",
+    ]
+
+
+def predict_lr_single_sql() -> str:
+    return _with(*_ridge_ctes("r", 1, False, "panel", ())) + f"SELECT date, {_r('prediction')} FROM r_p"
+
+
+def model_run_ridge_sql() -> str:
+    return _with(*_ridge_ctes("r", 1, False, "panel", ()),
+                 "rt AS (SELECT date, prediction + level AS prediction, label + level AS label FROM r_p)") + (
+        f"SELECT date, {_r('prediction', 'label')} FROM rt")
+
+
+def _stump_ctes(columns: tuple[str, ...]) -> list[str]:
+    """Every one-split fit of the label on a column: cumulative sums over its sorted values, the threshold
+    half way to the next value, and the squared error that the two means leave; the best one in ``best``."""
+    parts = []
+    for c in columns:
+        parts.append(
+            f"SELECT '{c}' AS feature, (x + next_x) / 2.0 AS threshold, sl / nl AS left_mean, (s - sl) / (n - nl) AS right_mean, "
+            "-(sl * sl / nl + (s - sl) * (s - sl) / (n - nl)) AS loss FROM (SELECT x, LEAD(x) OVER (ORDER BY x) AS next_x, "
+            "SUM(cnt) OVER (ORDER BY x) AS nl, SUM(sy) OVER (ORDER BY x) AS sl, SUM(cnt) OVER () AS n, SUM(sy) OVER () AS s "
+            f"FROM (SELECT CAST({c} AS DOUBLE) AS x, COUNT(*) AS cnt, SUM(label) AS sy FROM sp "
+            f"WHERE role = 'train' AND label IS NOT NULL GROUP BY {c})) WHERE next_x IS NOT NULL")
+    return [
+        *_feature_ctes("fx", 1, False), *_split_ctes("sp", "fx_f", _gap(1), True),
+        f"splits AS ({' UNION ALL '.join(parts)})",
+        "best AS (SELECT * FROM splits ORDER BY loss LIMIT 1)",
+    ]
+
+
+def stump_sql() -> str:
+    return _with(*_stump_ctes(("month",)), "pr AS (SELECT date, month, CASE WHEN month <= threshold THEN left_mean "
+                 "ELSE right_mean END AS prediction FROM sp, best WHERE role = 'test')") + (
+        f"SELECT date, month, {_r('prediction')} FROM pr")
+
+
+def stump_importance_sql(only_selected: bool) -> str:
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(("month", "day")))
+    body = (f"SELECT CAST(position AS INTEGER) AS position, f.feature, CASE WHEN f.feature = best.feature THEN 1.0 ELSE 0.0 END "
+            f"AS importance FROM ({rows}) f, best")
+    where = " WHERE importance > 0.03" if only_selected else ""
+    return _with(*_stump_ctes(("month", "day"))) + f"SELECT position, feature, {_r('importance')} FROM ({body}){where}"
+
+
+def _ridge_cv_ctes() -> list[str]:
+    """Test error of each (regularisation, fold) over the purged training rows, in ``scores``."""
+    gap, x = _gap(1), "lag_1week"
+    return [
+        *_feature_ctes("fx", 1, False), *_split_ctes("sp", "fx_f", gap, True),
+        f"tr AS (SELECT date, label, {x} AS x, ROW_NUMBER() OVER (ORDER BY date) AS ix, COUNT(*) OVER () AS n FROM sp "
+        "WHERE role = 'train' AND label IS NOT NULL)",
+        "folds AS (SELECT UNNEST([1, 2]) AS fold)",
+        f"fr AS (SELECT fold, label, x, CASE WHEN ix <= FLOOR(fold * n / {CV_FOLDS + 1}) - {gap} THEN 'train' "
+        f"WHEN ix > FLOOR(fold * n / {CV_FOLDS + 1}) AND ix <= FLOOR((fold + 1) * n / {CV_FOLDS + 1}) THEN 'test' END AS role "
+        "FROM tr, folds)",
+        "regs AS (SELECT 0 AS param_ix, 0.0 AS reg UNION ALL SELECT 1, 0.1 UNION ALL SELECT 2, 0.5)",
+        "coefs AS (SELECT fold, param_ix, slope, my - slope * mx AS intercept FROM (SELECT fold, param_ix, "
+        "COVAR_POP(label, x) / VAR_POP(x) / (1 + ANY_VALUE(reg) / STDDEV_POP(label)) AS slope, AVG(label) AS my, AVG(x) AS mx "
+        "FROM fr, regs WHERE role = 'train' GROUP BY fold, param_ix))",
+        "sizes AS (SELECT fold, COUNT(*) FILTER (role = 'train') AS n_train, COUNT(*) FILTER (role = 'test') AS n_test "
+        "FROM fr GROUP BY fold)",
+        "scores AS (SELECT c.param_ix, c.fold, SQRT(AVG(POW(intercept + slope * x - label, 2))) AS score FROM coefs c "
+        "JOIN fr ON fr.fold = c.fold AND fr.role = 'test' GROUP BY c.param_ix, c.fold)",
+    ]
+
+
+def cv_results_ridge_sql() -> str:
+    return _with(*_ridge_cv_ctes()) + (
+        "SELECT 'lr' AS model, CAST(param_ix AS INTEGER) AS param_ix, CAST(s.fold AS INTEGER) AS fold, n_train, n_test, "
+        f"'rmse' AS metric, {_r('score')} FROM scores s JOIN sizes z ON z.fold = s.fold")
+
+
+def best_params_ridge_sql() -> str:
+    return _with(*_ridge_cv_ctes()) + (
+        f"SELECT 'lr' AS model, CAST(param_ix AS INTEGER) AS param_ix, {_r('mean_score')}, folds FROM (SELECT param_ix, "
+        "AVG(score) AS mean_score, COUNT(*) AS folds FROM scores GROUP BY param_ix ORDER BY mean_score, param_ix LIMIT 1)")
+
+
+def ridge_table_sql(reference: bool, keys: tuple[str, ...] = ()) -> str:
+    """sMAPE of the ridge and of the moving average for three horizons, pivoted."""
+    src, ctes, parts = PANEL_OF[keys], [], []
+    by = "".join(f"{k}, " for k in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    group = f" GROUP BY {', '.join(keys)}" if keys else ""
+    denom = "COUNT(*)" if reference else "NULLIF(COUNT(term), 0)"
+
+    def score(model: str, h: int, rows: str, trim: int) -> None:
+        tag = f"{model}{h}"
+        keep = f"from_end > {trim} AND " if trim else ""
+        ctes.append(f"{tag}_t AS (SELECT {by}CASE WHEN {keep}prediction IS NOT NULL AND label IS NOT NULL THEN "
+                    f"{_smape_term('prediction', 'label')} END AS term FROM (SELECT *, ROW_NUMBER() OVER ({part}ORDER BY date DESC) "
+                    f"AS from_end FROM ({rows})))")
+        label = {"lr": "Linear Regression", "sma": "SMA"}[model]
+        parts.append(f"SELECT {by}'{label}' AS model, {h} AS horizon, ROUND(SUM(term) / {denom} * 100.0, 4) AS smape "
+                     f"FROM {tag}_t{group}")
+
+    for h in (1, 2, 3):
+        ctes += _ridge_ctes(f"r{h}", h, reference, src, keys)
+        score("lr", h, f"SELECT {by}date, prediction + level AS prediction, label + level AS label FROM r{h}_p", h if reference else 0)
+        if h == 1:
+            continue
+        if reference:
+            ctes += _sma_ctes(f"b{h}", h, True)
+            score("sma", h, f"SELECT * FROM b{h}", 0)
+        else:
+            same = "".join(f"t.{k} IS NOT DISTINCT FROM a.{k} AND " for k in keys)
+            named = "".join(f"t.{k}, " for k in keys)
+            ctes.append(f"a{h} AS (SELECT {by}date, AVG(total_sales) OVER ({part}ORDER BY date ROWS BETWEEN {h - 1} PRECEDING "
+                        f"AND CURRENT ROW) AS prediction FROM {src})")
+            score("sma", h, f"SELECT {named}t.date, a.prediction, t.label + t.level AS label FROM r{h}_p t LEFT JOIN a{h} a "
+                            f"ON {same}t.date = a.date", 0)
+    cells = ", ".join(f"ROUND(MAX(CASE WHEN horizon = {h} THEN smape END), 4) AS \"{h} {'week' if h == 1 else 'weeks'}\"" for h in (1, 2, 3))
+    return _with(*ctes) + f"SELECT {by}model, {cells} FROM ({' UNION ALL '.join(parts)}) GROUP BY {by}model"
+
+
 ORACLE: dict[str, str] = {
     "table_shapes": _with() + (
         "SELECT 'sales' AS table_name, COUNT(*) AS n_rows, 5 AS n_cols FROM sales UNION ALL "
         "SELECT 'features', COUNT(*), 5 FROM features UNION ALL SELECT 'stores', COUNT(*), 3 FROM stores"),
     "table_preview": _with() + (
-        f"SELECT store, dept, flag, date, {_r('weekly_sales')} FROM sales ORDER BY store, dept, flag, date LIMIT 10"),
+        f"SELECT store, dept, flag, date, {_r('weekly_sales')} FROM sales ORDER BY store, dept, flag, date, sales.weekly_sales LIMIT 10"),
     "table_preview_features": _with() + (
         f"SELECT store, date, flag, {_r('temp', 'cpi')} FROM features ORDER BY store, date, flag LIMIT 10"),
     "table_preview_stores": _with() + (
@@ -317,12 +467,23 @@ ORACLE: dict[str, str] = {
         f"SELECT nation, date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM panel_k"),
     "weekly_panel_by_store": _with() + (
         f"SELECT store, date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM panel_s"),
-    "weekly_panel_by_store_filled": _with(
-        "span AS (SELECT store, MIN(date) AS lo, MAX(date) AS hi FROM panel_s GROUP BY store)",
-        "grid AS (SELECT store, CAST(UNNEST(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS date FROM span)") + (
-        f"SELECT g.store, g.date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, "
-        "CAST(month(g.date) AS INTEGER) AS month, CAST(dayofmonth(g.date) AS INTEGER) AS day "
-        "FROM grid g LEFT JOIN panel_s p ON g.store = p.store AND g.date = p.date"),
+    "weekly_panel_by_store_filled": _with(*FILLED) + (
+        f"SELECT store, date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM filled"),
+    "features_by_store_filled": _with(*FILLED, *_feature_ctes("fx", 1, False, "filled", ("store",))) + (
+        f"SELECT {_feature_select(1, ('store',), True)} FROM fx_f"),
+    "weekly_panel_wide_range": _with(
+        "wide AS (SELECT date, CAST(ROUND(SUM(weekly_sales)) AS DOUBLE) AS total_sales, AVG(temp * 1e21) / 1e21 AS temp, "
+        "AVG(cpi * 1e-19) / 1e-19 AS cpi, AVG(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) AS is_holiday FROM merged GROUP BY date)") + (
+        f"SELECT date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, CAST(month(date) AS INTEGER) AS month, "
+        "CAST(dayofmonth(date) AS INTEGER) AS day FROM wide"),
+    "weekly_panel_subcent": _with(
+        "cents AS (SELECT date, CAST(ROUND(SUM(weekly_sales * 0.001)) AS DOUBLE) AS total_sales, AVG(temp) AS temp, "
+        "AVG(cpi) AS cpi, AVG(CASE WHEN flag = 'R' THEN 1 ELSE 0 END) AS is_holiday FROM merged GROUP BY date)") + (
+        f"SELECT date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, CAST(month(date) AS INTEGER) AS month, "
+        "CAST(dayofmonth(date) AS INTEGER) AS day FROM cents"),
+    "weekly_panel_retail_layout": _with(*RETAIL) + (
+        f"SELECT date, {_r('total_sales', 'temp', 'cpi', 'is_holiday')}, month, day FROM rpanel"),
+    "features_retail_layout": _with(*RETAIL, *_feature_ctes("fx", 1, True, "rpanel")) + f"SELECT {_feature_select(1)} FROM fx_f",
     "calendar_features": _with() + "SELECT date, month, day FROM panel",
     "seasonal_diff": _with(*_feature_ctes("fx", 1, True)[:2]) + (
         f"SELECT date, {_r('total_sales', 'lag_1year', 'diff_sales')} FROM fx_2"),
@@ -368,4 +529,16 @@ ORACLE: dict[str, str] = {
     "sma_smape_day_order": sma_smape_sql(True),
     "sma_smape_keyed": sma_smape_keyed_sql(),
     "lr_single_feature": lr_single_feature_sql(),
+    "predict_lr_single": predict_lr_single_sql(),
+    "predict_dt_stump": stump_sql(),
+    "predict_gbt_stump": stump_sql(),
+    "predict_rf_stump": stump_sql(),
+    "feature_importance_stump": stump_importance_sql(False),
+    "feature_selection_stump": stump_importance_sql(True),
+    "cv_results_ridge": cv_results_ridge_sql(),
+    "best_params_ridge": best_params_ridge_sql(),
+    "model_run_ridge": model_run_ridge_sql(),
+    "accuracy_comparison_ridge": ridge_table_sql(False),
+    "accuracy_comparison_ridge_reference": ridge_table_sql(True),
+    "accuracy_comparison_ridge_keyed": ridge_table_sql(False, ("nation",)),
 }

@@ -21,23 +21,17 @@ from pyspark.sql import functions as F
 
 from weekcast.config import CORRECTED, Preset
 
-#: model code -> display name, as in the accuracy table
-MODEL_NAMES = {
-    "sma": "SMA",
-    "rf": "Random Forest",
-    "dt": "Decision Tree",
-    "lr": "Linear Regression",
-    "gbt": "Gradient Boosted Tree",
-}
-
-
 def estimator(name: str, params: Mapping[str, object], preset: Preset = CORRECTED,
               features_col: str = "features", label_col: str = "label"):
-    """Estimator for a model code and a parameter map whose keys follow the original's grids."""
+    """Estimator for a model code and a parameter map whose keys follow the original's grids. Forests
+    also take the optional ``MaxDepth``, ``Bootstrap`` and ``FeatureSubsetStrategy``; left out, MLlib's
+    defaults hold, as in the original."""
     common = dict(featuresCol=features_col, labelCol=label_col, predictionCol="prediction")
     if name == "rf":
+        optional = {k: v for k, v in (("maxDepth", params.get("MaxDepth")), ("bootstrap", params.get("Bootstrap")),
+                                         ("featureSubsetStrategy", params.get("FeatureSubsetStrategy"))) if v is not None}
         return RandomForestRegressor(numTrees=int(params["NumTrees"]), maxBins=int(params["MaxBins"]),
-                                     seed=preset.seed, **common)
+                                     seed=preset.seed, **optional, **common)
     if name == "dt":
         return DecisionTreeRegressor(maxDepth=int(params["MaxDepth"]), maxBins=int(params["MaxBins"]),
                                      seed=preset.seed, **common)

@@ -9,23 +9,21 @@ moving-average baseline is scored alongside. Results stay DataFrames; the final
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
-from weekcast.operators.evaluate import retrend, sma_smape, smape
+from weekcast.operators.evaluate import left_by_key, retrend, sma_smape, smape
 from weekcast.operators.features import build_features, series_window
 from weekcast.operators.split import TEST, TRAIN, purge_gap, split_frame
-from weekcast.plans.models import MODEL_NAMES, fit_predict
+from weekcast.plans.models import fit_predict
 from weekcast.plans.select import candidate_columns, feature_importance, select_features
-from weekcast.constants import CV_FOLDS, PARAM_GRIDS, PINNED, SMA_WINDOWS, SPLIT_PCT
-from weekcast.plans.tune import best_params, rolling_cv
-from weekcast.session import materialize
-
+from weekcast.constants import CV_FOLDS, MODEL_NAMES, PARAM_GRIDS, PINNED, SMA_WINDOWS, SPLIT_PCT
+from weekcast.plans.tune import best_params, in_parallel, rolling_cv
+from weekcast.session import materialize, release
 
 
 @dataclass
@@ -43,6 +41,10 @@ class HorizonData:
     def test(self) -> DataFrame:
         return self.frame.where(F.col("role") == TEST)
 
+    def release(self) -> None:
+        """Free the materialized frame; what was built on it still evaluates, from lineage if need be."""
+        release(self.frame)
+
 
 @dataclass
 class ModelRun:
@@ -63,9 +65,10 @@ def prepare_horizon(
     feature_cols: Sequence[str] | None = None,
 ) -> HorizonData:
     """Feature frame for ``h``, split with the purge gap; inputs are ``feature_cols`` when given, else
-    chosen by forest importance on the training rows."""
+    chosen by forest importance on the training rows. With keys, a series enters the one global model through
+    its own level and scale (``series_features``)."""
     frame = split_frame(build_features(panel, h, keys, preset), pct, purge_gap(h), keys, preset)
-    frame = materialize(frame)
+    frame = materialize(series_features(frame, keys) if keys else frame)
     if feature_cols is not None:
         return HorizonData(h, frame, list(feature_cols), None)
     train = frame.where(F.col("role") == TRAIN)
@@ -73,6 +76,15 @@ def prepare_horizon(
     return HorizonData(h, frame, select_features(importance), importance)
 
 
+def series_features(frame: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``series_mean`` and ``series_std``: mean and deviation of the difference over the training rows
+    of the row's own series (0 for a deviation that is not defined). Test rows never enter."""
+    own = Window.partitionBy(*keys)
+    train = F.when(F.col("role") == TRAIN, F.col("diff_sales"))
+    frame = frame.withColumns({"series_mean": F.avg(train).over(own), "series_std": F.stddev_samp(train).over(own)})
+    return frame.na.fill(0.0, ["series_mean", "series_std"])
+
+
 def run_model(
     data: HorizonData,
     name: str,
@@ -98,11 +110,12 @@ def run_model(
 def sma_on_test(panel: DataFrame, data: HorizonData, window: int, keys: Sequence[str] = (),
                 preset: Preset = CORRECTED, target: str = "total_sales") -> DataFrame:
     """Baseline on the models' own test rows: the forecast of ``target`` at ``t + h`` made at ``t`` is the
-    mean of the last ``window`` known values up to ``t``. Joined on (keys, date): one row each side."""
+    mean of the last ``window`` known values up to ``t``. Joined on (keys, date), null keys included: one row
+    each side."""
     w = series_window(keys).rowsBetween(-(window - 1), 0)
     sma = panel.select(*keys, "date", F.avg(target).over(w).alias("prediction"))
     test = data.test.select(*keys, "date", (F.col("label") + F.col("level")).alias("label"))
-    return test.join(sma, [*keys, "date"], "left")
+    return left_by_key(test, sma, [*keys, "date"])
 
 
 def baseline_score(panel: DataFrame, data: HorizonData, window: int, keys: Sequence[str] = (),
@@ -131,36 +144,51 @@ def compare(
     sma_windows: Mapping[int, int] | None = None,
     parallelism: int = 8,
     keys: Sequence[str] = (),
+    feature_cols: Mapping[int, Sequence[str]] | None = None,
 ) -> tuple[DataFrame, list[ModelRun]]:
     """Long frame ``(keys..., model, horizon, smape)`` over models x horizons, plus the runs themselves.
     Without keys: the single weekly series of the original. With keys: one global model per
-    horizon over every series, scored per series. Horizons are independent and run concurrently
-    (each submits its own Spark jobs); results are assembled in horizon and model order."""
+    horizon over every series, scored per series. ``parallelism`` bounds the fits in flight over the whole
+    call: cells with given parameters share one pool, a cell that tunes gives the pool to its own fits. The
+    scores come from one aggregate over the predictions of all cells."""
     keys = list(keys)
     pinned = PINNED if pinned is None else pinned
     grids = PARAM_GRIDS if grids is None else grids
     sma_windows = SMA_WINDOWS if sma_windows is None else sma_windows
     panel = materialize(panel)
-
-    def one_horizon(h: int) -> tuple[list[DataFrame], list[ModelRun]]:
-        data = prepare_horizon(panel, h, keys, preset)
-        parts_h = []
-        if h in sma_windows:
-            parts_h.append(_tag(baseline_score(panel, data, sma_windows[h], keys, preset), "sma", h, keys))
-        with ThreadPoolExecutor(max_workers=max(1, len(models))) as models_pool:
-            runs_h = list(models_pool.map(
-                lambda m: run_model(data, m, pinned.get((m, h)), grids.get(m), keys, preset, parallelism), models))
-        parts_h += [_tag(r.score, r.model, h, keys) for r in runs_h]
-        return parts_h, runs_h
-
-    with ThreadPoolExecutor(max_workers=max(1, len(horizons))) as pool:
-        done = list(pool.map(one_horizon, horizons))
-    parts = [p for ps, _ in done for p in ps]
-    runs = [r for _, rs in done for r in rs]
+    data = {h: prepare_horizon(panel, h, keys, preset, feature_cols=(feature_cols or {}).get(h)) for h in horizons}
+
+    cells = [(m, h) for h in horizons for m in models]
+    given = [c for c in cells if c in pinned]
+    runs = dict(zip(given, in_parallel(
+        lambda c: run_model(data[c[1]], c[0], pinned[c], None, keys, preset), given, parallelism)))
+    for m, h in cells:
+        if (m, h) not in runs:
+            runs[m, h] = run_model(data[h], m, None, grids.get(m), keys, preset, parallelism)
+
+    parts = [_tag(baseline_score(panel, data[h], sma_windows[h], keys, preset), "sma", h, keys)
+             for h in horizons if h in sma_windows]
+    forecasts = None
+    for m, h in cells:
+        own = runs[m, h].predictions.select(*keys, "date", "prediction", "label", F.lit(MODEL_NAMES[m]).alias("model"),
+                                            F.lit(h).alias("horizon"))
+        forecasts = own if forecasts is None else forecasts.unionByName(own)
+    if forecasts is not None:
+        score = smape(forecasts, _trim_by_horizon(preset), [*keys, "model", "horizon"], preset)
+        parts.append(score.select(*keys, "model", "horizon", F.col("smape").cast(T.DoubleType()).alias("smape")))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    return long, runs
+    long = materialize(long)
+    for d in data.values():
+        d.release()
+    release(panel)
+    return long, [runs[c] for c in cells]
+
+
+def _trim_by_horizon(preset: Preset):
+    """Rows past the series end carry a filled, not a real, label when ``label_fill`` is set: trim them."""
+    return F.col("horizon") if preset.label_fill is not None else 0
 
 
 def accuracy_table(long: DataFrame, horizons: Sequence[int] = (1, 2, 3), keys: Sequence[str] = ()) -> DataFrame:

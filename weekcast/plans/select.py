@@ -6,7 +6,7 @@ A default random forest is fitted on the training rows; its importances come bac
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
 from weekcast.constants import IMPORTANCE_THRESHOLD
-from weekcast.plans.models import assemble
+from weekcast.plans.models import assemble, estimator
 
 #: columns that are never model inputs: time, target, seasonal level and split / fold bookkeeping
 NOT_FEATURES = frozenset({"date", "label", "level", "lag_1year", "total_sales", "row_ix", "n_rows", "cut", "role",
@@ -30,10 +30,13 @@ def candidate_columns(df: DataFrame, keys: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if f.name not in skip and isinstance(f.dataType, _NUMERIC)]
 
 
-def feature_importance(train: DataFrame, feature_cols: Sequence[str], preset: Preset = CORRECTED) -> DataFrame:
-    """``(position, feature, importance)``, one row per input column, from a default forest."""
+def feature_importance(train: DataFrame, feature_cols: Sequence[str], preset: Preset = CORRECTED,
+                       params: Mapping[str, object] | None = None) -> DataFrame:
+    """``(position, feature, importance)``, one row per input column, from a default forest (or one with
+    the given parameters)."""
     rows = assemble(train.where(F.col("label").isNotNull()), feature_cols)
-    model = RandomForestRegressor(seed=preset.seed, labelCol="label").fit(rows)
+    forest = estimator("rf", params, preset) if params else RandomForestRegressor(seed=preset.seed, labelCol="label")
+    model = forest.fit(rows)
     scores = model.featureImportances.toArray()
     schema = T.StructType([
         T.StructField("position", T.IntegerType(), False),

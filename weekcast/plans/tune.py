@@ -3,8 +3,8 @@
 ``pyspark.ml.tuning.CrossValidator`` trains every fold on all other folds, later rows included, so it
 leaks the future; ``TrainValidationSplit`` splits at random. The folds here come from
 ``rolling_folds`` (train always precedes test) and every (parameter set, fold) fit is an ordinary
-MLlib job. The fold frame is assembled once and its lineage cut, and parameter sets are submitted
-from a small driver thread pool so that the cluster runs several fits at once.
+MLlib job. The fold frame is assembled and evaluated once, and parameter sets are submitted from a driver
+thread pool, whose size is the one bound on fits in flight.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,9 +22,8 @@ from pyspark.sql import types as T
 from weekcast.config import CORRECTED, Preset
 from weekcast.operators.split import TEST, TRAIN, rolling_folds
 from weekcast.plans.models import assemble, estimator, evaluate
-from weekcast.session import materialize
-
-from weekcast.constants import CV_FOLDS, PARAM_GRIDS, PINNED  # noqa: F401  (re-exported)
+from weekcast.constants import CV_FOLDS
+from weekcast.session import materialize, release
 
 CV_SCHEMA = T.StructType([
     T.StructField("model", T.StringType(), False),
@@ -43,6 +43,13 @@ def param_grid(grid: Mapping[str, Sequence[object]]) -> list[dict[str, object]]:
     return [dict(zip(names, combo)) for combo in itertools.product(*(grid[n] for n in names))]
 
 
+def in_parallel(run, tasks: Sequence, parallelism: int) -> list:
+    """``[run(t) for t in tasks]`` from a pool of driver threads that keep the caller's job group and
+    scheduler pool."""
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(run), t) for t in tasks]]
+
+
 def rolling_cv(
     train: DataFrame,
     feature_cols: Sequence[str],
@@ -81,10 +88,9 @@ def rolling_cv(
                     float(score))
 
         tasks = [(ix, p, f) for ix, p in enumerate(sets) for f in range(1, folds + 1)]
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            rows = list(pool.map(run, tasks))
+        rows = in_parallel(run, tasks, parallelism)
     finally:
-        fold_frame.unpersist()
+        release(fold_frame)
     return train.sparkSession.createDataFrame(rows, CV_SCHEMA)
 
 

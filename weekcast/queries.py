@@ -5,13 +5,15 @@ the driver's tables (mapping in ``weekcast.sources.fixtures``). Their SQL twins
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.config import CORRECTED, REFERENCE, Preset
-from weekcast.constants import DATE_FORMAT, PARAM_GRIDS, PINNED, SPLIT_PCT
+from weekcast.constants import CV_FOLDS, DATE_FORMAT, MISSING, PARAM_GRIDS, PINNED, SPLIT_PCT
 from weekcast.functions.columns import holiday_flag, parse_date
 from weekcast.hygiene import tidy
 from weekcast.operators.evaluate import retrend, retrend_by_join, rmse, sma_test_frame, smape
@@ -28,16 +30,18 @@ from weekcast.operators.features import (
 )
 from weekcast.operators.panel import fill_weeks, merge_tables, weekly_panel
 from weekcast.operators.split import TEST, TRAIN, fold_summary, purge_gap, rolling_folds, split_frame
-from weekcast.plans.models import linear_fit_coefficients
+from weekcast.plans.models import fit_predict, linear_fit_coefficients
 from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
-from weekcast.plans.select import ranked, selected
+from weekcast.plans.select import feature_importance, ranked, selected
 from weekcast.plans.tune import cv_summary, rolling_cv
-from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, fixture_tables
-from weekcast.sources.tables import preview, shape
+from weekcast.session import materialize
+from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, LINEITEM_SCHEMA, fixture_tables, week_start
+from weekcast.sources.tables import MONEY, catalog_tables, preview, retail_features, retail_sales, shape
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 KEYED = ("nation",)
+HORIZONS = (1, 2, 3)
 
 
 # -- shared building blocks ---------------------------------------------------------------------------
@@ -78,7 +82,7 @@ def q_table_shapes(spark, sf_dir):
 
 
 def q_table_preview(spark, sf_dir):
-    return tidy(preview(tables(spark, sf_dir, ("sales",))["sales"], ["store", "dept", "flag", "date"], 10))
+    return tidy(preview(tables(spark, sf_dir, ("sales",))["sales"], ["store", "dept", "flag", "date", "weekly_sales"], 10))
 
 
 def q_table_preview_features(spark, sf_dir):
@@ -129,6 +133,62 @@ def q_weekly_panel_by_store_filled(spark, sf_dir):
     return tidy(fill_weeks(panel(spark, sf_dir, keys), keys))
 
 
+def q_features_by_store_filled(spark, sf_dir):
+    """Per-supplier features over calendar weeks: missing weeks are rows, so a lag of 48 is 48 weeks."""
+    keys = ("store",)
+    filled = fill_weeks(panel(spark, sf_dir, keys), keys)
+    return tidy(build_features(filled, 1, keys, CORRECTED).select(*feature_columns(1, keys), "level"))
+
+
+def _scaled_panel(spark, sf_dir, price: float = 1.0, covariate: tuple[float, float] = (1.0, 1.0)):
+    t = tables(spark, sf_dir, ("sales", "features"))
+    sales = t["sales"].withColumn("weekly_sales", (F.col("weekly_sales") / F.lit(int(price))).cast(MONEY)) if price != 1.0 else t["sales"]
+    feats = t["features"].withColumns({c: F.col(c) * F.lit(x) for c, x in zip(COVARIATES, covariate)})
+    return weekly_panel(sales, feats, covariates=COVARIATES, holiday_values=HOLIDAY_FLAGS, normalize_flag=False)
+
+
+def q_weekly_panel_wide_range(spark, sf_dir):
+    """Covariates far beyond and far below one: scaled by 1e21 and 1e-19, then scaled back for the comparison."""
+    p = _scaled_panel(spark, sf_dir, covariate=(1e21, 1e-19))
+    return tidy(p.withColumns({"temp": F.col("temp") / F.lit(1e21), "cpi": F.col("cpi") / F.lit(1e-19)}))
+
+
+def q_weekly_panel_subcent(spark, sf_dir):
+    """Prices a thousandth of their size: sub-cent digits count towards the weekly total."""
+    return tidy(_scaled_panel(spark, sf_dir, price=1000.0))
+
+
+def retail_layout(spark, sf_dir) -> None:
+    """Temporary views ``sales`` and ``features`` in the original's layout over lineitem: text dates, text
+    flags in mixed spelling, ``NA`` for missing numbers."""
+    base = f"{sf_dir.rstrip('/')}/lineitem.parquet"
+    line = spark.read.schema(LINEITEM_SCHEMA).parquet(base).select(
+        F.col("l_suppkey").alias("Store"), F.col("l_partkey").alias("Dept"),
+        F.date_format(week_start("l_shipdate"), DATE_FORMAT).alias("Date"),
+        F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"), (F.col("l_returnflag") == "R").alias("holiday"))
+    line.select("Store", "Dept", "Date", F.col("l_extendedprice").cast("string").alias("Weekly_Sales"),
+                F.when(F.col("holiday"), "TRUE").otherwise("False").alias("IsHoliday")).createOrReplaceTempView("sales")
+    number = lambda c: F.when(F.col("Store") % 10 == 0, MISSING).otherwise(F.avg(c).cast("string"))
+    feats = line.groupBy("Store", "Date", "holiday").agg(number("l_discount").alias("Temperature"), number("l_tax").alias("CPI"))
+    feats.select("Store", "Date", "Temperature", "CPI",
+                 F.when(F.col("holiday"), " True ").otherwise("FALSE").alias("IsHoliday")).createOrReplaceTempView("features")
+
+
+def _retail_panel(spark, sf_dir):
+    retail_layout(spark, sf_dir)
+    t = catalog_tables(spark, ("sales", "features"))
+    return weekly_panel(retail_sales(t["sales"]), retail_features(t["features"], covariates=("Temperature", "CPI")),
+                        covariates={"temp": "temperature", "cpi": "cpi"})
+
+
+def q_weekly_panel_retail_layout(spark, sf_dir):
+    return tidy(_retail_panel(spark, sf_dir))
+
+
+def q_features_retail_layout(spark, sf_dir):
+    return tidy(build_features(_retail_panel(spark, sf_dir), 1, (), REFERENCE).select(*feature_columns(1)))
+
+
 def q_features_by_store(spark, sf_dir):
     keys = ("store",)
     return tidy(features(spark, sf_dir, 1, CORRECTED, keys).select(*feature_columns(1, keys), "level"))
@@ -290,15 +350,11 @@ def _horizon(spark, sf_dir, h: int, preset: Preset):
     return prepare_horizon(panel(spark, sf_dir), h, (), preset)
 
 
-# a fixed forest setting for the single-model query (the original tunes the 1-week forest)
-RF_FIXED = {"NumTrees": "15", "MaxBins": "28"}
-
-
 def _predict_query(name: str) -> Query:
+    """Forecasts of the 1-week test rows, with the pinned parameters or, for the forest, the CV winner."""
     def q(spark, sf_dir):
         data = _horizon(spark, sf_dir, 1, REFERENCE)
-        params = PINNED.get((name, 1), RF_FIXED)
-        return tidy(run_model(data, name, params, preset=REFERENCE).predictions)
+        return tidy(run_model(data, name, PINNED.get((name, 1)), preset=REFERENCE).predictions)
     return q
 
 
@@ -310,13 +366,16 @@ def q_feature_selection(spark, sf_dir):
     return tidy(selected(_horizon(spark, sf_dir, 1, REFERENCE).importance))
 
 
-def _cv(spark, sf_dir):
+def _cv(spark, sf_dir, name: str = "dt"):
     data = _horizon(spark, sf_dir, 1, REFERENCE)
-    return rolling_cv(data.train, data.features, "dt", PARAM_GRIDS["dt"], 2, purge_gap(1), (), REFERENCE)
+    return rolling_cv(data.train, data.features, name, PARAM_GRIDS[name], CV_FOLDS, purge_gap(1), (), REFERENCE)
 
 
-def q_cv_results(spark, sf_dir):
-    return tidy(_cv(spark, sf_dir))
+def _cv_query(name: str) -> Query:
+    """Every (parameter set, fold) score of the model's whole grid."""
+    def q(spark, sf_dir):
+        return tidy(_cv(spark, sf_dir, name))
+    return q
 
 
 def q_best_params(spark, sf_dir):
@@ -324,13 +383,17 @@ def q_best_params(spark, sf_dir):
 
 
 def q_model_run_pinned(spark, sf_dir):
-    data = _horizon(spark, sf_dir, 1, REFERENCE)
-    run = run_model(data, "gbt", PINNED[("gbt", 1)], preset=REFERENCE)
-    return tidy(run.predictions)
+    """Score of every pinned cell: model, horizon and its parameters."""
+    p = materialize(panel(spark, sf_dir))
+    data = {h: prepare_horizon(p, h, (), REFERENCE) for h in HORIZONS}
+    parts = [run_model(data[h], m, params, preset=REFERENCE).score.select(
+        F.lit(m).alias("model"), F.lit(h).alias("horizon"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "smape", "n_scored")
+        for (m, h), params in PINNED.items()]
+    return tidy(reduce(DataFrame.unionByName, parts))
 
 
 def q_predict_keyed(spark, sf_dir):
-    """One global model over every nation's series (keys enter through the rows, not the inputs)."""
+    """One global model over every nation's series, which enter through their own level and scale."""
     data = prepare_horizon(panel(spark, sf_dir, KEYED), 1, KEYED, CORRECTED)
     return tidy(run_model(data, "gbt", PINNED[("gbt", 1)], keys=KEYED, preset=CORRECTED).predictions)
 
@@ -343,17 +406,95 @@ def _comparison(preset: Preset) -> Query:
     return q
 
 
-# every cell pinned (the 1-week forest and 3-week boosted model to the settings pinned elsewhere), so
-# the keyed table needs no tuning run
-PINNED_ALL = {**PINNED, ("rf", 1): RF_FIXED, ("gbt", 3): PINNED[("gbt", 2)]}
-
-
 def q_accuracy_comparison_keyed(spark, sf_dir):
-    """Per-nation accuracy table: one global model per horizon over every nation's series."""
-    long, _ = compare(panel(spark, sf_dir, KEYED), preset=CORRECTED, pinned=PINNED_ALL, keys=KEYED)
+    """Per-nation accuracy table: one global model per horizon over every nation's series, tuned where the
+    single-series table is."""
+    long, _ = compare(panel(spark, sf_dir, KEYED), preset=CORRECTED, keys=KEYED)
     return tidy(accuracy_table(long, keys=KEYED))
 
 
+def q_accuracy_comparison_tuned(spark, sf_dir):
+    """All twelve (model, horizon) cells tuned over their whole grids, none pinned."""
+    long, _ = compare(panel(spark, sf_dir), preset=REFERENCE, pinned={})
+    return tidy(accuracy_table(long))
+
+
+# -- models with a closed form (SQL twins) ---------------------------------------------------------------
+#
+# One split on `month`, one feature under a ridge penalty: fits that SQL can state. They go through the same
+# estimator(), fit_predict(), rolling_cv(), run_model() and compare() as the full-size queries.
+
+STUMP = {
+    "dt": {"MaxDepth": "1", "MaxBins": "32"},
+    "gbt": {"MaxIter": "1", "MaxDepth": "1", "MaxBins": "32"},
+    "rf": {"NumTrees": "1", "MaxDepth": 1, "Bootstrap": False, "MaxBins": "32"},
+}
+STUMP_FEATURES = ("month", "day")
+RIDGE_FEATURE = "lag_1week"
+RIDGE_PARAMS = {"RegParam": "0.5", "ElasticNetParam": "0"}
+RIDGE_GRID = {"RegParam": PARAM_GRIDS["lr"]["RegParam"], "ElasticNetParam": ["0"]}
+
+
+def _simple_horizon(spark, sf_dir, columns, preset=CORRECTED, h: int = 1):
+    return prepare_horizon(panel(spark, sf_dir), h, (), preset, feature_cols=list(columns))
+
+
+def _stump_query(name: str) -> Query:
+    """Depth-1 fit on the month: two means, left and right of the best split."""
+    def q(spark, sf_dir):
+        data = _simple_horizon(spark, sf_dir, ["month"])
+        return tidy(fit_predict(data.train, data.test, ["month"], name, STUMP[name], CORRECTED, keep=("date", "month")))
+    return q
+
+
+def q_predict_lr_single(spark, sf_dir):
+    """Ridge on one feature through the original's own estimator settings."""
+    data = _simple_horizon(spark, sf_dir, [RIDGE_FEATURE])
+    return tidy(fit_predict(data.train, data.test, [RIDGE_FEATURE], "lr", RIDGE_PARAMS, CORRECTED, keep=("date",)))
+
+
+def _stump_importance(spark, sf_dir):
+    data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
+    return feature_importance(data.train, STUMP_FEATURES, CORRECTED, {**STUMP["rf"], "FeatureSubsetStrategy": "all"})
+
+
+def q_feature_importance_stump(spark, sf_dir):
+    return tidy(ranked(_stump_importance(spark, sf_dir)))
+
+
+def q_feature_selection_stump(spark, sf_dir):
+    return tidy(selected(_stump_importance(spark, sf_dir)))
+
+
+def _ridge_cv(spark, sf_dir):
+    data = _simple_horizon(spark, sf_dir, [RIDGE_FEATURE])
+    return rolling_cv(data.train, data.features, "lr", RIDGE_GRID, CV_FOLDS, purge_gap(1), (), CORRECTED)
+
+
+def q_cv_results_ridge(spark, sf_dir):
+    return tidy(_ridge_cv(spark, sf_dir).select("model", "param_ix", "fold", "n_train", "n_test", "metric", "score"))
+
+
+def q_best_params_ridge(spark, sf_dir):
+    return tidy(cv_summary(_ridge_cv(spark, sf_dir)).limit(1).select("model", "param_ix", "mean_score", "folds"))
+
+
+def q_model_run_ridge(spark, sf_dir):
+    """Ridge forecasts of the test rows with the level added back."""
+    data = _simple_horizon(spark, sf_dir, [RIDGE_FEATURE])
+    return tidy(run_model(data, "lr", RIDGE_PARAMS, preset=CORRECTED).predictions.select("date", "prediction", "label"))
+
+
+def _ridge_table(preset: Preset, keys: tuple[str, ...] = ()) -> Query:
+    """Accuracy table of the ridge and the moving average, three horizons."""
+    def q(spark, sf_dir):
+        pinned = {("lr", h): RIDGE_PARAMS for h in HORIZONS}
+        features_of = {h: [lag_name(h)] for h in HORIZONS}
+        long, _ = compare(panel(spark, sf_dir, keys), models=("lr",), preset=preset, pinned=pinned, keys=keys, feature_cols=features_of)
+        return tidy(accuracy_table(long, keys=keys))
+    return q
+
+
 REGISTRY: dict[str, Query] = {
     "table_shapes": q_table_shapes,
     "table_preview": q_table_preview,
@@ -367,6 +508,11 @@ REGISTRY: dict[str, Query] = {
     "weekly_panel_keyed": q_weekly_panel_keyed,
     "weekly_panel_by_store": q_weekly_panel_by_store,
     "weekly_panel_by_store_filled": q_weekly_panel_by_store_filled,
+    "features_by_store_filled": q_features_by_store_filled,
+    "weekly_panel_wide_range": q_weekly_panel_wide_range,
+    "weekly_panel_subcent": q_weekly_panel_subcent,
+    "weekly_panel_retail_layout": q_weekly_panel_retail_layout,
+    "features_retail_layout": q_features_retail_layout,
     "calendar_features": q_calendar_features,
     "seasonal_diff": q_seasonal_diff,
     "seasonal_diff_signed": q_seasonal_diff_signed,
@@ -408,11 +554,28 @@ REGISTRY: dict[str, Query] = {
     "predict_lr": _predict_query("lr"),
     "feature_importance": q_feature_importance,
     "feature_selection": q_feature_selection,
-    "cv_results": q_cv_results,
+    "cv_results": _cv_query("dt"),
+    "cv_results_lr": _cv_query("lr"),
+    "cv_results_rf": _cv_query("rf"),
+    "cv_results_dt": _cv_query("dt"),
+    "cv_results_gbt": _cv_query("gbt"),
     "best_params": q_best_params,
     "model_run_pinned": q_model_run_pinned,
     "predict_keyed": q_predict_keyed,
     "accuracy_comparison": _comparison(REFERENCE),
     "accuracy_comparison_corrected": _comparison(CORRECTED),
     "accuracy_comparison_keyed": q_accuracy_comparison_keyed,
+    "accuracy_comparison_tuned": q_accuracy_comparison_tuned,
+    "predict_lr_single": q_predict_lr_single,
+    "predict_dt_stump": _stump_query("dt"),
+    "predict_gbt_stump": _stump_query("gbt"),
+    "predict_rf_stump": _stump_query("rf"),
+    "feature_importance_stump": q_feature_importance_stump,
+    "feature_selection_stump": q_feature_selection_stump,
+    "cv_results_ridge": q_cv_results_ridge,
+    "best_params_ridge": q_best_params_ridge,
+    "model_run_ridge": q_model_run_ridge,
+    "accuracy_comparison_ridge": _ridge_table(CORRECTED),
+    "accuracy_comparison_ridge_reference": _ridge_table(REFERENCE),
+    "accuracy_comparison_ridge_keyed": _ridge_table(CORRECTED, KEYED),
 }

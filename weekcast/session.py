@@ -1,15 +1,14 @@
 """Spark session helpers.
 
 The library never creates a session behind the caller's back: every operator takes DataFrames. These
-helpers exist for tests, the bench and the driver entry point, and for the one place where lineage is
-cut (the tuned feature frame, reused by many model fits).
+helpers exist for tests, the bench and the driver entry point, and for frames that many model fits reuse.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,38 +33,31 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a local session gets a scratch folder of its own.
-
-    Returns None when no folder is known (e.g. a remote session whose server sets none)."""
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder that the cluster names (``spark.checkpoint.dir``) or the caller has set."""
     try:
-        sc = spark.sparkContext
+        current = spark.sparkContext.getCheckpointDir()
     except Exception:  # a Spark Connect session has no SparkContext; the server owns the setting
-        return spark.conf.get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if sc.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="weekcast-ckpt-")
-        sc.setCheckpointDir(path)
-        return path
-    return None
+        current = None
+    return current or spark.conf.get("spark.checkpoint.dir", None)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame that many jobs reuse (feature frames in tuning).
+    """Evaluate once a frame that many jobs reuse (panels, feature and fold frames).
 
-    A reliable checkpoint in the shared checkpoint folder survives lost executors; without a folder the
-    frame is cached, which Spark recomputes from lineage on loss. Never a local checkpoint.
-    """
-    if ensure_checkpoint_dir(df.sparkSession):
+    With a shared checkpoint folder: a reliable checkpoint, which cuts the lineage and survives lost
+    executors. Without one: persisted in memory and on disk, and recomputed from lineage on loss. The same on
+    every master; never a local checkpoint, never a folder of this machine. ``release`` gives it up."""
+    if _shared_folder(df.sparkSession):
         return df.checkpoint(eager=True)
-    return df.cache()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(df: DataFrame | None) -> None:
+    """Free a materialized frame. A checkpoint's files go with Spark's own cleaner
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``); reading the frame later still works."""
+    if df is not None:
+        df.unpersist()

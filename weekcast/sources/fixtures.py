@@ -1,14 +1,12 @@
 """Mapping of the driver's TPC-H-like tables onto the retail roles (FIXTURES.md §4).
 
-sales    = lineitem rolled up to (supplier, part, return flag, week), money summed as decimal(18,2)
-features = lineitem rows with quantity > 25 rolled up to (supplier, return flag, week):
-           temp = avg(discount), cpi = avg(tax), averaged through exact decimal sums so the values
-           do not depend on partitioning; some sales rows have no covariates
+sales    = lineitem, one row each: (supplier, part, return flag, week, price)
+features = lineitem rolled up to (supplier, return flag, week): temp = avg(discount), cpi = avg(tax)
 stores   = supplier: store, nation, acctbal
 holiday  = return flag 'R'
 
-Both roll-ups run a partial aggregate before their shuffle. The features roll-up is hash-partitioned on
-exactly the sales -> features join key, so that side of the join needs no second exchange.
+The features roll-up runs a partial aggregate before its shuffle and is hash-partitioned on exactly the
+sales -> features join key, so that side of the join needs no second exchange.
 """
 
 from __future__ import annotations
@@ -17,20 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekcast.sources.tables import MONEY
+
 # Fixed values of the mapping.
 HOLIDAY_FLAGS = ("R",)
-COVARIATE_MIN_QUANTITY = 25
 COVARIATES = ("temp", "cpi")
-MONEY = T.DecimalType(18, 2)
-#: exact accumulator for the covariate means (order-independent sums, reproducible downstream fits)
-EXACT = T.DecimalType(38, 18)
 
 # Columns of the driver's tables that the mapping reads (FIXTURES.md §4). Declaring them skips schema
 # inference and lets the scan read only these columns.
 LINEITEM_SCHEMA = T.StructType([
     T.StructField("l_partkey", T.LongType()),
     T.StructField("l_suppkey", T.LongType()),
-    T.StructField("l_quantity", T.DoubleType()),
     T.StructField("l_extendedprice", T.DoubleType()),
     T.StructField("l_discount", T.DoubleType()),
     T.StructField("l_tax", T.DoubleType()),
@@ -51,23 +46,18 @@ def week_start(c: str | F.Column) -> F.Column:
 
 
 def sales_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    return (
-        lineitem.select(
-            F.col("l_suppkey").alias("store"),
-            F.col("l_partkey").alias("dept"),
-            F.col("l_returnflag").alias("flag"),
-            week_start("l_shipdate").alias("date"),
-            F.col("l_extendedprice").cast(MONEY).alias("price"),
-        )
-        .groupBy("store", "dept", "flag", "date")
-        .agg(F.sum("price").alias("weekly_sales"))
+    return lineitem.select(
+        F.col("l_suppkey").alias("store"),
+        F.col("l_partkey").alias("dept"),
+        F.col("l_returnflag").alias("flag"),
+        week_start("l_shipdate").alias("date"),
+        F.col("l_extendedprice").cast(MONEY).alias("weekly_sales"),
     )
 
 
-def features_from_lineitem(lineitem: DataFrame, min_quantity: float = COVARIATE_MIN_QUANTITY) -> DataFrame:
+def features_from_lineitem(lineitem: DataFrame) -> DataFrame:
     return (
-        lineitem.where(F.col("l_quantity") > F.lit(min_quantity))
-        .select(
+        lineitem.select(
             F.col("l_suppkey").alias("store"),
             F.col("l_returnflag").alias("flag"),
             week_start("l_shipdate").alias("date"),
@@ -75,8 +65,7 @@ def features_from_lineitem(lineitem: DataFrame, min_quantity: float = COVARIATE_
             F.col("l_tax"),
         )
         .groupBy("store", "date", "flag")
-        .agg(*[F.avg(F.col(src).cast(EXACT)).cast(T.DoubleType()).alias(out)
-               for out, src in (("temp", "l_discount"), ("cpi", "l_tax"))])
+        .agg(*[F.avg(src).alias(out) for out, src in (("temp", "l_discount"), ("cpi", "l_tax"))])
     )
 
 

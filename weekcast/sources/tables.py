@@ -11,9 +11,9 @@ Canonical column names used by every operator:
 
 from __future__ import annotations
 
-from weekcast.constants import DATE_FORMAT
+from weekcast.constants import DATE_FORMAT, MISSING, RETAIL_COVARIATES
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,20 +22,15 @@ from pyspark.sql import types as T
 from weekcast.functions.columns import parse_date, to_number
 
 DRIVER_TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
-    "labels conversations"
-).split()
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+)
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def load_tables(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    """Parquet scans; Catalyst prunes columns and pushes filters into each of them."""
-    return {n: load_table(spark, sf_dir, n) for n in names}
-
-
 def catalog_tables(spark: SparkSession, names: Sequence[str] = ("sales", "features", "stores")) -> dict[str, DataFrame]:
     """Catalog scans, for tables registered under the original names."""
     return {n: spark.table(n) for n in names}
@@ -68,17 +63,36 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> Da
     return df
 
 
-# -- tables in the original retail layout ------------------------------------------------------------
+def single_row(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
+    """``df`` with one row per key, failing the job that reads it when a key has more (S18). Part of the
+    plan, not a job of its own; rows with a null in the key match nothing in a join and pass."""
+    others = [c for c in df.columns if c not in keys]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    message = F.concat(F.lit(f"{what}: a key ({', '.join(keys)}) is not unique: "),
+                       F.concat_ws(", ", *[F.col(k).cast(T.StringType()) for k in keys]))
+    counted = df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], F.count(F.lit(1)).alias("_n"))
+    checked = F.when((F.col("_n") > 1) & known, F.raise_error(message)).otherwise(F.lit(0))
+    # the check is a filter, which no optimizer rule drops
+    return counted.where(checked.cast(T.IntegerType()) == 0).select(*df.columns)
 
-RETAIL_COVARIATES = ("Temperature", "Fuel_Price", "MarkDown1", "MarkDown2", "MarkDown3", "MarkDown4",
-                     "MarkDown5", "CPI", "Unemployment")
 
+# -- tables in the original retail layout ------------------------------------------------------------
 
 def _flag_text(c: str) -> F.Column:
     return F.lower(F.trim(F.col(c).cast(T.StringType())))
 
 
-MONEY = T.DecimalType(18, 2)
+#: sales amounts: sub-cent digits are kept, so that a week is summed first and rounded once
+MONEY = T.DecimalType(28, 6)
+
+
+def money(c: str) -> F.Column:
+    """An amount as an exact decimal. Blank text and the text for a missing number are null; anything else
+    that is no number, or does not fit, fails the job: no sale vanishes from a total."""
+    text = F.upper(F.trim(F.col(c).cast(T.StringType())))
+    return F.when(text.isin("", MISSING), None).otherwise(F.col(c)).cast(MONEY)
 
 
 def retail_sales(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
@@ -90,7 +104,7 @@ def retail_sales(df: DataFrame, date_format: str = DATE_FORMAT) -> DataFrame:
         F.col("Dept").alias("dept"),
         parse_date("Date", date_format).alias("date"),
         _flag_text("IsHoliday").alias("flag"),
-        F.col("Weekly_Sales").try_cast(MONEY).alias("weekly_sales"),
+        money("Weekly_Sales").alias("weekly_sales"),
     )
 
 
