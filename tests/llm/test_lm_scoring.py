@@ -8,7 +8,7 @@ import pytest
 
 from weekcast.llm import attention_lm as lm
 from weekcast.llm.attention_lm import Parameters, Scorer, loss_and_gradient, train, vocabulary
-from weekcast.llm.lm_scoring import TOKENIZER, lm_scores, subwords
+from weekcast.llm.lm_scoring import TOKENIZER, _word_logs, lm_scores, subwords
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -68,6 +68,11 @@ def small_model(seed=0, size=200):
     return p, words
 
 
+def scores(p, words, ids, goals, starts):
+    scorer = Scorer(p, words, len(words.class_of) - 1)
+    return scorer.class_scores(ids, goals, starts) + np.log(scorer.within(ids, goals))
+
+
 def plain_scores(p, words, stream, at, goal):
     """log p(goal) behind stream[at], by the definition, with the context that the window of `at` gives."""
     first = max(0, at // lm.STRIDE * lm.STRIDE - lm.CONTEXT)
@@ -76,7 +81,7 @@ def plain_scores(p, words, stream, at, goal):
     s = (e @ p.key) @ (e[-1] @ p.query) / np.sqrt(lm.WIDTH) + p.distance[np.arange(len(ids))[::-1]]
     a = np.exp(s - s.max())
     z = (a / a.sum()) @ (e @ p.value) @ p.out + e[-1] @ p.direct + p.bias
-    soft = np.exp(z - z.max())
+    soft = np.exp(z - z.max()) * (np.bincount(words.class_of, minlength=lm.CLASSES) > 0)
     last, size = int(stream[at]), len(words.class_of)
     count = {int(k): int(c) for k, c in zip(words.pairs, words.pair_counts)}
     mine = [i for i in range(size) if words.class_of[i] == words.class_of[goal]]
@@ -92,7 +97,7 @@ def test_scores_equal_the_definition():
     ids = np.concatenate(texts)
     starts = np.repeat(np.cumsum([0] + [len(t) for t in texts[:-1]]), [len(t) for t in texts])
     goals = rng.integers(0, 200, len(ids))
-    got = Scorer(p, words).score(ids, goals, starts)
+    got = scores(p, words, ids, goals, starts)
     for i in range(len(ids)):
         # a text's own stream, padded so that windows fall as they do in the joined one
         own = ids[starts[i] :]
@@ -116,7 +121,7 @@ def test_probabilities_sum_to_one():
     size = len(words.class_of)
     ids = np.array([5, 17, 60])
     for at in range(3):
-        logs = [Scorer(p, words).score(ids[: at + 1], np.append(ids[1 : at + 1], g), np.zeros(at + 1, int))[at] for g in range(size)]
+        logs = [scores(p, words, ids[: at + 1], np.append(ids[1 : at + 1], g), np.zeros(at + 1, int))[at] for g in range(size)]
         assert sum(map(math.exp, logs)) == pytest.approx(1.0, abs=1e-4)
 
 
@@ -144,5 +149,18 @@ def test_training_learns_a_pattern():
     assert loss_and_gradient(train(start, windows, words), kinds, goals)[0] < 0.2 * loss_and_gradient(start, kinds, goals)[0]
 
 
+def test_word_logs_sum_the_pairs_of_a_word():
+    p, words = small_model(6)
+    scorer = Scorer(p, words, len(words.class_of) - 1)
+    words.class_of[:3], words.class_of[100:] = 0, 1  # ids under 3 start words, those from 100 on go on
+    words.pairs, words.pair_counts = np.array([0 * 200 + 150, 150 * 200 + 160, 160 * 200 + 150]), np.array([3, 5, 2])
+    scorer = Scorer(p, words, 199)
+    ids, length = np.array([0, 150, 160, 1, 2, 160, 150]), np.array([3, 1, 0, 3])
+    got = _word_logs(scorer, ids, np.cumsum(length) - length, length)
+    log = lambda last, goal: float(np.log(scorer.within(np.array([last]), np.array([goal])))[0])
+    expect = [log(199, 0) + log(0, 150) + log(150, 160), log(199, 1), 0.0, log(199, 2) + log(2, 160) + log(160, 150)]
+    assert got == pytest.approx(expect)
+
+
 def test_every_word_has_ids():
     assert all(subwords(TOKENIZER, w.encode()) for w in ("a", "é", "漢", "\x00", "🙂", "x" * 1000))

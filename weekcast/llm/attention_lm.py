@@ -165,12 +165,15 @@ def train(p: Parameters, windows: np.ndarray, words: Vocabulary, rate: float = L
 class Scorer:
     """Log probabilities of id streams, block by block in single precision."""
 
-    def __init__(self, p: Parameters, words: Vocabulary):
+    def __init__(self, p: Parameters, words: Vocabulary, end: int):
+        self.end = end
         single = lambda x: np.ascontiguousarray(x, dtype=np.float32)
         e = p.embed[words.kind_of]
         self.words, self.given_last = words, words.given_last()
         self.query, self.key, self.value = single(e @ p.query / np.sqrt(WIDTH)), single(e @ p.key), single(e @ p.value)
         self.direct, self.out = single(e @ p.direct + p.bias), single(p.out)
+        # a class without ids has no share
+        self.direct[:, np.bincount(words.class_of, minlength=CLASSES) == 0] = -1e9
         gap = np.arange(STRIDE)[:, None] + CONTEXT - np.arange(CONTEXT + STRIDE)[None, :]
         self.distance = single(np.where(gap >= 0, p.distance[np.clip(gap, 0, WINDOW - 1)], -1e9))
 
@@ -186,8 +189,9 @@ class Scorer:
             pair[some] = np.where(words.pairs[at] == key, words.pair_counts[at], 0)
         return (pair + PAIR_PRIOR * words.within[goals]) / (counted + PAIR_PRIOR)
 
-    def score(self, ids: np.ndarray, goals: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log p(goals[i] | ids from starts[i] to i, the last CONTEXT to CONTEXT + STRIDE - 1 of them) for every i.
+    def class_scores(self, ids: np.ndarray, goals: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log p(class of goals[i] | ids from starts[i] to i, the last CONTEXT to CONTEXT + STRIDE - 1 of them)
+        for every i; with log(within(ids[i], goals[i])) added it is log p(goals[i] | ...).
 
         Windows of STRIDE scored ids overlap their left neighbours by CONTEXT ids, which are only looked at."""
         n = len(ids)
@@ -220,5 +224,5 @@ class Scorer:
             upto = min(n, at + size) - at
             goal = goals[at : at + upto]
             hit = z[np.arange(upto), self.words.class_of[goal]].astype(float)
-            out[at : at + upto] = np.log(hit / z[:upto].sum(axis=1, dtype=float) * self.within(own[:upto], goal))
+            out[at : at + upto] = np.log(hit / z[:upto].sum(axis=1, dtype=float))
         return out

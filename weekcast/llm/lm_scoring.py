@@ -31,7 +31,7 @@ END_TOKEN = "<|endoftext|>"
 #: Held-out documents: crc32 of the id as text, modulo MODULUS, is REMAINDER.
 MODULUS, REMAINDER = 7, 2
 #: The attention model learns from every SHARE-th stretch of STRETCH bytes of each training document.
-SHARE, STRETCH = 24, 512
+SHARE, STRETCH = 32, 512
 ROUNDS = 2
 #: Numbers that describe the company an id keeps, for its class.
 SKETCH = 12
@@ -189,19 +189,38 @@ def _sketch(size: int):
 
 
 def _pairs(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The PAIRS most frequent pairs of neighbouring ids, by key, and their counts."""
+    """The most frequent pairs of neighbouring ids, PAIRS of them at most, by key, and their counts."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(unpack(row["c"], np.int64)), pa.array(unpack(row["d"], np.int64))], ["pair", "n"])
 
     counted = held.mapInArrow(spell, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "pair").limit(PAIRS).toArrow()
+    # a histogram of counts tells from which count on at most PAIRS pairs are left: no more reach the driver
+    counted = stored(counted.withColumn("size", F.floor(F.log2("n") * 16).cast("int")), "pairs")
+    sizes = sorted(((r["size"], r["count"]) for r in counted.groupBy("size").count().collect()), reverse=True)
+    least, held_back = 0, 0
+    for size, many in sizes:
+        held_back += many
+        if held_back > PAIRS:
+            least = size + 1
+            break
+    top = counted.where(F.col("size") >= least).select("pair", "n").toArrow()
     pair, n = (top.column(c).to_numpy().astype(np.int64) for c in ("pair", "n"))
     order = np.argsort(pair)
     return pair[order], n[order]
 
 
+def _word_logs(scorer: Scorer, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each word the sum of log p(id | its class, the id before it in the word): the same wherever the
+    word stands, as pairs are only counted within words."""
+    flat = ids[spread(start, length)]
+    first = np.cumsum(length) - length
+    last = np.roll(flat, 1)
+    last[first[length > 0]] = scorer.end  # nothing is counted behind the end
+    return np.add.reduceat(np.append(np.log(scorer.within(last, flat)), 0.0), np.minimum(first, len(flat))) * (length > 0)
+
+
 def _fit(windows: DataFrame, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], starts_word: np.ndarray, end: int) -> tuple[Parameters, Vocabulary]:
     size = len(counts)
     sketch = summed(windows, _sketch(size), size * SKETCH, SLOTS).reshape(size, SKETCH)
@@ -259,13 +278,15 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     p, words = _fit(windows, counts, _pairs(held), starts_word, end)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(p, words)
+        scorer = Scorer(p, words, end)
         for _, rows in by_key(rows_of(batches), "chunk"):
             answer = [(unpack(r["a"], np.uint32), unpack(r["b"], np.int64), unpack(r["c"], np.uint32).astype(np.int64), unpack(r["d"], np.uint32).astype(np.int64)) for r in rows if r["step"] < 0]
             number, count, lengths, flat = (np.concatenate(x) for x in zip(*answer))
             known, start, length = np.empty(len(number), np.int64), np.empty(len(number), np.int64), np.empty(len(number), np.int64)
             known[number], start[number], length[number] = count, np.cumsum(lengths) - lengths, lengths
             log_count, table = np.log10(known + 1.0), _Words()
+            word_log = _word_logs(scorer, flat, start, length)
+            end_log = float(np.log(words.within[end]))
             for row in rows:
                 if row["step"] < 0:
                     continue
@@ -276,13 +297,13 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                 place = np.arange(len(bounds) - 1) + upto[:-1]
                 x, goals = np.insert(ids, upto[:-1], end), np.insert(ids, upto[1:], end)
                 begin = np.repeat(place, np.diff(upto) + 1)
-                logs = scorer.score(x, goals, begin) / np.log(10)
+                logs = np.add.reduceat(scorer.class_scores(x, goals, begin), place) + np.add.reduceat(word_log[word], bounds[:-1]) + end_log
                 yield pa.RecordBatch.from_arrays([
                     pa.array(row["ids"], pa.int64()),
                     pa.array(np.diff(bounds)),
                     pa.array(np.add.reduceat((known[word] > 0).astype(np.int64), bounds[:-1])),
                     pa.array(np.add.reduceat(log_count[word], bounds[:-1])),
-                    pa.array(np.add.reduceat(logs, place)),
+                    pa.array(logs / np.log(10)),
                 ], ["doc_id", "n_tokens", "n_known", "log_counts", "score"])
 
     whole = dealt(chunks.unionByName(answers.where(F.col("chunk") >= 0)))
