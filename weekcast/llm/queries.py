@@ -12,6 +12,7 @@ from weekcast.llm.lm_scoring import lm_scores
 from weekcast.llm.packing import pack
 from weekcast.llm.quality_rules import quality_rules
 from weekcast.llm.simhash import simhash_groups
+from weekcast.llm.sql import SQL  # noqa: F401  (registered beside QUERIES)
 from weekcast.llm.suffix_dedup import remove_repeats
 from weekcast.llm.topk import top_k
 from weekcast.llm.toxicity import toxicity
@@ -21,7 +22,7 @@ from weekcast.llm.warc import round_trip
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and hashed n-gram log ratio; the trusted target is what `labels` marks as quality 1."""
     labels = read_table(spark, sf_dir, "labels")
-    return quality_rules(read_table(spark, sf_dir, "documents"), labels.where(F.col("quality") == 1))
+    return quality_rules(read_table(spark, sf_dir, "documents"), labels.where(F.col("quality") == 1)).withColumn("llr", F.round("llr", 6))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +89,3 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op3_quality_rules": op3_quality_rules,
 }
-SQL: dict[str, str] = {}
