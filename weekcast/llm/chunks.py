@@ -113,11 +113,13 @@ def summed(rows: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % slots], pa.int64()), pa.array([fold(batches).astype(float).tobytes()], pa.binary())], ["slot", "sums"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total, met = np.zeros(size), 0
         for batch in batches:
+            met += batch.num_rows
             for blob in batch.column("sums"):
                 total += np.frombuffer(blob.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+        if met:  # a task without rows sends nothing
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    met = rows.mapInArrow(add, "slot long, sums binary").repartition(slots, "slot").sortWithinPartitions("slot", "sums").mapInArrow(meet, "sums binary")
-    return sum((np.frombuffer(r.sums) for r in met.collect()), np.zeros(size))
+    slotted = rows.mapInArrow(add, "slot long, sums binary").repartition(slots, "slot").sortWithinPartitions("slot", "sums").mapInArrow(meet, "sums binary")
+    return sum((np.frombuffer(r.sums) for r in slotted.collect()), np.zeros(size))

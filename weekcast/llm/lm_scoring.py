@@ -10,11 +10,12 @@ of whole texts and scores every id once.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import zstandard
@@ -31,7 +32,7 @@ END_TOKEN = "<|endoftext|>"
 #: Held-out documents: crc32 of the id as text, modulo MODULUS, is REMAINDER.
 MODULUS, REMAINDER = 7, 2
 #: The attention model learns from every SHARE-th stretch of STRETCH bytes of each training document.
-SHARE, STRETCH = 32, 512
+SHARE, STRETCH = 48, 512
 ROUNDS = 2
 #: Numbers that describe the company an id keeps, for its class.
 SKETCH = 12
@@ -59,21 +60,19 @@ class _Words:
     """The distinct words of a chunk and their numbers; number 0, the empty word, stands for the end."""
 
     def __init__(self):
-        self.number = {b"": 0}
+        self.number: dict[bytes, int] = defaultdict(count(1).__next__, {b"": 0})  # a new word takes the next number
 
     def read(self, row: dict) -> tuple[np.ndarray, np.ndarray]:
         """(word numbers of all rows, each closed by an end; row bounds)."""
         data, offsets = text_of(row)
         raw = data.tobytes().lower()  # bytes: A-Z only
-        flat: list[bytes] = []
-        bounds = [0]
+        own, parts, bounds = self.number.__getitem__, [], [0]
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            flat += raw[a:b].split()
-            flat.append(b"")
-            bounds.append(len(flat))
-        code, words = pd.factorize(np.array(flat, dtype=object))
-        own = np.fromiter((self.number.setdefault(w, len(self.number)) for w in words), np.int64, len(words))
-        return own[code], np.array(bounds)
+            words = raw[a:b].split()
+            words.append(b"")
+            parts.append(np.fromiter(map(own, words), np.int64, len(words)))
+            bounds.append(bounds[-1] + len(words))
+        return np.concatenate(parts), np.array(bounds)
 
 
 def _ask(buckets: int, modulus: int, remainder: int):
