@@ -97,15 +97,15 @@ def test_filled_panel_scans_the_facts_twice(spark):
 
 def test_registered_queries_read_the_given_tables(spark):
     """Every SQL-checked query is a plan over the driver's parquet files, with no local relation."""
-    from __spark_entry__ import oracle_sql, queries
+    from weekcast.oracle import ORACLE
+    from weekcast.queries import REGISTRY as q
 
-    q = queries()
     # coefficients of an MLlib fit over the tables, returned as a one-row frame (checked against SQL's
     # closed form); the fit itself reads the tables
     model_outputs = {"lr_single_feature"}
-    model_outputs |= {n for n in oracle_sql() if n.startswith(("cv_results_", "best_params_", "accuracy_comparison_",
+    model_outputs |= {n for n in ORACLE if n.startswith(("cv_results_", "best_params_", "accuracy_comparison_",
                                                                "feature_", "predict_", "model_run_"))}
-    for name in sorted(set(oracle_sql()) - model_outputs):
+    for name in sorted(set(ORACLE) - model_outputs):
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             q[name](spark, SF_SMALL).explain("simple")
