@@ -87,6 +87,12 @@ def test_fixed_origin_cv_fails_on_empty_train(make_series):
         rolling_cv(df, ["x"], "lr", [{"RegParam": "0", "ElasticNetParam": "0"}], 2, 0, (), REFERENCE)
 
 
+def test_reference_penalties_have_the_originals_width(spark):
+    params = {"RegParam": "0.1", "ElasticNetParam": "0.5"}
+    assert estimator("lr", params, REFERENCE).getRegParam() == 0.10000000149011612
+    assert estimator("lr", params, CORRECTED).getRegParam() == 0.1
+
+
 def test_unknown_model():
     with pytest.raises(ValueError):
         estimator("svm", {})

@@ -39,6 +39,8 @@ class Preset:
     cv_origin: str = "expanding"
     #: chronological split size: exact decimal ``ceil(n * pct)``; False uses double arithmetic
     exact_split: bool = True
+    #: linear penalties as 32-bit floats, the width the original parses them to
+    single_penalties: bool = False
     #: seed passed to every randomised estimator
     seed: int = 42
 
@@ -59,6 +61,7 @@ REFERENCE = Preset(
     baseline_dates="series_tail",
     cv_origin="fixed",
     exact_split=False,
+    single_penalties=True,
 )
 
 PRESETS = {"reference": REFERENCE, "corrected": CORRECTED}

@@ -6,6 +6,7 @@ executors); the driver only holds the fitted model. Every randomised estimator g
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 
 from weekcast.config import CORRECTED, Preset
 
+def single(x: object) -> float:
+    """The 32-bit float nearest to ``x``, as a double."""
+    return struct.unpack("f", struct.pack("f", float(x)))[0]
+
+
 def estimator(name: str, params: Mapping[str, object], preset: Preset = CORRECTED,
               features_col: str = "features", label_col: str = "label"):
     """Estimator for a model code and a parameter map whose keys follow the original's grids. Forests
@@ -39,8 +45,8 @@ def estimator(name: str, params: Mapping[str, object], preset: Preset = CORRECTE
         return GBTRegressor(maxIter=int(params["MaxIter"]), maxBins=int(params["MaxBins"]),
                             maxDepth=int(params["MaxDepth"]), seed=preset.seed, **common)
     if name == "lr":
-        return LinearRegression(regParam=float(params["RegParam"]),
-                                elasticNetParam=float(params["ElasticNetParam"]), **common)
+        width = single if preset.single_penalties else float
+        return LinearRegression(regParam=width(params["RegParam"]), elasticNetParam=width(params["ElasticNetParam"]), **common)
     raise ValueError(f"unknown model {name!r}; expected one of rf, dt, gbt, lr")
 
 
