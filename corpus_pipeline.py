@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the strings of 50 bytes that a document with a smaller id has; a character of which
     a byte goes goes whole. A document of which nothing is left stays, with an empty text."""
-    cut = remove_repeats(docs.select(*COLUMNS), extra=("lang", "source"))
+    cut = remove_repeats(docs.select(*COLUMNS), extra=("lang", "source"), as_text=True)
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

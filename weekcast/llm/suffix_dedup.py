@@ -299,7 +299,7 @@ def _mark(length: int):
     return run
 
 
-def _remove(length: int, extra: Sequence[str]):
+def _remove(length: int, extra: Sequence[str], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(rows_of(batches), "chunk"):
             answers = [(unpack(r["a"], np.uint32), unpack(r["b"], np.uint8).astype(np.int64), unpack(r["c"], np.int64)) for r in rows if r["step"] < 0]
@@ -322,32 +322,34 @@ def _remove(length: int, extra: Sequence[str]):
                     np.add.at(cover, window + length, -1)
                 gone = np.cumsum(cover)[: len(data)] > 0
                 gone |= np.repeat(unpack(row["d"], np.uint8) > 0, np.diff(offsets))
-                kept = _kept(row["ids"], data, offsets, gone)
+                kept = _kept(row["ids"], data, offsets, gone, as_text)
                 carried = carried_of(row) if extra else None
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(carried.column(c) for c in extra)], [*kept.schema.names, *extra])
 
     return run
 
 
-def _kept(ids: list, data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
-    letter = np.cumsum((data & 0xC0) != 0x80)  # number of the character that each byte belongs to
-    broken = np.bincount(letter, weights=gone)[letter] > 0 if len(data) else gone
-    starts, ends, kept, text = [], [], [], []
+def _kept(ids: list, data: np.ndarray, offsets: np.ndarray, gone: np.ndarray, as_text: bool) -> pa.RecordBatch:
+    starts, ends, kept = [], [], []
     for a, b in zip(offsets[:-1], offsets[1:]):
         edge = np.flatnonzero(np.diff(np.r_[False, gone[a:b], False]))
         starts.append(edge[::2].tolist())
         ends.append(edge[1::2].tolist())
         kept.append(data[a:b][~gone[a:b]].tobytes())
-        text.append(data[a:b][~broken[a:b]].tobytes().decode())
     longs = pa.list_(pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(offsets)), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary()), pa.array(text, pa.string())], ["doc_id", "n_bytes", "span_starts", "span_ends", "kept", "kept_text"])
+    columns = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(offsets)), "span_starts": pa.array(starts, longs), "span_ends": pa.array(ends, longs), "kept": pa.array(kept, pa.binary())}
+    if as_text:
+        letter = np.cumsum((data & 0xC0) != 0x80)  # number of the character that each byte belongs to
+        whole = np.bincount(letter, weights=gone)[letter] == 0 if len(data) else gone
+        columns["kept_text"] = pa.array([data[a:b][whole[a:b]].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, extra: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, n_bytes, span_starts, span_ends, kept, kept_text) and the `extra` columns of each row of `docs`.
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, extra: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, span_starts, span_ends, kept) and the `extra` columns of each row of `docs`.
 
-    The spans are the maximal removed byte runs of the UTF-8 text, [start, end), `kept` the other bytes, and
-    `kept_text` the characters of which every byte is kept.
+    The spans are the maximal removed byte runs of the UTF-8 text, [start, end), `kept` the other bytes; with
+    `as_text`, `kept_text` holds the characters of which every byte is kept.
     Strings are compared on the input, in whole texts, and never across rows. Null text counts as empty; a
     null id counts as larger than all others, so its repeats go and it removes nothing. Rows with one id are
     not smaller than each other: they keep what only they share. Texts under `length` bytes stay whole. Empty
@@ -362,4 +364,5 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     minima = dealt(whole.mapInArrow(_ask_contexts(parts, length), ROW)).mapInArrow(_answer_contexts(length), ROW)
     marked = dealt(whole.mapInArrow(_mark(length), ROW).unionByName(minima))
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return marked.mapInArrow(_remove(length, extra), "doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary, kept_text string" + kinds)
+    text = ", kept_text string" if as_text else ""
+    return marked.mapInArrow(_remove(length, extra, as_text), f"doc_id long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary{text}{kinds}")
