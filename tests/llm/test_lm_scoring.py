@@ -5,9 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from weekcast.llm import attention_lm as lm
+from weekcast.llm import lm_scoring
 from weekcast.llm.attention_lm import Parameters, Scorer, loss_and_gradient, train, vocabulary
+from weekcast.llm.chunks import pack, row_of
 from weekcast.llm.lm_scoring import TOKENIZER, _word_logs, lm_scores, subwords
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -164,3 +167,17 @@ def test_word_logs_sum_the_pairs_of_a_word():
 
 def test_every_word_has_ids():
     assert all(subwords(TOKENIZER, w.encode()) for w in ("a", "é", "漢", "\x00", "🙂", "x" * 1000))
+
+
+def test_the_model_learns_from_every_id_of_every_training_document():
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(i * i % 900)) for i in range(60)}
+    blobs = [t.encode() for t in texts.values()]
+    row = row_of(0, 0, list(texts), pack(np.array([len(b) for b in blobs])), zstandard.compress(b"".join(blobs)))
+    windows = np.concatenate(list(lm_scoring._windows_of(lm_scoring._streams(TOKENIZER, 7, 2)(iter([row])))))
+    assert windows.shape[1] == lm.WINDOW + 1 and (windows[:, :2] >= 0).all()
+    end = lm_scoring._tokenizer(TOKENIZER).token_to_id(lm_scoring.END_TOKEN)
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert 40 < len(learnt) < 60
+    # the goals of all windows are the ids of all texts, each closed by an end
+    expect = [x for i in learnt for w in [*texts[i].split(), None] for x in (subwords(TOKENIZER, w.encode()) if w else [end])]
+    assert windows[:, 1:][windows[:, 1:] >= 0].tolist() == expect

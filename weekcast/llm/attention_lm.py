@@ -116,50 +116,87 @@ def vocabulary(counts: np.ndarray, sketch: np.ndarray, starts_word: np.ndarray,
 def loss_and_gradient(p: Parameters, kinds: np.ndarray, goals: np.ndarray) -> tuple[float, Parameters]:
     """Summed cross entropy of the goals (class numbers, -1 for none) after each of `kinds` (batch, length)."""
     n, length = kinds.shape
-    e = p.embed[kinds]
-    q, k, v = e @ p.query, e @ p.key, e @ p.value
-    gap = np.arange(length)[:, None] - np.arange(length)[None, :]
-    score = q @ k.transpose(0, 2, 1) / np.sqrt(WIDTH) + np.where(gap >= 0, p.distance[np.maximum(gap, 0)], -np.inf)
-    a = np.exp(score - score.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    h = a @ v
-    z = h @ p.out + e @ p.direct + p.bias
-    z -= z.max(axis=2, keepdims=True)
-    soft = np.exp(z)
-    total = soft.sum(axis=2, keepdims=True)
-    known = goals >= 0
-    goal = np.maximum(goals, 0)[..., None]
-    loss = -float((np.take_along_axis(z, goal, 2)[..., 0] - np.log(total[..., 0]))[known].sum())
-    dz = soft / total
-    np.put_along_axis(dz, goal, np.take_along_axis(dz, goal, 2) - 1, 2)
-    dz *= known[..., None]
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    dh, de = dz @ p.out.T, dz @ p.direct.T
-    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-    dq, dk = ds @ k / np.sqrt(WIDTH), ds.transpose(0, 2, 1) @ q / np.sqrt(WIDTH)
-    de += dq @ p.query.T + dk @ p.key.T + dv @ p.value.T
-    embed = np.zeros_like(p.embed)
-    np.add.at(embed, kinds.ravel(), flat(de))
+    e = p.embed[kinds.ravel()]
+    cut = lambda x: x.reshape(n, length, -1)
+    flat = lambda x: x.reshape(n * length, -1)
+    scale = WIDTH**-0.5  # Python numbers keep single precision single
+    q, k, v = cut(e @ (p.query * scale)), cut(e @ p.key), cut(e @ p.value)
+    gap = np.arange(length)[None, :] - np.arange(length)[:, None]
+    # attention as (batch, key, query) and classes as (class, id): sums along the first of the two are fast
+    a = k @ q.transpose(0, 2, 1)
+    a += np.where(gap >= 0, p.distance[np.maximum(gap, 0)], -np.inf)
+    a -= a.max(axis=1, keepdims=True)
+    np.exp(a, out=a)
+    a /= a.sum(axis=1, keepdims=True)
+    h = flat(a.transpose(0, 2, 1) @ v)
+    z = p.out.T @ h.T
+    z += p.direct.T @ e.T
+    z += p.bias[:, None]
+    z -= z.max(axis=0)
+    known, goal, at = goals.ravel() >= 0, np.maximum(goals.ravel(), 0), np.arange(n * length)
+    hit = z[goal, at]
+    dz = np.exp(z, out=z)
+    total = dz.sum(axis=0)
+    loss = -float((hit - np.log(total))[known].sum())
+    dz *= known / total
+    dz[goal, at] -= known
+    dh, de = cut(dz.T @ p.out.T), dz.T @ p.direct.T
+    ds, dv = v @ dh.transpose(0, 2, 1), flat(a @ dh)
+    ds -= (a * ds).sum(axis=1, keepdims=True)
+    ds *= a
+    dq, dk = flat(ds.transpose(0, 2, 1) @ k), flat(ds @ q)
+    dq *= scale
+    de += dq @ p.query.T
+    de += dk @ p.key.T
+    de += dv @ p.value.T
+    place = kinds.ravel()[:, None] * WIDTH + np.arange(WIDTH)
+    embed = np.bincount(place.ravel(), weights=de.ravel(), minlength=p.embed.size).reshape(p.embed.shape)
     distance = np.bincount(gap[gap >= 0], weights=ds.sum(axis=0)[gap >= 0], minlength=WINDOW)[:WINDOW]
-    fe = flat(e)
-    return loss, Parameters(embed, fe.T @ flat(dq), fe.T @ flat(dk), fe.T @ flat(dv), distance, flat(h).T @ flat(dz), fe.T @ flat(dz), flat(dz).sum(axis=0))
+    return loss, Parameters(embed, e.T @ dq, e.T @ dk, e.T @ dv, distance, h.T @ dz.T, e.T @ dz.T, dz.sum(axis=1))
+
+
+class Trainer:
+    """Adam in single precision over windows of WINDOW + 1 ids (-1 behind the last), as they come."""
+
+    def __init__(self, p: Parameters, words: Vocabulary, rate: float = LEARNING_RATE):
+        self.words, self.rate, self.step = words, rate, 0
+        self.numbers = p.flat().astype(np.float32)
+        self.mean, self.spread = np.zeros_like(self.numbers), np.zeros_like(self.numbers)
+
+    def learn(self, windows: np.ndarray) -> None:
+        words, mean, spread = self.words, self.mean, self.spread
+        for at in range(0, len(windows), BATCH):
+            some = windows[at : at + BATCH]
+            kinds = words.kind_of[np.maximum(some[:, :-1], 0)]
+            goals = np.where(some[:, 1:] >= 0, words.class_of[np.maximum(some[:, 1:], 0)], -1)
+            _, g = loss_and_gradient(Parameters.shaped(self.numbers), kinds, goals)
+            g = g.flat().astype(np.float32)
+            g /= max(1, int((goals >= 0).sum()))
+            self.step += 1
+            g *= 0.1
+            g += 1e-30  # nothing decays to subnormal numbers, which are slow
+            mean *= 0.9
+            mean += g
+            g *= g  # 0.01 g g
+            g += 1e-30
+            spread *= 0.99
+            spread += g
+            np.sqrt(spread, out=g)
+            g *= (1 - 0.99**self.step) ** -0.5
+            g += 1e-8
+            np.divide(mean, g, out=g)
+            g *= self.rate / (1 - 0.9**self.step)
+            self.numbers -= g
+
+    def parameters(self) -> Parameters:
+        return Parameters.shaped(self.numbers.astype(float))
 
 
 def train(p: Parameters, windows: np.ndarray, words: Vocabulary, rate: float = LEARNING_RATE) -> Parameters:
-    """One pass of Adam over windows of WINDOW + 1 ids (-1 behind the last)."""
-    flat = p.flat()
-    mean, spread = np.zeros_like(flat), np.zeros_like(flat)
-    for step, at in enumerate(range(0, len(windows), BATCH), 1):
-        some = windows[at : at + BATCH]
-        kinds = words.kind_of[np.maximum(some[:, :-1], 0)]
-        goals = np.where(some[:, 1:] >= 0, words.class_of[np.maximum(some[:, 1:], 0)], -1)
-        _, g = loss_and_gradient(Parameters.shaped(flat), kinds, goals)
-        g = g.flat() / max(1, (goals >= 0).sum())
-        mean = 0.9 * mean + 0.1 * g
-        spread = 0.99 * spread + 0.01 * g * g
-        flat = flat - rate * (mean / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
-    return Parameters.shaped(flat)
+    """One pass over windows."""
+    trainer = Trainer(p, words, rate)
+    trainer.learn(windows)
+    return trainer.parameters()
 
 
 class Scorer:

@@ -2,7 +2,7 @@
 
 Chunks ask for each of their distinct words once; the task of a word bucket sums the training counts of a
 word over all chunks, cuts the word into subword ids, and answers. Counts of all subword ids come out of the
-same pass. The attention model learns from a fixed share of every training document, in rounds: each
+same pass. The attention model learns from the whole of every training document, in rounds: each
 partition trains a copy on its own windows and the copies are averaged. Scoring runs over overlapping windows
 of whole texts and scores every id once.
 """
@@ -13,7 +13,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import public_tokenizers
@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.attention_lm import WINDOW, Parameters, Scorer, Vocabulary, train, vocabulary
+from weekcast.llm.attention_lm import WINDOW, Parameters, Scorer, Trainer, Vocabulary, vocabulary
 from weekcast.llm.chunks import ROW, by_key, dealt, pack, parts_of, row_of, rows_of, stored_chunks, summed, text_of, unpack
 from weekcast.llm.common import stored
 from weekcast.llm.tokens import LETTER_OF, load_tokenizer, spread, word_ids
@@ -31,9 +31,11 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_TOKEN = "<|endoftext|>"
 #: Held-out documents: crc32 of the id as text, modulo MODULUS, is REMAINDER.
 MODULUS, REMAINDER = 7, 2
-#: The attention model learns from every SHARE-th stretch of STRETCH bytes of each training document.
-SHARE, STRETCH = 48, 512
 ROUNDS = 2
+#: Distinct words whose ids a task keeps while it cuts training documents.
+KEPT_WORDS = 100_000
+#: Windows that are cut, shuffled and learnt from at a time.
+WINDOWS = 1 << 14
 #: Numbers that describe the company an id keeps, for its class.
 SKETCH = 12
 SLOTS = 4
@@ -132,57 +134,65 @@ def _answer(path: str):
     return run
 
 
-def _windows(path: str, modulus: int, remainder: int):
+class _Ids(dict):
+    """Ids of the words met, at most KEPT_WORDS of them at the start of a document."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __missing__(self, word: bytes) -> list[int]:
+        self[word] = ids = subwords(self.path, word)
+        return ids
+
+
+def _streams(path: str, modulus: int, remainder: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Training windows (a) of every training document: WINDOW + 1 ids each, -1 behind the last."""
+        """Ids (a) of all training documents, each between two ends, and how many each has (b)."""
         end = _tokenizer(path).token_to_id(END_TOKEN)
-        cache: dict[bytes, list[int]] = {}
+        cache = _Ids(path)
         for row in rows_of(batches):
             data, offsets = text_of(row)
             raw, found = data.tobytes().lower(), []
-            for i, learn, a, b in zip(row["ids"], trains(row["ids"], modulus, remainder), offsets[:-1].tolist(), offsets[1:].tolist()):
+            for learn, a, b in zip(trains(row["ids"], modulus, remainder), offsets[:-1].tolist(), offsets[1:].tolist()):
                 if not learn:
                     continue
-                for k in range(zlib.crc32(str(i).encode(), 1) % SHARE, max(1, -(-(b - a) // STRETCH)), SHARE):
-                    start, stop = a + k * STRETCH, min(b, a + (k + 1) * STRETCH)
-                    words = raw[start:stop].split()
-                    if start > a and words:
-                        words = words[1:]  # cut, or not known to be whole
-                    if stop < b and words:
-                        words = words[:-1]
-                    ids = [end] if start == a else []
-                    for w in words:
-                        if w not in cache:
-                            if len(cache) > 100_000:
-                                cache.clear()
-                            cache[w] = subwords(path, w)
-                        ids += cache[w]
-                    ids += [end] if stop == b else []
-                    for at in range(0, len(ids) - 1, WINDOW):
-                        part = ids[at : at + WINDOW + 1]
-                        found.append(part + [-1] * (WINDOW + 1 - len(part)))
+                if len(cache) > KEPT_WORDS:
+                    cache.clear()
+                ids = chain.from_iterable(map(cache.__getitem__, raw[a:b].split()))
+                found.append(np.fromiter(chain((end,), ids, (end,)), np.uint32))
             if found:
-                yield row_of(row["chunk"], row["step"], None, pack(np.array(found, np.int32).ravel()))
+                yield row_of(row["chunk"], row["step"], None, pack(np.concatenate(found)), pack(np.array([len(f) for f in found])))
 
     return run
 
 
 def _windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """All windows of the documents of a row: WINDOW + 1 ids each, the last also the first of the next window,
+    -1 behind a document's last."""
     for row in rows_of(batches):
-        yield unpack(row["a"], np.int32).reshape(-1, WINDOW + 1)
+        ids, length = unpack(row["a"], np.uint32).astype(np.int32), unpack(row["b"], np.int64)
+        many = -(-(length - 1) // WINDOW)
+        stop = np.repeat(np.cumsum(length), many)
+        first = spread(np.zeros(len(many), np.int64), many) * WINDOW + np.repeat(np.cumsum(length) - length, many)
+        for at in range(0, len(first), WINDOWS):
+            place = first[at : at + WINDOWS, None] + np.arange(WINDOW + 1)
+            yield np.where(place < stop[at : at + WINDOWS, None], ids[np.minimum(place, len(ids) - 1)], -1)
 
 
 def _sketch(size: int):
-    signs = np.random.default_rng(11).choice([-1.0, 1.0], (size + 1, SKETCH))
+    signs = np.random.default_rng(11).choice([-1.0, 1.0], (size + 1, SKETCH)).astype(np.float32)
     signs[size] = 0  # the place of -1
+    columns = np.ascontiguousarray(signs.T)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros((size + 1, SKETCH))
+        total = np.zeros((size, SKETCH))
         for windows in _windows_of(batches):
-            mine = signs[windows]
-            around = mine.sum(axis=1, keepdims=True) - mine
-            np.add.at(total, windows.ravel(), around.reshape(-1, SKETCH))
-        return total[:size].ravel()
+            place = np.where(windows < 0, size, windows)
+            for k, own in enumerate(columns):
+                mine = own[place]
+                around = mine.sum(axis=1, keepdims=True) - mine
+                total[:, k] += np.bincount(place.ravel(), weights=around.ravel(), minlength=size + 1)[:size]
+        return total.ravel()
 
     return fold
 
@@ -231,12 +241,11 @@ def _fit(windows: DataFrame, counts: np.ndarray, pairs: tuple[np.ndarray, np.nda
     for _ in range(ROUNDS):
 
         def fold(batches: Iterator[pa.RecordBatch], p=p) -> np.ndarray:
-            own = [w for w in _windows_of(batches)]
-            if not own:
-                return np.zeros(length)
-            own = np.concatenate(own)
-            order = np.random.default_rng(len(own)).permutation(len(own))
-            return len(own) * np.append(train(p, own[order], words).flat(), 1.0)
+            trainer, seen = Trainer(p, words), 0
+            for own in _windows_of(batches):
+                trainer.learn(own[np.random.default_rng(len(own)).permutation(len(own))])
+                seen += len(own)
+            return seen * np.append(trainer.parameters().flat(), 1.0)
 
         total = summed(windows, fold, length, SLOTS)
         if total[-1]:
@@ -273,7 +282,7 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     counts = summed(held, id_counts, size, SLOTS)
     space = LETTER_OF[0x20]
     starts_word = np.array([(library.id_to_token(i) or "").startswith(space) for i in range(size)])
-    windows = stored(chunks.mapInArrow(_windows(tokenizer, modulus, remainder), ROW), "windows")
+    windows = stored(chunks.mapInArrow(_streams(tokenizer, modulus, remainder), ROW), "streams")
     p, words = _fit(windows, counts, _pairs(held), starts_word, end)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
