@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -181,3 +182,16 @@ def test_the_model_learns_from_every_id_of_every_training_document():
     # the goals of all windows are the ids of all texts, each closed by an end
     expect = [x for i in learnt for w in [*texts[i].split(), None] for x in (subwords(TOKENIZER, w.encode()) if w else [end])]
     assert windows[:, 1:][windows[:, 1:] >= 0].tolist() == expect
+
+
+def test_shares_of_pairs_equal_the_counted_ones_whatever_their_number(spark):
+    rng = np.random.default_rng(8)
+    size, many = 1000, 1 << 19  # twice as many as were kept once
+    pairs, n = np.sort(rng.choice(size * size, many, replace=False)), rng.integers(0, 5, many)
+    words = vocabulary(rng.integers(1, 50, size).astype(float), rng.normal(size=(size, 4)), np.arange(size) % 3 == 0, size - 1, pairs, n)
+    counted = spark.createDataFrame(pa.table({"pair": pairs, "n": n}))
+    told = [r.asDict() for r in lm_scoring._told(counted.selectExpr("pair % 2 AS part", "pair"), lm_scoring._shares(counted, words)).collect()]
+    for part in (0, 1):
+        mine = pairs[(pairs % 2 == part) & (pairs // size != size - 1)]
+        got = lm_scoring._Pairs([r for r in told if r["chunk"] == part], words, size - 1).within(mine // size, mine % size)
+        assert got == pytest.approx(Scorer(Parameters.initial(words.class_log), words, size - 1).within(mine // size, mine % size))

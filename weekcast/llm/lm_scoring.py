@@ -1,8 +1,8 @@
 """Language-model scores of whole texts, from corpus counts and a self-attention model over subword ids.
 
 Chunks ask for each of their distinct words once; the task of a word bucket sums the training counts of a
-word over all chunks, cuts the word into subword ids, and answers. Counts of all subword ids come out of the
-same pass. The attention model learns from the whole of every training document, in rounds: each
+word over all chunks, cuts the word into subword ids, and answers. Counts of all subword ids, and of all pairs
+of neighbours within words, come out of the same pass; a chunk gets the shares of the pairs it has. The attention model learns from the whole of every training document, in rounds: each
 partition trains a copy on its own windows and the copies are averaged. Scoring runs over overlapping windows
 of whole texts and scores every id once.
 """
@@ -19,10 +19,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.llm.attention_lm import WINDOW, Parameters, Scorer, Trainer, Vocabulary, vocabulary
+from weekcast.llm.attention_lm import CLASSES, PAIR_PRIOR, WINDOW, Parameters, Scorer, Trainer, Vocabulary, vocabulary
 from weekcast.llm.chunks import ROW, by_key, dealt, pack, parts_of, row_of, rows_of, stored_chunks, summed, text_of, unpack
 from weekcast.llm.common import stored
 from weekcast.llm.tokens import LETTER_OF, load_tokenizer, spread, word_ids
@@ -39,8 +39,8 @@ WINDOWS = 1 << 14
 #: Numbers that describe the company an id keeps, for its class.
 SKETCH = 12
 SLOTS = 4
-#: Pairs of neighbouring ids that the model keeps counts of: its size, whatever the corpus.
-PAIRS = 1 << 18
+#: Wanted pairs that a task holds to send each only once to a chunk.
+HELD_PAIRS = 1 << 22
 
 
 @lru_cache(maxsize=2)
@@ -105,6 +105,13 @@ def _ask(buckets: int, modulus: int, remainder: int):
     return run
 
 
+def _inside(flat: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ids have a next one in their word, and the pairs, last * size + id, of both."""
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.flatnonzero(word[:-1] == word[1:])
+    return inside, flat[inside].astype(np.int64) * size + flat[inside + 1]
+
+
 def _answer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """To each chunk (number, count, id lengths, ids); and a row of chunk -1 with what the bucket holds."""
@@ -125,11 +132,10 @@ def _answer(path: str):
             if b"" in table:
                 total[_tokenizer(path).token_to_id(END_TOKEN)] = counts[table[b""]]
             hit = np.flatnonzero(total)
-            # pairs of neighbouring ids within a word
-            inside = np.flatnonzero(np.repeat(np.arange(len(ids)), lengths)[:-1] == np.repeat(np.arange(len(ids)), lengths)[1:])
-            pair, where = np.unique(flat[inside].astype(np.int64) * size + flat[inside + 1], return_inverse=True)
+            inside, pairs = _inside(flat, lengths, size)
+            pair, where = np.unique(pairs, return_inverse=True)  # those that were never learnt have a share, too
             often = np.bincount(where, weights=np.repeat(counts, lengths)[inside], minlength=len(pair)).astype(np.int64)
-            yield row_of(-1, bucket, [int((counts > 0).sum()), int(counts.sum())], pack(hit), pack(total[hit]), pack(pair[often > 0]), pack(often[often > 0]))
+            yield row_of(-1, bucket, [int((counts > 0).sum()), int(counts.sum())], pack(hit), pack(total[hit]), pack(pair), pack(often))
 
     return run
 
@@ -197,45 +203,103 @@ def _sketch(size: int):
     return fold
 
 
-def _pairs(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs of neighbouring ids, PAIRS of them at most, by key, and their counts."""
+def _counted(held: DataFrame) -> DataFrame:
+    """All pairs of neighbouring ids within words, and their counts."""
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(unpack(row["c"], np.int64)), pa.array(unpack(row["d"], np.int64))], ["pair", "n"])
 
-    counted = held.mapInArrow(spell, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    # a histogram of counts tells from which count on at most PAIRS pairs are left: no more reach the driver
-    counted = stored(counted.withColumn("size", F.floor(F.log2("n") * 16).cast("int")), "pairs")
-    sizes = sorted(((r["size"], r["count"]) for r in counted.groupBy("size").count().collect()), reverse=True)
-    least, held_back = 0, 0
-    for size, many in sizes:
-        held_back += many
-        if held_back > PAIRS:
-            least = size + 1
-            break
-    top = counted.where(F.col("size") >= least).select("pair", "n").toArrow()
-    pair, n = (top.column(c).to_numpy().astype(np.int64) for c in ("pair", "n"))
-    order = np.argsort(pair)
-    return pair[order], n[order]
-
-
-def _word_logs(scorer: Scorer, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return held.mapInArrow(spell, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def _shares(counted: DataFrame, words: Vocabulary) -> DataFrame:
+    """(pair, share): p(id | its class, last id) of every pair, from its count and all counts of the last id with
+    the class, smoothed by PAIR_PRIOR times the class's own shares."""
+    size, class_of, within = len(words.class_of), words.class_of, words.within
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            pair = part.column("pair").to_numpy()
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pair // size * CLASSES + class_of[pair % size]), pa.array(PAIR_PRIOR * within[pair % size])], ["pair", "n", "slot", "prior"])
+
+    # a slot has at most as many rows as its class has ids
+    placed = counted.mapInArrow(place, "pair long, n long, slot long, prior double")
+    return placed.select("pair", ((F.col("n") + F.col("prior")) / (F.sum("n").over(Window.partitionBy("slot")) + PAIR_PRIOR)).alias("share"))
+
+
+def _wanted(answers: DataFrame, size: int) -> DataFrame:
+    """(part, pair): the pairs that the words of a chunk have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, found in held.items():
+                pair = np.unique(np.concatenate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), chunk)), pa.array(pair)], ["part", "pair"])
+            held.clear()
+
+        held, many = defaultdict(list), 0
+        for row in rows_of(batches):
+            pair = np.unique(_inside(unpack(row["d"], np.uint32), unpack(row["c"], np.uint32), size)[1])
+            held[row["chunk"]].append(pair)
+            many += len(pair)
+            if many > HELD_PAIRS:
+                yield from flush()
+                many = 0
+        yield from flush()
+
+    return answers.mapInArrow(run, "part long, pair long").distinct()
+
+
+def _told(wanted: DataFrame, shares: DataFrame) -> DataFrame:
+    """Rows of step -2 that tell each chunk its pairs (a) and their shares (b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            chunk, pair, share = (part.column(c).to_numpy() for c in ("part", "pair", "share"))
+            edges = np.flatnonzero(np.r_[True, np.diff(chunk) != 0, True]) if len(chunk) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                yield row_of(int(chunk[a]), -2, None, pack(pair[a:b]), pack(share[a:b]))
+
+    return wanted.join(shares, "pair").select("part", "pair", "share").sortWithinPartitions("part").mapInArrow(run, ROW)
+
+
+class _Pairs:
+    """p(id | its class, last id) for the pairs that a chunk has been told."""
+
+    def __init__(self, told: list[dict], words: Vocabulary, end: int):
+        self.end, self.own = end, words.within
+        pair, share = (np.concatenate([np.empty(0, kind), *(unpack(r[c], kind) for r in told)]) for c, kind in (("a", np.int64), ("b", np.float64)))
+        order = np.argsort(pair)
+        self.pair, self.share = pair[order], share[order]
+
+    def within(self, last: np.ndarray, goals: np.ndarray) -> np.ndarray:
+        out = self.own[goals]  # nothing is counted behind the end: a word's first id has its class's own share
+        some = np.flatnonzero(last != self.end)
+        key = last[some].astype(np.int64) * len(self.own) + goals[some]
+        at = np.searchsorted(self.pair, key)
+        if len(key) and (at.max() == len(self.pair) or (self.pair[at] != key).any()):
+            raise RuntimeError("a chunk was not told all of its pairs")
+        out[some] = self.share[at]
+        return out
+
+
+def _word_logs(pairs: Scorer | _Pairs, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """For each word the sum of log p(id | its class, the id before it in the word): the same wherever the
     word stands, as pairs are only counted within words."""
     flat = ids[spread(start, length)]
     first = np.cumsum(length) - length
     last = np.roll(flat, 1)
-    last[first[length > 0]] = scorer.end  # nothing is counted behind the end
-    return np.add.reduceat(np.append(np.log(scorer.within(last, flat)), 0.0), np.minimum(first, len(flat))) * (length > 0)
+    last[first[length > 0]] = pairs.end  # nothing is counted behind the end
+    return np.add.reduceat(np.append(np.log(pairs.within(last, flat)), 0.0), np.minimum(first, len(flat))) * (length > 0)
 
 
-def _fit(windows: DataFrame, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], starts_word: np.ndarray, end: int) -> tuple[Parameters, Vocabulary]:
+def _fit(windows: DataFrame, counts: np.ndarray, starts_word: np.ndarray, end: int) -> tuple[Parameters, Vocabulary]:
     size = len(counts)
     sketch = summed(windows, _sketch(size), size * SKETCH, SLOTS).reshape(size, SKETCH)
     share = counts / max(1, counts.sum())
     sketch = sketch - np.abs(sketch).sum(axis=1, keepdims=True) * (share @ sketch) / max(1e-9, np.abs(share @ sketch).sum())  # what all ids have in common tells no class
-    words = vocabulary(counts, sketch, starts_word, end, *pairs)
+    words = vocabulary(counts, sketch, starts_word, end, np.empty(0, np.int64), np.empty(0, np.int64))  # pairs stay in tables
     p = Parameters.initial(words.class_log)
     length = len(p.flat()) + 1
     for _ in range(ROUNDS):
@@ -283,17 +347,18 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     space = LETTER_OF[0x20]
     starts_word = np.array([(library.id_to_token(i) or "").startswith(space) for i in range(size)])
     windows = stored(chunks.mapInArrow(_streams(tokenizer, modulus, remainder), ROW), "streams")
-    p, words = _fit(windows, counts, _pairs(held), starts_word, end)
+    p, words = _fit(windows, counts, starts_word, end)
+    told = _told(_wanted(answers.where(F.col("chunk") >= 0), size), _shares(_counted(held), words))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(p, words, end)
         for _, rows in by_key(rows_of(batches), "chunk"):
-            answer = [(unpack(r["a"], np.uint32), unpack(r["b"], np.int64), unpack(r["c"], np.uint32).astype(np.int64), unpack(r["d"], np.uint32).astype(np.int64)) for r in rows if r["step"] < 0]
+            answer = [(unpack(r["a"], np.uint32), unpack(r["b"], np.int64), unpack(r["c"], np.uint32).astype(np.int64), unpack(r["d"], np.uint32).astype(np.int64)) for r in rows if r["step"] == -1]
             number, count, lengths, flat = (np.concatenate(x) for x in zip(*answer))
             known, start, length = np.empty(len(number), np.int64), np.empty(len(number), np.int64), np.empty(len(number), np.int64)
             known[number], start[number], length[number] = count, np.cumsum(lengths) - lengths, lengths
             log_count, table = np.log10(known + 1.0), _Words()
-            word_log = _word_logs(scorer, flat, start, length)
+            word_log = _word_logs(_Pairs([r for r in rows if r["step"] == -2], words, end), flat, start, length)
             end_log = float(np.log(words.within[end]))
             for row in rows:
                 if row["step"] < 0:
@@ -314,7 +379,7 @@ def lm_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
                     pa.array(logs / np.log(10)),
                 ], ["doc_id", "n_tokens", "n_known", "log_counts", "score"])
 
-    whole = dealt(chunks.unionByName(answers.where(F.col("chunk") >= 0)))
+    whole = dealt(chunks.unionByName(answers.where(F.col("chunk") >= 0)).unionByName(told))
     rows = whole.mapInArrow(score, "doc_id long, n_tokens long, n_known long, log_counts double, score double")
     mass = F.log10(F.lit(float(total + distinct + 1)))
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("log_counts") - F.col("n_tokens") * mass).alias("base_score"), "score")
