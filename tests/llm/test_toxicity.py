@@ -86,3 +86,21 @@ def test_odd_rows(spark, docs_of):
 
 def test_beginnings():
     assert begins("abcdefg") == ["abcdefg", "abcd*", "abcde*", "abcdef*"] and begins("abc") == ["abc"]
+
+
+def test_stems_with_many_endings_are_learnt_where_they_come_again(spark, docs_of):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    ending = (a + b + c for a in letters for b in letters for c in letters)  # each met once
+    filler = lambda i: " ".join(f"{letters[i % 26]}{letters[k]}{letters[i // 26]}ne" for k in range(9))
+    toxic = [filler(i) + "".join(f" vorgal{next(ending)}" for _ in range(4)) for i in range(60)]
+    clean = [filler(i) + f" vorgal{next(ending)}" for i in range(60, 180)]
+    docs = docs_of(toxic + clean)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(180)], "doc_id long, toxic int")
+    rows = toxicity(docs, labels, is_training=F.col("doc_id") % 4 != 2).collect()
+    assert all(r.predicted == (r.doc_id < 60) for r in rows if r.doc_id % 4 == 2)
+
+
+def test_marked_lexemes_count_from_their_number_of_matches_on():
+    lexicon = Lexicon({"vequ*+": 1.0, "zorn++": 2.0})
+    sums = pattern_sums(batch("vequela", "vequela veque", "vequela.", "zorn zorn", "zorn zorn. zorn"), lexicon, grammar())
+    assert sums[:, PATTERNS.index("I")].tolist() == [0, 2, 0, 0, 3] and sums.sum() == 5

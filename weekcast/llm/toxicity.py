@@ -6,7 +6,9 @@ emits patterns: a plain, targeted, answered, negated or reported insult or threa
 logistic function of its patterns' weights, each match weighted by its lexeme.
 
 The insult lexicon (whole words, and word beginnings marked with *) is learnt from labelled rows by greedy
-cover: the lexeme that explains most toxic documents not yet explained comes next. Copies of one toxic
+cover: the lexeme that explains most toxic documents not yet explained comes next. A lexeme marked with + is
+evidence only in documents that it matches at least twice (++ three times, +++ four), and is judged by those:
+clean documents hold some stems of insults once or, if they are long, twice. Copies of one toxic
 document are explained by their insult, so the other words they share never enter the lexicon.
 """
 
@@ -30,6 +32,10 @@ TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 FIT_ROWS = 20_000
 #: Lexeme candidates that are compared, at most, and the share of toxic among the documents a lexeme may occur in.
 CANDIDATES = 5_000
+#: Letters of the word beginnings that are learnt; the upper bound is for "words" without an end.
+SHORTEST, LONGEST = 3, 32
+#: Marks of lexemes that have to match a document's words again, by how often.
+AGAIN = {"+": 2, "++": 3, "+++": 4}
 PRECISION = 0.95
 PREDICT_AT = 0.3
 
@@ -100,9 +106,23 @@ def grammar() -> Transducer:
     return negation().then(reported(), SYMBOLS).then(target(), SYMBOLS)
 
 
-def begins(word: str) -> list[str]:
+def begins(word: str, shortest: int = 4) -> list[str]:
     """A word and its beginnings, as lexemes."""
-    return [word] + [word[:n] + "*" for n in (4, 5, 6) if len(word) > n]
+    return [word] + [word[:n] + "*" for n in range(shortest, min(len(word), LONGEST + 1))]
+
+
+def matches(code: np.ndarray, lexemes: list[list[str]]) -> Counter:
+    """How many words of a document each lexeme matches."""
+    out: Counter = Counter()
+    for c, n in Counter(code.tolist()).items():
+        for x in lexemes[c]:
+            out[x] += n
+    return out
+
+
+def holding(found: Counter) -> set[str]:
+    """The lexemes that are evidence in a document, by themselves or (+) by matching again."""
+    return set(found) | {x + mark for x, n in found.items() for mark, least in AGAIN.items() if n >= least}
 
 
 class Lexicon:
@@ -113,12 +133,29 @@ class Lexicon:
         self.fixed = {w: s for s, ws in (("H", THREATS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws} | {c: "." for c in ".!?;\n"}
 
     def read(self, word: str) -> tuple[str, float]:
-        hits = [self.insults[x] for x in begins(word) if x in self.insults]
+        hits = [self.insults[x] for x in begins(word, SHORTEST) if x in self.insults]
         if hits:
             return "I", max(hits)
         symbol = self.fixed.get(word, "O")
         return symbol, 1.0 if symbol == "H" else 0.0
 
+    def again(self, word: str) -> list[str]:
+        """Lexemes of a word that count where they match a document's words again."""
+        return [x + mark for x in begins(word, SHORTEST) for mark in AGAIN if x + mark in self.insults]
+
+
+def repeated(lexicon: Lexicon, words: list[str], code: np.ndarray, rows: np.ndarray, symbol: np.ndarray, weight: np.ndarray) -> None:
+    """Makes insults of the tokens whose lexeme matches their row as often as its mark says."""
+    again = [lexicon.again(w) for w in words]
+    names = sorted({x for xs in again for x in xs})
+    at = [np.flatnonzero(np.array([x in xs for xs in again])[code]) for x in names]
+    for x, own in zip(names, at):
+        _, where, many = np.unique(rows[own], return_inverse=True, return_counts=True)
+        own = own[many[where] > x.count("+")]
+        own = own[(symbol[own] == 0) | (symbol[own] == 1)]
+        symbol[own] = 1
+        weight[own] = np.maximum(weight[own], lexicon.insults[x])
+
 
 def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
     """(row bounds, word number of each token, distinct words, ids of rows) of a batch."""
@@ -135,6 +172,7 @@ def pattern_sums(part: pa.RecordBatch, lexicon: Lexicon, machine: Transducer) ->
         return out
     read = [lexicon.read(w) for w in words]
     symbol, weight = np.array([SYMBOLS.index(s) for s, _ in read], np.uint8)[code], np.array([w for _, w in read])[code]
+    repeated(lexicon, words, code, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), symbol, weight)
     hits = np.flatnonzero((symbol == 1) | (symbol == 2))
     ends = np.flatnonzero(symbol == 6)
     rows = np.searchsorted(bounds, hits, "right") - 1
@@ -178,7 +216,7 @@ def cover(found: list[set[str]], weight: dict[str, float], support: int) -> list
     explained, chosen = np.zeros(len(found), bool), []
     while gain:
         # on equal gain the stronger, then whole words before beginnings, then longer ones
-        best = max(gain, key=lambda x: (gain[x], weight[x], x[-1] != "*", len(x), x))
+        best = max(gain, key=lambda x: (gain[x], weight[x], x[-1] not in "*+", len(x), x))
         if gain[best] < support:
             break
         chosen.append(best)
@@ -214,9 +252,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         sides = [Counter(), Counter()]
         for part in slices(batches, "text"):
             bounds, code, words, _ = tokens_of(part)
-            lexemes = [begins(w) if len(w) > 3 else [] for w in words]
+            lexemes = [begins(w, SHORTEST) if len(w) > 3 else [] for w in words]
             for a, b, label in zip(bounds[:-1], bounds[1:], part.column("toxic").to_pylist()):
-                sides[int(label == 1)].update({x for c in set(code[a:b].tolist()) for x in lexemes[c]})
+                sides[int(label == 1)].update(holding(matches(code[a:b], lexemes)))
         names = sorted(set(sides[1]))
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sides[1][x] for x in names], pa.int64()), pa.array([sides[0][x] for x in names], pa.int64())], ["lexeme", "toxic", "clean"])
         rest = sorted(set(sides[0]) - set(names))
@@ -227,11 +265,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     top = sharp.orderBy(F.desc("toxic"), "clean", "lexeme").limit(CANDIDATES).collect()
     weight = {r.lexeme: float(np.log((r.toxic + 0.5) / (toxic + 1)) - np.log((r.clean + 0.5) / (clean + 1))) for r in top}
 
+    useful = {x.rstrip("+") for x in weight}
+
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             bounds, code, words, _ = tokens_of(part)
-            lexemes = [[x for x in begins(w) if x in weight] for w in words]
-            found = [sorted({x for c in set(code[a:b].tolist()) for x in lexemes[c]}) for a, b in zip(bounds[:-1], bounds[1:])]
+            lexemes = [[x for x in begins(w, SHORTEST) if x in useful] for w in words]
+            found = [sorted(holding(matches(code[a:b], lexemes)) & weight.keys()) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], ["found"])
 
     found = [set(r.found) for r in sample.where("toxic = 1").mapInArrow(incidence, "found array<string>").collect()]
