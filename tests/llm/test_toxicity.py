@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekcast.llm.common import crc_mod, read_table
-from weekcast.llm.toxicity import PATTERNS, SYMBOLS, Lexicon, Transducer, begins, cover, fit_weights, grammar, negation, pattern_sums, reported, target, toxicity
+from weekcast.llm.toxicity import PATTERNS, SYMBOLS, Lexicon, Transducer, begins, cover, fit, fit_weights, grammar, negation, pattern_sums, reported, target, toxicity
 
 
 def batch(*texts):
@@ -104,3 +104,10 @@ def test_marked_lexemes_count_from_their_number_of_matches_on():
     lexicon = Lexicon({"vequ*+": 1.0, "zorn++": 2.0})
     sums = pattern_sums(batch("vequela", "vequela veque", "vequela.", "zorn zorn", "zorn zorn. zorn"), lexicon, grammar())
     assert sums[:, PATTERNS.index("I")].tolist() == [0, 2, 0, 0, 3] and sums.sum() == 5
+
+
+def test_an_id_enters_the_fit_once(spark, docs_of):
+    texts = [(i, f"moron number {i}") for i in range(20)] + [(i, f"nothing to see {i}") for i in range(20, 60)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(60)], "doc_id long, toxic int")
+    once, often = fit(docs_of(texts), labels), fit(docs_of(texts + [texts[3], texts[30]] * 500), labels)
+    assert often.weights == pytest.approx(once.weights, abs=1e-9) and often.lexicon.insults == once.lexicon.insults

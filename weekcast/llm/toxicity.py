@@ -243,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     share = min(1.0, 1.25 * fit_rows / max(1, once.count()))
     near = once.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     some = near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(fit_rows)
-    sample = stored(docs.join(F.broadcast(some), "doc_id").select("text", "toxic"), "sample")
+    # one row for each id, however many repeat it: the smallest text
+    sample = stored(docs.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic"), "sample")
     size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     support = 3 if toxic >= 200 else 2
