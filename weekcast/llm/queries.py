@@ -9,6 +9,7 @@ from weekcast.llm.bpe import encode_decode
 from weekcast.llm.common import crc_mod, read_table
 from weekcast.llm.cotraining import classify
 from weekcast.llm.lm_scoring import lm_scores
+from weekcast.llm.merkle import manifest
 from weekcast.llm.packing import pack
 from weekcast.llm.quality_rules import quality_rules
 from weekcast.llm.simhash import simhash_groups
@@ -77,7 +78,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash trees over all documents; every seventh id by crc32 is checked with a changed n_chars."""
+    changed = [F.col(c) for c in ("doc_id", "source", "lang")] + [F.col("n_chars").cast("decimal(20,0)") + 1, F.col("text")]
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = manifest(read_table(spark, sf_dir, "documents"), changed, seventh)
+    text = lambda c: F.lower(F.hex(c))
+    digests = [text(c).alias(c) for c in ("leaf", "subroot", "root")]
+    return rows.select("doc_id", *digests, F.sha2(text("siblings").cast("binary"), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
+    "op11_merkle": op11_merkle,
     "op10_lm_scoring": op10_lm_scoring,
     "op4_cotraining": op4_cotraining,
     "op2_toxicity": op2_toxicity,

@@ -77,7 +77,50 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM b
 """
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: each byte enters, then eight shifts."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {steps}), lambda c, o: CASE WHEN o >= 0 THEN xor(c, o) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
+def _leaf(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+#: Trees level by level; a path is a document's row for each level, its side and sibling null where it stands alone.
+MERKLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+       CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf("doc_id", "source", "lang", "n_chars + 1", "text")} END AS tampered FROM documents),
+base AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos FROM d),
+node AS (SELECT 0 AS lvl, tree, pos, leaf AS h FROM base
+         UNION ALL SELECT lvl + 1, tree, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+         FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM node) WHERE n > 1 GROUP BY lvl, tree, pos // 2),
+depth AS (SELECT tree, max(lvl) AS depth FROM node GROUP BY tree),
+sub AS (SELECT node.tree, h, depth, row_number() OVER (ORDER BY node.tree) - 1 AS pos FROM node JOIN depth ON depth.tree = node.tree AND lvl = depth),
+high AS (SELECT 0 AS lvl, pos, h FROM sub
+         UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos))
+         FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY lvl, pos // 2),
+root AS (SELECT h FROM high ORDER BY lvl DESC LIMIT 1),
+low_path AS (SELECT base.doc_id, lvls.lvl AS step, (base.pos >> lvls.lvl) & 1 AS odd, node.h AS sib
+             FROM base JOIN depth USING (tree) JOIN (SELECT unnest(range(0, 64)) AS lvl) lvls ON lvls.lvl < depth.depth
+             LEFT JOIN node ON node.tree = base.tree AND node.lvl = lvls.lvl AND node.pos = xor(base.pos >> lvls.lvl, 1)),
+high_path AS (SELECT base.doc_id, sub.depth + lvls.lvl AS step, (sub.pos >> lvls.lvl) & 1 AS odd, high.h AS sib
+              FROM base JOIN sub USING (tree) JOIN (SELECT unnest(range(0, 64)) AS lvl) lvls ON lvls.lvl < (SELECT max(lvl) FROM high)
+              LEFT JOIN high ON high.lvl = lvls.lvl AND high.pos = xor(sub.pos >> lvls.lvl, 1)),
+path AS (SELECT * FROM low_path UNION ALL SELECT * FROM high_path),
+proof AS (SELECT doc_id, sha256(coalesce(string_agg(sib, '' ORDER BY step), '')) AS proof_sha256, count(*) AS steps FROM path GROUP BY doc_id),
+folded AS (SELECT doc_id, CAST(0 AS BIGINT) AS step, coalesce(tampered, leaf) AS h FROM d
+           UNION ALL SELECT f.doc_id, f.step + 1, sha256(CASE WHEN p.sib IS NULL THEN f.h WHEN p.odd = 1 THEN p.sib || f.h ELSE f.h || p.sib END)
+           FROM folded f JOIN path p ON p.doc_id = f.doc_id AND p.step = f.step),
+last AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM folded GROUP BY doc_id)
+SELECT base.doc_id, leaf, sub.h AS subroot, root.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root.h AS verified
+FROM base JOIN sub USING (tree) CROSS JOIN root LEFT JOIN proof ON proof.doc_id = base.doc_id JOIN last ON last.doc_id = base.doc_id
+"""
+
 SQL = {
+    "op11_merkle": MERKLE,
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
     "op6_topk": TOP_K,
