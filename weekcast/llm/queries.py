@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weekcast.llm.bpe import encode_decode
 from weekcast.llm.common import crc_mod, read_table
+from weekcast.llm.conversation_repair import damage, repair
 from weekcast.llm.cotraining import classify
 from weekcast.llm.lm_scoring import lm_scores
 from weekcast.llm.merkle import manifest
@@ -14,6 +15,7 @@ from weekcast.llm.packing import pack
 from weekcast.llm.quality_rules import quality_rules
 from weekcast.llm.simhash import simhash_groups
 from weekcast.llm.sql import SQL  # noqa: F401  (registered beside QUERIES)
+from weekcast.llm.substring_dedup import remove_passages
 from weekcast.llm.suffix_dedup import remove_repeats
 from weekcast.llm.topk import top_k
 from weekcast.llm.toxicity import toxicity
@@ -88,7 +90,21 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *digests, F.sha2(text("siblings").cast("binary"), 256).alias("proof_sha256"), text("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged by a hash of its turns and repaired at least cost."""
+    return repair(damage(read_table(spark, sf_dir, "conversations")), lost_column="lost")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that start in a document with a smaller id are removed."""
+    rows = remove_passages(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("span_ends", "span_starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda total, n: total + n)
+    return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op13_substring_dedup": op13_substring_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op11_merkle": op11_merkle,
     "op10_lm_scoring": op10_lm_scoring,
     "op4_cotraining": op4_cotraining,

@@ -119,7 +119,67 @@ SELECT base.doc_id, leaf, sub.h AS subroot, root.h AS root, coalesce(proof_sha25
 FROM base JOIN sub USING (tree) CROSS JOIN root LEFT JOIN proof ON proof.doc_id = base.doc_id JOIN last ON last.doc_id = base.doc_id
 """
 
+#: Rows of a conversation one by one; for each state of the grammar the least (cost, audit) and what it leaves.
+#: Between two rows at most two inserts: a third leads back to a state that one leads to.
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("w")} % 20 AS k
+       FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS w FROM conversations)),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM c, (SELECT unnest([1, 2]) AS time) WHERE k <> 0 AND (time = 1 OR k = 3)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+fact AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair,
+                CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b'
+                     WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                     WHEN regexp_matches(text, '[^.!?\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '' END AS fault FROM numbered),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                 count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM fact GROUP BY conv_id),
+inserts(src, dst, k, rows) AS (VALUES (0, 0, 0, []), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []),
+       (0, 2, 1, ['user:']), (1, 2, 1, ['user:']), (2, 3, 1, ['assistant:']), (3, 2, 1, ['user:']),
+       (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:'])),
+edit(op, src, dst, ini, role) AS (VALUES ('D', 0, 0, NULL, NULL), ('D', 1, 1, NULL, NULL), ('D', 2, 2, NULL, NULL), ('D', 3, 3, NULL, NULL),
+       ('K', 0, 1, 's', NULL), ('K', 0, 2, 'u', NULL), ('K', 1, 2, 'u', NULL), ('K', 2, 3, 'a', NULL), ('K', 3, 2, 'u', NULL),
+       ('R', 0, 2, NULL, 'user'), ('R', 1, 2, NULL, 'user'), ('R', 2, 3, NULL, 'assistant'), ('R', 3, 2, NULL, 'user')),
+best AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS body FROM stats
+         UNION ALL
+         SELECT conv_id, i, state, arg_min(cost, rank), arg_min(audit, rank), arg_min(body, rank) FROM (
+           SELECT *, lpad(CAST(cost AS VARCHAR), 12, '0') || audit AS rank FROM (
+             SELECT f.conv_id, f.i, e.dst AS state,
+                    b.cost + 2 * s.k + CASE e.op WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN e.op <> 'D' AND f.fault = 't' THEN 1 ELSE 0 END AS cost,
+                    b.audit || repeat('I', s.k) || e.op AS audit,
+                    list_concat(b.body, s.rows, CASE e.op WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [e.role || ':' || f.text] END) AS body
+             FROM best b JOIN fact f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1 JOIN inserts s ON s.src = b.state
+             JOIN edit e ON e.src = s.dst AND (e.op = 'D' OR f.fault NOT IN ('b', 'd')) AND (e.op <> 'K' OR e.ini = f.ini)))
+         GROUP BY conv_id, i, state),
+done AS (SELECT conv_id, arg_min(cost, rank) AS cost, arg_min(audit, rank) AS audit, arg_min(body, rank) AS body FROM (
+           SELECT *, lpad(CAST(cost AS VARCHAR), 12, '0') || audit AS rank FROM (
+             SELECT b.conv_id, b.cost + 2 * s.k AS cost, b.audit || repeat('I', s.k) AS audit, list_concat(b.body, s.rows) AS body
+             FROM best b JOIN stats ON stats.conv_id IS NOT DISTINCT FROM b.conv_id AND stats.n = b.i JOIN inserts s ON s.src = b.state AND s.dst IN (0, 3)))
+         GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(body, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN stats ON stats.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+#: Every window of 50 words, the least id that has it, and the words that windows of documents with larger ids cover.
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d)),
+least AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN least USING (s) WHERE w.doc_id > least.first_id),
+word AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+near AS (SELECT word.doc_id, word.word, word.i, max(hit.i) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NULL AS stays
+         FROM word LEFT JOIN hit ON hit.doc_id = word.doc_id AND hit.i = word.i),
+cut AS (SELECT doc_id, count(*) FILTER (NOT stays) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (stays) AS kept FROM near GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""
+
 SQL = {
+    "op13_substring_dedup": SUBSTRING_DEDUP,
+    "op12_conversation_repair": CONVERSATION_REPAIR,
     "op11_merkle": MERKLE,
     "op1_suffix_dedup": SUFFIX_DEDUP,
     "op3_quality_rules": QUALITY_RULES,
