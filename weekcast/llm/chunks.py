@@ -84,14 +84,14 @@ def carried_of(row: dict) -> pa.RecordBatch:
     return pa.ipc.open_stream(zstandard.decompress(row["carried"])).read_next_batch()
 
 
-def stored_chunks(docs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def stored_chunks(docs: DataFrame, extra: Sequence[str] = (), spell: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
     """Documents (doc_id long, text) in chunks: step rows with ids, sizes (a), compressed text (b) and the
-    `extra` columns (carried)."""
+    `extra` columns (carried). `spell` makes the texts to be stored of a step's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, step, held = TaskContext.get().partitionId() << 20, 0, 0
         for part in slices(batches, "text"):
-            data, offsets = text_buffer(part.column("text"))
+            data, offsets = text_buffer(spell(part.column("text")) if spell else part.column("text"))
             if step and held + len(data) > CHUNK_BYTES:
                 chunk, step, held = chunk + 1, 0, 0
             yield row_of(chunk, step, part.column("doc_id").to_pylist(), pack(np.diff(offsets)), zstandard.compress(data.tobytes(), TEXT_LEVEL), carried=carry(part.select(list(extra))) if extra else None)

@@ -31,9 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.llm.chunks import ROW, by_key, dealt, pack, row_of, rows_of, stored_chunks, text_of, unpack
-from weekcast.llm.common import STEP_BYTES, stored, texts
+from weekcast.llm.common import STEP_BYTES, spread, stored, texts, words_of
 from weekcast.llm.suffix_automaton import SuffixAutomaton
-from weekcast.llm.tokens import spread
 
 #: Words of a passage, and of a gram.
 LENGTH = 50
@@ -41,7 +40,7 @@ GRAM = 20
 #: Occurrences of a gram from which its windows travel one by one.
 HOT = 1024
 #: Words in an automaton (a gram's contexts stay in one, however many).
-AUTOMATON_WORDS = 200_000
+AUTOMATON_WORDS = 50_000
 #: Bytes of stored text for each bucket and shard.
 BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -59,11 +58,9 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(np.r_[np.uint64(1), np.full(n, BASE)], dtype=np.uint64)
 
 
-def _spaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spaced(column: pa.Array) -> pa.Array:
     """Each text as its words, with one space behind each."""
-    for batch in batches:
-        spaced = [b" ".join([*words, b""]) for words in map(bytes.split, texts(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spaced, pa.binary()).cast(pa.string())], ["doc_id", "text"])
+    return pa.array([b" ".join([*words_of(raw), b""]) for raw in texts(column)], pa.binary()).cast(pa.string())
 
 
 class Words:
@@ -346,7 +343,7 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    chunks = stored_chunks(own.mapInArrow(_spaced, "doc_id long, text string"))
+    chunks = stored_chunks(own, spell=_spaced)
     parts = max(1, -(-chunks.count() * STEP_BYTES // BUCKET_BYTES))  # a row is a step
     shared = stored(dealt(chunks.mapInArrow(_ask_grams(parts, length), ROW)).mapInArrow(_answer_grams(hot), ROW), "shared")
     whole = chunks.unionByName(shared)

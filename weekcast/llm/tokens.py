@@ -9,6 +9,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 
+from weekcast.llm.common import spread
+
 #: Characters for which the plain patterns below split exactly as the tokenizers library does: ASCII without
 #: control characters, and the letters of Latin-1. A text with any other character is encoded whole.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -42,12 +44,6 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions starts[i] .. starts[i] + lengths[i] - 1 for every i, end to end."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 def word_ids(model, word: str) -> list[int]:
     """The merges' result for one word that the split rule has cut and the normaliser has seen."""
     return [token.id for token in model.tokenize(word.encode().decode("latin-1").translate(LETTER_OF))]
