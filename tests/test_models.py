@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from weekcast.config import CORRECTED, REFERENCE
-from weekcast.plans.models import assemble, estimator, evaluate, fit_predict, linear_fit_coefficients
+from weekcast.plans.models import NESTED, assemble, estimator, evaluate, fit_predict, linear_fit_coefficients, staged_predictions
 from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
 from weekcast.plans.select import NOT_FEATURES, candidate_columns, selected
 from weekcast.constants import PARAM_GRIDS
-from weekcast.plans.tune import best_params, cv_summary, param_grid, rolling_cv
+from weekcast.plans.tune import best_params, cv_summary, families, param_grid, rolling_cv
 from weekcast.queries import panel
 
 
@@ -276,3 +276,46 @@ def test_reference_comparison_path(spark):
     assert set(rows) == {"SMA", "Decision Tree"} and all(0 <= v <= 200 for v in rows.values())
     cv = runs[0].cv.collect()
     assert len(cv) == 2 and all(r["n_train"] < r["n_test"] for r in cv)   # the fixed origin trains on n % 10 rows
+
+
+# -- nested fits ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("name", "grid"), [
+    ("gbt", {"MaxIter": ["1", "3", "6"], "MaxBins": ["20"], "MaxDepth": ["2", "4"]}),
+    ("dt", {"MaxDepth": ["0", "1", "3", "9"], "MaxBins": ["20", "25"]}),
+    ("rf", {"NumTrees": ["2", "3"], "MaxBins": ["20"]}),
+])
+@pytest.mark.parametrize("metric", ["rmse", "mae"])
+def test_nested_fits_score_like_separate_fits(spark, name, grid, metric):
+    data = prepare_horizon(panel(spark, SF_SMALL), 1, (), CORRECTED, feature_cols=["diff_sales", "lag_1week", "month", "day", "std_4weeks"])
+    scores = {nested: [tuple(r) for r in rolling_cv(data.train, data.features, name, grid, 2, 5, (), CORRECTED, metric, nested=nested).collect()]
+              for nested in (True, False)}
+    assert len(scores[True]) == 2 * len(param_grid(grid))
+    for a, b in zip(scores[True], scores[False]):
+        assert a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], rel=1e-12)
+
+
+def test_families_share_all_but_the_nested_key():
+    sets = param_grid(PARAM_GRIDS["gbt"])
+    groups = families("gbt", sets)
+    assert len(groups) == 9 and sorted(ix for g in groups for ix in g) == list(range(27))
+    assert all(sets[g[0]]["MaxIter"] == "10" and len({(sets[ix]["MaxBins"], sets[ix]["MaxDepth"]) for ix in g}) == 1 for g in groups)
+    assert [len(g) for g in families("dt", param_grid(PARAM_GRIDS["dt"]))] == [3, 3, 3]
+    assert families("lr", [{"a": 1}, {"a": 2}]) == [[0], [1]]
+    assert families("dt", [{"MaxBins": "20"}, {"MaxDepth": "2", "MaxBins": "20"}, {"MaxDepth": "9", "MaxBins": "20"}]) == [[0], [2, 1]]
+
+
+@pytest.mark.parametrize("name", ["gbt", "dt"])
+def test_staged_predictions_equal_models_of_that_size(h1, name):
+    key, most = NESTED[name], 6
+    base = {"MaxIter": most, "MaxBins": "20", "MaxDepth": 4 if name == "gbt" else most}
+    train = assemble(h1.train.where(F.col("label").isNotNull()), h1.features)
+    test = assemble(h1.test, h1.features)
+    staged = staged_predictions(estimator(name, base).fit(train), test, name, [1, 2, most])
+    assert {"stage_1", "stage_2", f"stage_{most}"} <= set(staged.columns) and not {"_leaf", "_cut"} & set(staged.columns)
+    for s in (1, 2, most):
+        alone = estimator(name, {**base, key: s}).fit(train).transform(test)
+        want = {r.date: r.prediction for r in alone.select("date", "prediction").collect()}
+        for r in staged.select("date", f"stage_{s}").collect():
+            assert r[1] == pytest.approx(want[r.date], rel=1e-12)

@@ -225,3 +225,38 @@ def test_null_series_keys_meet_their_own_rows(spark):
     got = {r["k"]: (r["prediction"], r["label"], r["level"]) for r in retrend_by_join(pred, levels, ["k"]).collect()}
     assert got == {None: (11.0, 12.0, 10.0), "a": (23.0, 24.0, 20.0)}
     assert left_by_key(pred, levels, ["k", "date"]).columns == ["k", "date", "prediction", "label", "level"]
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 40, 10**9])
+def test_spread_merge_equals_the_plain_one(spark, rows_per_task):
+    from weekcast.operators.panel import merge_tables
+
+    sales = spark.createDataFrame([(1 if i % 3 else None if i % 2 else i, "R" if i % 5 else None, float(i)) for i in range(300)], "store long, flag string, weekly_sales double").withColumn("date", F.lit(dt.date(2020, 1, 6)))
+    feats = sales.where("store is not null").groupBy("store", "date", "flag").agg(F.avg("weekly_sales").alias("temp"))
+    stores = spark.createDataFrame([(1, "a"), (6, "b"), (6, "c"), (None, "d")], "store long, type string")
+    plain, spread = merge_tables(sales, feats, stores), merge_tables(sales, feats, stores, rows_per_task=rows_per_task)
+    assert plain.columns == spread.columns
+    assert sorted(map(str, plain.collect())) == sorted(map(str, spread.collect()))
+
+
+def test_a_key_with_a_third_of_the_rows_is_split_over_tasks(spark):
+    """Without AQE, no task of the spread join gets much more than its share; the plain join puts the hot key in one."""
+    from weekcast.operators.panel import merge_tables
+
+    sales = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("store"), F.lit(dt.date(2020, 1, 6)).alias("date"), F.lit("R").alias("flag"), F.lit(1.0).alias("weekly_sales"))
+    feats = sales.select("store", "date", "flag").distinct().withColumn("temp", F.lit(2.0))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(held, ("false", "-1", "16")):
+            spark.conf.set(k, v)
+
+        def most(df):
+            sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+            assert sum(sizes) == 30000
+            return max(sizes)
+
+        assert most(merge_tables(sales, feats)) > 10000
+        assert most(merge_tables(sales, feats, rows_per_task=500)) < 30000 / 16 * 2
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)

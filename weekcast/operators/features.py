@@ -65,7 +65,8 @@ def seasonal_diff(
     date: str = "date",
 ) -> DataFrame:
     """Adds ``lag_1year`` (the value one season back), drops warm-up rows, adds ``diff_sales``. In
-    ``index`` mode the row position ``_ix`` is kept for the warm-up steps that follow.
+    ``index`` mode the row position ``_ix`` is kept for the warm-up steps that follow; a panel that brings its own
+    ``_ix`` (a part of a series, see ``ranges``) keeps it.
 
     With ``h`` given, also adds ``level``: the seasonal level to add back to a forecast made h rows
     ahead. ``level_at="origin"`` takes this row's level (the original); ``"target"`` takes the level of
@@ -75,7 +76,7 @@ def seasonal_diff(
     season = preset.season
     positive = _positive(preset)
     cols = {"lag_1year": F.lag(target, season, 0).over(w) if positive else F.lag(target, season).over(w)}
-    if not positive:
+    if not positive and "_ix" not in panel.columns:
         cols["_ix"] = F.row_number().over(w)
     if h is not None and preset.level_at == "target":
         if h >= season:

@@ -17,7 +17,8 @@ Plan shape of ``weekly_panel`` for a 100 TB fact table:
    exchange on the series keys, which the per-series windows downstream reuse (one shuffle, not two).
    Coarser keys (e.g. nation) keep the partial aggregate before their exchange instead.
 
-``merge_tables`` keeps raw rows by definition: its exchange carries them whole, and AQE splits a hot key.
+``merge_tables`` keeps raw rows by definition: its exchange carries them whole. With ``rows_per_task`` the rows of
+a heavy key are split by a salt against copies of the key's right-side row; without, AQE splits a hot key.
 """
 
 from __future__ import annotations
@@ -29,12 +30,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.functions.columns import holiday_flag
+from weekcast.operators.evaluate import left_by_key
+from weekcast.session import materialize
 from weekcast.sources.tables import single_row
 
 JOIN_KEYS = ("store", "date", "flag")
 DIM_KEY = "store"
 #: significant digits of a covariate mean: the noise of the order in which partial sums meet is far below
 SIGNIFICANT = 12
+#: at most so many keys count as heavy
+HEAVY_KEYS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows_per_task: int, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
+    """Left join on ``on`` in which no key brings more than about ``rows_per_task`` left rows to one task.
+
+    A count finds the heavy keys, those with more rows than ``rows_per_task`` and than a ``heavy_keys``-th of all
+    rows; there are fewer than ``heavy_keys`` of them, so they may be told to all tasks. Their left rows get a
+    salt each, and their right rows are copied once for each salt. Left rows with a null in the key match nothing,
+    but are salted alike."""
+    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialize(counts)
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    limit = max(int(rows_per_task), -(-total // heavy_keys))
+    heavy = F.broadcast(counts.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast(T.IntegerType()).alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = left_by_key(left, heavy, on).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast(T.IntegerType())).drop("_salts")
+    copies = left_by_key(right, heavy, on).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
 
 
 def merge_tables(
@@ -43,14 +66,19 @@ def merge_tables(
     stores: DataFrame | None = None,
     join_keys: Sequence[str] = JOIN_KEYS,
     dim_key: str = DIM_KEY,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Row-level merge: sales LEFT JOIN features on the three keys, LEFT JOIN stores on the store key.
-    Key columns are merged (``USING`` semantics), as in the original."""
+    Key columns are merged (``USING`` semantics), as in the original. With ``rows_per_task`` heavy keys are
+    spread over tasks (``spread_join``); the rows are the same."""
+    def join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+        return left.join(right, list(on), "left") if rows_per_task is None else spread_join(left, right, on, rows_per_task)
+
     merged = sales
     if features is not None:
-        merged = merged.join(features, list(join_keys), "left")
+        merged = join(merged, features, join_keys)
     if stores is not None:
-        merged = merged.join(stores, [dim_key], "left")
+        merged = join(merged, stores, [dim_key])
     return merged
 
 

@@ -48,6 +48,11 @@ def split_frame(
     w = series_window(keys, date)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumns({"row_ix": F.row_number().over(w).cast(T.LongType()), "n_rows": F.count(F.lit(1)).over(whole)})
+    return with_roles(df, pct, gap, preset)
+
+
+def with_roles(df: DataFrame, pct: float, gap: int, preset: Preset) -> DataFrame:
+    """Adds ``cut`` and ``role`` to rows that know their position ``row_ix`` of ``n_rows``."""
     df = df.withColumn("cut", split_size(F.col("n_rows"), pct, preset.exact_split))
     role = (
         F.when(F.col("row_ix") <= F.col("cut") - F.lit(gap), F.lit(TRAIN))

@@ -10,6 +10,10 @@ from weekcast.constants import CV_FIXED_MODULUS, CV_FOLDS, N_LAGS, SEASON, SPLIT
 from weekcast.hygiene import sql_round
 
 
+#: the dates of the features_between queries
+BETWEEN = ("1998-06-01", "1999-05-31")
+
+
 def _gap(h: int) -> int:
     """Purge gap: the oldest lag plus the lead."""
     return (h + N_LAGS - 1) + h
@@ -371,6 +375,146 @@ def stump_importance_sql(only_selected: bool) -> str:
     return _with(*_stump_ctes(("month", "day"))) + f"SELECT position, feature, {_r('importance')} FROM ({body}){where}"
 
 
+def _tree_ctes(tag: str, rows: str, y: str, columns: tuple[str, ...], depth: int) -> list[str]:
+    """A least-squares tree of ``y`` on the columns, grown level by level on the train rows of ``rows``.
+
+    At each level every node tries all its thresholds by prefix sums over its sorted values. A threshold lies half
+    way between a value of the node and the next value that any train row has, so of thresholds that split a node
+    alike only the least is tried. Nodes are numbered like a heap; one without a gain stays a leaf. Gives
+    ``{tag}_p``, all rows with the node's mean as ``prediction``, and ``{tag}_g``, the gain of every split."""
+    known = f"role = 'train' AND {y} IS NOT NULL"
+    ctes = [f"{tag}_v{i} AS (SELECT x, LEAD(x) OVER (ORDER BY x) AS next_x FROM (SELECT DISTINCT CAST({c} AS DOUBLE) AS x "
+            f"FROM {rows} WHERE {known}))" for i, c in enumerate(columns)]
+    ctes.append(f"{tag}_n0 AS (SELECT *, 1 AS node FROM {rows})")
+    value = "CASE s.feature " + " ".join(f"WHEN '{c}' THEN n.{c}" for c in columns) + " END"
+    for d in range(1, depth + 1):
+        parts = [
+            f"SELECT node, '{c}' AS feature, {i} AS fpos, (x + next_x) / 2.0 AS threshold, "
+            "sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM (SELECT t.node, t.x, v.next_x, "
+            "SUM(cnt) OVER (PARTITION BY node ORDER BY t.x) AS nl, SUM(sy) OVER (PARTITION BY node ORDER BY t.x) AS sl, "
+            "SUM(cnt) OVER (PARTITION BY node) AS n, SUM(sy) OVER (PARTITION BY node) AS s FROM "
+            f"(SELECT node, CAST({c} AS DOUBLE) AS x, COUNT(*) AS cnt, SUM({y}) AS sy FROM {tag}_n{d - 1} WHERE {known} "
+            f"GROUP BY node, {c}) t JOIN {tag}_v{i} v ON v.x = t.x) WHERE nl < n" for i, c in enumerate(columns)]
+        ctes.append(f"{tag}_s{d} AS (SELECT node, feature, threshold, gain FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY node "
+                    f"ORDER BY gain DESC, fpos, threshold) AS r FROM ({' UNION ALL '.join(parts)}) WHERE gain > 0) WHERE r = 1)")
+        ctes.append(f"{tag}_n{d} AS (SELECT n.* EXCLUDE (node), CASE WHEN s.node IS NULL THEN n.node WHEN {value} <= s.threshold "
+                    f"THEN 2 * n.node ELSE 2 * n.node + 1 END AS node FROM {tag}_n{d - 1} n LEFT JOIN {tag}_s{d} s ON s.node = n.node)")
+    ctes.append(f"{tag}_m AS (SELECT node, AVG({y}) AS mean FROM {tag}_n{depth} WHERE {known} GROUP BY node)")
+    ctes.append(f"{tag}_p AS (SELECT n.* EXCLUDE (node), m.mean AS prediction FROM {tag}_n{depth} n JOIN {tag}_m m ON m.node = n.node)")
+    ctes.append(f"{tag}_g AS ({' UNION ALL '.join(f'SELECT feature, gain FROM {tag}_s{d}' for d in range(1, depth + 1))})")
+    return ctes
+
+
+TREE_COLUMNS = ("month", "day")
+
+
+def _tree_rows() -> list[str]:
+    return [*_feature_ctes("fx", 1, False), *_split_ctes("sp", "fx_f", _gap(1), True)]
+
+
+def tree_sql(depth: int) -> str:
+    """Forecasts of the test rows by one tree (or a forest of equal trees)."""
+    return _with(*_tree_rows(), *_tree_ctes("t", "sp", "label", TREE_COLUMNS, depth)) + (
+        f"SELECT date, month, day, {_r('prediction')} FROM t_p WHERE role = 'test'")
+
+
+def _boost_ctes(tag: str, rows: str, depth: int) -> list[str]:
+    """Two boosting iterations: the second tree fits twice what the first leaves and counts a tenth; forecasts after one
+    and after both iterations as ``p1`` and ``p2`` in ``{tag}_b``."""
+    return [
+        *_tree_ctes(f"{tag}1", rows, "label", TREE_COLUMNS, depth),
+        f"{tag}_r AS (SELECT * EXCLUDE (prediction), prediction AS p1, 2 * (label - prediction) AS rest FROM {tag}1_p)",
+        *_tree_ctes(f"{tag}2", f"{tag}_r", "rest", TREE_COLUMNS, depth),
+        f"{tag}_b AS (SELECT *, p1 + 0.1 * prediction AS p2 FROM {tag}2_p)",
+    ]
+
+
+def gbt_sql(depth: int) -> str:
+    return _with(*_tree_rows(), *_boost_ctes("b", "sp", depth), "pr AS (SELECT date, month, day, p2 AS prediction FROM b_b "
+                 "WHERE role = 'test')") + f"SELECT date, month, day, {_r('prediction')} FROM pr"
+
+
+def tree_importance_sql(depth: int) -> str:
+    """Each column's share of the gains of all splits."""
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(TREE_COLUMNS))
+    body = (f"SELECT CAST(f.position AS INTEGER) AS position, f.feature, COALESCE(SUM(gain), 0) / (SELECT SUM(gain) FROM t_g) AS importance "
+            f"FROM ({rows}) f LEFT JOIN t_g ON t_g.feature = f.feature GROUP BY f.position, f.feature")
+    return _with(*_tree_rows(), *_tree_ctes("t", "sp", "label", TREE_COLUMNS, depth)) + (
+        f"SELECT position, feature, {_r('importance')} FROM ({body})")
+
+
+def _fold_rows() -> list[str]:
+    """The purged training rows once for each fold they take part in, as ``f1`` and ``f2``."""
+    gap = _gap(1)
+    ctes = [*_tree_rows(), "tr AS (SELECT * EXCLUDE (role, row_ix, n_rows, cut), ROW_NUMBER() OVER (ORDER BY date) AS ix, COUNT(*) OVER () AS n FROM sp "
+            "WHERE role = 'train' AND label IS NOT NULL)"]
+    for fold in range(1, CV_FOLDS + 1):
+        ctes.append(
+            f"f{fold} AS (SELECT * FROM (SELECT *, CASE WHEN ix <= FLOOR({fold} * n / {CV_FOLDS + 1}) - {gap} THEN 'train' "
+            f"WHEN ix > FLOOR({fold} * n / {CV_FOLDS + 1}) AND ix <= FLOOR({fold + 1} * n / {CV_FOLDS + 1}) THEN 'test' END AS role "
+            "FROM tr) WHERE role IS NOT NULL)")
+    return ctes
+
+
+def _fold_score(rows: str, prediction: str, fold: int, param_ix: int, name: str) -> str:
+    return (f"SELECT '{name}' AS model, CAST({param_ix} AS INTEGER) AS param_ix, CAST({fold} AS INTEGER) AS fold, "
+            f"(SELECT COUNT(*) FROM f{fold} WHERE role = 'train') AS n_train, COUNT(*) AS n_test, 'rmse' AS metric, "
+            f"SQRT(AVG(POW({prediction} - label, 2))) AS score FROM {rows} WHERE role = 'test'")
+
+
+def cv_tree_sql(depths: tuple[int, ...]) -> str:
+    """CV scores of trees of several depths."""
+    ctes, parts = _fold_rows(), []
+    for fold in range(1, CV_FOLDS + 1):
+        for ix, depth in enumerate(depths):
+            ctes += _tree_ctes(f"t{fold}{ix}", f"f{fold}", "label", TREE_COLUMNS, depth)
+            parts.append(_fold_score(f"t{fold}{ix}_p", "prediction", fold, ix, "dt"))
+    return _with(*ctes) + f"SELECT model, param_ix, fold, n_train, n_test, metric, {_r('score')} FROM ({' UNION ALL '.join(parts)})"
+
+
+def cv_boost_sql(depth: int) -> str:
+    """CV scores of one and of two boosting iterations."""
+    ctes, parts = _fold_rows(), []
+    for fold in range(1, CV_FOLDS + 1):
+        ctes += _boost_ctes(f"b{fold}", f"f{fold}", depth)
+        parts += [_fold_score(f"b{fold}_b", p, fold, ix, "gbt") for ix, p in enumerate(("p1", "p2"))]
+    return _with(*ctes) + f"SELECT model, param_ix, fold, n_train, n_test, metric, {_r('score')} FROM ({' UNION ALL '.join(parts)})"
+
+
+def ts_split_raw_sql() -> str:
+    order = "date, store, dept, flag, weekly_sales"
+    return _with(
+        f"pos AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {order}) AS row_ix, COUNT(*) OVER () AS n_rows FROM sales)",
+        f"cut AS (SELECT *, CAST(CEIL(n_rows * {SPLIT_PCT}) AS BIGINT) AS cut FROM pos)") + (
+        f"SELECT date, store, dept, flag, {_r('weekly_sales')}, row_ix, n_rows, cut, CASE WHEN row_ix <= cut THEN 'train' ELSE 'test' END AS role FROM cut")
+
+
+def sma_ranges_sql(window: int) -> str:
+    return _with(f"s AS (SELECT date, total_sales, AVG(total_sales) OVER (ORDER BY date ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING) "
+                 "AS sma FROM panel)") + f"SELECT date, {_r('total_sales', 'sma')} FROM s"
+
+
+def features_between_sql(start: str, end: str, keys: tuple[str, ...] = ()) -> str:
+    """Everything is built, then the dates are picked."""
+    src = PANEL_OF[keys]
+    return _with(*_feature_ctes("fx", 1, False, src, keys)) + (
+        f"SELECT {_feature_select(1, keys, True)} FROM fx_f WHERE date BETWEEN DATE '{start}' AND DATE '{end}'")
+
+
+def period_lags_sql() -> str:
+    """Lags by date arithmetic: a week without a row gives a null."""
+    back = lambda name, k: f"LEFT JOIN {name} b{k} ON b{k}.store IS NOT DISTINCT FROM a.store AND b{k}.date = a.date - INTERVAL {7 * k} DAY"
+    ks = range(1, 1 + N_LAGS)
+    joins = " ".join(back("pd", k) for k in ks)
+    lags = ", ".join(f"b{k}.diff_sales AS lag_{_suffix(k)}" for k in ks)
+    return _with(
+        f"pl AS (SELECT a.store, a.date, a.total_sales, b{SEASON}.total_sales AS lag_1year FROM panel_s a {back('panel_s', SEASON)})",
+        "pd AS (SELECT *, total_sales - lag_1year AS diff_sales FROM pl)",
+        f"pa AS (SELECT a.*, {lags}, f.diff_sales AS label FROM pd a {joins} LEFT JOIN pd f ON f.store IS NOT DISTINCT FROM a.store "
+        "AND f.date = a.date + INTERVAL 7 DAY)") + (
+        f"SELECT store, date, {_r('total_sales', 'lag_1year', 'diff_sales', *[f'lag_{_suffix(k)}' for k in ks], 'label')} FROM pa")
+
+
 def _ridge_cv_ctes() -> list[str]:
     """Test error of each (regularisation, fold) over the purged training rows, in ``scores``."""
     gap, x = _gap(1), "lag_1week"
@@ -535,6 +679,21 @@ ORACLE: dict[str, str] = {
     "predict_rf_stump": stump_sql(),
     "feature_importance_stump": stump_importance_sql(False),
     "feature_selection_stump": stump_importance_sql(True),
+    "predict_dt_depth2": tree_sql(2),
+    "predict_rf_two": tree_sql(2),
+    "predict_gbt_two": gbt_sql(1),
+    "predict_gbt_two_depth2": gbt_sql(2),
+    "feature_importance_depth2": tree_importance_sql(2),
+    "cv_results_dt_nested": cv_tree_sql((1, 2)),
+    "cv_results_gbt_nested": cv_boost_sql(1),
+    "features_h1_by_ranges": features_sql(1, False, level=True),
+    "sma_by_ranges": sma_ranges_sql(3),
+    "ts_split_raw": ts_split_raw_sql(),
+    "features_between": features_between_sql(*BETWEEN),
+    "features_between_by_store": features_between_sql(*BETWEEN, ("store",)),
+    "features_by_period": period_lags_sql(),
+    "merge_left_dimension_spread": _with() + (
+        f"SELECT store, dept, flag, date, nation, {_r('weekly_sales', 'temp', 'cpi', 'acctbal')} FROM merged_dim"),
     "cv_results_ridge": cv_results_ridge_sql(),
     "best_params_ridge": best_params_ridge_sql(),
     "model_run_ridge": model_run_ridge_sql(),

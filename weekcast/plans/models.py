@@ -73,6 +73,52 @@ def fit_predict(
     return model.transform(assemble(test, feature_cols)).select(*keep, "prediction")
 
 
+#: the grid key along which one fit holds the models of all its smaller values
+NESTED = {"gbt": "MaxIter", "dt": "MaxDepth"}
+
+
+def _levels(root, depths: Sequence[int]) -> list[list[float]]:
+    """For each depth, what a tree cut there predicts at each of its leaves, left to right."""
+    out = [[] for _ in depths]
+    stack = [(root, [])]
+    while stack:
+        node, above = stack.pop()
+        path = [*above, float(node.prediction())]
+        if node.getClass().getSimpleName() == "LeafNode":
+            for values, depth in zip(out, depths):
+                values.append(path[min(depth, len(path) - 1)])
+        else:
+            stack += [(node.rightChild(), path), (node.leftChild(), path)]
+    return out
+
+
+def staged_predictions(model, frame: DataFrame, name: str, stages: Sequence[int]) -> DataFrame:
+    """``frame`` with a column ``stage_<s>`` for each of ``stages``: what a model fitted with that many boosting
+    iterations (``gbt``) or that depth (``dt``) predicts, read off one fitted with at least as many.
+
+    Boosting adds a tree to those before it, so its first trees are the shorter model. A split depends on the rows
+    of its node alone, so a tree cut at a depth predicts what its nodes there hold; the model has at most 2^depth
+    leaves, whose ancestors' predictions come from the driver's copy of the tree."""
+    if name == "gbt":
+        trees, weights = model.trees[: max(stages)], model.treeWeights
+        named = {f"_tree_{i}": tree.setPredictionCol(f"_tree_{i}").setFeaturesCol(model.getFeaturesCol()) for i, tree in enumerate(trees)}
+        out = frame
+        for tree in named.values():
+            out = tree.transform(out)
+        total, sums = F.lit(0.0), {}
+        for i, c in enumerate(named):
+            total = total + F.col(c) * F.lit(float(weights[i]))
+            sums[i + 1] = total
+        return out.withColumns({f"stage_{s}": sums[s] for s in stages}).drop(*named)
+    if name == "dt":
+        leaf = model.copy().setLeafCol("_leaf").setPredictionCol("_cut").transform(frame)
+        at = F.col("_leaf").cast("int") + 1
+        levels = _levels(model._call_java("rootNode"), stages)
+        return leaf.withColumns({f"stage_{s}": F.element_at(F.array(*map(F.lit, values)), at)
+                                 for s, values in zip(stages, levels)}).drop("_leaf", "_cut")
+    raise ValueError(f"fits of {name!r} are not nested")
+
+
 def evaluate(pred: DataFrame, metric: str = "rmse") -> float:
     """One metric over rows with a label (I16); a single aggregate job."""
     scored = pred.where(F.col("label").isNotNull())

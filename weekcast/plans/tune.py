@@ -2,9 +2,10 @@
 
 ``pyspark.ml.tuning.CrossValidator`` trains every fold on all other folds, later rows included, so it
 leaks the future; ``TrainValidationSplit`` splits at random. The folds here come from
-``rolling_folds`` (train always precedes test) and every (parameter set, fold) fit is an ordinary
-MLlib job. The fold frame is assembled and evaluated once, and parameter sets are submitted from a driver
-thread pool, whose size is the one bound on fits in flight.
+``rolling_folds`` (train always precedes test) and every fit is an ordinary MLlib job. Sets that differ only in
+the boosting iterations or in a tree's depth share one fit, that of the largest value: its first trees, or the
+tree cut at the smaller depth, are the other models. The fold frame is assembled and evaluated once, and fits
+are submitted from a driver thread pool, whose size is the one bound on fits in flight.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
 from weekcast.operators.split import TEST, TRAIN, rolling_folds
-from weekcast.plans.models import assemble, estimator, evaluate
+from weekcast.plans.models import NESTED, assemble, estimator, evaluate, staged_predictions
 from weekcast.constants import CV_FOLDS
 from weekcast.session import materialize, release
 
@@ -43,6 +44,17 @@ def param_grid(grid: Mapping[str, Sequence[object]]) -> list[dict[str, object]]:
     return [dict(zip(names, combo)) for combo in itertools.product(*(grid[n] for n in names))]
 
 
+def families(name: str, sets: Sequence[Mapping[str, object]]) -> list[list[int]]:
+    """Indexes of the parameter sets that one fit can answer: equal but for the model's nested key, that of the
+    largest value first. Sets without that key, and models without one, stand alone."""
+    key, groups = NESTED.get(name), {}
+    for ix, params in enumerate(sets):
+        alone = key not in params
+        rest = (ix,) if alone else tuple(sorted((k, str(v)) for k, v in params.items() if k != key))
+        groups.setdefault((alone, rest), []).append(ix)
+    return [sorted(g, key=lambda ix: -int(sets[ix][key]) if key in sets[ix] else 0) for g in groups.values()]
+
+
 def in_parallel(run, tasks: Sequence, parallelism: int) -> list:
     """``[run(t) for t in tasks]`` from a pool of driver threads that keep the caller's job group and
     scheduler pool."""
@@ -61,15 +73,19 @@ def rolling_cv(
     preset: Preset = CORRECTED,
     metric: str = "rmse",
     parallelism: int = 8,
+    nested: bool = True,
 ) -> DataFrame:
     """One row per (parameter set, fold): sizes and the metric on the fold's test rows.
 
     ``gap`` rows between each fold's train and test (expanding origin only). Raises if a fold has no
-    training rows (the original's fixed origin does when the row count is a multiple of 10).
+    training rows (the original's fixed origin does when the row count is a multiple of 10). ``nested=False``
+    fits every set on its own; the scores are the same.
     """
     sets = param_grid(grid) if isinstance(grid, Mapping) else [dict(p) for p in grid]
+    groups = families(name, sets) if nested else [[ix] for ix in range(len(sets))]
     assignments = rolling_folds(train.where(F.col("label").isNotNull()), folds, gap, keys, preset)
     fold_frame = materialize(assemble(assignments, feature_cols))
+    parts: dict[tuple[int, str], DataFrame] = {}
     try:
         sizes = {(r["fold"], r["role"]): r["n"] for r in
                  fold_frame.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -78,20 +94,29 @@ def rolling_cv(
                 raise ValueError(f"fold {f} has no training rows")
             if not sizes.get((f, TEST)):
                 raise ValueError(f"fold {f} has no test rows")
+        # every fit of a fold reads its own rows, not the whole fold frame
+        parts = {(f, role): fold_frame.where((F.col("fold") == f) & (F.col("role") == role)).persist(StorageLevel.MEMORY_AND_DISK)
+                 for f in range(1, folds + 1) for role in (TRAIN, TEST)}
 
         def run(task):
-            ix, params, f = task
-            part = fold_frame.where(F.col("fold") == f)
-            model = estimator(name, params, preset).fit(part.where(F.col("role") == TRAIN))
-            score = evaluate(model.transform(part.where(F.col("role") == TEST)), metric)
-            return (name, ix, json.dumps(params, sort_keys=True), f, sizes[(f, TRAIN)], sizes[(f, TEST)], metric,
-                    float(score))
-
-        tasks = [(ix, p, f) for ix, p in enumerate(sets) for f in range(1, folds + 1)]
-        rows = in_parallel(run, tasks, parallelism)
+            group, f = task
+            model = estimator(name, sets[group[0]], preset).fit(parts[f, TRAIN])
+            if len(group) == 1:
+                scored = {group[0]: model.transform(parts[f, TEST])}
+            else:
+                stages = {ix: int(sets[ix][NESTED[name]]) for ix in group}
+                staged = staged_predictions(model, parts[f, TEST], name, sorted(set(stages.values())))
+                scored = {ix: staged.withColumn("prediction", F.col(f"stage_{s}")) for ix, s in stages.items()}
+            return [(name, ix, json.dumps(sets[ix], sort_keys=True), f, sizes[(f, TRAIN)], sizes[(f, TEST)], metric,
+                     float(evaluate(pred, metric))) for ix, pred in scored.items()]
+
+        tasks = [(g, f) for g in groups for f in range(1, folds + 1)]
+        rows = [row for some in in_parallel(run, tasks, parallelism) for row in some]
     finally:
+        for part in parts.values():
+            part.unpersist()
         release(fold_frame)
-    return train.sparkSession.createDataFrame(rows, CV_SCHEMA)
+    return train.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r[1], r[3])), CV_SCHEMA)
 
 
 def cv_summary(cv_results: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ the driver's tables (mapping in ``weekcast.sources.fixtures``). Their SQL twins
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable
 from functools import reduce
@@ -16,6 +17,7 @@ from weekcast.config import CORRECTED, REFERENCE, Preset
 from weekcast.constants import CV_FOLDS, DATE_FORMAT, MISSING, PARAM_GRIDS, PINNED, SPLIT_PCT
 from weekcast.functions.columns import holiday_flag, parse_date
 from weekcast.hygiene import tidy
+from weekcast.operators.between import features_between
 from weekcast.operators.evaluate import retrend, retrend_by_join, rmse, sma_test_frame, smape
 from weekcast.operators.features import (
     build_features,
@@ -29,10 +31,12 @@ from weekcast.operators.features import (
     std_name,
 )
 from weekcast.operators.panel import fill_weeks, merge_tables, weekly_panel
+from weekcast.operators.period_lags import features_by_period
+from weekcast.operators.ranges import build_features_by_ranges, sma_by_ranges, split_by_ranges
 from weekcast.operators.split import TEST, TRAIN, fold_summary, purge_gap, rolling_folds, split_frame
 from weekcast.plans.models import fit_predict, linear_fit_coefficients
 from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
-from weekcast.plans.select import feature_importance, ranked, selected
+from weekcast.plans.select import candidate_columns, feature_importance, ranked, selected
 from weekcast.plans.tune import cv_summary, rolling_cv
 from weekcast.session import materialize
 from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, LINEITEM_SCHEMA, fixture_tables, week_start
@@ -50,9 +54,9 @@ def tables(spark: SparkSession, sf_dir: str, roles=("sales", "features", "stores
     return fixture_tables(spark, sf_dir, roles)
 
 
-def panel(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = (), weeks: tuple[dt.date, dt.date] | None = None) -> DataFrame:
     needs_dim = any(k not in ("store", "dept", "date", "flag") for k in keys)
-    t = tables(spark, sf_dir, ("sales", "features", "stores") if needs_dim else ("sales", "features"))
+    t = fixture_tables(spark, sf_dir, ("sales", "features", "stores") if needs_dim else ("sales", "features"), weeks)
     return weekly_panel(
         t["sales"], t["features"], t.get("stores"), keys=keys, covariates=COVARIATES,
         holiday_values=HOLIDAY_FLAGS, normalize_flag=False,
@@ -103,6 +107,12 @@ def q_merge_left_dimension(spark, sf_dir):
     return tidy(merge_tables(t["sales"], t["features"], t["stores"]))
 
 
+def q_merge_left_dimension_spread(spark, sf_dir):
+    """The same rows with heavy keys split by a salt: here every store with more than 100 rows."""
+    t = tables(spark, sf_dir)
+    return tidy(merge_tables(t["sales"], t["features"], t["stores"], rows_per_task=100))
+
+
 def q_flag_encode(spark, sf_dir):
     s = tables(spark, sf_dir, ("sales",))["sales"]
     return s.select("store", "dept", "date", "flag", holiday_flag("flag", HOLIDAY_FLAGS, False).alias("is_holiday"))
@@ -237,6 +247,35 @@ def _features_query(h: int, preset: Preset, keys: tuple[str, ...] = (), level: b
     return q
 
 
+def q_features_h1_by_ranges(spark, sf_dir):
+    """The corrected 1-week features of the one series, windows by ranges of 128 rows."""
+    f = build_features_by_ranges(panel(spark, sf_dir), 1, CORRECTED, rows=128)
+    return tidy(f.select(*feature_columns(1), "level"))
+
+
+def q_sma_by_ranges(spark, sf_dir):
+    return tidy(sma_by_ranges(panel(spark, sf_dir), 3, rows=100).select("date", "total_sales", "sma"))
+
+
+#: dates of the range queries, both included
+BETWEEN = (dt.date(1998, 6, 1), dt.date(1999, 5, 31))
+
+
+def _between_query(keys: tuple[str, ...] = ()) -> Query:
+    """Features of one year of target weeks, from the weeks that they need."""
+    def q(spark, sf_dir):
+        calendar = tables(spark, sf_dir, ("sales",))["sales"].select(*keys, "date").distinct()
+        f = features_between(calendar, lambda lo, hi: panel(spark, sf_dir, keys, (lo, hi)), BETWEEN, 1, keys, CORRECTED)
+        return tidy(f.select(*feature_columns(1, keys), "level"))
+    return q
+
+
+def q_features_by_period(spark, sf_dir):
+    """Per-supplier lags by calendar without filling weeks: a missing week gives a null."""
+    f = features_by_period(panel(spark, sf_dir, ("store",)), 1, ("store",), CORRECTED)
+    return tidy(f.select("store", "date", "total_sales", "lag_1year", "diff_sales", *[lag_name(k) for k in range(1, 5)], "label"))
+
+
 # -- split, gap, folds ---------------------------------------------------------------------------------
 
 def _split_query(h: int, role: str, gap: bool) -> Query:
@@ -247,6 +286,13 @@ def _split_query(h: int, role: str, gap: bool) -> Query:
     return q
 
 
+def q_ts_split_raw(spark, sf_dir):
+    """80/20 split of the raw sales rows in time order, without a window over all of them."""
+    order = ("date", "store", "dept", "flag", "weekly_sales")
+    s = split_by_ranges(tables(spark, sf_dir, ("sales",))["sales"], SPLIT_PCT, 0, order, CORRECTED)
+    return tidy(s.select(*order, "row_ix", "n_rows", "cut", "role"))
+
+
 def _folds_query(preset: Preset) -> Query:
     """Fold summary of the rolling CV over the purged 1-week training rows."""
     def q(spark, sf_dir):
@@ -366,15 +412,19 @@ def q_feature_selection(spark, sf_dir):
     return tidy(selected(_horizon(spark, sf_dir, 1, REFERENCE).importance))
 
 
-def _cv(spark, sf_dir, name: str = "dt"):
-    data = _horizon(spark, sf_dir, 1, REFERENCE)
-    return rolling_cv(data.train, data.features, name, PARAM_GRIDS[name], CV_FOLDS, purge_gap(1), (), REFERENCE)
+def _cv(spark, sf_dir, name: str = "dt", preset: Preset = REFERENCE):
+    data = _horizon(spark, sf_dir, 1, preset)
+    try:
+        return rolling_cv(data.train, data.features, name, PARAM_GRIDS[name], CV_FOLDS, purge_gap(1), (), preset)
+    finally:
+        data.release()
 
 
-def _cv_query(name: str) -> Query:
-    """Every (parameter set, fold) score of the model's whole grid."""
+def _cv_query(name: str, preset: Preset = REFERENCE) -> Query:
+    """Every (parameter set, fold) score of the model's whole grid. The reference's folds train on ``n % 10`` rows,
+    fewer than there are inputs; the corrected ones on a third and two thirds of the rows."""
     def q(spark, sf_dir):
-        return tidy(_cv(spark, sf_dir, name))
+        return tidy(_cv(spark, sf_dir, name, preset))
     return q
 
 
@@ -447,6 +497,42 @@ def _stump_query(name: str) -> Query:
     return q
 
 
+DEPTH2 = {
+    "dt": {"MaxDepth": "2", "MaxBins": "32"},
+    "rf": {"NumTrees": "2", "MaxDepth": 2, "Bootstrap": False, "FeatureSubsetStrategy": "all", "MaxBins": "32"},
+}
+
+
+def _tree_query(name: str, params: dict) -> Query:
+    """Deeper trees, more of them, and boosting on month and day: splits that SQL can search level by level."""
+    def q(spark, sf_dir):
+        data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
+        keep = ("date", *STUMP_FEATURES)
+        return tidy(fit_predict(data.train, data.test, STUMP_FEATURES, name, params, CORRECTED, keep=keep))
+    return q
+
+
+def _gbt_two(depth: int) -> dict:
+    return {"MaxIter": "2", "MaxDepth": str(depth), "MaxBins": "32"}
+
+
+def q_feature_importance_depth2(spark, sf_dir):
+    """Importance as summed gains over the candidate columns of a frame with two inputs."""
+    data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
+    inputs = candidate_columns(data.frame.select("date", "label", "level", "role", *STUMP_FEATURES))
+    return tidy(ranked(feature_importance(data.train, inputs, CORRECTED, DEPTH2["rf"])))
+
+
+def _nested_cv(name: str, grid: dict) -> Query:
+    """CV of a grid whose sets share one fit for each fold."""
+    def q(spark, sf_dir):
+        data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
+        cv = rolling_cv(data.train, data.features, name, grid, CV_FOLDS, purge_gap(1), (), CORRECTED)
+        data.release()
+        return tidy(cv.select("model", "param_ix", "fold", "n_train", "n_test", "metric", "score"))
+    return q
+
+
 def q_predict_lr_single(spark, sf_dir):
     """Ridge on one feature through the original's own estimator settings."""
     data = _simple_horizon(spark, sf_dir, [RIDGE_FEATURE])
@@ -572,6 +658,24 @@ REGISTRY: dict[str, Query] = {
     "predict_rf_stump": _stump_query("rf"),
     "feature_importance_stump": q_feature_importance_stump,
     "feature_selection_stump": q_feature_selection_stump,
+    "predict_dt_depth2": _tree_query("dt", DEPTH2["dt"]),
+    "predict_rf_two": _tree_query("rf", DEPTH2["rf"]),
+    "predict_gbt_two": _tree_query("gbt", _gbt_two(1)),
+    "predict_gbt_two_depth2": _tree_query("gbt", _gbt_two(2)),
+    "feature_importance_depth2": q_feature_importance_depth2,
+    "cv_results_dt_nested": _nested_cv("dt", {"MaxDepth": ["1", "2"], "MaxBins": ["32"]}),
+    "cv_results_gbt_nested": _nested_cv("gbt", {"MaxIter": ["1", "2"], "MaxDepth": ["1"], "MaxBins": ["32"]}),
+    "cv_results_lr_corrected": _cv_query("lr", CORRECTED),
+    "cv_results_rf_corrected": _cv_query("rf", CORRECTED),
+    "cv_results_dt_corrected": _cv_query("dt", CORRECTED),
+    "cv_results_gbt_corrected": _cv_query("gbt", CORRECTED),
+    "features_h1_by_ranges": q_features_h1_by_ranges,
+    "sma_by_ranges": q_sma_by_ranges,
+    "ts_split_raw": q_ts_split_raw,
+    "features_between": _between_query(),
+    "features_between_by_store": _between_query(("store",)),
+    "features_by_period": q_features_by_period,
+    "merge_left_dimension_spread": q_merge_left_dimension_spread,
     "cv_results_ridge": q_cv_results_ridge,
     "best_params_ridge": q_best_params_ridge,
     "model_run_ridge": q_model_run_ridge,

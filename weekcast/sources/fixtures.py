@@ -11,6 +11,8 @@ sales -> features join key, so that side of the join needs no second exchange.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,13 +82,22 @@ def stores_from_supplier(supplier: DataFrame) -> DataFrame:
 ROLES = ("sales", "features", "stores")
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str, roles=ROLES) -> dict[str, DataFrame]:
+def shipped_between(lineitem: DataFrame, first_week: dt.date, last_week: dt.date) -> DataFrame:
+    """Rows of the weeks from ``first_week`` to ``last_week`` (Mondays), as a range of the stored column, which
+    the scan can skip by."""
+    at = lambda d: F.expr(f"TIMESTAMP_NTZ '{d.isoformat()} 00:00:00'")
+    return lineitem.where((F.col("l_shipdate") >= at(first_week)) & (F.col("l_shipdate") < at(last_week + dt.timedelta(days=7))))
+
+
+def fixture_tables(spark: SparkSession, sf_dir: str, roles=ROLES, weeks: tuple[dt.date, dt.date] | None = None) -> dict[str, DataFrame]:
     """The requested roles (default all three) as lazy plans over the parquet files in ``sf_dir``; a
-    query that needs no dimension asks for no ``stores`` and never scans the supplier table."""
+    query that needs no dimension asks for no ``stores`` and never scans the supplier table. ``weeks`` limits
+    the facts to a range of weeks."""
     base = sf_dir.rstrip("/")
     out: dict[str, DataFrame] = {}
     if "sales" in roles or "features" in roles:
         lineitem = spark.read.schema(LINEITEM_SCHEMA).parquet(f"{base}/lineitem.parquet")
+        lineitem = shipped_between(lineitem, *weeks) if weeks else lineitem
         if "sales" in roles:
             out["sales"] = sales_from_lineitem(lineitem)
         if "features" in roles:
