@@ -105,7 +105,7 @@ class Words:
             inside[max(0, end - length + 1) : max(0, min(windows, end))] = False
         head = np.r_[True, (owner[1:] != owner[:-1]) | ~inside[:-1]] & inside
         first, last = np.flatnonzero(head), np.flatnonzero(inside & np.r_[head[1:] | ~inside[1:], True])
-        return first, last + 1, gram[owner[first]]
+        return first, last + 1, _mixed(gram[owner[first]] + BASE)  # a least key's own bits are small: mixed again to deal by
 
     def row_of(self, word: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.row, word, "right") - 1
