@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 from weekcast.config import CORRECTED, REFERENCE
 from weekcast.plans.models import NESTED, assemble, estimator, evaluate, fit_predict, linear_fit_coefficients, staged_predictions
 from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
@@ -319,3 +319,91 @@ def test_staged_predictions_equal_models_of_that_size(h1, name):
         want = {r.date: r.prediction for r in alone.select("date", "prediction").collect()}
         for r in staged.select("date", f"stage_{s}").collect():
             assert r[1] == pytest.approx(want[r.date], rel=1e-12)
+
+
+# -- elastic net ---------------------------------------------------------------------------------------------
+
+
+def _coordinate_descent(gram, cross, l1, l2, sweeps):
+    import numpy as np
+
+    b = np.linalg.solve(gram + l2 * np.eye(len(cross)), cross)
+    for _ in range(sweeps):
+        for j in range(len(cross)):
+            r = cross[j] - gram[j] @ b + gram[j, j] * b[j]
+            b[j] = np.sign(r) * max(abs(r) - l1, 0.0) / (gram[j, j] + l2)
+    return b
+
+
+@pytest.mark.parametrize("fold", [1, 2])
+def test_elastic_net_reaches_the_optimum_on_the_corrected_folds(spark, fold):
+    """All grid sets with an L1 part, on inputs of which the moving means are combinations of the lags."""
+    import numpy as np
+
+    from weekcast.operators.split import purge_gap, rolling_folds
+    from weekcast.plans.linear import feature_sign, fit_elastic_net, moments, objective
+
+    data = prepare_horizon(panel(spark, SF_MID), 1, (), CORRECTED)
+    assert {"ma_1week", "ma_2weeks", "lag_1week", "lag_2weeks"} <= set(data.features)
+    folds = rolling_folds(data.train.where("label is not null"), 2, purge_gap(1), (), CORRECTED)
+    train = folds.where((F.col("fold") == fold) & (F.col("role") == "train")).persist()
+    m = moments(train, data.features)
+    rows = np.array([[float(r[c]) for c in [*data.features, "label"]] for r in train.collect()])
+    assert m.n == len(rows) and np.allclose(m.std, rows.std(0)) and np.allclose(m.corr, np.corrcoef(rows.T), atol=1e-12)
+    k = len(data.features)
+    z, t = (rows[:, :k] - rows[:, :k].mean(0)) / rows[:, :k].std(0), (rows[:, k] - rows[:, k].mean()) / rows[:, k].std()
+    gram, cross = z.T @ z / len(t), z.T @ t / len(t)
+    for penalty in (0.1, 0.5):
+        for mix in (0.1, 0.5):
+            l1, l2 = penalty / rows[:, k].std() * mix, penalty / rows[:, k].std() * (1 - mix)
+            found = fit_elastic_net(train, data.features, penalty, mix)
+            b = np.array([found.coefficients[c] for c in data.features]) * rows[:, :k].std(0) / rows[:, k].std()
+            assert objective(b, gram, cross, l1, l2) <= objective(_coordinate_descent(gram, cross, l1, l2, 3000), gram, cross, l1, l2) + 1e-8
+            slope = cross - gram @ b - l2 * b  # the conditions of the optimum
+            assert np.all(np.abs(slope) <= l1 + 1e-9) and np.allclose(slope[b != 0], l1 * np.sign(b[b != 0]), atol=1e-9)
+            exact = feature_sign(m.corr[:k, :k], m.corr[:k, k], l1, l2)
+            assert objective(exact, gram, cross, l1, l2) == pytest.approx(objective(b, gram, cross, l1, l2), abs=1e-10)
+            got = np.array([r.prediction for r in found.transform(train).collect()])
+            assert np.allclose(got, rows[:, k].mean() + (z @ b) * rows[:, k].std(), rtol=1e-8)
+    train.unpersist()
+
+
+def test_elastic_net_beats_nothing_and_handles_constants(spark):
+    from weekcast.plans.linear import fit_elastic_net
+
+    df = spark.createDataFrame([(float(i), 1.0, 2.0 * i, float(3 * i + i % 2)) for i in range(20)], "x double, one double, twice double, label double")
+    strong = fit_elastic_net(df, ["x", "one", "twice"], 1e9, 0.5)
+    assert set(strong.coefficients.values()) == {0.0} and strong.intercept == pytest.approx(29.0)
+    lasso = fit_elastic_net(df, ["x", "one", "twice"], 1e-6, 1.0)
+    assert lasso.coefficients["one"] == 0.0 and lasso.coefficients["twice"] == 0.0 and lasso.coefficients["x"] == pytest.approx(3.0, rel=1e-2)
+    flat = fit_elastic_net(df.withColumn("label", F.lit(5.0)), ["x"], 0.1, 0.5)
+    assert flat.coefficients == {"x": 0.0} and flat.intercept == 5.0
+    with pytest.raises(ValueError, match="two rows"):
+        fit_elastic_net(df.limit(1), ["x"], 0.1, 0.5)
+
+
+def test_independent_columns():
+    import numpy as np
+
+    from weekcast.plans.linear import feature_sign, independent, objective
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 3))
+    x = np.c_[x, x[:, 0] + x[:, 1], rng.normal(size=200), x[:, 2] * -2]
+    assert independent(np.corrcoef(x.T)) == [0, 1, 2, 4]
+    for seed in range(20):  # random problems against long coordinate descent
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(30, 6)) @ rng.normal(size=(6, 6))
+        g = np.corrcoef(np.c_[x, x @ rng.normal(size=6) + rng.normal(size=30)].T)
+        l1, l2 = rng.uniform(0.001, 0.5), rng.uniform(1e-4, 0.1)
+        args = (g[:6, :6], g[:6, 6], l1, l2)
+        assert objective(feature_sign(*args), *args) <= objective(_coordinate_descent(*args, 3000), *args) + 1e-9
+
+
+def test_cv_of_the_elastic_net_uses_the_optimum(spark):
+    """Scores of the reference's iterations and of the optimum differ only where the penalty has an L1 part."""
+    data = prepare_horizon(panel(spark, SF_SMALL), 1, (), CORRECTED, feature_cols=["diff_sales", "lag_1week", "lag_2weeks", "ma_1week"])
+    grid = {"RegParam": ["0.5"], "ElasticNetParam": ["0", "0.5"]}
+    exact = [r.score for r in rolling_cv(data.train, data.features, "lr", grid, 2, 5, (), CORRECTED).collect()]
+    mllib = [r.score for r in rolling_cv(data.train, data.features, "lr", grid, 2, 5, (), CORRECTED.with_(exact_elastic_net=False)).collect()]
+    assert exact[:2] == mllib[:2] and exact[2:] == pytest.approx(mllib[2:], rel=0.05)

@@ -41,6 +41,8 @@ class Preset:
     exact_split: bool = True
     #: linear penalties as 32-bit floats, the width the original parses them to
     single_penalties: bool = False
+    #: linear fits with an L1 part at the optimum (``plans.linear``); False takes what MLlib's iterations reach
+    exact_elastic_net: bool = True
     #: seed passed to every randomised estimator
     seed: int = 42
 
@@ -62,6 +64,7 @@ REFERENCE = Preset(
     cv_origin="fixed",
     exact_split=False,
     single_penalties=True,
+    exact_elastic_net=False,
 )
 
 PRESETS = {"reference": REFERENCE, "corrected": CORRECTED}

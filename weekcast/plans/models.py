@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.config import CORRECTED, Preset
+from weekcast.plans.linear import fit_elastic_net
+
 
 def single(x: object) -> float:
     """The 32-bit float nearest to ``x``, as a double."""
@@ -57,6 +59,14 @@ def assemble(df: DataFrame, feature_cols: Sequence[str], output: str = "features
     return VectorAssembler(inputCols=list(feature_cols), outputCol=output, handleInvalid="error").transform(df)
 
 
+def fit(train: DataFrame, feature_cols: Sequence[str], name: str, params: Mapping[str, object], preset: Preset = CORRECTED):
+    """A model fitted on assembled rows with a label. Linear models whose penalty has an L1 part are fitted at
+    their optimum when the preset says so; all others are MLlib's."""
+    if name == "lr" and preset.exact_elastic_net and float(params["RegParam"]) > 0 and float(params["ElasticNetParam"]) > 0:
+        return fit_elastic_net(train, feature_cols, float(params["RegParam"]), float(params["ElasticNetParam"]))
+    return estimator(name, params, preset).fit(train)
+
+
 def fit_predict(
     train: DataFrame,
     test: DataFrame,
@@ -68,7 +78,7 @@ def fit_predict(
 ) -> DataFrame:
     """Fit on ``train`` (rows with a label), predict ``test``; returns ``keep`` columns + prediction."""
     train_rows = assemble(train.where(F.col("label").isNotNull()), feature_cols)
-    model = estimator(name, params, preset).fit(train_rows)
+    model = fit(train_rows, feature_cols, name, params, preset)
     keep = [c for c in keep if c in test.columns]
     return model.transform(assemble(test, feature_cols)).select(*keep, "prediction")
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
 from weekcast.operators.split import TEST, TRAIN, rolling_folds
-from weekcast.plans.models import NESTED, assemble, estimator, evaluate, staged_predictions
+from weekcast.plans.models import NESTED, assemble, evaluate, fit, staged_predictions
 from weekcast.constants import CV_FOLDS
 from weekcast.session import materialize, release
 
@@ -100,7 +100,7 @@ def rolling_cv(
 
         def run(task):
             group, f = task
-            model = estimator(name, sets[group[0]], preset).fit(parts[f, TRAIN])
+            model = fit(parts[f, TRAIN], feature_cols, name, sets[group[0]], preset)
             if len(group) == 1:
                 scored = {group[0]: model.transform(parts[f, TEST])}
             else:
