@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="weekcast-llm-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only a local session without that setting gets its own."""
+    """A new folder below spark.checkpoint.dir; only a local session without that setting gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weekcast-llm-"))
-        base = spark.sparkContext.getCheckpointDir()
+        base = _own_folder()
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

@@ -1,12 +1,15 @@
 """WARC archives: written with revisit records and segmented blocks, read back by reassembling segments.
 
 Writing: pages with equal payloads share one response record, the others are revisit records that refer to
-it. A payload is framed as chunked transfer; a block longer than `SEGMENT` bytes is cut into a response
+it. Digests and compressed payloads are written to the shared folder first, so that the responses, which come from
+a grouping that carries one payload of a digest for each task, and the revisits, which carry none, see the same
+rows. A payload is framed as chunked transfer; a block longer than `SEGMENT` bytes is cut into a response
 record and continuation records. Spark's text writer puts one record on each "line"; the line separator is
 the blank lines that end a WARC record, so the files are plain (gzip-compressed) WARC.
 
-Reading: each file is parsed record by record; rows are grouped by the identifier of the record they continue
-and ordered by segment number; the total length, the chunk framing and the payload digest are verified.
+Reading: each file is parsed record by record. Segments are grouped by the identifier of the record they continue
+and ordered by segment number; records of one segment are finished where they are read. The total length, the
+chunk framing and the payload digest are verified.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import scratch_dir
+from weekcast.llm.common import scratch_dir, stored
+from weekcast.operators.panel import spread_join
 
 #: Bytes of block in one record, bytes in one transfer chunk, records in one file (a file stays below 32 MB).
 SEGMENT = 16 << 10
@@ -30,7 +34,9 @@ TRANSFER_CHUNK = 8 << 10
 FILE_RECORDS = 2000
 END = b"\r\n\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-PARSED = "origin string, segment long, kind string, page_id {kind}, refers_to {kind}, digest string, total long, block binary"
+PARSED = "origin string, segment long, kind string, page_id {kind}, refers_to {kind}, digest string, total long, payload_bytes long, packed binary"
+#: Records of a digest from which its revisits are dealt to several tasks.
+COPIES_PER_TASK = 1_000_000
 
 
 def digest_of(payload: bytes) -> str:
@@ -116,11 +122,15 @@ def write_archive(pages: DataFrame, path: str, id_column: str = "page_id", url_c
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(records(row), pa.string())], ["record"])
 
-    known = own.mapInArrow(digests, f"page_id {kind}, url string, row long, digest string, payload_bytes long, packed binary")
-    first = known.groupBy(F.col("digest").alias("same"), F.col("payload_bytes").alias("same_bytes")).agg(F.max(F.struct("page_id", "row")).alias("target"))
-    # both sides grow with the pages: a shuffle join at every size
-    joined = known.join(first.hint("merge"), (F.col("digest") == F.col("same")) & (F.col("payload_bytes") == F.col("same_bytes")))
-    ready = joined.select("page_id", "url", "row", "digest", "payload_bytes", "packed", F.col("target.page_id").alias("target_page"), F.col("target.row").alias("target_row"))
+    known = stored(own.mapInArrow(digests, f"page_id {kind}, url string, row long, digest string, payload_bytes long, packed binary"), "payloads")
+    same = ["digest", "payload_bytes"]
+    first = known.groupBy(*same).agg(F.max(F.struct("page_id", "row", "url")).alias("target"), F.first("packed").alias("packed"))
+    responses = first.select("target.page_id", "target.url", "target.row", *same, "packed", F.col("target.page_id").alias("target_page"), F.col("target.row").alias("target_row"))
+    # rows without payloads: a digest that very many pages have is dealt to several tasks
+    targets = known.groupBy(*same).agg(F.max(F.struct("page_id", "row")).alias("target"))
+    every = spread_join(known.drop("packed"), targets, same, COPIES_PER_TASK)
+    revisits = every.where(F.col("row") != F.col("target.row")).select("page_id", "url", "row", *same, F.lit(None).cast("binary").alias("packed"), F.col("target.page_id").alias("target_page"), F.col("target.row").alias("target_row"))
+    ready = responses.unionByName(revisits)
     written = ready.mapInArrow(lines, "record string").write.option("lineSep", END.decode()).option("compression", "gzip")
     written.option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
@@ -142,61 +152,85 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += len(END)
 
 
-def _whole(rows: list[dict]) -> tuple:
-    """(page id, type, refers to, digest, payload bytes, payload) from the segments of one record, in order."""
-    head, block = rows[0], b"".join(r["block"] for r in rows)
-    if [r["segment"] for r in rows] != list(range(1, len(rows) + 1)) or rows[-1]["total"] not in (None, len(block)) or (len(rows) > 1) != (rows[-1]["total"] is not None):
-        raise ValueError(f"segments of {head['origin']} are missing or doubled")
+def _whole(rows: list[tuple]) -> tuple[int, bytes | None]:
+    """(payload bytes, payload) of one record from its segments' (origin, segment, kind, digest, total, block), in
+    order; a revisit has no payload."""
+    origin, _, kind, digest, _, _ = rows[0]
+    block, total = b"".join(r[5] for r in rows), rows[-1][4]
+    if [r[1] for r in rows] != list(range(1, len(rows) + 1)) or total not in (None, len(block)) or (len(rows) > 1) != (total is not None):
+        raise ValueError(f"segments of {origin} are missing or doubled")
     http, body = block.split(END, 1)
-    if head["kind"] == "revisit":
-        return head["page_id"], "revisit", head["refers_to"], head["digest"], int(re.search(rb"Content-Length: (\d+)", http)[1]), None
+    if kind == "revisit":
+        return int(re.search(rb"Content-Length: (\d+)", http)[1]), None
     payload = unchunked(body) if b"Transfer-Encoding: chunked" in http else body
-    if digest_of(payload) != head["digest"]:
-        raise ValueError(f"the payload of {head['origin']} doesn't match its digest")
-    return head["page_id"], "response", None, head["digest"], len(payload), payload
+    if digest_of(payload) != digest:
+        raise ValueError(f"the payload of {origin} doesn't match its digest")
+    return len(payload), payload
 
 
-def read_archive(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataFrame:
+def read_archive(spark: SparkSession, path: str, id_kind: str = "bigint", payloads: bool = True) -> DataFrame:
     """(page_id, record_type, refers_to, payload_digest, payload_bytes, payload) of each page in the archive.
 
-    A revisit's payload is null; its length and digest are those of the full payload. An empty archive gives
-    no rows. A record with a missing or doubled segment, a wrong total length, broken framing or a payload
-    that doesn't match its digest raises.
+    A revisit's payload is null; its length and digest are those of the full payload. Without `payloads` all are
+    null, though verified. An empty archive gives no rows. A record with a missing or doubled segment, a wrong
+    total length, broken framing or a payload that doesn't match its digest raises.
     """
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[id_kind]
     of = lambda text: text if text is None or id_kind == "string" else int(text)
-    names = ["origin", "segment", "kind", "page_id", "refers_to", "digest", "total", "block"]
-    types = [pa.string(), pa.int64(), pa.string(), arrow, arrow, pa.string(), pa.int64(), pa.binary()]
+    names = ["origin", "segment", "kind", "page_id", "refers_to", "digest", "total", "payload_bytes", "packed"]
+    types = [pa.string(), pa.int64(), pa.string(), arrow, arrow, pa.string(), pa.int64(), pa.int64(), pa.binary()]
+
+    def kept(payload: bytes | None) -> bytes | None:
+        return zstandard.compress(payload, 1) if payloads and payload is not None else None
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole records with their length, segments with their block."""
         for batch in batches:
             for content in batch.column("content"):
-                unzip = zlib.decompressobj(31)
-                raw = unzip.decompress(content.as_py())
+                raw = zlib.decompressobj(31).decompress(content.as_py())
                 rows = []
                 for f, block in parse(raw):
-                    digest = f.get("warc-payload-digest", "").removeprefix("sha1:")
-                    total = f.get("warc-segment-total-length")
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 1)), f["warc-type"], of(f.get("x-page-id")), of(f.get("x-refers-to-page-id")), digest, None if total is None else int(total), block))
+                    origin, kind, total = f.get("warc-segment-origin-id", f["warc-record-id"]), f["warc-type"], f.get("warc-segment-total-length")
+                    digest, total = f.get("warc-payload-digest", "").removeprefix("sha1:"), None if total is None else int(total)
+                    segment, size = int(f.get("warc-segment-number", 1)), None
+                    if "warc-segment-number" in f:
+                        packed = zstandard.compress(block, 1)
+                    else:
+                        size, payload = _whole([(origin, segment, kind, digest, total, block)])
+                        packed = kept(payload)
+                    rows.append((origin, segment, kind, of(f.get("x-page-id")), of(f.get("x-refers-to-page-id")), digest, total, size, packed))
                 for at in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256]), types)], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def close() -> Iterator[tuple]:
+            if not held:
+                return
+            head, size, packed = held[0], held[0]["payload_bytes"], held[0]["packed"]
+            if size is not None and len(held) > 1:
+                raise ValueError(f"segments of {head['origin']} are missing or doubled")
+            if size is None:
+                size, payload = _whole([(r["origin"], r["segment"], r["kind"], r["digest"], r["total"], zstandard.decompress(r["packed"])) for r in held])
+                packed = kept(payload)
+            payload = zstandard.decompress(packed) if packed is not None else None
+            yield head["page_id"], head["kind"], head["refers_to"], head["digest"], size, payload
+            held.clear()
+
         def out(done: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*done)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (arrow, pa.string(), arrow, pa.string(), pa.int64(), pa.binary()))], ["page_id", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"])
 
-        held: list[dict] = []
         for batch in batches:
-            done = []
-            for row in batch.to_pylist():
-                if held and row["origin"] != held[0]["origin"]:
-                    done.append(_whole(held))
-                    held = []
-                held.append(row)
-            yield out(done)
-        if held:
-            yield out([_whole(held)])
+            for at in range(0, batch.num_rows, 256):
+                done = []
+                for row in batch.slice(at, 256).to_pylist():
+                    if held and row["origin"] != held[0]["origin"]:
+                        done.extend(close())
+                    held.append(row)
+                yield out(done)
+        yield out(list(close()))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     parsed = files.mapInArrow(split, PARSED.format(kind=id_kind))
@@ -204,8 +238,8 @@ def read_archive(spark: SparkSession, path: str, id_kind: str = "bigint") -> Dat
     return dealt.mapInArrow(join, f"page_id {id_kind}, record_type string, refers_to {id_kind}, payload_digest string, payload_bytes long, payload binary")
 
 
-def round_trip(pages: DataFrame, **columns: str) -> DataFrame:
-    """Write `pages` to a new archive in the shared folder and read it back."""
+def round_trip(pages: DataFrame, payloads: bool = True, **columns: str) -> DataFrame:
+    """Write `pages` to a new archive in the shared folder and read it back; `payloads`: see `read_archive`."""
     path = f"{scratch_dir(pages.sparkSession)}/archive"
     write_archive(pages, path, **columns)
-    return read_archive(pages.sparkSession, path, pages.schema[columns.get("id_column", "page_id")].dataType.simpleString())
+    return read_archive(pages.sparkSession, path, pages.schema[columns.get("id_column", "page_id")].dataType.simpleString(), payloads)
