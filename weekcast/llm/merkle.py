@@ -1,10 +1,10 @@
 """Merkle manifest of a dataset: a hash tree per language, and one over the trees' roots.
 
 Leaves stand in the order of their ids without being sorted by them. Ids are kept as compressed bitmaps, one
-for every tree and container of 32,768 consecutive ids. A task writes the bitmaps of its own rows; those of one
+for every tree and container of 4,096 consecutive ids. A task writes the bitmaps of its own rows; those of one
 container are merged where its rows arrive, and a directory of popcounts gives each id its rank there. The rows
-before a container come from directories of row counts, three levels of prefix sums with at most 32,768 entries
-below one (2^19 at the top), however the ids are spread.
+before a container come from directories of row counts, four levels of prefix sums with at most 8,192 entries
+below one, however the ids are spread.
 
 A coordinate (tree, position) is a slot: arrays of 4096 slots, keyed by (tree, position >> 12), are filled as rows
 come and reduced by twelve levels at once, which gives the slots of the next tier. Proofs are put together from
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from weekcast.llm.common import stored
 
-#: Bits of an id within its container; levels of a tree that one slot array reduces.
-CONTAINER_BITS = 15
+#: Bits of an id within its container, and of a container's number within each level of the directory above it.
+CONTAINER_BITS = 12
+DIRECTORY_BITS = 13
+#: Levels of a tree that one slot array reduces.
 BLOCK_LEVELS = 12
 #: The container of null ids, below those of all integers.
-NULL_CONTAINER = -(1 << 48) - 1
+NULL_CONTAINER = -(1 << 51) - 1
 #: Columns that make a leaf, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -131,14 +133,14 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _before(containers: DataFrame) -> DataFrame:
     """(tree, bucket, before, total): rows of the tree in smaller containers, and all its rows."""
     levels, level = [], containers.withColumnRenamed("bucket", "k")
-    for _ in range(2):
+    for _ in range(3):
         levels.append(level)
-        level = level.groupBy("tree", F.shiftright("k", CONTAINER_BITS).alias("k")).agg(F.sum("n").alias("n"))
+        level = level.groupBy("tree", F.shiftright("k", DIRECTORY_BITS).alias("k")).agg(F.sum("n").alias("n"))
     top = Window.partitionBy("tree")
     out = level.select("tree", F.col("k").alias("up"), (F.sum("n").over(top.orderBy("k")) - F.col("n")).alias("before"), F.sum("n").over(top).alias("total"))
     for level in reversed(levels):
         own = Window.partitionBy("tree", "up").orderBy("k")
-        inner = level.withColumn("up", F.shiftright("k", CONTAINER_BITS)).withColumn("inner", F.sum("n").over(own) - F.col("n"))
+        inner = level.withColumn("up", F.shiftright("k", DIRECTORY_BITS)).withColumn("inner", F.sum("n").over(own) - F.col("n"))
         out = inner.join(out, ["tree", "up"]).select("tree", F.col("k").alias("up"), (F.col("before") + F.col("inner")).alias("before"), "total")
     return out.withColumnRenamed("up", "bucket")
 
