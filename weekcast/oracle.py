@@ -66,7 +66,7 @@ panel_k AS (
 
 
 def _with(*ctes: str) -> str:
-    return "WITH " + ",\n".join([BASE.strip(), *ctes]) + "\n"
+    return "WITH RECURSIVE " + ",\n".join([BASE.strip(), *ctes]) + "\n"
 
 
 def _feature_ctes(tag: str, h: int, reference: bool, src: str = "panel", keys: tuple[str, ...] = ()) -> list[str]:
@@ -375,26 +375,47 @@ def stump_importance_sql(only_selected: bool) -> str:
     return _with(*_stump_ctes(("month", "day"))) + f"SELECT position, feature, {_r('importance')} FROM ({body}){where}"
 
 
-def _tree_ctes(tag: str, rows: str, y: str, columns: tuple[str, ...], depth: int) -> list[str]:
+def _threshold_ctes(tag: str, rows: str, y: str, columns: tuple[str, ...], bins: int) -> list[str]:
+    """The thresholds that a column may be split at, in ``{tag}_v<i>`` (t).
+
+    A column with at most ``bins`` distinct values may be split between any two neighbours. One with more gets about
+    ``bins - 1`` thresholds: walking up its values, wherever the rows so far are nearer to the next multiple of
+    n / bins than with the next value added, the half way to that value is one."""
+    known = f"role = 'train' AND {y} IS NOT NULL"
+    ctes = []
+    for i, c in enumerate(columns):
+        v = f"{tag}_d{i}"
+        ctes += [
+            f"{v} AS (SELECT x, cnt, ROW_NUMBER() OVER (ORDER BY x) AS k, LAG(x) OVER (ORDER BY x) AS before, COUNT(*) OVER () AS many, "
+            f"SUM(cnt) OVER () / CAST({bins} AS DOUBLE) AS stride, CAST(SUM(cnt) OVER (ORDER BY x) AS DOUBLE) AS upto FROM "
+            f"(SELECT CAST({c} AS DOUBLE) AS x, COUNT(*) AS cnt FROM {rows} WHERE {known} GROUP BY {c}))",
+            f"{tag}_w{i} AS (SELECT k, upto, stride AS target, CAST(NULL AS DOUBLE) AS t FROM {v} WHERE k = 1 "
+            f"UNION ALL SELECT v.k, v.upto, CASE WHEN ABS(w.upto - w.target) < ABS(v.upto - w.target) THEN w.target + v.stride ELSE w.target END, "
+            f"CASE WHEN ABS(w.upto - w.target) < ABS(v.upto - w.target) THEN (v.before + v.x) / 2.0 END "
+            f"FROM {tag}_w{i} w JOIN {v} v ON v.k = w.k + 1)",
+            f"{tag}_v{i} AS (SELECT (before + x) / 2.0 AS t FROM {v} WHERE before IS NOT NULL AND many <= {bins} "
+            f"UNION ALL SELECT t FROM {tag}_w{i} WHERE t IS NOT NULL AND (SELECT MAX(many) FROM {v}) > {bins})",
+        ]
+    return ctes
+
+
+def _tree_ctes(tag: str, rows: str, y: str, columns: tuple[str, ...], depth: int, bins: int = 32, thresholds: str | None = None) -> list[str]:
     """A least-squares tree of ``y`` on the columns, grown level by level on the train rows of ``rows``.
 
-    At each level every node tries all its thresholds by prefix sums over its sorted values. A threshold lies half
-    way between a value of the node and the next value that any train row has, so of thresholds that split a node
-    alike only the least is tried. Nodes are numbered like a heap; one without a gain stays a leaf. Gives
-    ``{tag}_p``, all rows with the node's mean as ``prediction``, and ``{tag}_g``, the gain of every split."""
+    At each level every node tries all thresholds of all columns (those of the tree ``thresholds``, if given); of
+    thresholds that split a node alike only the least is tried. Nodes are numbered like a heap; one without a gain
+    stays a leaf. Gives ``{tag}_p``, all rows with the node's mean as ``prediction``, and ``{tag}_g``, the gain of
+    every split."""
     known = f"role = 'train' AND {y} IS NOT NULL"
-    ctes = [f"{tag}_v{i} AS (SELECT x, LEAD(x) OVER (ORDER BY x) AS next_x FROM (SELECT DISTINCT CAST({c} AS DOUBLE) AS x "
-            f"FROM {rows} WHERE {known}))" for i, c in enumerate(columns)]
+    ctes = [] if thresholds else _threshold_ctes(tag, rows, y, columns, bins)
     ctes.append(f"{tag}_n0 AS (SELECT *, 1 AS node FROM {rows})")
-    value = "CASE s.feature " + " ".join(f"WHEN '{c}' THEN n.{c}" for c in columns) + " END"
+    value = "CASE s.feature " + " ".join(f"WHEN '{c}' THEN CAST(n.{c} AS DOUBLE)" for c in columns) + " END"
     for d in range(1, depth + 1):
         parts = [
-            f"SELECT node, '{c}' AS feature, {i} AS fpos, (x + next_x) / 2.0 AS threshold, "
-            "sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM (SELECT t.node, t.x, v.next_x, "
-            "SUM(cnt) OVER (PARTITION BY node ORDER BY t.x) AS nl, SUM(sy) OVER (PARTITION BY node ORDER BY t.x) AS sl, "
-            "SUM(cnt) OVER (PARTITION BY node) AS n, SUM(sy) OVER (PARTITION BY node) AS s FROM "
-            f"(SELECT node, CAST({c} AS DOUBLE) AS x, COUNT(*) AS cnt, SUM({y}) AS sy FROM {tag}_n{d - 1} WHERE {known} "
-            f"GROUP BY node, {c}) t JOIN {tag}_v{i} v ON v.x = t.x) WHERE nl < n" for i, c in enumerate(columns)]
+            f"SELECT node, '{c}' AS feature, {i} AS fpos, nl, MIN(t) AS threshold, ANY_VALUE(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) "
+            f"AS gain FROM (SELECT node, t, COUNT(*) FILTER (CAST({c} AS DOUBLE) <= t) AS nl, SUM({y}) FILTER (CAST({c} AS DOUBLE) <= t) AS sl, "
+            f"COUNT(*) AS n, SUM({y}) AS s FROM (SELECT node, {c}, {y} FROM {tag}_n{d - 1} WHERE {known}), {thresholds or tag}_v{i} GROUP BY node, t) "
+            f"WHERE nl > 0 AND nl < n GROUP BY node, nl" for i, c in enumerate(columns)]
         ctes.append(f"{tag}_s{d} AS (SELECT node, feature, threshold, gain FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY node "
                     f"ORDER BY gain DESC, fpos, threshold) AS r FROM ({' UNION ALL '.join(parts)}) WHERE gain > 0) WHERE r = 1)")
         ctes.append(f"{tag}_n{d} AS (SELECT n.* EXCLUDE (node), CASE WHEN s.node IS NULL THEN n.node WHEN {value} <= s.threshold "
@@ -406,40 +427,43 @@ def _tree_ctes(tag: str, rows: str, y: str, columns: tuple[str, ...], depth: int
 
 
 TREE_COLUMNS = ("month", "day")
+#: inputs with more values than bins
+WIDE_COLUMNS = ("diff_sales", "lag_1week", "std_4weeks", "month")
 
 
 def _tree_rows() -> list[str]:
     return [*_feature_ctes("fx", 1, False), *_split_ctes("sp", "fx_f", _gap(1), True)]
 
 
-def tree_sql(depth: int) -> str:
+def tree_sql(depth: int, columns: tuple[str, ...] = TREE_COLUMNS, bins: int = 32) -> str:
     """Forecasts of the test rows by one tree (or a forest of equal trees)."""
-    return _with(*_tree_rows(), *_tree_ctes("t", "sp", "label", TREE_COLUMNS, depth)) + (
+    return _with(*_tree_rows(), *_tree_ctes("t", "sp", "label", columns, depth, bins)) + (
         f"SELECT date, month, day, {_r('prediction')} FROM t_p WHERE role = 'test'")
 
 
-def _boost_ctes(tag: str, rows: str, depth: int) -> list[str]:
-    """Two boosting iterations: the second tree fits twice what the first leaves and counts a tenth; forecasts after one
-    and after both iterations as ``p1`` and ``p2`` in ``{tag}_b``."""
-    return [
-        *_tree_ctes(f"{tag}1", rows, "label", TREE_COLUMNS, depth),
-        f"{tag}_r AS (SELECT * EXCLUDE (prediction), prediction AS p1, 2 * (label - prediction) AS rest FROM {tag}1_p)",
-        *_tree_ctes(f"{tag}2", f"{tag}_r", "rest", TREE_COLUMNS, depth),
-        f"{tag}_b AS (SELECT *, p1 + 0.1 * prediction AS p2 FROM {tag}2_p)",
-    ]
+def _boost_ctes(tag: str, rows: str, depth: int, columns: tuple[str, ...] = TREE_COLUMNS, bins: int = 32, iterations: int = 2) -> list[str]:
+    """Boosting: every later tree fits twice what those before it leave and counts a tenth; forecasts after each
+    iteration as ``p1``, ``p2`` ... in ``{tag}_b``."""
+    ctes = [*_tree_ctes(f"{tag}1", rows, "label", columns, depth, bins),
+            f"{tag}_r1 AS (SELECT * EXCLUDE (prediction), prediction AS p1, 2 * (label - prediction) AS rest FROM {tag}1_p)"]
+    for k in range(2, iterations + 1):
+        ctes += _tree_ctes(f"{tag}{k}", f"{tag}_r{k - 1}", "rest", columns, depth, bins, f"{tag}1")
+        ctes.append(f"{tag}_r{k} AS (SELECT * EXCLUDE (prediction, rest), p{k - 1} + 0.1 * prediction AS p{k}, "
+                    f"2 * (label - p{k - 1} - 0.1 * prediction) AS rest FROM {tag}{k}_p)")
+    return [*ctes, f"{tag}_b AS (SELECT * FROM {tag}_r{iterations})"]
 
 
-def gbt_sql(depth: int) -> str:
-    return _with(*_tree_rows(), *_boost_ctes("b", "sp", depth), "pr AS (SELECT date, month, day, p2 AS prediction FROM b_b "
-                 "WHERE role = 'test')") + f"SELECT date, month, day, {_r('prediction')} FROM pr"
+def gbt_sql(depth: int, columns: tuple[str, ...] = TREE_COLUMNS, bins: int = 32, iterations: int = 2) -> str:
+    return _with(*_tree_rows(), *_boost_ctes("b", "sp", depth, columns, bins, iterations), f"pr AS (SELECT date, month, day, p{iterations} "
+                 "AS prediction FROM b_b WHERE role = 'test')") + f"SELECT date, month, day, {_r('prediction')} FROM pr"
 
 
-def tree_importance_sql(depth: int) -> str:
+def tree_importance_sql(depth: int, columns: tuple[str, ...] = TREE_COLUMNS, bins: int = 32) -> str:
     """Each column's share of the gains of all splits."""
-    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(TREE_COLUMNS))
+    rows = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS feature" for i, c in enumerate(columns))
     body = (f"SELECT CAST(f.position AS INTEGER) AS position, f.feature, COALESCE(SUM(gain), 0) / (SELECT SUM(gain) FROM t_g) AS importance "
             f"FROM ({rows}) f LEFT JOIN t_g ON t_g.feature = f.feature GROUP BY f.position, f.feature")
-    return _with(*_tree_rows(), *_tree_ctes("t", "sp", "label", TREE_COLUMNS, depth)) + (
+    return _with(*_tree_rows(), *_tree_ctes("t", "sp", "label", columns, depth, bins)) + (
         f"SELECT position, feature, {_r('importance')} FROM ({body})")
 
 
@@ -462,22 +486,22 @@ def _fold_score(rows: str, prediction: str, fold: int, param_ix: int, name: str)
             f"SQRT(AVG(POW({prediction} - label, 2))) AS score FROM {rows} WHERE role = 'test'")
 
 
-def cv_tree_sql(depths: tuple[int, ...]) -> str:
-    """CV scores of trees of several depths."""
+def cv_tree_sql(sets: tuple[tuple[int, int], ...], columns: tuple[str, ...] = TREE_COLUMNS) -> str:
+    """CV scores of trees of several (depth, bins)."""
     ctes, parts = _fold_rows(), []
     for fold in range(1, CV_FOLDS + 1):
-        for ix, depth in enumerate(depths):
-            ctes += _tree_ctes(f"t{fold}{ix}", f"f{fold}", "label", TREE_COLUMNS, depth)
+        for ix, (depth, bins) in enumerate(sets):
+            ctes += _tree_ctes(f"t{fold}{ix}", f"f{fold}", "label", columns, depth, bins)
             parts.append(_fold_score(f"t{fold}{ix}_p", "prediction", fold, ix, "dt"))
     return _with(*ctes) + f"SELECT model, param_ix, fold, n_train, n_test, metric, {_r('score')} FROM ({' UNION ALL '.join(parts)})"
 
 
-def cv_boost_sql(depth: int) -> str:
-    """CV scores of one and of two boosting iterations."""
+def cv_boost_sql(depth: int, iterations: int, columns: tuple[str, ...] = TREE_COLUMNS, bins: int = 32) -> str:
+    """CV scores after each boosting iteration."""
     ctes, parts = _fold_rows(), []
     for fold in range(1, CV_FOLDS + 1):
-        ctes += _boost_ctes(f"b{fold}", f"f{fold}", depth)
-        parts += [_fold_score(f"b{fold}_b", p, fold, ix, "gbt") for ix, p in enumerate(("p1", "p2"))]
+        ctes += _boost_ctes(f"b{fold}", f"f{fold}", depth, columns, bins, iterations)
+        parts += [_fold_score(f"b{fold}_b", f"p{k + 1}", fold, k, "gbt") for k in range(iterations)]
     return _with(*ctes) + f"SELECT model, param_ix, fold, n_train, n_test, metric, {_r('score')} FROM ({' UNION ALL '.join(parts)})"
 
 
@@ -684,8 +708,14 @@ ORACLE: dict[str, str] = {
     "predict_gbt_two": gbt_sql(1),
     "predict_gbt_two_depth2": gbt_sql(2),
     "feature_importance_depth2": tree_importance_sql(2),
-    "cv_results_dt_nested": cv_tree_sql((1, 2)),
-    "cv_results_gbt_nested": cv_boost_sql(1),
+    "predict_dt_depth3_binned": tree_sql(3, WIDE_COLUMNS, 20),
+    "predict_rf_depth3_binned": tree_sql(3, WIDE_COLUMNS, 28),
+    "predict_gbt_three_binned": gbt_sql(2, WIDE_COLUMNS, 23, 3),
+    "feature_importance_depth3": tree_importance_sql(3, WIDE_COLUMNS, 28),
+    "cv_results_dt_nested": cv_tree_sql(((1, 32), (2, 32))),
+    "cv_results_dt_binned": cv_tree_sql(tuple((d, b) for d in (1, 2) for b in (20, 25)), WIDE_COLUMNS),
+    "cv_results_gbt_nested": cv_boost_sql(1, 2),
+    "cv_results_gbt_binned": cv_boost_sql(1, 3, WIDE_COLUMNS, 23),
     "features_h1_by_ranges": features_sql(1, False, level=True),
     "sma_by_ranges": sma_ranges_sql(3),
     "ts_split_raw": ts_split_raw_sql(),

@@ -497,36 +497,44 @@ def _stump_query(name: str) -> Query:
     return q
 
 
-DEPTH2 = {
-    "dt": {"MaxDepth": "2", "MaxBins": "32"},
-    "rf": {"NumTrees": "2", "MaxDepth": 2, "Bootstrap": False, "FeatureSubsetStrategy": "all", "MaxBins": "32"},
-}
+#: inputs with more values than a tree has bins
+WIDE_FEATURES = ("diff_sales", "lag_1week", "std_4weeks", "month")
 
 
-def _tree_query(name: str, params: dict) -> Query:
-    """Deeper trees, more of them, and boosting on month and day: splits that SQL can search level by level."""
-    def q(spark, sf_dir):
-        data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
-        keep = ("date", *STUMP_FEATURES)
-        return tidy(fit_predict(data.train, data.test, STUMP_FEATURES, name, params, CORRECTED, keep=keep))
-    return q
+def _forest(depth: int, bins: int) -> dict:
+    """Two trees without bootstrap on all columns: twice the same tree."""
+    return {"NumTrees": "2", "MaxDepth": depth, "Bootstrap": False, "FeatureSubsetStrategy": "all", "MaxBins": str(bins)}
 
 
-def _gbt_two(depth: int) -> dict:
-    return {"MaxIter": "2", "MaxDepth": str(depth), "MaxBins": "32"}
+def _tree(depth: int, bins: int) -> dict:
+    return {"MaxDepth": str(depth), "MaxBins": str(bins)}
 
 
-def q_feature_importance_depth2(spark, sf_dir):
-    """Importance as summed gains over the candidate columns of a frame with two inputs."""
-    data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
-    inputs = candidate_columns(data.frame.select("date", "label", "level", "role", *STUMP_FEATURES))
-    return tidy(ranked(feature_importance(data.train, inputs, CORRECTED, DEPTH2["rf"])))
+def _boosted(iterations: int, depth: int, bins: int) -> dict:
+    return {"MaxIter": str(iterations), "MaxDepth": str(depth), "MaxBins": str(bins)}
+
+
+def _tree_query(name: str, params: dict, columns: tuple[str, ...] = STUMP_FEATURES) -> Query:
+    """Deeper trees, more of them, and boosting: splits that SQL can search level by level."""
+    def q(spark, sf_dir):
+        data = _simple_horizon(spark, sf_dir, columns)
+        return tidy(fit_predict(data.train, data.test, columns, name, params, CORRECTED, keep=("date", "month", "day")))
+    return q
+
+
+def _tree_importance(params: dict, columns: tuple[str, ...]) -> Query:
+    """Importance as summed gains over the candidate columns of a frame with these inputs."""
+    def q(spark, sf_dir):
+        data = _simple_horizon(spark, sf_dir, columns)
+        inputs = candidate_columns(data.frame.select("date", "label", "level", "role", *columns))
+        return tidy(ranked(feature_importance(data.train, inputs, CORRECTED, params)))
+    return q
 
 
-def _nested_cv(name: str, grid: dict) -> Query:
+def _nested_cv(name: str, grid: dict, columns: tuple[str, ...] = STUMP_FEATURES) -> Query:
     """CV of a grid whose sets share one fit for each fold."""
     def q(spark, sf_dir):
-        data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
+        data = _simple_horizon(spark, sf_dir, columns)
         cv = rolling_cv(data.train, data.features, name, grid, CV_FOLDS, purge_gap(1), (), CORRECTED)
         data.release()
         return tidy(cv.select("model", "param_ix", "fold", "n_train", "n_test", "metric", "score"))
@@ -658,13 +666,19 @@ REGISTRY: dict[str, Query] = {
     "predict_rf_stump": _stump_query("rf"),
     "feature_importance_stump": q_feature_importance_stump,
     "feature_selection_stump": q_feature_selection_stump,
-    "predict_dt_depth2": _tree_query("dt", DEPTH2["dt"]),
-    "predict_rf_two": _tree_query("rf", DEPTH2["rf"]),
-    "predict_gbt_two": _tree_query("gbt", _gbt_two(1)),
-    "predict_gbt_two_depth2": _tree_query("gbt", _gbt_two(2)),
-    "feature_importance_depth2": q_feature_importance_depth2,
+    "predict_dt_depth2": _tree_query("dt", _tree(2, 32)),
+    "predict_rf_two": _tree_query("rf", _forest(2, 32)),
+    "predict_gbt_two": _tree_query("gbt", _boosted(2, 1, 32)),
+    "predict_gbt_two_depth2": _tree_query("gbt", _boosted(2, 2, 32)),
+    "feature_importance_depth2": _tree_importance(_forest(2, 32), STUMP_FEATURES),
+    "predict_dt_depth3_binned": _tree_query("dt", _tree(3, 20), WIDE_FEATURES),
+    "predict_rf_depth3_binned": _tree_query("rf", _forest(3, 28), WIDE_FEATURES),
+    "predict_gbt_three_binned": _tree_query("gbt", _boosted(3, 2, 23), WIDE_FEATURES),
+    "feature_importance_depth3": _tree_importance(_forest(3, 28), WIDE_FEATURES),
     "cv_results_dt_nested": _nested_cv("dt", {"MaxDepth": ["1", "2"], "MaxBins": ["32"]}),
+    "cv_results_dt_binned": _nested_cv("dt", {"MaxDepth": ["1", "2"], "MaxBins": ["20", "25"]}, WIDE_FEATURES),
     "cv_results_gbt_nested": _nested_cv("gbt", {"MaxIter": ["1", "2"], "MaxDepth": ["1"], "MaxBins": ["32"]}),
+    "cv_results_gbt_binned": _nested_cv("gbt", {"MaxIter": ["1", "2", "3"], "MaxDepth": ["1"], "MaxBins": ["23"]}, WIDE_FEATURES),
     "cv_results_lr_corrected": _cv_query("lr", CORRECTED),
     "cv_results_rf_corrected": _cv_query("rf", CORRECTED),
     "cv_results_dt_corrected": _cv_query("dt", CORRECTED),
