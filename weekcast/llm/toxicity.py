@@ -30,16 +30,14 @@ from weekcast.llm.common import slices, stored
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 #: Labelled rows that the lexicon and the weights are fitted on, at most; taken in the order of a hash of their id.
 FIT_ROWS = 20_000
-#: Lexeme candidates that are compared, at most, and the share of toxic among the documents a lexeme may occur in.
-CANDIDATES = 5_000
 #: Letters of the word beginnings that are learnt; the upper bound is for "words" without an end.
 SHORTEST, LONGEST = 3, 32
 #: Marks of lexemes that have to match a document's words again, by how often.
 AGAIN = {"+": 2, "++": 3, "+++": 4}
+#: Share of toxic among the documents that a lexeme may occur in.
 PRECISION = 0.95
 PREDICT_AT = 0.3
 
-INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown")
 THREATS = ("kill", "hurt", "destroy", "murder", "töten", "umbringen", "vernichten", "tuer", "détruire", "matar", "destruir")
 TARGETS = ("you", "your", "yours", "u", "du", "dich", "dein", "ihr", "euch", "tu", "toi", "vous", "votre", "te", "tú", "usted", "ustedes", "vosotros")
 NEGATIONS = ("not", "never", "no", "nobody", "isn", "aren", "nicht", "nie", "kein", "keine", "pas", "jamais", "aucun", "nunca", "ningún", "jamás")
@@ -263,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
     counted = sample.mapInArrow(count, "lexeme string, toxic long, clean long").groupBy("lexeme").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sharp = counted.where((F.col("toxic") >= support) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    top = sharp.orderBy(F.desc("toxic"), "clean", "lexeme").limit(CANDIDATES).collect()
+    top = sharp.orderBy(F.desc("toxic"), "clean", "lexeme").collect()  # words of at most fit_rows texts
     weight = {r.lexeme: float(np.log((r.toxic + 0.5) / (toxic + 1)) - np.log((r.clean + 0.5) / (clean + 1))) for r in top}
 
     useful = {x.rstrip("+") for x in weight}
@@ -278,8 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     found = [set(r.found) for r in sample.where("toxic = 1").mapInArrow(incidence, "found array<string>").collect()]
     chosen = cover(found, weight, support)
     scale = float(np.median([weight[x] for x in chosen])) if chosen else 1.0
-    contrary = {r.lexeme for r in counted.where(F.col("lexeme").isin(*INSULTS) & (F.col("toxic") < F.col("clean"))).collect()}
-    lexicon = Lexicon({x: 1.0 for x in INSULTS if x not in contrary} | {x: weight[x] / scale for x in chosen})
+    lexicon = Lexicon({x: weight[x] / scale for x in chosen})
     machine = grammar()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +293,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     `labels` holds (id, toxic); `is_training` is a condition on `doc_id` that says which rows may be learnt
     from (default: all). A label given twice counts as toxic if either says so; null labels and ids are left
-    out; without any label the built-in words and prior weights score. Null and empty texts match no clause
+    out; without any label there are no insults, and the prior weights score threats. Null and empty texts match no clause
     and get the score of the bias. Rows that repeat an id are scored each for itself. Empty input gives no
     rows; other columns are not read, so no label, language, source or id enters a score.
     """
