@@ -71,7 +71,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark, docs_of):
-    docs = docs_of([(1, None), (2, ""), (3, "I will kill you"), (3, "I will kill you"), (None, "fine words"), (4, "you I will kill " * 20000)])
+    docs = docs_of([(1, None), (2, ""), (3, "you I will kill"), (3, "you I will kill"), (None, "fine words"), (4, "you I will kill " * 20000)])
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
     rows = {(r.doc_id, i): r for i, r in enumerate(toxicity(docs, labels).collect())}
     assert len(rows) == 6
