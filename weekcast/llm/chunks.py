@@ -64,9 +64,9 @@ def by_key(rows: Iterator[dict], key: str) -> Iterator[tuple[int, list[dict]]]:
         yield now, held
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of one chunk (or bucket) together, in the order of their steps."""
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "step")
+def dealt(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows of one chunk (or bucket) together, in the order of their steps; in `parts` tasks, if given."""
+    return (rows.repartition(parts, "chunk") if parts else rows.repartition("chunk")).sortWithinPartitions("chunk", "step")
 
 
 def parts_of(df: DataFrame) -> int:

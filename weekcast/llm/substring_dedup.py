@@ -344,9 +344,11 @@ def remove_passages(docs: DataFrame, id_column: str = "doc_id", text_column: str
         raise ValueError(f"length must be at least {GRAM}")
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     chunks = stored_chunks(own, spell=_spaced)
-    parts = max(1, -(-chunks.count() * STEP_BYTES // BUCKET_BYTES))  # a row is a step
-    shared = stored(dealt(chunks.mapInArrow(_ask_grams(parts, length), ROW)).mapInArrow(_answer_grams(hot), ROW), "shared")
+    # as many buckets as the text needs, and tasks enough that few chunks meet in one
+    steps, last = chunks.agg(F.count(F.lit(1)), F.count_distinct("chunk")).first()
+    parts, tasks = max(1, -(-steps * STEP_BYTES // BUCKET_BYTES)), max(1, 2 * last)
+    shared = stored(dealt(chunks.mapInArrow(_ask_grams(parts, length), ROW), parts).mapInArrow(_answer_grams(hot), ROW), "shared")
     whole = chunks.unionByName(shared)
-    sent = dealt(whole).mapInArrow(_send_contexts(parts, length), ROW)
-    minima = dealt(sent).mapInArrow(_answer_contexts(length, block_words), ROW)
-    return dealt(whole.unionByName(minima)).mapInArrow(_remove(length), "doc_id long, n_words long, span_starts array<long>, span_ends array<long>, kept string")
+    sent = dealt(whole, tasks).mapInArrow(_send_contexts(parts, length), ROW)
+    minima = dealt(sent, parts).mapInArrow(_answer_contexts(length, block_words), ROW)
+    return dealt(whole.unionByName(minima), tasks).mapInArrow(_remove(length), "doc_id long, n_words long, span_starts array<long>, span_ends array<long>, kept string")
