@@ -61,3 +61,30 @@ def test_pruning_changes_nothing():
         score = run @ queries[q]
         order = np.lexsort((np.arange(4000), -score))[:10]
         assert best[q].id.tolist() == order.tolist() and [int(s) for s in best[q].score] == score[order].astype(int).tolist()
+
+
+def test_one_query_a_block_and_small_runs(spark, monkeypatch):
+    """Many blocks and groups of runs are one plan, and the result is the same."""
+    from weekcast.llm import topk
+
+    for name, value in (("CANDIDATE_RUN", 7), ("RUN_NUMBERS", 40), ("TASK_RUNS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=12).tolist()) for i in range(90)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (1, 3, 1000):
+        assert result(top_k(frame, F.col("vec_id") % 9 == 0, query_block=block)) == brute(rows, 10, 9)
+
+
+def test_scores_beyond_doubles_are_bounded_and_exact(spark):
+    rng = np.random.default_rng(5)
+    run = np.floor(rng.normal(size=(3000, 40)) * 2.0**26)
+    queries = np.floor(rng.normal(size=(4, 40)) * 2.0**26)
+    run[100:200] = run[:100]  # ties
+    best = [Best(10) for _ in queries]
+    for at in range(0, 3000, 500):
+        search_run(queries, np.arange(4) - 10, run[at : at + 500], np.arange(at, at + 500), best)
+    whole = [[int(x) for x in c] for c in run]
+    for q in range(4):
+        scored = sorted((-sum(int(a) * b for a, b in zip(queries[q], c)), i) for i, c in enumerate(whole))[:10]
+        assert [(-int(s), int(i)) for s, i in zip(best[q].score, best[q].id)] == scored
