@@ -38,7 +38,7 @@ from weekcast.plans.models import fit_predict, linear_fit_coefficients
 from weekcast.plans.report import accuracy_table, compare, prepare_horizon, run_model
 from weekcast.plans.select import candidate_columns, feature_importance, ranked, selected
 from weekcast.plans.tune import cv_summary, rolling_cv
-from weekcast.session import materialize
+from weekcast.session import materialize, release
 from weekcast.sources.fixtures import COVARIATES, HOLIDAY_FLAGS, LINEITEM_SCHEMA, fixture_tables, week_start
 from weekcast.sources.tables import MONEY, catalog_tables, preview, retail_features, retail_sales, shape
 
@@ -392,6 +392,15 @@ def q_lr_single_feature(spark, sf_dir):
 
 # -- models (no SQL twin: tree fits are not SQL; checked by row counts and by tests) -----------------
 
+def settled(df: DataFrame, *built_on: DataFrame) -> DataFrame:
+    """``df`` evaluated (it is small), so that the materialized frames it was built on can be given up."""
+    out = materialize(df)
+    out.count()
+    for frame in built_on:
+        release(frame)
+    return out
+
+
 def _horizon(spark, sf_dir, h: int, preset: Preset):
     return prepare_horizon(panel(spark, sf_dir), h, (), preset)
 
@@ -400,16 +409,20 @@ def _predict_query(name: str) -> Query:
     """Forecasts of the 1-week test rows, with the pinned parameters or, for the forest, the CV winner."""
     def q(spark, sf_dir):
         data = _horizon(spark, sf_dir, 1, REFERENCE)
-        return tidy(run_model(data, name, PINNED.get((name, 1)), preset=REFERENCE).predictions)
+        return settled(tidy(run_model(data, name, PINNED.get((name, 1)), preset=REFERENCE).predictions), data.frame)
     return q
 
 
 def q_feature_importance(spark, sf_dir):
-    return tidy(ranked(_horizon(spark, sf_dir, 1, REFERENCE).importance))
+    data = _horizon(spark, sf_dir, 1, REFERENCE)
+    data.release()  # importances are driver values
+    return tidy(ranked(data.importance))
 
 
 def q_feature_selection(spark, sf_dir):
-    return tidy(selected(_horizon(spark, sf_dir, 1, REFERENCE).importance))
+    data = _horizon(spark, sf_dir, 1, REFERENCE)
+    data.release()
+    return tidy(selected(data.importance))
 
 
 def _cv(spark, sf_dir, name: str = "dt", preset: Preset = REFERENCE):
@@ -439,13 +452,13 @@ def q_model_run_pinned(spark, sf_dir):
     parts = [run_model(data[h], m, params, preset=REFERENCE).score.select(
         F.lit(m).alias("model"), F.lit(h).alias("horizon"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "smape", "n_scored")
         for (m, h), params in PINNED.items()]
-    return tidy(reduce(DataFrame.unionByName, parts))
+    return settled(tidy(reduce(DataFrame.unionByName, parts)), p, *[d.frame for d in data.values()])
 
 
 def q_predict_keyed(spark, sf_dir):
     """One global model over every nation's series, which enter through their own level and scale."""
     data = prepare_horizon(panel(spark, sf_dir, KEYED), 1, KEYED, CORRECTED)
-    return tidy(run_model(data, "gbt", PINNED[("gbt", 1)], keys=KEYED, preset=CORRECTED).predictions)
+    return settled(tidy(run_model(data, "gbt", PINNED[("gbt", 1)], keys=KEYED, preset=CORRECTED).predictions), data.frame)
 
 
 def _comparison(preset: Preset) -> Query:
@@ -493,7 +506,7 @@ def _stump_query(name: str) -> Query:
     """Depth-1 fit on the month: two means, left and right of the best split."""
     def q(spark, sf_dir):
         data = _simple_horizon(spark, sf_dir, ["month"])
-        return tidy(fit_predict(data.train, data.test, ["month"], name, STUMP[name], CORRECTED, keep=("date", "month")))
+        return settled(tidy(fit_predict(data.train, data.test, ["month"], name, STUMP[name], CORRECTED, keep=("date", "month"))), data.frame)
     return q
 
 
@@ -518,7 +531,7 @@ def _tree_query(name: str, params: dict, columns: tuple[str, ...] = STUMP_FEATUR
     """Deeper trees, more of them, and boosting: splits that SQL can search level by level."""
     def q(spark, sf_dir):
         data = _simple_horizon(spark, sf_dir, columns)
-        return tidy(fit_predict(data.train, data.test, columns, name, params, CORRECTED, keep=("date", "month", "day")))
+        return settled(tidy(fit_predict(data.train, data.test, columns, name, params, CORRECTED, keep=("date", "month", "day"))), data.frame)
     return q
 
 
@@ -527,7 +540,9 @@ def _tree_importance(params: dict, columns: tuple[str, ...]) -> Query:
     def q(spark, sf_dir):
         data = _simple_horizon(spark, sf_dir, columns)
         inputs = candidate_columns(data.frame.select("date", "label", "level", "role", *columns))
-        return tidy(ranked(feature_importance(data.train, inputs, CORRECTED, params)))
+        scores = feature_importance(data.train, inputs, CORRECTED, params)
+        data.release()
+        return tidy(ranked(scores))
     return q
 
 
@@ -544,12 +559,14 @@ def _nested_cv(name: str, grid: dict, columns: tuple[str, ...] = STUMP_FEATURES)
 def q_predict_lr_single(spark, sf_dir):
     """Ridge on one feature through the original's own estimator settings."""
     data = _simple_horizon(spark, sf_dir, [RIDGE_FEATURE])
-    return tidy(fit_predict(data.train, data.test, [RIDGE_FEATURE], "lr", RIDGE_PARAMS, CORRECTED, keep=("date",)))
+    return settled(tidy(fit_predict(data.train, data.test, [RIDGE_FEATURE], "lr", RIDGE_PARAMS, CORRECTED, keep=("date",))), data.frame)
 
 
 def _stump_importance(spark, sf_dir):
     data = _simple_horizon(spark, sf_dir, STUMP_FEATURES)
-    return feature_importance(data.train, STUMP_FEATURES, CORRECTED, {**STUMP["rf"], "FeatureSubsetStrategy": "all"})
+    scores = feature_importance(data.train, STUMP_FEATURES, CORRECTED, {**STUMP["rf"], "FeatureSubsetStrategy": "all"})
+    data.release()
+    return scores
 
 
 def q_feature_importance_stump(spark, sf_dir):
@@ -562,7 +579,9 @@ def q_feature_selection_stump(spark, sf_dir):
 
 def _ridge_cv(spark, sf_dir):
     data = _simple_horizon(spark, sf_dir, [RIDGE_FEATURE])
-    return rolling_cv(data.train, data.features, "lr", RIDGE_GRID, CV_FOLDS, purge_gap(1), (), CORRECTED)
+    scores = rolling_cv(data.train, data.features, "lr", RIDGE_GRID, CV_FOLDS, purge_gap(1), (), CORRECTED)
+    data.release()
+    return scores
 
 
 def q_cv_results_ridge(spark, sf_dir):
@@ -576,7 +595,7 @@ def q_best_params_ridge(spark, sf_dir):
 def q_model_run_ridge(spark, sf_dir):
     """Ridge forecasts of the test rows with the level added back."""
     data = _simple_horizon(spark, sf_dir, [RIDGE_FEATURE])
-    return tidy(run_model(data, "lr", RIDGE_PARAMS, preset=CORRECTED).predictions.select("date", "prediction", "label"))
+    return settled(tidy(run_model(data, "lr", RIDGE_PARAMS, preset=CORRECTED).predictions.select("date", "prediction", "label")), data.frame)
 
 
 def _ridge_table(preset: Preset, keys: tuple[str, ...] = ()) -> Query:
