@@ -74,6 +74,9 @@ def main() -> None:
         "features_by_supplier": run_noop(
             lambda: build_features(panel(spark, sf_dir, ("store",)), 1, ("store",), CORRECTED)),
         "weekly_panel_by_store_filled": run_noop(lambda: REGISTRY["weekly_panel_by_store_filled"](spark, sf_dir)),
+        "features_by_period": run_noop(lambda: REGISTRY["features_by_period"](spark, sf_dir)),
+        "features_between_by_store": run_noop(lambda: REGISTRY["features_between_by_store"](spark, sf_dir)),
+        "ts_split_raw": run_noop(lambda: REGISTRY["ts_split_raw"](spark, sf_dir)),
     }
     errors: dict[str, str] = {}
 
