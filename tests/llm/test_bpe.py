@@ -49,3 +49,10 @@ def test_readings_that_differ_raise(spark):
     shaky = shaky.select("doc_id", F.udf(lambda t: __import__("uuid").uuid4().hex, "string").asNondeterministic()("text").alias("text"))
     with pytest.raises(Exception, match="two readings"):
         encode_decode(shaky).collect()
+
+
+@pytest.mark.parametrize("kind", ["smallint", "tinyint", "int", "string"])
+def test_ids_of_other_types(spark, kind):
+    rows = encode_decode(spark.createDataFrame([(1, "one two"), (2, None), (None, "x")], "doc_id int, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text"))
+    assert rows.schema["doc_id"].dataType.simpleString() == kind
+    assert sorted((str(r.doc_id), r.decoded) for r in rows.collect()) == [("1", "one two"), ("2", ""), ("None", "x")]

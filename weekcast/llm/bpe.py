@@ -188,7 +188,7 @@ def encode_decode(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     names = ["chunk", "step", "checksum", "numbers", "counts", "ids", "rows"]
     kind = own.schema["doc_id"].dataType
-    id_list = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()])
+    id_list = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}[kind.simpleString()])
     part = f"chunk long, step long, checksum long, numbers binary, counts binary, ids binary, rows array<{kind.simpleString()}>"
     asked = own.mapInArrow(ask, "bucket long, chunk long, numbers binary, words binary, checksum long")
     answered = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, part)
