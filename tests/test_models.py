@@ -286,7 +286,7 @@ def test_reference_comparison_path(spark):
     ("dt", {"MaxDepth": ["0", "1", "3", "9"], "MaxBins": ["20", "25"]}),
     ("rf", {"NumTrees": ["2", "3"], "MaxBins": ["20"]}),
 ])
-@pytest.mark.parametrize("metric", ["rmse", "mae"])
+@pytest.mark.parametrize("metric", ["rmse", "mae", "r2"])
 def test_nested_fits_score_like_separate_fits(spark, name, grid, metric):
     data = prepare_horizon(panel(spark, SF_SMALL), 1, (), CORRECTED, feature_cols=["diff_sales", "lag_1week", "month", "day", "std_4weeks"])
     scores = {nested: [tuple(r) for r in rolling_cv(data.train, data.features, name, grid, 2, 5, (), CORRECTED, metric, nested=nested).collect()]

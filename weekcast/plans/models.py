@@ -6,6 +6,7 @@ executors); the driver only holds the fitted model. Every randomised estimator g
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Mapping, Sequence
 
@@ -135,6 +136,17 @@ def evaluate(pred: DataFrame, metric: str = "rmse") -> float:
     return RegressionEvaluator(metricName=metric, labelCol="label", predictionCol="prediction").evaluate(scored)
 
 
+def staged_scores(model, frame: DataFrame, name: str, stages: Sequence[int], metric: str = "rmse") -> dict[int, float]:
+    """The metric of each of ``staged_predictions``. For boosting and the usual errors MLlib sums the loss after every
+    iteration in one pass; otherwise each stage is evaluated by itself."""
+    loss = {"rmse": "squared", "mse": "squared", "mae": "absolute"}.get(metric)
+    if name == "gbt" and loss:
+        errors = model.evaluateEachIteration(frame.where(F.col("label").isNotNull()), loss)
+        return {s: math.sqrt(errors[s - 1]) if metric == "rmse" else errors[s - 1] for s in stages}
+    staged = staged_predictions(model, frame, name, stages)
+    return {s: evaluate(staged.withColumn("prediction", F.col(f"stage_{s}")), metric) for s in stages}
+
+
 def linear_fit_coefficients(train: DataFrame, feature_cols: Sequence[str], label: str = "label") -> DataFrame:
     """Unpenalised least squares through MLlib's normal-equation solver, as a one-row frame
     ``(slope, intercept)`` (one feature) or ``(slope_<name>..., intercept)``."""

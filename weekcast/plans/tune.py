@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from weekcast.config import CORRECTED, Preset
 from weekcast.operators.split import TEST, TRAIN, rolling_folds
-from weekcast.plans.models import NESTED, assemble, evaluate, fit, staged_predictions
+from weekcast.plans.models import NESTED, assemble, evaluate, fit, staged_scores
 from weekcast.constants import CV_FOLDS
 from weekcast.session import materialize, release
 
@@ -102,15 +102,17 @@ def rolling_cv(
             group, f = task
             model = fit(parts[f, TRAIN], feature_cols, name, sets[group[0]], preset)
             if len(group) == 1:
-                scored = {group[0]: model.transform(parts[f, TEST])}
+                scores = {group[0]: evaluate(model.transform(parts[f, TEST]), metric)}
             else:
                 stages = {ix: int(sets[ix][NESTED[name]]) for ix in group}
-                staged = staged_predictions(model, parts[f, TEST], name, sorted(set(stages.values())))
-                scored = {ix: staged.withColumn("prediction", F.col(f"stage_{s}")) for ix, s in stages.items()}
-            return [(name, ix, json.dumps(sets[ix], sort_keys=True), f, sizes[(f, TRAIN)], sizes[(f, TEST)], metric,
-                     float(evaluate(pred, metric))) for ix, pred in scored.items()]
-
-        tasks = [(g, f) for g in groups for f in range(1, folds + 1)]
+                staged = staged_scores(model, parts[f, TEST], name, sorted(set(stages.values())), metric)
+                scores = {ix: staged[s] for ix, s in stages.items()}
+            return [(name, ix, json.dumps(sets[ix], sort_keys=True), f, sizes[(f, TRAIN)], sizes[(f, TEST)], metric, float(score))
+                    for ix, score in scores.items()]
+
+        # deep trees first, so that the pool doesn't end on a long fit
+        deep = sorted(groups, key=lambda g: -int(sets[g[0]].get("MaxDepth", 0)))
+        tasks = [(g, f) for g in deep for f in range(1, folds + 1)]
         rows = [row for some in in_parallel(run, tasks, parallelism) for row in some]
     finally:
         for part in parts.values():
