@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import scratch_dir, stored
+from weekcast.llm.common import discard, scratch_dir
 from weekcast.operators.panel import spread_join
 
 #: Bytes of block in one record, bytes in one transfer chunk, records in one file (a file stays below 32 MB).
@@ -115,14 +115,17 @@ def write_archive(pages: DataFrame, path: str, id_column: str = "page_id", url_c
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = batch.column("html").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "row")), pa.array(map(digest_of, raws), pa.string()), pa.array(map(len, raws), pa.int64()), pa.array([zstandard.compress(r, 1) for r in raws], pa.binary())], ["page_id", "url", "row", "digest", "payload_bytes", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "row")), pa.array(map(digest_of, raws), pa.string()), pa.array(map(len, raws), pa.int64()), pa.array([zstandard.compress(r, 3) for r in raws], pa.binary())], ["page_id", "url", "row", "digest", "payload_bytes", "packed"])
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(records(row), pa.string())], ["record"])
 
-    known = stored(own.mapInArrow(digests, f"page_id {kind}, url string, row long, digest string, payload_bytes long, packed binary"), "payloads")
+    spark, payloads = pages.sparkSession, f"{scratch_dir(pages.sparkSession)}/payloads"
+    spelt = own.mapInArrow(digests, f"page_id {kind}, url string, row long, digest string, payload_bytes long, packed binary")
+    spelt.write.parquet(payloads)
+    known = spark.read.schema(spelt.schema).parquet(payloads)
     same = ["digest", "payload_bytes"]
     first = known.groupBy(*same).agg(F.max(F.struct("page_id", "row", "url")).alias("target"), F.first("packed").alias("packed"))
     responses = first.select("target.page_id", "target.url", "target.row", *same, "packed", F.col("target.page_id").alias("target_page"), F.col("target.row").alias("target_row"))
@@ -133,6 +136,7 @@ def write_archive(pages: DataFrame, path: str, id_column: str = "page_id", url_c
     ready = responses.unionByName(revisits)
     written = ready.mapInArrow(lines, "record string").write.option("lineSep", END.decode()).option("compression", "gzip")
     written.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    discard(spark, payloads)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
