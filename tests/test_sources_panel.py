@@ -38,6 +38,14 @@ def test_single_row_fails_in_the_plan(spark):
     assert single_row(df.where("store = 2 or store is null"), ["store"]).columns == ["store", "v"]
 
 
+def test_single_row_adds_no_aggregate_to_a_roll_up(spark):
+    rolled = spark.createDataFrame([(1, 2.0), (2, 3.0), (2, 4.0)], "store int, v double").groupBy("store").agg(F.avg("v").alias("v"))
+    count = lambda df, node: df._jdf.queryExecution().executedPlan().toString().count(node)
+    checked = single_row(rolled, ["store"])
+    assert all(count(checked, node) == count(rolled, node) > 0 for node in ("HashAggregate", "Exchange"))  # before it runs
+    assert sorted(map(tuple, checked.collect())) == [(1, 2.0), (2, 3.5)]
+
+
 def test_shapes_match_fixture_sizes(spark):
     t = fixture_tables(spark, SF_SMALL)
     rows = {r["table"]: (r["n_rows"], r["n_cols"]) for r in

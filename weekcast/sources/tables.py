@@ -15,7 +15,7 @@ from weekcast.constants import DATE_FORMAT, MISSING, RETAIL_COVARIATES
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,13 +66,13 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> Da
 def single_row(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
     """``df`` with one row per key, failing the job that reads it when a key has more (S18). Part of the
     plan, not a job of its own; rows with a null in the key match nothing in a join and pass."""
-    others = [c for c in df.columns if c not in keys]
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
     message = F.concat(F.lit(f"{what}: a key ({', '.join(keys)}) is not unique: "),
                        F.concat_ws(", ", *[F.col(k).cast(T.StringType()) for k in keys]))
-    counted = df.groupBy(*keys).agg(*[F.first(c).alias(c) for c in others], F.count(F.lit(1)).alias("_n"))
+    # counted over the rows in key order: the sort that a merge join on the keys needs anyway, and no second aggregate
+    counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     checked = F.when((F.col("_n") > 1) & known, F.raise_error(message)).otherwise(F.lit(0))
     # the check is a filter, which no optimizer rule drops
     return counted.where(checked.cast(T.IntegerType()) == 0).select(*df.columns)
