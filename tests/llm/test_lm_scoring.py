@@ -184,6 +184,17 @@ def test_the_model_learns_from_every_id_of_every_training_document():
     assert windows[:, 1:][windows[:, 1:] >= 0].tolist() == expect
 
 
+def test_words_that_go_on_occurring_are_cut_once(monkeypatch):
+    cut, plain = [], subwords
+    monkeypatch.setattr(lm_scoring, "KEPT_WORDS", 3)
+    monkeypatch.setattr(lm_scoring, "subwords", lambda path, word: cut.append(word) or plain(path, word))
+    learnt = [i for i in range(30) if zlib.crc32(str(i).encode()) % 7 != 2][:9]
+    texts = [f"common w{i}a w{i}b w{i}c".encode() for i in learnt]
+    rows = [row_of(0, k, [i], pack(np.array([len(t)])), zstandard.compress(t)) for k, (i, t) in enumerate(zip(learnt, texts))]
+    assert len(list(lm_scoring._streams(TOKENIZER, 7, 2)(iter(rows)))) == 9
+    assert cut.count(b"common") == 1 and len(cut) == 1 + 3 * 9
+
+
 def test_shares_of_pairs_equal_the_counted_ones_whatever_their_number(spark):
     rng = np.random.default_rng(8)
     size, many = 1000, 1 << 19  # twice as many as were kept once
