@@ -206,3 +206,68 @@ def test_shares_of_pairs_equal_the_counted_ones_whatever_their_number(spark):
         mine = pairs[(pairs % 2 == part) & (pairs // size != size - 1)]
         got = lm_scoring._Pairs([r for r in told if r["chunk"] == part], words, size - 1).within(mine // size, mine % size)
         assert got == pytest.approx(Scorer(Parameters.initial(words.class_log), words, size - 1).within(mine // size, mine % size))
+
+
+def plain_loss_and_gradient(p, kinds, goals):
+    """By the definition: each id's query, key and value, shifted softmax, every weight divided."""
+    loss, out, (n, length) = 0.0, Parameters.shaped(np.zeros_like(p.flat())), kinds.shape
+    for row, goal in zip(kinds, goals):
+        e = p.embed[row]
+        q, k, v = e @ p.query / np.sqrt(lm.WIDTH), e @ p.key, e @ p.value
+        for t in np.flatnonzero(goal >= 0):
+            gap = t - np.arange(t + 1)
+            s = k[: t + 1] @ q[t] + p.distance[gap]
+            a = np.exp(s - s.max())
+            a /= a.sum()
+            h = a @ v[: t + 1]
+            z = h @ p.out + e[t] @ p.direct + p.bias
+            soft = np.exp(z - z.max())
+            soft /= soft.sum()
+            loss -= np.log(soft[goal[t]])
+            dz = soft - (np.arange(lm.CLASSES) == goal[t])
+            dh, da = p.out @ dz, v[: t + 1] @ (p.out @ dz)
+            ds = a * (da - a @ da)
+            dq, dk, dv = ds @ k[: t + 1], np.outer(ds, q[t]), np.outer(a, dh)
+            out.out += np.outer(h, dz)
+            out.direct += np.outer(e[t], dz)
+            out.bias += dz
+            out.query += np.outer(e[t], dq) / np.sqrt(lm.WIDTH)
+            out.key += e[: t + 1].T @ dk
+            out.value += e[: t + 1].T @ dv
+            np.add.at(out.distance, gap, ds)
+            np.add.at(out.embed, row[: t + 1], dk @ p.key.T + dv @ p.value.T)
+            out.embed[row[t]] += p.direct @ dz + p.query @ dq / np.sqrt(lm.WIDTH)
+    return loss, out
+
+
+@pytest.mark.parametrize("size", [1, 40])  # 40: exponents in the hundreds, which have to be shifted
+def test_gradient_equals_the_definition(size):
+    p, words = small_model(7)
+    for name in ("query", "out"):
+        setattr(p, name, getattr(p, name) * size)
+    windows = np.random.default_rng(8).integers(0, 200, (4, lm.WINDOW + 1))
+    kinds, goals = words.kind_of[windows[:, :-1]], words.class_of[windows[:, 1:]].copy()
+    goals[1, 9:], goals[2] = -1, -1
+    expect, exact = plain_loss_and_gradient(p, kinds, goals)
+    for kind in (float, np.float32):
+        loss, g = loss_and_gradient(Parameters.shaped(p.flat().astype(kind)), kinds, goals)
+        near = 1e-9 if kind is float else 2e-3
+        assert loss == pytest.approx(expect, rel=near)
+        assert np.abs(g.flat() - exact.flat()).max() < near * np.abs(exact.flat()).max()
+
+
+def test_shifted_exponents_give_the_same_numbers(monkeypatch):
+    p, words = small_model(9)
+    windows = np.random.default_rng(1).integers(0, 200, (5, 20))
+    kinds, goals = words.kind_of[windows[:, :-1]], words.class_of[windows[:, 1:]]
+    loss, g = loss_and_gradient(p, kinds, goals)
+    monkeypatch.setattr(lm, "SAFE", 0.0)
+    shifted, h = loss_and_gradient(p, kinds, goals)
+    assert shifted == pytest.approx(loss) and h.flat() == pytest.approx(g.flat(), abs=1e-9)
+
+
+def test_query_and_key_meet_in_one_table():
+    p, words = small_model(10)
+    scorer = Scorer(p, words, len(words.class_of) - 1)
+    rows = [x for x in vars(scorer).values() if isinstance(x, np.ndarray) and x.shape[:1] == words.class_of.shape and x is not scorer.given_last]
+    assert sum(x.shape[1] for x in rows) == lm.WIDTH + lm.WIDTH + 1 + lm.CLASSES  # no third row of WIDTH for each id
